@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import serp
+
+_PARTS = (serp,)
+QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
+ORACLE_SQL = {k: s for p in _PARTS for k, s in p.ORACLE_SQL.items()}
