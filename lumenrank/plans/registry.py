@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import serp, text
+from . import keywords, serp, text
 
-_PARTS = (serp, text)
+_PARTS = (serp, keywords, text)
 QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
 ORACLE_SQL = {k: s for p in _PARTS for k, s in p.ORACLE_SQL.items()}
