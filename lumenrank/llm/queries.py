@@ -127,13 +127,13 @@ _SIZE_SQL = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::B
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": rf"""
 WITH sizes AS (SELECT doc_id, source, {_SIZE_SQL} AS size FROM documents),
-sources AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS at FROM sizes GROUP BY source),
-weighed AS (SELECT source, source_size, ([3.0, 1.0, 2.0]::DOUBLE[])[(at % 3 + 1)::INT] AS weight, source_size * 2.0::DOUBLE AS most FROM sources),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS nth FROM sizes GROUP BY source),
+weighed AS (SELECT source, source_size, ([3.0, 1.0, 2.0]::DOUBLE[])[(nth % 3 + 1)::INT] AS weight, source_size * 2.0::DOUBLE AS most, nth FROM sources),
 total AS (SELECT 1.5::DOUBLE * sum(source_size) AS t FROM weighed),
-filled AS (SELECT *, sum(most) OVER w AS fixed, sum(weight) OVER () - sum(weight) OVER w AS open FROM weighed
-  WINDOW w AS (ORDER BY most / weight, at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-level AS (SELECT min((t - coalesce(fixed, 0)) / coalesce(open, (SELECT sum(weight) FROM weighed))) FILTER (
-  (t - coalesce(fixed, 0)) / coalesce(open, (SELECT sum(weight) FROM weighed)) * weight <= most) AS l FROM filled, total),
+filled AS (SELECT *, row_number() OVER (ORDER BY most / weight, nth) AS k, sum(most) OVER w AS fixed, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS open FROM weighed
+  WINDOW w AS (ORDER BY most / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (SELECT *, (t - coalesce(fixed, 0)) / open AS level FROM filled, total),
+level AS (SELECT arg_min(level, k) FILTER (level * weight <= most) AS l FROM levels),
 targets AS (SELECT source, source_size, least(weight * coalesce(l, 1e308), most) AS target FROM weighed, level)
 SELECT d.doc_id, d.size, s.source_size, s.target,
   (d.size * (floor(r.rate) + CASE WHEN ('0x' || substr(md5('mix:' || d.doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < r.rate - floor(r.rate) THEN 1 ELSE 0 END))::BIGINT AS taken
