@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import keywords, serp, text
+from . import audit, keywords, pages, serp, text
 
-_PARTS = (serp, keywords, text)
+_PARTS = (serp, keywords, text, pages, audit)
 QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
 ORACLE_SQL = {k: s for p in _PARTS for k, s in p.ORACLE_SQL.items()}
