@@ -75,7 +75,7 @@ def estimate_cost(usage: DataFrame, prices: DataFrame, fees: dict[str, float]) -
     """``usage`` with ``usd``: the longest id of the price list that is the model or its start
     before a dash, tokens in millions, searches at a fee; null without a price."""
     model = F.regexp_replace(F.lower(F.trim("model")), "^models/", "")
-    heads = F.transform(F.sequence(F.lit(1), F.size(F.split(model, "-"))), lambda n: F.substring_index(model, "-", n))
+    heads = F.transform(F.sequence(F.lit(1), F.size(F.split(model, "-"))), lambda n: F.array_join(F.slice(F.split(model, "-"), F.lit(1), n), "-"))
     known = prices.groupBy("engine").agg(F.map_from_entries(F.collect_list(F.struct(F.lower("known").alias("known"), F.struct("input", "output")))).alias("prices"))
     joined = usage.join(known, "engine", "left")
     # a model's own heads are looked up in the engine's price list: no join by inequality
