@@ -66,26 +66,21 @@ def words(s: Column) -> Column:
     return F.regexp_extract_all(F.lower(s), F.lit(f"({WORD})"), F.lit(1))
 
 
-def _cut_first(w: Column, suffixes: list[str]) -> Column:
-    out = None
-    for x in suffixes:
-        rule = F.endswith(w, F.lit(x)) & (F.length(w) - len(x) >= MIN_STEM)
-        cut = F.left(w, F.length(w) - len(x))
-        out = F.when(rule, cut) if out is None else out.when(rule, cut)
-    return out.otherwise(w)
+def _cut_one(w: Column, suffixes: list[str]) -> Column:
+    """The longest suffix that leaves a stem goes: the shortest head is tried first."""
+    return F.regexp_replace(w, f"^(.{{{MIN_STEM},}}?)(?:{'|'.join(suffixes)})$", "$1")
 
 
 def stem(w: Column) -> Column:
-    """Of a lower-case word: Cyrillic article and inflection, English plural, then synonyms."""
-    cut = _cut_first(_cut_first(w, ARTICLE_SUFFIXES), INFLECTION_SUFFIXES)
-    vowel = F.when((F.length(cut) >= 6) & F.endswith(cut, F.lit("ен")), F.concat(F.left(cut, F.length(cut) - 2), F.lit("н"))).otherwise(cut)
-    latin = (
-        F.when((F.length(w) > 4) & F.endswith(w, F.lit("ies")), F.concat(F.left(w, F.length(w) - 3), F.lit("y")))
-        .when((F.length(w) > 4) & w.rlike("(?:ss|sh|ch|x|z)es$"), F.left(w, F.length(w) - 2))
-        .when((F.length(w) > 3) & F.endswith(w, F.lit("s")) & ~w.rlike("(?:ss|us|is)$"), F.left(w, F.length(w) - 1))
-        .otherwise(w)
-    )
-    plain = F.when(w.rlike(r"^\p{IsCyrillic}+$") & (F.length(w) >= 4), vowel).when(w.rlike("^[a-z]+$"), latin).otherwise(w)
+    """Of a lower-case word: Cyrillic article and inflection, English plural, then synonyms.
+
+    Chains of single replacements, so that the expression grows with the rules and no further.
+    """
+    cut = F.regexp_replace(_cut_one(_cut_one(w, ARTICLE_SUFFIXES), INFLECTION_SUFFIXES), "^(.{4,})ен$", "$1н")
+    latin = F.regexp_replace(w, "^(.{2,})ies$", "$1y")
+    latin = F.regexp_replace(latin, "^(?=.{5,}$)(.*(?:ss|sh|ch|x|z))es$", "$1")
+    latin = F.regexp_replace(latin, "^(.{2,}[^sui])s$", "$1")
+    plain = F.when(w.rlike(r"^\p{IsCyrillic}{4,}$"), cut).when(w.rlike("^[a-z]+$"), latin).otherwise(w)
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv]), plain), plain)
 
 
