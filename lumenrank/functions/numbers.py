@@ -58,6 +58,6 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     zero = F.lit(0.0)
     return F.struct(
         F.coalesce(r3(p), zero).alias("share"),
-        F.coalesce(r3(F.greatest(zero, mid - half)), zero).alias("low"),
-        F.coalesce(r3(F.least(F.lit(1.0), mid + half)), zero).alias("high"),
+        F.when(n > 0, r3(F.greatest(zero, mid - half))).otherwise(zero).alias("low"),
+        F.when(n > 0, r3(F.least(F.lit(1.0), mid + half))).otherwise(zero).alias("high"),
     )
