@@ -10,6 +10,11 @@ fingerprints are within 2 bits exactly if the balls of radius 1 around them shar
 Each candidate is sent to its 65 ball points, so the work is linear in the candidates however
 many of them are alike, and a point gathers at most 65 different fingerprints.
 
+For a greater radius the fingerprints of a table's key are compared in the task that has them,
+all with all but one at a time, and only the links of a spanning forest leave it. A key has half
+the bits of a fingerprint, so even near copies of one text scatter over the keys; memory is that
+of a key's different fingerprints, time the square of their number.
+
 Rows: null text counts as empty; a text without words has fingerprint zero and is linked like
 any other; repeated rows share a fingerprint and so a component; an empty table gives none.
 """
@@ -33,30 +38,40 @@ BITS = 64
 _RUN = 1 << 16
 
 
-def fingerprint(text: bytes, shingle_words: int = 3) -> int:
-    """64-bit SimHash, unsigned: a bit is one if set in over half the shingle hashes."""
-    words = text.lower().split()  # of bytes: A-Z only, and exactly the six ASCII white spaces
+PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+
+def fingerprint(text: bytes, shingle_words: int = 3, distinct: bool = False, ignore: bytes = b"") -> int:
+    """64-bit SimHash, unsigned: a bit is one if set in over half the shingle hashes.
+
+    ``distinct`` counts each shingle once; the bytes of ``ignore`` are left out of the text.
+    """
+    words = text.lower().translate(None, ignore).split()  # of bytes: A-Z only, and exactly the six ASCII white spaces
     n = len(words) - shingle_words + 1
     if not words:
         return 0
     if n <= 1:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    counts = np.zeros(BITS, np.int64)
+    counts, total = np.zeros(BITS, np.int64), 0
+    seen: set[bytes] = set()
     for at in range(0, n, _RUN):
         run = words[at : min(at + _RUN, n) + shingle_words - 1]
-        grams = map(b" ".join, zip(*(run[i:] for i in range(shingle_words))))
-        digests = np.frombuffer(b"".join([xxhash.xxh64_digest(g, SEED) for g in grams]), np.uint8)
-        counts += np.unpackbits(digests.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+        hashes = [xxhash.xxh64_digest(g, SEED) for g in map(b" ".join, zip(*(run[i:] for i in range(shingle_words))))]
+        if distinct:
+            hashes = list(set(hashes) - seen)
+            seen.update(hashes)
+        total += len(hashes)
+        counts += np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big")
 
 
-def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
+def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, distinct: bool = False, ignore: bytes = b"") -> DataFrame:
     """(id, fp): one row per input row, fp a long with the fingerprint's 64 bits."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t, shingle_words) for t in texts_of(b.column(1))]
+            fps = [fingerprint(t, shingle_words, distinct, ignore) for t in texts_of(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["id", "fp"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind.simpleString()}, fp long")
@@ -73,20 +88,65 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _keyed(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, t, key): the kept bits of each fingerprint in each table."""
+    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(_signed(m)).alias("m")) for i, m in enumerate(masks(radius))])
+    return fps.select("fp", F.explode(tables).alias("k")).select("fp", "k.t", F.col("fp").bitwiseAND(F.col("k.m")).alias("key"))
+
+
 def candidates(fps: DataFrame, radius: int = 2) -> DataFrame:
     """(fp): those of the distinct fingerprints that share a table's key with another one."""
-    keyed = fps.select(
-        "fp",
-        F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks(radius))])).alias("k"),
-    ).select("fp", "k.t", "k.key")
+    keyed = _keyed(fps, radius)
     met = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return keyed.join(met, ["t", "key"], "left_semi").select("fp").distinct()
 
 
+def _forest(g: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the different fingerprints within the radius of one another."""
+    label, out = np.arange(len(g)), []
+    for i in range(len(g) - 1):
+        near = np.flatnonzero(np.bitwise_count(g[i + 1 :] ^ g[i]) <= radius) + i + 1
+        near = near[label[near] != label[i]]
+        for other, j in zip(*np.unique(label[near], return_index=True), strict=True):
+            out.append((i, int(near[j])))
+            label[label == other] = label[i]
+    return out
+
+
+def _bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(t: np.ndarray, key: np.ndarray, fp: np.ndarray, ends: bool) -> tuple[int, pa.RecordBatch]:
+            cut = np.concatenate(([0], np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1, [len(t)]))
+            if not ends:
+                cut = cut[:-1]  # the last key may go on
+            size, bits = np.diff(cut), fp.view(np.uint64)
+            two = cut[:-1][size == 2]
+            near = two[np.bitwise_count(bits[two] ^ bits[two + 1]) <= radius]
+            u, v = [fp[near]], [fp[near + 1]]
+            for at in np.flatnonzero(size > 2).tolist():
+                lo, hi = cut[at], cut[at + 1]
+                found = np.array(_forest(bits[lo:hi], radius), np.int64).reshape(-1, 2) + lo
+                u.append(fp[found[:, 0]])
+                v.append(fp[found[:, 1]])
+            return int(cut[-1]), pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+
+        kept = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        for b in batches:
+            kept = [np.concatenate((k, c.to_numpy())) for k, c in zip(kept, b.columns, strict=True)]
+            done, out = linked(*kept, ends=False)
+            kept = [k[done:] for k in kept]
+            yield out
+        if len(kept[0]):
+            yield linked(*kept, ends=True)[1]
+
+    dealt = keyed.repartition("t", "key").sortWithinPartitions("t", "key").select("t", "key", "fp")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """(u, v): links whose components are those of all pairs within ``radius`` (at most 2) bits."""
-    if not 0 <= radius <= 2:
-        raise ValueError("the exact check by shared ball points is for a radius of 0, 1 or 2")
+    """(u, v): links whose components are those of all pairs within ``radius`` bits."""
+    if radius > 2:
+        return _bucket_links(_keyed(fps, radius), radius)
     found = materialize(candidates(fps, radius), "simhash-candidates")
     if radius < 2:  # distance 1: each with its neighbours that exist
         near = found.select(F.col("fp").alias("u"), F.explode(_ball(F.col("fp"))).alias("v")).where("u > v")
@@ -101,9 +161,9 @@ def _ball(fp):
     return F.transform(flips, lambda m: fp.bitwiseXOR(m))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 2, distinct: bool = False, ignore: bytes = b"") -> DataFrame:
     """(id, fp, component_id): component_id is the smallest id reachable over links."""
-    prints = materialize(with_fingerprint(docs, id_col, text_col, shingle_words), "simhash-prints")
+    prints = materialize(with_fingerprint(docs, id_col, text_col, shingle_words, distinct, ignore), "simhash-prints")
     classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-classes")
     roots = components(links(classes.select("fp"), radius))
     named = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

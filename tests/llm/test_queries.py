@@ -217,11 +217,11 @@ def test_token_files(spark, sf):
     same(got(spark, "op5_token_files", sf), want)
 
 
-def test_token_files_of_two_bytes(spark, tmp_path):
+def test_token_files_of_four_bytes(spark, tmp_path):
     from lumenrank.llm import tokenbin
 
     docs = spark.createDataFrame([(2, "b c"), (1, "a"), (3, None)], "doc_id long, text string")
-    folder = tokenbin.write_token_files(docs, queries.vocabulary(queries.LIBRARY).decode(), str(tmp_path / "x"), id_bytes=2)
+    folder = tokenbin.write_token_files(docs, queries.vocabulary(queries.LIBRARY).decode(), P.PATTERN, str(tmp_path / "x"), id_bytes=4)
     assert [r[:3] for r in sorted(map(tuple, tokenbin.read_token_files(spark, folder).collect()))] == [(1, 0, 2), (2, 2, 3), (3, 5, 1)]
 
 
@@ -283,10 +283,11 @@ def test_secrets(spark, sf):
         assert any("random:" in r[5] for r in rows)
 
 
-def plain_fingerprint(t, k=3):
-    w = re.sub("[A-Z]", lambda m: m[0].lower(), t)
-    w = WORD.findall(w)
+def plain_fingerprint(t, shingle_words=3, distinct=False, ignore=b"", radius=None):
+    k, w = shingle_words, re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    w = WORD.findall("".join(c for c in w if ord(c) > 127 or ord(c) not in ignore))
     grams = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([" ".join(w)] if w else [])
+    grams = set(grams) if distinct else grams
     hs = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
@@ -318,6 +319,13 @@ def test_simhash(spark, sf):
     same(got(spark, "op9_simhash", sf), want)
 
 
+def test_masks_of_a_greater_radius():
+    made, draw = simhash.masks(5), random.Random(2)
+    for _ in range(3000):
+        diff = sum(1 << b for b in draw.sample(range(64), 5))
+        assert any(not m & diff for m in made)
+
+
 def test_masks_cover_every_pair_within_the_radius():
     made = simhash.masks(2)
     assert len(made) == 7
@@ -326,7 +334,7 @@ def test_masks_cover_every_pair_within_the_radius():
             assert any(not m & (1 << a | 1 << b) for m in made)
 
 
-@pytest.mark.parametrize("radius", [0, 1, 2])
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 5])
 def test_links_of_close_fingerprints(spark, radius):
     draw = random.Random(radius)
     fps = {0, (1 << 64) - 1}
@@ -393,8 +401,8 @@ def test_pipeline(spark, sf):
     clean = [tuple(r) for r in docs.collect() if r.doc_id not in toxic]
     stage = corpus_pipeline.drop_toxic(spark, docs, sf)
     same([tuple(r) for r in stage.collect()], clean)
-    fps = [plain_fingerprint(r[1] or "", corpus_pipeline.SHINGLE_WORDS) for r in clean]
-    keep = [r for r, c in zip(clean, plain_components([r[0] for r in clean], fps, 2)) if r[0] is None or r[0] == c]
+    fps = [plain_fingerprint(r[1] or "", **corpus_pipeline.NEAR) for r in clean]
+    keep = [r for r, c in zip(clean, plain_components([r[0] for r in clean], fps, corpus_pipeline.NEAR["radius"])) if r[0] is None or r[0] == c]
     stage = corpus_pipeline.one_of_each(spark, stage, sf)
     same([tuple(r) for r in stage.collect()], keep)
     stage = corpus_pipeline.hide_secrets(spark, stage, sf)
