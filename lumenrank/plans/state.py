@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,11 +124,6 @@ def audit_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def contract_json(spark: SparkSession) -> str:
-    """The schemas of stored rows, for checks of what is written."""
-    return json.dumps({"flat": results_json.FLAT, "tasks": results_json.TASKS})
-
-
 QUERIES = {
     f.__name__: f
     for f in (
