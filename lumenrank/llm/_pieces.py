@@ -7,58 +7,79 @@ before every run of white space and the pieces encoded alone. Most runs are one
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import regex
 
+_ODD = re.compile(r" \s|\s ")  # white space next to a blank
 _UNIT = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
 
 
+class Memo:
+    """Two generations: when the newer is full the older goes, and what is asked for again stays."""
+
+    def __init__(self, keep: int):
+        self.keep, self.new, self.old = keep, {}, {}
+
+    def room(self, n: int) -> dict:
+        """The newer generation, with room for n more."""
+        if len(self.new) + n > self.keep and self.new:
+            self.old, self.new = self.new, {}
+        return self.new
+
+    def missing(self, keys: list[str]) -> list[str]:
+        """Those of the keys that neither generation has; the others are in the newer then."""
+        out, new, old = [], self.new, self.old
+        for k in dict.fromkeys(keys):
+            v = old.get(k)
+            if v is None:
+                out.append(k)
+            else:
+                new[k] = v
+        return out
+
+
 class PieceEncoder:
-    """ids of a text as little-endian unsigned 32-bit integers; ``encode_all`` does so for pieces."""
+    """ids of a text as little-endian unsigned 32-bit integers.
+
+    ``encode_words`` does so for matches of ``pattern``, which are encoded each alone.
+    """
 
-    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], keep: int = 150_000):
-        self.encode_all, self.keep = encode_all, keep
-        self.after_blank: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
+    def __init__(self, pattern: str, encode_words: Callable[[list[str]], list[bytes]], keep_pieces: int = 120_000, keep_words: int = 150_000):
+        # the pattern's white space is Unicode's property, whatever the library's \s is
+        self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.encode_words = encode_words
+        self.after_blank, self.words = Memo(keep_pieces), Memo(keep_words)
 
-    def _fresh(self, memo: dict[str, bytes], keys: list[str], pieces: list[str]) -> None:
-        if len(memo) + len(keys) > self.keep:
-            memo.clear()
-        for k, ids in zip(keys, self.encode_all(pieces), strict=True):
-            memo[k] = ids
+    def _all(self, pieces: list[str]) -> list[bytes]:
+        find = self.find
+        # a blank and letters, or letters alone, are one match
+        cut = [(p,) if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else find(p) for p in pieces]
+        memo = self.words.room(2 * len(cut))
+        new = self.words.missing([w for ws in cut for w in ws if w not in memo])
+        if new:
+            memo.update(zip(new, self.encode_words(new), strict=True))
+        return [memo[ws[0]] if len(ws) == 1 else b"".join([memo[w] for w in ws]) for ws in cut]
 
     def _by_units(self, text: str) -> bytes:
-        out, at, units = [], 0, _UNIT.findall(text)
-        while at < len(units):  # in runs, so that a memo cleared meanwhile is no matter
-            run = units[at : at + 10_000]
-            new = list({u for u in run if u not in self.units})
-            if new:
-                self._fresh(self.units, new, new)
-                if len(new) < len(set(run)):
-                    lost = list({u for u in run if u not in self.units})
-                    if lost:
-                        self._fresh(self.units, lost, lost)
-            memo = self.units
-            out += [memo[u] for u in run]
-            at += 10_000
-        return b"".join(out)
+        units = _UNIT.findall(text)
+        return b"".join(x for at in range(0, len(units), 10_000) for x in self._all(units[at : at + 10_000]))
 
     def encode(self, text: str) -> bytes:
+        if _ODD.search(text) or text[-1:] == " ":
+            return self._by_units(text)
         first, *rest = text.split(" ")
         if not rest:
             return self._by_units(text)
         last = rest.pop()
-        if first and first[-1].isspace() or not last or last[0].isspace():
-            return self._by_units(text)
-        memo = self.after_blank
+        memo = self.after_blank.room(len(rest))
         parts = list(map(memo.get, rest))
         if None in parts:
-            new = list({p for p, v in zip(rest, parts, strict=True) if v is None})
-            if any(not p or p[0].isspace() or p[-1].isspace() for p in new):
-                return self._by_units(text)
-            known = {p: v for p, v in zip(rest, parts, strict=True) if v is not None}
-            self._fresh(memo, new, [" " + p for p in new])
-            parts = [known[p] if p in known else memo[p] for p in rest]
-        ends = self.encode_all([first, " " + last])
+            new = self.after_blank.missing([p for p, v in zip(rest, parts, strict=True) if v is None])
+            for at in range(0, len(new), 10_000):
+                run = new[at : at + 10_000]
+                memo.update(zip(run, self._all([" " + p for p in run]), strict=True))
+            parts = list(map(memo.__getitem__, rest))
+        ends = self._all([first, " " + last])
         return b"".join([ends[0], *parts, ends[1]])

@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,28 +178,9 @@ class Encoder:
     """Whole texts: each match of the pattern goes through the transducer alone."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        # the pattern's white space is Unicode's property, whatever the library's \s is
-        self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.machine = Transducer(ranks)
-        self.words: dict[str, bytes] = {}
-        self.pieces = PieceEncoder(self._all)
-
-    def _all(self, pieces: list[str]) -> list[bytes]:
-        out = []
-        words, find, encode = self.words, self.pattern.findall, self.machine.encode
-        if len(words) > 250_000:
-            words.clear()
-        for p in pieces:
-            ids = []
-            for w in find(p):
-                got = words.get(w)
-                if got is None:
-                    got = array("I", encode(w.encode())).tobytes()
-                    if len(w) <= 32:
-                        words[w] = got
-                ids.append(got)
-            out.append(b"".join(ids))
-        return out
+        encode = self.machine.encode
+        self.pieces = PieceEncoder(pattern, lambda words: [array("I", encode(w.encode())).tobytes() for w in words])
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.pieces.encode(text), "<u4")

@@ -68,7 +68,9 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = tokenbin.write_token_files(read_table(spark, sf_dir, "documents"), vocabulary(LIBRARY).decode())
+    import public_tokenizers
+
+    folder = tokenbin.write_token_files(read_table(spark, sf_dir, "documents"), vocabulary(LIBRARY).decode(), public_tokenizers.PATTERN)
     return tokenbin.read_token_files(spark, folder)
 
 

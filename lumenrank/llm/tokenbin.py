@@ -20,6 +20,7 @@ import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -53,11 +54,18 @@ def _mapped(store, path: str) -> np.ndarray:
 
 
 def write_token_files(
-    docs: DataFrame, tokenizer_json: str, folder: str | None = None, end_id: int = 0, id_bytes: int = 4, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_json: str, pattern: str, folder: str | None = None, end_id: int = 0, id_bytes: int | None = None, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> str:
-    """Encode with the tokenizers library and write the files; returns their folder."""
-    if id_bytes not in (2, 4):
+    """Encode with the tokenizers library and write the files; returns their folder.
+
+    ``pattern`` is that of the tokenizer's split; ids take 2 bytes if the vocabulary allows it.
+    """
+    if id_bytes not in (None, 2, 4):
         raise ValueError("ids take 2 or 4 bytes")
+    if id_bytes is None:
+        from tokenizers import Tokenizer
+
+        id_bytes = 2 if max(Tokenizer.from_str(tokenizer_json).get_vocab().values()) < 1 << 16 else 4
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
     n = parts or width(spark)
@@ -70,7 +78,7 @@ def write_token_files(
     kind = f"<u{id_bytes}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _per_process(("tokenizers", len(shared.value)), lambda: PieceEncoder(_library(shared.value)))
+        encoder = _per_process(("tokenizers", len(shared.value)), lambda: PieceEncoder(pattern, _library(shared.value), 500_000, 400_000))
         end = np.array([end_id], "<u4").tobytes()
         store, base = _store(folder)
         store.create_dir(base, recursive=True)
@@ -121,7 +129,7 @@ def _library(tokenizer_json: str):
 
     made = Tokenizer.from_str(tokenizer_json)
     made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return lambda pieces: [np.array(x.ids, "<u4").tobytes() for x in made.encode_batch_fast(pieces, add_special_tokens=False)]
+    return lambda words: [array("I", x.ids).tobytes() for x in made.encode_batch_fast(words, add_special_tokens=False)]
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
