@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where no such setting exists (tests)."""
+    """``spark.checkpoint.dir``; a temporary folder only in local mode without such a setting (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lumenrank-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -24,6 +26,13 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/lumenrank-{what}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark reads it by."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + full[len("file:") :] if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there,
     and the file sizes give Catalyst a true bound for its broadcast decision."""

@@ -224,6 +224,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 elif starts.is_valid and len(starts):
                     edge = np.zeros(n + 1, np.int32)
                     s = starts.values.to_numpy()
+                    s = s[s + size <= n]  # all of them, unless rows of one id differ
                     edge[s] += 1
                     np.subtract.at(edge, s + size, 1)
                     left = [words[i] for i in np.flatnonzero(np.cumsum(edge[:n]) == 0).tolist()]

@@ -30,10 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._pieces import PieceEncoder
-from ._shared import materialize, new_path, partition_keys, range_bounds, range_of, width
+from ._shared import materialize, new_path, partition_keys, qualified, range_bounds, range_of, width
 from .bpe import _per_process, _slices
 
 
+_NULL = -(1 << 63)  # a null id in the .idx file
+
+
 def _store(uri: str):
     """File system and path of a folder that all executors share."""
     from pyarrow import fs
@@ -67,7 +70,7 @@ def write_token_files(
 
         id_bytes = 2 if max(Tokenizer.from_str(tokenizer_json).get_vocab().values()) < 1 << 16 else 4
     spark = docs.sparkSession
-    folder = folder or new_path(spark, "tokens")
+    folder = qualified(spark, folder or new_path(spark, "tokens"))
     n = parts or width(spark)
     bounds = range_bounds(docs.where(F.col(id_col).isNotNull()), id_col, n)
     keys = partition_keys(spark, n)
@@ -102,7 +105,7 @@ def write_token_files(
                         part, ids, offsets, spare = p, [], [0], f"{base}/.{uuid.uuid4().hex}"
                         out = store.open_output_stream(f"{spare}.ids")
                     data = encoder.encode(t or "") + end
-                    ids.append(-1 if i is None else i)
+                    ids.append(_NULL if i is None else i)
                     offsets.append(offsets[-1] + len(data) // 4)
                     out.write(data if id_bytes == 4 else np.frombuffer(data, "<u4").astype(kind).tobytes())
         if out is not None:
@@ -158,7 +161,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                     to = min(at + 10_000, n)
                     crcs = [zlib.crc32(ids[offsets[i] : offsets[i + 1]].astype("<u4").tobytes()) for i in range(at, to)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([None if x < 0 else x for x in names[at:to].tolist()], pa.int64()), pa.array(offsets[at:to] + first), pa.array(np.diff(offsets[at : to + 1])), pa.array(crcs, pa.int64())],
+                        [pa.array([None if x == _NULL else x for x in names[at:to].tolist()], pa.int64()), pa.array(offsets[at:to] + first), pa.array(np.diff(offsets[at : to + 1])), pa.array(crcs, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
