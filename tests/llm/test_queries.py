@@ -225,6 +225,15 @@ def test_token_files_of_four_bytes(spark, tmp_path):
     assert [r[:3] for r in sorted(map(tuple, tokenbin.read_token_files(spark, folder).collect()))] == [(1, 0, 2), (2, 2, 3), (3, 5, 1)]
 
 
+def test_token_files_of_negative_and_null_ids(spark, tmp_path):
+    from lumenrank.llm import tokenbin
+
+    docs = spark.createDataFrame([(-1, "b c"), (None, "a"), (-7, None)], "doc_id long, text string")
+    folder = tokenbin.write_token_files(docs, queries.vocabulary(queries.LIBRARY).decode(), P.PATTERN, str(tmp_path / "x"))
+    rows = sorted((tuple(r[:3]) for r in tokenbin.read_token_files(spark, folder).collect()), key=lambda r: r[1])
+    assert rows == [(None, 0, 2), (-7, 2, 1), (-1, 3, 3)]
+
+
 def test_chat(spark, sf):
     groups = collections.defaultdict(list)
     for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
