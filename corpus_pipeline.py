@@ -16,8 +16,9 @@ from lumenrank.llm._shared import materialize
 from lumenrank.llm.queries import MIX_WEIGHTS, RANKS, vocabulary
 from lumenrank.sources.tables import read_table
 
-#: Texts whose five-word shingles are alike at 0.8 or more are within so many bits of one another
-#: in fingerprints of their different word pairs; see the README for how many are, and how few others.
+#: Texts within so many bits of one another in fingerprints of their different word pairs are copies,
+#: and so are those whose sets of five-word shingles have the Jaccard similarity ALIKE or more.
+ALIKE = 0.8
 NEAR = {"shingle_words": 2, "radius": 6, "distinct": True, "ignore": simhash.PUNCTUATION}
 
 
@@ -26,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = simhash.near_duplicates(docs, **NEAR)
+    linked = simhash.near_duplicates(docs, **NEAR, least=ALIKE)
     dropped = linked.where("id <> component_id").select(F.col("id").alias("doc_id"))
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import overlap
 from ._graph import components
 from ._shared import materialize
 from ._words import texts_of
@@ -161,11 +162,39 @@ def _ball(fp):
     return F.transform(flips, lambda m: fp.bitwiseXOR(m))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 2, distinct: bool = False, ignore: bytes = b"") -> DataFrame:
-    """(id, fp, component_id): component_id is the smallest id reachable over links."""
-    prints = materialize(with_fingerprint(docs, id_col, text_col, shingle_words, distinct, ignore), "simhash-prints")
+def with_sketch(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, distinct: bool, ignore: bytes) -> DataFrame:
+    """``with_fingerprint`` with what finds overlapping texts: the hash and size of the set of shingles, and its band keys."""
+    kind = docs.schema[id_col].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512)):
+            texts = texts_of(b.column(1))
+            fps = [fingerprint(t, shingle_words, distinct, ignore) for t in texts]
+            of_set = [(overlap.set_hash(s), len(s), overlap.band_keys(s)) for s in overlap.shingle_sets(texts, ignore)]
+            columns = [pa.array([x[0] for x in of_set], pa.int64()), pa.array([x[1] for x in of_set], pa.int32()), pa.array([x[2] for x in of_set], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), *columns], ["id", "fp", "s", "n", "keys"])
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind.simpleString()}, fp long, s long, n int, keys array<long>")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 2, distinct: bool = False, ignore: bytes = b"", least: float | None = None) -> DataFrame:
+    """(id, fp, component_id): component_id is the smallest id reachable over links.
+
+    With ``least``, texts whose sets of five-word shingles have that Jaccard similarity are linked
+    as well, however far their fingerprints are apart; fingerprints must be of ``distinct`` shingles
+    of five words or fewer, which texts of one set have in common.
+    """
+    if least is None:
+        prints = materialize(with_fingerprint(docs, id_col, text_col, shingle_words, distinct, ignore), "simhash-prints")
+    elif not distinct or shingle_words > overlap.WORDS:
+        raise ValueError("texts of one set of shingles must have one fingerprint")
+    else:
+        prints = materialize(with_sketch(docs, id_col, text_col, shingle_words, distinct, ignore), "simhash-prints")
     classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-classes")
-    roots = components(links(classes.select("fp"), radius))
+    near = links(classes.select("fp"), radius)
+    if least is not None:
+        near = overlap.links(docs, prints, materialize(near, "simhash-links"), least, id_col, text_col, ignore)
+    roots = components(near)
     named = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_print = materialize(named.join(smallest, "root").select("fp", "component_id"), "simhash-components")
