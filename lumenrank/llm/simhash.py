@@ -21,6 +21,7 @@ any other; repeated rows share a fingerprint and so a component; an empty table
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,9 +80,19 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def masks(radius: int, bits: int = BITS) -> list[int]:
-    """The covering masks as unsigned numbers; positions are dealt evenly over the non-zero vectors."""
+    """The covering masks as unsigned numbers, each of about half of the positions.
+
+    Positions are dealt evenly over the non-zero vectors. Where there are fewer positions than vectors, a part in order
+    would leave a mask of one bit; then they are drawn, but for radius 6: the vectors of odd first place make a
+    Reed-Muller code, whose masks have 32 bits and one all 64.
+    """
     space = 1 << (radius + 1)
-    vector = [1 + i % (space - 1) for i in range(bits)]
+    if bits >= space - 1:
+        vector = [1 + i % (space - 1) for i in range(bits)]
+    elif 2 * bits == space:
+        vector = list(range(bits, space))
+    else:
+        vector = random.Random(SEED).sample(range(1, space), bits)
     return [sum(1 << i for i in range(bits) if bin(vector[i] & v).count("1") % 2) for v in range(1, space)]
 
 

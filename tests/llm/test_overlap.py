@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from lumenrank.llm import overlap, simhash
 
@@ -63,3 +65,12 @@ def test_sets_leave_case_and_punctuation_out():
     assert [len(s) for s in sets] == [5, 4, 1, 1, 1, 1]
     assert set(sets[1].tolist()) < set(sets[0].tolist())
     assert len({overlap.set_hash(s) for s in sets}) == 5 and overlap.set_hash(sets[3]) == overlap.set_hash(sets[4])
+
+
+@pytest.mark.parametrize("radius", [2, 5, 6, 7, 8])
+def test_every_mask_keeps_enough_bits(radius):
+    made, draw = simhash.masks(radius), random.Random(radius)
+    assert min(m.bit_count() for m in made) >= (32 if radius in (2, 6) else 16)
+    for _ in range(2000):
+        diff = sum(1 << b for b in draw.sample(range(64), radius))
+        assert any(not m & diff for m in made)
