@@ -75,14 +75,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, ignore
 
 
 def _decided(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(u, v): fingerprints of the pairs (s, fp, other, other_fp) that are alike."""
+    """(u, v): roots of the pairs (s, root, other, other_root) that are alike."""
     with_sets = pairs.join(sets, "s").join(sets.select(F.col("s").alias("other"), F.col("hashes").alias("other_hashes")), "other")
     both, total = F.size(F.array_intersect("hashes", "other_hashes")), F.size("hashes") + F.size("other_hashes")
-    return with_sets.where(both + 1e-9 >= F.lit(least) * (total - both)).select(F.col("fp").alias("u"), F.col("other_fp").alias("v")).distinct()
+    return with_sets.where(both + 1e-9 >= F.lit(least) * (total - both)).select(F.col("root").alias("u"), F.col("other_root").alias("v")).distinct()
 
 
 def links(docs: DataFrame, prints: DataFrame, known: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", ignore: bytes = b"") -> DataFrame:
-    """(u, v): ``known`` links of fingerprints, and those of texts alike at ``least`` or more.
+    """(u, v): links whose components are those of ``known`` and of texts alike at ``least`` or more.
 
     ``prints`` is (id, fp, s, n, keys): a text's fingerprint, set hash, set size and band keys.
     Texts of one set must have one fingerprint.
@@ -93,18 +93,19 @@ def links(docs: DataFrame, prints: DataFrame, known: DataFrame, least: float, id
     members = materialize(met.join(shared, "key", "left_semi"), "overlap-members")
     near = (F.least("n", "other_n") + 1e-9) >= F.greatest("n", "other_n") * F.lit(least)
 
-    def labelled(edges: DataFrame) -> DataFrame:
-        roots = components(edges).select(F.col("node").alias("fp"), "root")
-        out = members.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        split = out.groupBy("key").agg(F.min(F.struct("root", "s", "fp", "n")).alias("low"), F.max("root").alias("top")).where("low.root < top")
-        return materialize(out.join(split.select("key", "low"), "key"), "overlap-split")
+    def labelled(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """One edge a node to its root, and the members of keys that have several roots."""
+        roots = materialize(components(edges), "overlap-roots")
+        out = members.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        split = out.groupBy("key").agg(F.min(F.struct("root", "s", "n")).alias("low"), F.max("root").alias("top")).where("low.root < top")
+        return roots.select(F.col("node").alias("u"), F.col("root").alias("v")), materialize(out.join(split.select("key", "low"), "key"), "overlap-split")
 
-    split = labelled(known)
+    now, split = labelled(known)
     sets = _sets(docs, prints.join(split.select("s").distinct(), "s", "left_semi"), id_col, text_col, ignore)
-    stars = split.where("root <> low.root").select("s", "fp", "n", F.col("low.s").alias("other"), F.col("low.fp").alias("other_fp"), F.col("low.n").alias("other_n")).where(near)
-    more = materialize(known.select("u", "v").unionByName(_decided(stars.select("s", "fp", "other", "other_fp").distinct(), sets, least)), "overlap-stars")
-    rest = labelled(more).select("key", "s", "fp", "n", "root")
-    renamed = rest.select("key", *[F.col(c).alias(f"other_{c}") for c in ("s", "fp", "n", "root")])
+    stars = split.where("root <> low.root").select("s", "n", "root", F.col("low.s").alias("other"), F.col("low.n").alias("other_n"), F.col("low.root").alias("other_root")).where(near)
+    now, rest = labelled(now.unionByName(_decided(stars.select("s", "root", "other", "other_root").distinct(), sets, least)))
+    rest = rest.select("key", "s", "n", "root")
+    renamed = rest.select("key", *[F.col(c).alias(f"other_{c}") for c in ("s", "n", "root")])
     pairs = rest.join(renamed, "key").where("root <> other_root and s < other_s").where(near)
-    found = _decided(pairs.select("s", "fp", F.col("other_s").alias("other"), "other_fp").distinct(), sets, least)
-    return materialize(more.unionByName(found), "overlap-links")
+    found = _decided(pairs.select("s", "root", F.col("other_s").alias("other"), "other_root").distinct(), sets, least)
+    return materialize(now.unionByName(found), "overlap-links")
