@@ -51,7 +51,7 @@ def template_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def best_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    return rows.select("conv_id", "turn", briefs.best_excerpt(F.col("text"), T.keyword_terms(F.right("text", F.lit(60)))).alias("excerpt"))
+    return rows.select("conv_id", "turn", briefs.best_excerpt(F.col("text"), T.keyword_terms(F.col("text"))).alias("excerpt"))
 
 
 def plan_details(spark: SparkSession, sf_dir: str) -> DataFrame:

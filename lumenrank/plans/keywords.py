@@ -81,7 +81,7 @@ def question_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions deduplicated by key with the best source kept at the first place; stage and
     relevance from judgments where there are any."""
     asked = read_table(spark, sf_dir, "conversations").where("role = 'user'").select(
-        F.col("conv_id"), F.left(T.squash(F.col("text")), F.lit(60)).alias("text"), (F.col("turn") % 5).cast("int").alias("rank"), (F.col("conv_id") * 100 + F.col("turn")).alias("ord")
+        F.col("conv_id"), T.squash(F.col("text")).alias("text"), (F.col("turn") % 5).cast("int").alias("rank"), (F.col("conv_id") * 100 + F.col("turn")).alias("ord")
     )
     keyed = asked.where("length(text) between 10 and 200").withColumn("key", T.keyword_key(F.col("text")))
     one = keyed.groupBy("key").agg(F.min_by(F.struct("text", "rank", "conv_id"), F.struct("rank", "ord")).alias("q"), F.min("ord").alias("ord"))

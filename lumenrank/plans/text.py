@@ -46,7 +46,7 @@ def question_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return _docs(spark, sf_dir).select("doc", F.md5(T.squash(text)).alias("squashed"), F.md5(T.fold_spellings(text)).alias("folded"), T.clip(text, 80).alias("clipped"), T.file_slug(F.left(text, F.lit(200))).alias("slug"), F.md5(T.loose_latin(F.left(text, F.lit(500)))).alias("loose"))
+    return _docs(spark, sf_dir).select("doc", F.md5(T.squash(text)).alias("squashed"), F.md5(T.fold_spellings(text)).alias("folded"), T.clip(text, 80).alias("clipped"), T.file_slug(text).alias("slug"), F.md5(T.loose_latin(text)).alias("loose"))
 
 
 def phrase_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,12 +59,12 @@ def prune_subsumed_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cluster_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First lines of documents as headings, clustered by source and language."""
-    rows = _docs(spark, sf_dir).select(F.concat_ws("/", "source", "lang").alias("scope"), F.col("doc").alias("ordinal"), "doc", F.left(F.substring_index("text", "\n", 1), F.lit(80)).alias("heading"))
+    rows = _docs(spark, sf_dir).select(F.concat_ws("/", "source", "lang").alias("scope"), F.col("doc").alias("ordinal"), "doc", F.substring_index("text", "\n", 1).alias("heading"))
     return phrases.cluster_headings(rows)
 
 
 def cluster_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") % 50).alias("scope"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), F.left("text", F.lit(60)).alias("text"))
+    rows = read_table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") % 50).alias("scope"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), "text")
     return phrases.cluster_questions(rows)
 
 
