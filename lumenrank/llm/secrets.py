@@ -2,7 +2,8 @@
 
 One model is trained on random strings, the other on ordinary identifiers, both from labelled
 samples. A run of token characters is a secret if the first explains it better by more than a
-margin. Runs of letters alone are words in some language and are left to the patterns.
+margin, as a whole or in a long part of it between separators. Runs of letters of one case may be words in some
+language and are left to the patterns, as are numbers of fewer than 20 digits.
 
 Rows: null text counts as empty and has no spans; spans are in code points, end exclusive,
 ordered by start, then by kind in the order of KINDS; equal texts have equal spans.
@@ -31,7 +32,10 @@ HEX = re.compile(rb"[0-9a-f]+")
 NAMES = (b"passw", b"secret", b"token", b"api")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-RUN = 20  # characters of a run that the models look at, at least: what ACCESS and HEX need fits in
+RUN = 12  # characters of a run that the models look at, at least; what ACCESS and HEX need is longer
+#: Letters and digits, or a small letter before a capital: letters of one case may be a word of any language.
+_MIXED = re.compile(rb"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[0-9]{20}|[a-z][A-Z]")
+PART = 20  # characters between separators that are scored alone: a key may stand behind a path or a name
 _ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.full(256, -1, np.int64)
 _CODE[list(_ALPHABET)] = np.arange(len(_ALPHABET))
@@ -66,7 +70,7 @@ def identifiers(n: int = 4000, seed: int = 12) -> list[str]:
     out = []
     for _ in range(n):
         words = [draw.choice(names) for _ in range(draw.randint(2, 5))]
-        joined = draw.choice(["_", "-", "/", "", "="]).join(w.capitalize() if draw.random() < 0.3 else w for w in words)
+        joined = draw.choice(["_", "-", "/", "", "="]).join(draw.choice([w.capitalize, w.upper, w.__str__, w.__str__])() for w in words)
         out.append(joined + (draw.choice(["", "", "1", "2", "10", "_v2", "2024", "-64", "/01", "00"])))
     return out
 
@@ -74,32 +78,33 @@ def identifiers(n: int = 4000, seed: int = 12) -> list[str]:
 class Markov:
     """Log-likelihood ratio of random against identifier for the next character, given ``order`` before it."""
 
-    def __init__(self, positives: Iterable[str], negatives: Iterable[str], order: int = 2, smooth: float = 0.2):
+    def __init__(self, positives: Iterable[str], negatives: Iterable[str], order: int = 2, smooth: float = 5.0):
         self.order, size = order, len(_ALPHABET)
         tables = []
         for sample in (positives, negatives):
-            counts = np.full((size**order, size), smooth)
-            for s in sample:
-                codes = _CODE[np.frombuffer(s.encode(), np.uint8)]
-                codes = codes[codes >= 0]
-                if len(codes) > order:
-                    np.add.at(counts, (self._context(codes), codes[order:]), 1)
-            # back off to the frequencies of single characters, so an unseen context says little
-            single = counts.sum(0) / counts.sum()
-            counts += 2 * single
-            tables.append(np.log(counts / counts.sum(1, keepdims=True)))
+            table = np.full((1, size), 1 / size)
+            for n in range(order + 1):  # contexts of n characters back off to those of n - 1
+                counts = np.zeros((size**n, size))
+                for x in sample:
+                    codes = _CODE[np.frombuffer(x.encode(), np.uint8)]
+                    codes = codes[codes >= 0]
+                    if len(codes) > n:
+                        np.add.at(counts, (self._context(codes, n), codes[n:]), 1)
+                shorter = np.tile(table, (len(counts) // len(table), 1))  # row c of n characters ends in row c % size**(n-1)
+                table = (counts + smooth * shorter) / (counts.sum(1, keepdims=True) + smooth)
+            tables.append(np.log(table))
         self.ratio = (tables[0] - tables[1]).astype(np.float32)
 
-    def _context(self, codes: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(codes) - self.order, np.int64)
-        for i in range(self.order):
-            at = at * len(_ALPHABET) + codes[i : len(codes) - self.order + i]
+    def _context(self, codes: np.ndarray, order: int) -> np.ndarray:
+        at = np.zeros(len(codes) - order, np.int64)
+        for i in range(order):
+            at = at * len(_ALPHABET) + codes[i : len(codes) - order + i]
         return at
 
     def score(self, run: bytes) -> float:
         """Sum over the run, in nats."""
         codes = _CODE[np.frombuffer(run, np.uint8)]
-        return float(self.ratio[self._context(codes), codes[self.order :]].sum())
+        return float(self.ratio[self._context(codes, self.order), codes[self.order :]].sum())
 
 
 def trained() -> Markov:
@@ -129,9 +134,10 @@ def scan(data: bytes, model: Markov, margin: float = 8.0) -> list[tuple[str, int
     base = sorted((s, e) for s, _, e in found)
     for start, end in runs:
         run = data[start:end].strip(b"=-/+_")
-        if len(run) < RUN or run.isalpha() or not any(48 <= c < 58 for c in run):
+        if len(run) < RUN or not _MIXED.search(run):
             continue
-        if model.score(run) > margin and not any(s < end and start < e for s, e in base):
+        parts = [x for x in re.split(rb"[=/_-]", run) if PART <= len(x) < len(run) and _MIXED.search(x)]
+        if any(model.score(x) > margin for x in (run, *parts)) and not any(s < end and start < e for s, e in base):
             at = data.index(run, start)
             found.append((at, 3, at + len(run)))
     if not found:
