@@ -95,7 +95,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def fingerprints(texts: list[bytes], sampler: Sampler) -> list[np.ndarray]:
     out = []
     for lo, hi, h, bounds in hashed_words(texts):
-        out += [sampler.fingerprint(h[bounds[i] : bounds[i + 1]]) for i in range(hi - lo)]
+        out += [sampler.fingerprint(h[0, bounds[i] : bounds[i + 1]]) for i in range(hi - lo)]
     return out
 
 

@@ -43,7 +43,7 @@ def _shingles(h: np.ndarray, size: int) -> np.ndarray:
 def shingle_sets(texts: list[bytes], ignore: bytes = b"", size: int = WORDS) -> Iterator[np.ndarray]:
     for i, j, h, bounds in hashed_words([t.lower().translate(None, ignore) for t in texts]):
         for k in range(j - i):
-            yield _shingles(h[bounds[k] : bounds[k + 1]], size)
+            yield _shingles(h[0, bounds[k] : bounds[k + 1]], size)
 
 
 def set_hash(s: np.ndarray) -> int:
