@@ -46,21 +46,26 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def listed(values: list[int | None]) -> Column:
+    """A constant array of longs in one expression, however many there are."""
+    return F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",").try_cast("array<bigint>")
+
+
 def partition_keys(spark: SparkSession, n: int) -> list[int]:
     """For each of n shuffle partitions an int that Spark's hash partitioning puts there,
     so that n ranges go to n different tasks."""
-    ids = spark.range(n * 24).select(F.col("id").cast("int").alias("k"))
+    ids = spark.range(n * 24).select(F.col("id").alias("k"))
     rows = ids.groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect()
     found = {r.p: r.k for r in rows}
     spare = iter(range(n * 24, n * 48))
-    return [found.get(p, None) if p in found else next(spare) for p in range(n)]
+    return [found[p] if p in found else next(spare) for p in range(n)]
 
 
 def range_bounds(df: DataFrame, col: str, n: int) -> list[int]:
     """At most n-1 ascending cut points of an integer column, from a scan of that column alone."""
     if n <= 1:
         return []
-    cuts = df.select(col).stat.approxQuantile(col, [i / n for i in range(1, n)], 1 / (8 * n))
+    cuts = df.select(col).stat.approxQuantile(col, [i / n for i in range(1, n)], 1 / (4 * n))
     return sorted({int(c) for c in cuts})
 
 
@@ -68,6 +73,9 @@ def range_of(col: Column, bounds: list[int]) -> Column:
     """Index of the range of a value: the number of cut points at or below it. Null: 0."""
     if not bounds:
         return F.lit(0)
-    cuts = F.array(*[F.lit(b).cast("long") for b in bounds])
-    # width_bucket-like search over a constant array, kept inside generated code
-    return F.coalesce(F.size(F.filter(cuts, lambda c: c <= col)), F.lit(0))
+    size = 1 << (len(bounds)).bit_length()
+    cuts = listed(bounds)
+    # binary search: the cut points below, by halving steps
+    steps = F.array(*[F.lit(size >> k) for k in range(1, size.bit_length())])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.try_element_at(cuts, at + step) <= col), at + step).otherwise(at))
+    return F.coalesce(found, F.lit(0))

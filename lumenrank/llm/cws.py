@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import partition_keys, range_bounds, range_of, width
+from ._shared import listed, partition_keys, range_bounds, range_of, width
 from ._words import hashed_words, mix64
 
 SAMPLES = 64
@@ -128,13 +128,13 @@ def in_order_with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
     first = {r.part: (None if r.nulls else r.low) for r in named.groupBy("part").agg(F.min("id").alias("low"), F.count_if(F.col("id").isNull()).alias("nulls")).collect()}
     order = sorted(first)
     before = {p: order[i - 1] for i, p in enumerate(order)}
-    edge = F.lit(None).cast("int")
-    for p in order:
-        edge = F.when((F.col("part") == p) & F.col("id").eqNullSafe(F.lit(first[p])), F.lit(before[p])).otherwise(edge)
+    ranges = range(len(bounds) + 1)
+    at = (F.col("part") + 1).cast("int")
+    starts = F.col("id").eqNullSafe(F.element_at(listed([first.get(p) for p in ranges]), at))
+    edge = F.when(starts, F.element_at(listed([before.get(p) for p in ranges]), at).cast("int"))
     places = F.array_compact(F.array(F.struct(F.col("part"), F.lit(0).alias("halo")), F.when(F.col("edge").isNotNull(), F.struct(F.col("edge").alias("part"), F.lit(1).alias("halo")))))
-    keys = partition_keys(spark, n)
     placed = named.withColumn("edge", edge).withColumn("place", F.explode(places)).select("place.part", "place.halo", "id", "text")
-    key = F.element_at(F.array(*[F.lit(k) for k in keys]), F.col("part") + 1)
+    key = F.element_at(listed(partition_keys(spark, n)), (F.col("part") + 1).cast("int"))
     return placed.withColumn("key", key).repartition(n, "key").sortWithinPartitions("part", "halo", "id", "text").select("part", "halo", "id", "text")
 
 

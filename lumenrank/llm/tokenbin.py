@@ -8,7 +8,12 @@ The documents are dealt to ranges of their ids; a range becomes one pair of file
 
 and ``manifest.json`` names them in order with the first id and document of each, which are
 prefix sums over the parts. A part is written under another name first and renamed when whole,
-so a retried task leaves nothing half written.
+so a retried task leaves nothing half written. There are as many parts as shuffle partitions, and
+more where the input is larger than PART_BYTES for each. Reading maps the files into memory where
+the store is a local one, and takes ranges of at most READ_BYTES (or one document) elsewhere.
+
+Strings of special tokens in a text become those tokens, as the library has it by default;
+``plain_specials`` takes them for ordinary text.
 
 Rows: ascending id, null id first, rows repeating an id by their text; null text is empty and
 still has the end id; an empty table gives a manifest without parts.
@@ -21,7 +26,7 @@ import os
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -30,11 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._pieces import PieceEncoder
-from ._shared import materialize, new_path, partition_keys, qualified, range_bounds, range_of, width
+from ._shared import listed, materialize, new_path, partition_keys, qualified, range_bounds, range_of, width
 from .bpe import _per_process, _slices
 
 
 _NULL = -(1 << 63)  # a null id in the .idx file
+PART_BYTES, READ_BYTES = 1 << 28, 1 << 26
 
 
 def _store(uri: str):
@@ -46,18 +52,27 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def _mapped(store, path: str) -> np.ndarray:
-    """Bytes of a file: mapped if the store is a local one, else read as a whole."""
-    if store.type_name == "local":
-        if not os.path.getsize(path):
-            return np.zeros(0, np.uint8)
-        return np.memmap(path, np.uint8, "r")
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), np.uint8)
+class _File:
+    """Ranges of a file's bytes: of a map if the store is a local one, else read as asked for."""
+
+    def __init__(self, store, path: str):
+        self.map, self.file = None, None
+        if store.type_name != "local":
+            self.file = store.open_input_file(path)
+        else:
+            self.map = np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
+
+    def get(self, kind: str, start: int, stop: int) -> np.ndarray:
+        """Items start to stop of a file of ``kind``."""
+        size = np.dtype(kind).itemsize
+        if self.map is not None:
+            return self.map[start * size : stop * size].view(kind)
+        return np.frombuffer(self.file.read_at((stop - start) * size, start * size), kind)
 
 
 def write_token_files(
-    docs: DataFrame, tokenizer_json: str, pattern: str, folder: str | None = None, end_id: int = 0, id_bytes: int | None = None, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_json: str, pattern: str, folder: str | None = None, end_id: int = 0, id_bytes: int | None = None, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text",
+    plain_specials: bool = False,
 ) -> str:
     """Encode with the tokenizers library and write the files; returns their folder.
 
@@ -71,17 +86,16 @@ def write_token_files(
         id_bytes = 2 if max(Tokenizer.from_str(tokenizer_json).get_vocab().values()) < 1 << 16 else 4
     spark = docs.sparkSession
     folder = qualified(spark, folder or new_path(spark, "tokens"))
-    n = parts or width(spark)
+    n = parts or max(width(spark), -(-_bytes_of(docs) // PART_BYTES))
     bounds = range_bounds(docs.where(F.col(id_col).isNotNull()), id_col, n)
-    keys = partition_keys(spark, n)
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("part", range_of(F.col("id"), bounds))
-    key_of = F.element_at(F.array(*[F.lit(k) for k in keys]), F.col("part") + 1)
+    key_of = F.element_at(listed(partition_keys(spark, n)), (F.col("part") + 1).cast("int"))
     dealt = named.withColumn("key", key_of).repartition(n, "key").sortWithinPartitions("part", "id", "text").select("part", "id", "text")
     shared = spark.sparkContext.broadcast(tokenizer_json)
     kind = f"<u{id_bytes}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _per_process(("tokenizers", len(shared.value)), lambda: PieceEncoder(pattern, _library(shared.value), 500_000, 400_000))
+        encode = _per_process(("tokenizers", len(shared.value), plain_specials), lambda: _library(shared.value, pattern, plain_specials))
         end = np.array([end_id], "<u4").tobytes()
         store, base = _store(folder)
         store.create_dir(base, recursive=True)
@@ -104,7 +118,7 @@ def write_token_files(
                             done.append(close())
                         part, ids, offsets, spare = p, [], [0], f"{base}/.{uuid.uuid4().hex}"
                         out = store.open_output_stream(f"{spare}.ids")
-                    data = encoder.encode(t or "") + end
+                    data = encode(t or "") + end
                     ids.append(_NULL if i is None else i)
                     offsets.append(offsets[-1] + len(data) // 4)
                     out.write(data if id_bytes == 4 else np.frombuffer(data, "<u4").astype(kind).tobytes())
@@ -115,24 +129,39 @@ def write_token_files(
     # one row a part: what the driver gets grows with the parts, not with the documents
     written = sorted(tuple(r) for r in materialize(dealt.mapInArrow(run, "part long, docs long, ids long"), "token-parts").collect())
     first_doc = first_id = 0
-    listed = []
+    names = []
     for part, n_docs, n_ids in written:
-        listed.append({"part": part, "docs": n_docs, "ids": n_ids, "first_doc": first_doc, "first_id": first_id})
+        names.append({"part": part, "docs": n_docs, "ids": n_ids, "first_doc": first_doc, "first_id": first_id})
         first_doc, first_id = first_doc + n_docs, first_id + n_ids
     store, base = _store(folder)
     store.create_dir(base, recursive=True)
     with store.open_output_stream(f"{base}/manifest.json") as f:
-        f.write(json.dumps({"id_bytes": id_bytes, "docs": first_doc, "ids": first_id, "parts": listed}).encode())
+        f.write(json.dumps({"id_bytes": id_bytes, "docs": first_doc, "ids": first_id, "parts": names}).encode())
     return folder
 
 
-def _library(tokenizer_json: str):
+def _bytes_of(df: DataFrame) -> int:
+    """What Catalyst knows of the table's size from its files, without a scan; 0 if it knows nothing."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 56 else 0
+
+
+def _library(tokenizer_json: str, pattern: str, plain_specials: bool) -> Callable[[str], bytes]:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_str(tokenizer_json)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return lambda words: [array("I", x.ids).tobytes() for x in made.encode_batch_fast(words, add_special_tokens=False)]
+    made.encode_special_tokens = plain_specials
+    pieces = PieceEncoder(pattern, lambda words: [array("I", x.ids).tobytes() for x in made.encode_batch_fast(words, add_special_tokens=False)], 500_000, 400_000)
+    added = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens") or []]
+
+    def encode(text: str) -> bytes:
+        # such tokens are found in the whole text before it is cut into words
+        if any(x in text for x in added):
+            return array("I", made.encode(text, add_special_tokens=False).ids).tobytes()
+        return pieces.encode(text)
+
+    return encode
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,25 +176,29 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     kind = f"<u{manifest['id_bytes']}"
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     rows = [(p["part"], p["first_id"]) for p in manifest["parts"]]
-    listed = spark.createDataFrame(rows, "part long, first_id long").repartition(max(1, min(len(rows), 4 * width(spark))))
+    parts = spark.createDataFrame(rows, "part long, first_id long").repartition(max(1, min(len(rows), 4 * width(spark))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _store(folder)
         for b in batches:
             for part, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                index = _mapped(store, f"{base}/part-{part:05d}.idx").view("<i8")
-                n = int(index[0])
-                names, offsets = index[1 : n + 1], index[n + 1 :]
-                ids = _mapped(store, f"{base}/part-{part:05d}.ids").view(kind)
+                index, file = _File(store, f"{base}/part-{part:05d}.idx"), _File(store, f"{base}/part-{part:05d}.ids")
+                n = int(index.get("<i8", 0, 1)[0])
                 for at in range(0, n, 10_000):
                     to = min(at + 10_000, n)
-                    crcs = [zlib.crc32(ids[offsets[i] : offsets[i + 1]].astype("<u4").tobytes()) for i in range(at, to)]
+                    names, offsets = index.get("<i8", 1 + at, 1 + to), index.get("<i8", 1 + n + at, 2 + n + to)
+                    crcs = []
+                    while len(crcs) < to - at:
+                        lo = len(crcs)
+                        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + READ_BYTES // 4, "right")) - 1)
+                        ids = file.get(kind, int(offsets[lo]), int(offsets[hi])).astype("<u4")
+                        crcs += [zlib.crc32(ids[offsets[i] - offsets[lo] : offsets[i + 1] - offsets[lo]]) for i in range(lo, hi)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([None if x == _NULL else x for x in names[at:to].tolist()], pa.int64()), pa.array(offsets[at:to] + first), pa.array(np.diff(offsets[at : to + 1])), pa.array(crcs, pa.int64())],
+                        [pa.array([None if x == _NULL else x for x in names.tolist()], pa.int64()), pa.array(offsets[:-1] + first), pa.array(np.diff(offsets)), pa.array(crcs, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    return listed.mapInArrow(run, schema)
+    return parts.mapInArrow(run, schema)
 
 
 def read_ids(folder: str, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,6 +206,7 @@ def read_ids(folder: str, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     store, base = _store(folder)
     with store.open_input_stream(f"{base}/manifest.json") as f:
         kind = f"<u{json.loads(f.read())['id_bytes']}"
-    index = _mapped(store, f"{base}/part-{part:05d}.idx").view("<i8")
-    n = int(index[0])
-    return index[1 : n + 1], index[n + 1 :], _mapped(store, f"{base}/part-{part:05d}.ids").view(kind)
+    index, file = _File(store, f"{base}/part-{part:05d}.idx"), _File(store, f"{base}/part-{part:05d}.ids")
+    n = int(index.get("<i8", 0, 1)[0])
+    names, offsets = index.get("<i8", 1, n + 1), index.get("<i8", n + 1, 2 * n + 2)
+    return names, offsets, file.get(kind, 0, int(offsets[-1]))
