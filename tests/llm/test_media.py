@@ -78,3 +78,41 @@ def test_dataframe_keeps_columns_and_nulls(spark):
     df = spark.createDataFrame([(1, bytearray(png()), "a/b"), (2, None, None), (3, bytearray(b""), None)], "k int, media binary, declared string")
     rows = {r.k: r.sniffed for r in media.sniff_media(df).collect()}
     assert rows[1].type == "image/png" and rows[2] is None and rows[3].type is None and not rows[3].confirmed
+
+
+#: Units that repeated over a megabyte make each hit look at the rest, and what ends the object.
+CHAINS = [
+    *((m, b"") for m, _, _ in media.MAGIC), (b"%PDF-", b"%%EOF"), (b"%PDF-", b"startxref"), (b"startxref%PDF-", b"%%EOF"), (b"PK\3\4", b"PK\5\6"), (b"PK\3\4", b"PK\5\6" + b"\0" * 18),
+    (b"\0\0\0\x08ftyp", b""), (b"OggS" + b"\0" * 23, b""), (b"OggS" + b"\0" * 23, b"OggS" + b"\0" * 22 + b"\5"), (b"GIF89aGGGG\0!!!", b""), (b"GIF89a\1\0\1\0\0\0\0!\xf9\1", b""),
+    (b"\xff\xd8\xff\xe0\0\2", b""), (b"\xff\xd8\xff\xda\0\2", b""), (b"\xff\xd8\xff\xda\0\2\xff\0", b""), (b"\xff\xd8\xff\xc0\0\4", b"\xff\xda"), (b"fLaC\0\0\0\x22" + b"\0" * 34, b""), (b"RIFF\x20\0\0\0WAVEabcd", b""),
+    (b"\x89PNG\r\n\x1a\n\0\0\0\x0dIHDR" + b"\0" * 17, b""), (b"\x1f\x8b\x08\0", b""), (b"\x1f\x8b\x08\x08", b"\0" + b"\1\xff\xff\0\0" + b"x" * 65535), (b"BM" + b"\0" * 8, b""),
+]
+
+
+@pytest.mark.parametrize("unit,end", CHAINS)
+def test_a_megabyte_of_magic_takes_linear_time(unit, end, search):
+    import time
+
+    def took(n):
+        data = unit * (n // len(unit)) + end
+        began = time.process_time()
+        media.sniff(data, None, search)
+        return time.process_time() - began
+
+    assert took(1 << 20) < 1.0
+    assert took(1 << 22) < 8.0
+
+
+def test_marks_change_no_result(search):
+    """Each hit judged with what earlier hits left behind, and anew."""
+    import random
+
+    draw = random.Random(3)
+    pieces = [d for _, d in CASES] + [d[: len(d) // 2] for _, d in CASES] + [u for u, _ in CHAINS] + [e for _, e in CHAINS] + [b"\0", b"some text", b"\xff"]
+    for _ in range(400):
+        data = b"".join(draw.choices(pieces, k=draw.randrange(1, 25)))
+        kept = media.Marks(data)
+        for end, (size, place, kind) in search.iter(data.decode("latin-1")):
+            at = end + 1 - size - place
+            if at >= 0:
+                assert media.CHECKS[kind](data, at, kept) == media.CHECKS[kind](data, at, media.Marks(data)), (kind, at)
