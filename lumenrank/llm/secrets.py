@@ -11,7 +11,7 @@ ordered by start, then by kind in the order of KINDS; equal texts have equal spa
 
 from __future__ import annotations
 
-import builtins
+import functools
 import random
 import re
 from collections.abc import Iterable, Iterator
@@ -49,29 +49,30 @@ def random_strings(n: int = 4000, seed: int = 11) -> list[str]:
     return ["".join(draw.choices(draw.choice(sets), k=draw.randint(20, 64))) for _ in range(n)]
 
 
-def identifiers(n: int = 4000, seed: int = 12) -> list[str]:
-    """Labelled samples: names of the standard library, joined as in code, paths and file names."""
-    import collections
-    import json
-    import logging
-    import os
-    import shutil
-    import socket
-    import string
-    import subprocess
-    import threading
-    import typing
-    import urllib.parse
-
-    found: set[str] = set()
-    for holder in (builtins, collections, json, logging, os, re, shutil, socket, string, subprocess, threading, typing, urllib.parse, random):
-        found.update(x.strip("_") for x in dir(holder))
-    names, draw = sorted(x for x in found if len(x) > 2), random.Random(seed)
-    out = []
+#: Words that names in code, paths and addresses are made of.
+NAME_WORDS = """
+about action admin album amount archive article author balance batch billing board bottom browser build byte calendar cancel
+catalog change char chart choice cleanup client cloud color comment compare config contact context copy create cycle database
+decode delivery design dialog dict digit dir directory display domain driver edit empty engine enum env errno error excluded
+exec execute export factory fetch filter finish format function general gnu graph handler hash header help host http import
+initial install int internal io iterator journal json keyword label layout library limit line loader lock log machine map master
+maximum memory message middle mode monitor move mutable name native none normal null object open order os owner panel parse path
+pending phone pipe player policy post price priority product project provider publish quantity queue quick rank record regex
+region remote repeat request response review rotate run schedule score scroll select service setup share signal slice socket
+source sql stack start stat station stock str stream structure submit switch sync sys system task tcp terminal test theme time
+tool track transform try tuple type unicode upload url uuid value var verify view void volume watch weak weight window write xml
+yield zip
+""".split()
+
+
+def identifiers(n: int = 8000, seed: int = 12) -> list[str]:
+    """Labelled samples: words joined as in code, paths, addresses and file names."""
+    draw, out = random.Random(seed), []
     for _ in range(n):
-        words = [draw.choice(names) for _ in range(draw.randint(2, 5))]
-        joined = draw.choice(["_", "-", "/", "", "="]).join(draw.choice([w.capitalize, w.upper, w.__str__, w.__str__])() for w in words)
-        out.append(joined + (draw.choice(["", "", "1", "2", "10", "_v2", "2024", "-64", "/01", "00"])))
+        words = [draw.choice(NAME_WORDS) + draw.choice(["", "", "", "s", "ed", "ing"]) for _ in range(draw.randint(1, 5))]
+        cased = draw.choice([str.capitalize, str.upper, str.__str__, str.__str__])
+        joined = draw.choice(["_", "-", "/", "", "="]).join(cased(w) for w in words)
+        out.append(joined + draw.choice(["", "", "1", "2", "10", "_v2", "2024", "-64", "/01", "00"]))
     return out
 
 
@@ -107,7 +108,9 @@ class Markov:
         return float(self.ratio[self._context(codes, self.order), codes[self.order :]].sum())
 
 
+@functools.cache
 def trained() -> Markov:
+    """The two models, trained once in a process from samples that are the same everywhere."""
     return Markov(random_strings(), identifiers())
 
 

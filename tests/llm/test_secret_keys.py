@@ -40,3 +40,21 @@ def test_unseen_names_are_left_alone(model):
     draw = random.Random(2)
     made = [draw.choice("_-/") .join(draw.choices(names, k=draw.randint(2, 5))) + draw.choice(["", "1", "_v2", "2024"]) for _ in range(2000)]
     assert sum(bool(secrets.scan(x.encode(), model)) for x in made) <= 0.05 * len(made)
+
+
+def test_paths_addresses_and_long_words_are_left_alone(model):
+    draw = random.Random(7)
+    words = "shop article winter garden archive photo travel recipe street market music health science window letter".split()
+    paths = ["/".join(["", *draw.choices(words, k=draw.randint(3, 7))]) + draw.choice(["", "/index.html", ".php", "/2024/03/17", "-17.jpg"]) for _ in range(500)]
+    urls = [f"https://www.{draw.choice(words)}-{draw.choice(words)}.example/{'-'.join(draw.choices(words, k=4))}?page={draw.randrange(99)}&ref={draw.choice(words)}" for _ in range(500)]
+    long = "Donaudampfschifffahrtsgesellschaft anticonstitutionnellement electroencefalografista Rechtsschutzversicherungsgesellschaften internationalization".split()
+    wrong = [x for x in (*paths, *urls, *long) if secrets.scan(x.encode(), model)]
+    assert len(wrong) <= 10, wrong[:20]
+
+
+def test_models_are_trained_once_and_alike(model):
+    import numpy as np
+
+    assert secrets.trained() is model
+    assert np.array_equal(secrets.Markov(secrets.random_strings(), secrets.identifiers()).ratio, model.ratio)
+    assert len(secrets.NAME_WORDS) == len(set(secrets.NAME_WORDS)) <= 200
