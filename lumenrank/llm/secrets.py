@@ -72,7 +72,8 @@ def identifiers(n: int = 8000, seed: int = 12) -> list[str]:
         words = [draw.choice(NAME_WORDS) + draw.choice(["", "", "", "s", "ed", "ing"]) for _ in range(draw.randint(1, 5))]
         cased = draw.choice([str.capitalize, str.upper, str.__str__, str.__str__])
         joined = draw.choice(["_", "-", "/", "", "="]).join(cased(w) for w in words)
-        out.append(joined + draw.choice(["", "", "1", "2", "10", "_v2", "2024", "-64", "/01", "00"]))
+        number = "".join(draw.choice("-/_") + str(draw.randrange(10 ** draw.randint(1, 4))).zfill(draw.choice([1, 2])) for _ in range(draw.randint(1, 3)))
+        out.append(joined + draw.choice(["", "", "1", "2", "10", "_v2", "2024", "00", number, number]))
     return out
 
 
