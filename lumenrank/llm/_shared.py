@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +35,71 @@ def qualified(spark: SparkSession, path: str) -> str:
     return "file://" + full[len("file:") :] if full.startswith("file:/") and not full.startswith("file://") else full
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores after it what no column of ``df`` is called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Scratch:
+    """Paths that ``materialize`` wrote to."""
+
+    def __init__(self):
+        self.paths: set[str] = set()
+
+    def clear(self, spark: SparkSession, but: DataFrame | None = None) -> None:
+        """Delete them, except the one that ``but`` was read from."""
+        kept = {_path_of(but)} & self.paths
+        for path in self.paths - kept:
+            _delete(spark, path)
+        self.paths = kept
+
+
+_OPEN: list[Scratch] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Collects what is written inside, to be deleted when nothing reads it any more."""
+    made = Scratch()
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.remove(made)
+
+
+def _path_of(df: DataFrame | None) -> str | None:
+    return None if df is None else df.__dict__.get("written_to")
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and nothing reads any more."""
+    path = _path_of(df)
+    if path:
+        _delete(df.sparkSession, path)
+        for made in _OPEN:
+            made.paths.discard(path)
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there,
     and the file sizes give Catalyst a true bound for its broadcast decision."""
     spark = df.sparkSession
     path = new_path(spark, what)
+    for made in _OPEN:
+        made.paths.add(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["written_to"] = path
+    return out
 
 
 def width(spark: SparkSession) -> int:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import free_name, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 DRAW_DIGITS = 13  # hex digits of the hash that make the draw: 52 bits, exact in a double
@@ -78,9 +78,10 @@ def plan_mix(docs: DataFrame, weights: list[float], share: float = 1.5, cap: flo
 def mix(docs: DataFrame, weights: list[float], share: float = 1.5, cap: float = 2.0, seed: str = "mix", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, in one pass over the texts."""
     counts = docs.select(F.col("source"), size_of(F.col("text")).alias("size"))
+    name, rate, copy = (free_name(docs, x) for x in ("mix_source", "mix_rate", "mix_copy"))
     targets = materialize(source_targets(counts, weights, share, cap), "mix-targets").select(
-        F.col("source").alias("__source"), F.coalesce(F.col("target") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("__rate")
+        F.col("source").alias(name), F.coalesce(F.col("target") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0)), F.lit(0.0)).alias(rate)
     )
-    joined = docs.join(targets, F.col("source").eqNullSafe(F.col("__source")))
-    taken = F.array_repeat(F.lit(1), copies_of(F.col(id_col), F.col("__rate"), seed))
-    return joined.withColumn("__copy", F.explode(taken)).select(*docs.columns)
+    joined = docs.join(targets, F.col("source").eqNullSafe(F.col(name)))
+    taken = F.array_repeat(F.lit(1), copies_of(F.col(id_col), F.col(rate), seed))
+    return joined.withColumn(copy, F.explode(taken)).select(*docs.columns)

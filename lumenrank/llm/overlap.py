@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._shared import materialize
+from ._shared import discard, materialize
 from ._words import hashed_words, mix64, powers, texts_of
 
 WORDS = 5
@@ -108,4 +108,7 @@ def links(docs: DataFrame, prints: DataFrame, known: DataFrame, least: float, id
     renamed = rest.select("key", *[F.col(c).alias(f"other_{c}") for c in ("s", "n", "root")])
     pairs = rest.join(renamed, "key").where("root <> other_root and s < other_s").where(near)
     found = _decided(pairs.select("s", "root", F.col("other_s").alias("other"), "other_root").distinct(), sets, least)
-    return materialize(now.unionByName(found), "overlap-links")
+    out = materialize(now.unionByName(found), "overlap-links")
+    for done in (members, sets):
+        discard(done)
+    return out

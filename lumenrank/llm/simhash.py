@@ -22,17 +22,18 @@ any other; repeated rows share a fingerprint and so a component; an empty table
 from __future__ import annotations
 
 import random
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import overlap
 from ._graph import components
-from ._shared import materialize
+from ._shared import discard, materialize
 from ._words import texts_of
 
 SEED = 42
@@ -110,7 +111,8 @@ def candidates(fps: DataFrame, radius: int = 2) -> DataFrame:
     """(fp): those of the distinct fingerprints that share a table's key with another one."""
     keyed = _keyed(fps, radius)
     met = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return keyed.join(met, ["t", "key"], "left_semi").select("fp").distinct()
+    # written, so that a key of many fingerprints can be split in the join
+    return keyed.join(materialize(met, "simhash-keys"), ["t", "key"], "left_semi").select("fp").distinct()
 
 
 def _forest(g: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -174,7 +176,8 @@ def _ball(fp):
 
 
 def with_sketch(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, distinct: bool, ignore: bytes) -> DataFrame:
-    """``with_fingerprint`` with what finds overlapping texts: the hash and size of the set of shingles, and its band keys."""
+    """``with_fingerprint`` with what finds overlapping texts: the hash and size of the set of shingles, and its band keys;
+    and ``tag``, by which texts of rows repeating an id are told apart: the crc32 of the text, -1 of null."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,18 +186,25 @@ def with_sketch(docs: DataFrame, id_col: str, text_col: str, shingle_words: int,
             fps = [fingerprint(t, shingle_words, distinct, ignore) for t in texts]
             of_set = [(overlap.set_hash(s), len(s), overlap.band_keys(s)) for s in overlap.shingle_sets(texts, ignore)]
             columns = [pa.array([x[0] for x in of_set], pa.int64()), pa.array([x[1] for x in of_set], pa.int32()), pa.array([x[2] for x in of_set], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), *columns], ["id", "fp", "s", "n", "keys"])
+            tags = pa.array([zlib.crc32(t) if known else -1 for t, known in zip(texts, b.column(1).is_valid().to_pylist(), strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), tags, pa.array(np.array(fps, np.uint64).view(np.int64)), *columns], ["id", "tag", "fp", "s", "n", "keys"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind.simpleString()}, fp long, s long, n int, keys array<long>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind.simpleString()}, tag long, fp long, s long, n int, keys array<long>")
+
+
+def tag_of(text: Column) -> Column:
+    return F.coalesce(F.crc32(text.cast("binary")), F.lit(-1).cast("long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 2, distinct: bool = False, ignore: bytes = b"", least: float | None = None) -> DataFrame:
-    """(id, fp, component_id): component_id is the smallest id reachable over links.
+    """(id, fp, component_id): component_id is the smallest id reachable over links; with ``least`` there is
+    a ``tag`` besides, ``tag_of`` the row's text.
 
     With ``least``, texts whose sets of five-word shingles have that Jaccard similarity are linked
     as well, however far their fingerprints are apart; fingerprints must be of ``distinct`` shingles
     of five words or fewer, which texts of one set have in common.
     """
+    tag = [] if least is None else ["tag"]
     if least is None:
         prints = materialize(with_fingerprint(docs, id_col, text_col, shingle_words, distinct, ignore), "simhash-prints")
     elif not distinct or shingle_words > overlap.WORDS:
@@ -206,7 +216,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if least is not None:
         near = overlap.links(docs, prints, materialize(near, "simhash-links"), least, id_col, text_col, ignore)
     roots = components(near)
+    # the sizes of components differ by orders; minima by component are written to be joined as a table
     named = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = materialize(named, "simhash-named")
+    smallest = materialize(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-smallest")
     by_print = materialize(named.join(smallest, "root").select("fp", "component_id"), "simhash-components")
-    return prints.join(by_print, "fp").select("id", "fp", "component_id")
+    for done in (classes, named, smallest):
+        discard(done)
+    return prints.join(by_print, "fp").select("id", *tag, "fp", "component_id")

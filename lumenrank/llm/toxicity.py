@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import free_name, materialize
 
 LABELLED_ROWS, STEMS = 10_000, 64
 #: Fixed word lists, one a voter.
@@ -219,4 +219,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, scored with a model trained on ``docs``."""
     stems, weights, _ = _learn(docs, labels, id_col, text_col)
-    return with_votes(docs, stems, text_col, "__votes").where(score_of(F.col("__votes"), weights) < 0.5).select(*docs.columns)
+    votes = free_name(docs, "toxicity_votes")
+    return with_votes(docs, stems, text_col, votes).where(score_of(F.col(votes), weights) < 0.5).select(*docs.columns)
