@@ -19,6 +19,7 @@ ARTICLE_SUFFIXES = ["овете", "ите", "ата", "ята", "ето", "от
 INFLECTION_SUFFIXES = ["ове", "ия", "ии", "ие", "и", "а", "я", "е", "о"]
 SYNONYMS = {"веб": "уеб", "web": "уеб", "online": "онлайн", "интернет": "онлайн", "site": "сайт", "website": "сайт", "design": "дизайн"}
 MIN_STEM = 3
+FIRST_CYRILLIC = "\u0400"  # first character of the block, in byte order as Spark compares strings
 #: English words without a topic. Cyrillic ones follow a rule (see is_stop) or a parameter.
 STOPWORDS = (
     "a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having "
@@ -74,26 +75,33 @@ def _cut_one(w: Column, suffixes: list[str]) -> Column:
 def stem(w: Column) -> Column:
     """Of a lower-case word: Cyrillic article and inflection, English plural, then synonyms.
 
-    Chains of single replacements, so that the expression grows with the rules and no further.
+    Chains of single replacements, so that the expression grows with the rules and no further;
+    what can not change, most words, is told by a comparison before any pattern is tried.
     """
     cut = F.regexp_replace(_cut_one(_cut_one(w, ARTICLE_SUFFIXES), INFLECTION_SUFFIXES), "^(.{4,})ен$", "$1н")
     latin = F.regexp_replace(w, "^(.{2,})ies$", "$1y")
     latin = F.regexp_replace(latin, "^(?=.{5,}$)(.*(?:ss|sh|ch|x|z))es$", "$1")
     latin = F.regexp_replace(latin, "^(.{2,}[^sui])s$", "$1")
-    plain = F.when(w.rlike(r"^\p{IsCyrillic}{4,}$"), cut).when(w.rlike("^[a-z]+$"), latin).otherwise(w)
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv]), plain), plain)
+    plain = F.when(w.endswith("s") & w.rlike("^[a-z]+$"), latin).when((w >= FIRST_CYRILLIC) & w.rlike(r"^\p{IsCyrillic}{4,}$"), cut).otherwise(w)
+    same = F.when(plain.isin(list(SYNONYMS)), F.try_element_at(F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv]), plain))
+    return F.coalesce(same, plain)
 
 
 def is_stop(w: Column, stopwords: list[str] | None = None) -> Column:
     """By default the English list and Cyrillic words of at most two letters; else a list given."""
     if stopwords is not None:
         return F.array_contains(F.array(*[F.lit(x) for x in stopwords]), w)
-    return w.isin(STOPWORDS) | w.rlike(r"^\p{IsCyrillic}{1,2}$")
+    return w.isin(STOPWORDS) | ((F.length(w) <= 2) & (w >= FIRST_CYRILLIC) & w.rlike(r"^\p{IsCyrillic}{1,2}$"))
+
+
+def is_number(w: Column) -> Column:
+    """Digits only; a letter of the Latin alphabet in front rules it out without a pattern."""
+    return ~w.between("a", "{") & w.rlike(r"^\p{N}+$")
 
 
 def terms(s: Column, stopwords: list[str] | None = None) -> Column:
     """Stems of words that are no stop words nor numbers, of two letters or more, in order."""
-    kept = F.filter(words(s), lambda w: ~is_stop(w, stopwords) & ~w.rlike(r"^\p{N}+$") & (F.length(w) >= 2))
+    kept = F.filter(words(s), lambda w: (F.length(w) >= 2) & ~is_stop(w, stopwords) & ~is_number(w))
     return F.transform(kept, stem)
 
 

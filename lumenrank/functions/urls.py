@@ -41,6 +41,12 @@ def query(url: Column) -> Column:
     return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
 
 
+def path_and_query(url: Column) -> Column:
+    """What a robots rule is matched with."""
+    rest = F.regexp_extract(url, r"^(?i:https?)://[^/?#]*([^#]*)", 1)
+    return F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
+
+
 def normalize_domain(s: Column) -> Column:
     """What a user typed for a domain: no scheme, path, user, port, dots at the end or ``www.``."""
     out = F.lower(F.trim(s))

@@ -131,14 +131,14 @@ def next_step(stage: Column, verdict: Column, angle: Column, answer_first: Colum
 
 
 def coverage_pairs(questions: DataFrame, pages: DataFrame, least: float = 0.12, k: int = 3) -> DataFrame:
-    """(question_id, url, overlap, place): the pages that share the most of a question's terms,
-    seven parts by their head and three by their intro: an inverted index over terms, instead of
-    every question with every page.
+    """(question_id, url, overlap, place): the pages of a scope (a site) that share the most of a
+    question's terms, seven parts by their head and three by their intro: an inverted index over
+    the scope's terms, instead of every question with every page.
     """
-    q = questions.select("question_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    p = pages.select("url", F.explode("head").alias("term"), F.lit(7).alias("part")).unionByName(pages.select("url", F.explode("intro").alias("term"), F.lit(3).alias("part")))
-    weights = p.distinct().groupBy("url", "term").agg(F.sum("part").alias("part"))
-    met = q.join(weights, "term").groupBy("question_id", "url", "n").agg(F.sum("part").alias("parts"))
+    q = questions.select("scope", "question_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    p = pages.select("scope", "url", F.explode("head").alias("term"), F.lit(7).alias("part")).unionByName(pages.select("scope", "url", F.explode("intro").alias("term"), F.lit(3).alias("part")))
+    weights = p.distinct().groupBy("scope", "url", "term").agg(F.sum("part").alias("part"))
+    met = q.join(weights, ["scope", "term"]).groupBy("question_id", "url", "n").agg(F.sum("part").alias("parts"))
     overlap = F.floor((F.col("parts") * 200 + F.col("n")) / (F.col("n") * 2)) / F.lit(1000.0)
     scored = met.withColumn("overlap", overlap).where(F.col("overlap") >= least)
     return top_per(scored, ["question_id"], [F.desc("overlap"), F.col("url")], k, "place").select("question_id", "url", "overlap", "place")

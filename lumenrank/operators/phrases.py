@@ -8,20 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import written
 
 
 def _grams(tokens: Column, n: int) -> Column:
-    """Runs of n (raw, stem, stop): no number inside, raw of two letters or more (a single word:
+    """Runs of n (raw, key, stop, plain): no number inside, raw of two letters or more (a single word:
     three), no stop word at either end, and of stop words at most half."""
     count = F.size(tokens)
     starts = F.when(count >= n, F.sequence(F.lit(1), count - (n - 1))).otherwise(F.array().cast("array<int>"))
     runs = F.transform(starts, lambda i: F.slice(tokens, i, F.lit(n)))
-    least = 3 if n == 1 else 2
 
     def fits(run: Column) -> Column:
-        good = F.forall(run, lambda t: ~t["raw"].rlike(r"^\p{N}+$") & (F.length(t["raw"]) >= least))
+        if n == 1:
+            only = F.element_at(run, 1)
+            return only["plain"] & ~only["stop"] & (F.length(only["raw"]) >= 3)
         ends = ~F.element_at(run, 1)["stop"] & ~F.element_at(run, -1)["stop"]
-        return good & ends & (F.size(F.filter(run, lambda t: t["stop"])) <= n // 2)
+        return ends & F.forall(run, lambda t: t["plain"]) & (F.size(F.filter(run, lambda t: t["stop"])) <= n // 2)
 
     return F.filter(runs, fits)
 
@@ -29,21 +31,25 @@ def _grams(tokens: Column, n: int) -> Column:
 def phrases_of(docs: DataFrame, most_words: int = 3, stopwords: list[str] | None = None) -> DataFrame:
     """(doc, key, surface, n, count) from (doc, text): stems as key, stop words as they are."""
     cut = docs.select("doc", F.explode(T.segments(F.lower("text"))).alias("segment"))
-    tokens = F.transform(T.words(F.col("segment")), lambda w: F.struct(w.alias("raw"), T.stem(w).alias("stem"), T.is_stop(w, stopwords).alias("stop")))
-    cut = cut.select("doc", tokens.alias("tokens"))
+
+    def token(w: Column) -> Column:
+        stop = T.is_stop(w, stopwords)
+        return F.struct(w.alias("raw"), F.when(stop, w).otherwise(T.stem(w)).alias("key"), stop.alias("stop"), ((F.length(w) >= 2) & ~T.is_number(w)).alias("plain"))
+
+    cut = cut.select("doc", F.transform(T.words(F.col("segment")), token).alias("tokens"))
     runs = F.flatten(F.array(*[_grams(F.col("tokens"), n) for n in range(1, most_words + 1)]))
-    each = cut.select("doc", F.explode(runs).alias("run"))
-    key = F.array_join(F.transform("run", lambda t: F.when(t["stop"], t["raw"]).otherwise(t["stem"])), " ")
-    surface = F.array_join(F.transform("run", lambda t: t["raw"]), " ")
-    return each.groupBy("doc", key.alias("key"), surface.alias("surface"), F.size("run").alias("n")).agg(F.count(F.lit(1)).alias("count"))
+    each = cut.select("doc", F.explode(runs).alias("run")).select("doc", F.array_join("run.key", " ").alias("key"), F.array_join("run.raw", " ").alias("surface"), F.size("run").alias("n"))
+    return each.groupBy("doc", "key", "surface", "n").agg(F.count(F.lit(1)).alias("count"))
 
 
 def mine_phrases(docs: DataFrame, most_words: int = 3, least_pages: int = 2, stopwords: list[str] | None = None) -> DataFrame:
     """(key, n, pages, total, display): in how many documents, how often, and the most frequent
-    surface (of equals the shorter, then the lesser). Rare keys go before surfaces are compared."""
-    found = phrases_of(docs, most_words, stopwords)
-    by_surface = found.groupBy("key", "n", "surface").agg(F.sum("count").alias("count"))
-    pages = found.groupBy("key").agg(F.count_distinct("doc").alias("pages")).where(F.col("pages") >= least_pages)
+    surface (of equals the shorter, then the lesser). The phrases of the documents are found once
+    and written; rare keys, most of all, go before surfaces are compared."""
+    found = written(phrases_of(docs, most_words, stopwords), "phrases")
+    in_doc = found.groupBy("key", "doc").agg(F.lit(1).alias("one"))
+    pages = written(in_doc.groupBy("key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages), "phrase-pages")
+    by_surface = found.join(pages.select("key"), "key", "left_semi").groupBy("key", "n", "surface").agg(F.sum("count").alias("count"))
     best = by_surface.groupBy("key", "n").agg(
         F.sum("count").alias("total"), F.min_by("surface", F.struct(-F.col("count"), F.length("surface"), F.col("surface"))).alias("display")
     )

@@ -9,28 +9,44 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from ..functions import urls as U
+from ..sources.shared import written
 
 MOST_URLS, MOST_CHILDREN, MOST_LENGTH = 50_000, 1_000, 2_048
 
 
-def parse_robots(text: str) -> list[tuple[str, bool, str]]:
-    """(agent, allow, pattern) in order; rules of an agent named in several groups add up."""
-    out, agents, open_ = [], [], False
-    for line in text.lstrip("﻿").splitlines():
+def parse_robots(text: str) -> list[tuple[list[str], list[tuple[bool, str]]]]:
+    """Groups in order: the agents named, and (allow, pattern) of their rules."""
+    groups: list[tuple[list[str], list[tuple[bool, str]]]] = []
+    naming = False
+    for line in re.split(r"\r\n|\r|\n", text.removeprefix("\ufeff")):
         key, sep, value = line.partition("#")[0].partition(":")
         key, value = key.strip().lower(), value.strip()
         if not sep:
             continue
         if key == "user-agent":
-            agents = [*agents, value.lower()] if open_ else [value.lower()]
-            open_ = True
+            if not naming:
+                groups.append(([], []))
+            groups[-1][0].append(value.lower())
+            naming = True
         elif key in ("allow", "disallow"):
-            open_ = False
-            out += [(a, key == "allow", value) for a in agents if value]
-    return out
+            naming = False
+            if groups and value:
+                groups[-1][1].append((key == "allow", value))
+    return groups
+
+
+def product_token(agent: str) -> str:
+    """What of a user agent's header groups are named by: "Bot/0.1 (+https://...)" is "bot"."""
+    return re.split(r"[\s/]", agent.strip())[0].lower()
+
+
+def rules_for(text: str, agent: str) -> list[tuple[bool, str]]:
+    """The rules of the groups that name the agent, even if there are none, else of those for all."""
+    groups, token = parse_robots(text), product_token(agent)
+    own = [rules for agents, rules in groups if token and token != "*" and token in agents]
+    return [r for rules in own or [rules for agents, rules in groups if "*" in agents] for r in rules]
 
 
 def pattern_matches(pattern: str, path: str) -> bool:
@@ -50,37 +66,56 @@ def pattern_matches(pattern: str, path: str) -> bool:
     return not anchored or at == len(path)
 
 
-@F.arrow_udf(BooleanType())
-def _matches(patterns: pa.Array, paths: pa.Array) -> pa.Array:
-    return pa.array([None if p is None or q is None else pattern_matches(p, q) for p, q in zip(patterns.to_pylist(), paths.to_pylist(), strict=True)], pa.bool_())
+RULE = "struct<allow:boolean,length:int,anchored:boolean,head:string,middle:array<string>,tail:string>"
+
 
+def robots_rules(files: DataFrame, agent: str) -> DataFrame:
+    """(host, rules) from (host, status, text), a file a host: the rules for an agent, cut at their
+    wildcards. Unreachable or 500 and above blocks everything, 400 to 499 nothing."""
 
-def robots_rules(files: DataFrame) -> DataFrame:
-    """(host, agent, allow, pattern) from (host, status, text): unreachable or 500 and above
-    blocks everything, 400 to 499 nothing."""
+    def compiled(allow: bool, pattern: str) -> dict:
+        bare = pattern.removesuffix("$")
+        head, *rest = bare.split("*")
+        return {"allow": allow, "length": len(bare), "anchored": bare != pattern, "head": head, "middle": [x for x in rest[:-1] if x], "tail": rest[-1] if rest else None}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rule = pa.struct([("allow", pa.bool_()), ("length", pa.int32()), ("anchored", pa.bool_()), ("head", pa.string()), ("middle", pa.list_(pa.string())), ("tail", pa.string())])
         for b in batches:
-            rows = []
-            for host, status, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if status is None or status >= 500:
-                    rows.append((host, "*", False, "/"))
-                elif status < 400:
-                    rows += [(host, *r) for r in parse_robots(text or "")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.string())], ["host", "agent", "allow", "pattern"])
+            out = []
+            for status, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                found = [(False, "/")] if status is None or status >= 500 else rules_for(text or "", agent) if status < 400 else []
+                out.append([compiled(*r) for r in found])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(rule))], ["host", "rules"])
 
-    return files.select("host", "status", "text").mapInArrow(run, "host string, agent string, allow boolean, pattern string")
+    return files.select("host", "status", "text").mapInArrow(run, f"host string, rules array<{RULE}>")
 
 
-def allowed(pages: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """``pages(id, host, path)`` with ``allowed``: of the rules that match the longest decides,
-    allowing wins ties; the agent's own group, else that of ``*``; without a rule yes."""
-    mine = rules.where(F.col("agent").isin(agent.lower(), "*"))
-    own = mine.groupBy("host").agg(F.max((F.col("agent") == agent.lower()).cast("int")).alias("own"))
-    used = mine.join(own, "host").where((F.col("own") == 0) | (F.col("agent") != "*")).select("host", "allow", "pattern")
-    met = pages.join(used, "host").withColumn("match", _matches(F.col("pattern"), F.col("path"))).where("match")
-    best = met.groupBy("id").agg(F.max_by("allow", F.struct(F.length("pattern"), F.col("allow").cast("int"))).alias("allowed"))
-    return pages.join(best, "id", "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
+def _matches(rule: Column, path: Column) -> Column:
+    """As ``pattern_matches``, by the rule's parts: each is looked for behind the one before."""
+    locate = lambda part, at: F.call_function("locate", part, path, at + 1)
+
+    def step(at: Column, part: Column) -> Column:
+        found = locate(part, at)
+        return F.when((at < 0) | (found == 0), -1).otherwise(found - 1 + F.length(part))
+
+    end = F.aggregate(rule["middle"], F.length(rule["head"]), step)
+    tail, plain = rule["tail"], F.when(rule["anchored"], path == rule["head"]).otherwise(True)
+    behind = F.when(rule["anchored"], (F.length(path) - F.length(tail) >= end) & path.endswith(tail)).otherwise((tail == "") | (locate(tail, end) > 0))
+    return path.startswith(rule["head"]) & F.when(tail.isNull(), plain).otherwise((end >= 0) & behind)
+
+
+def allowed(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """``pages(id, host, path)``, path with its query, with ``allowed``: of the rules that match the
+    longest decides (an end mark does not count), allowing wins ties; without a rule yes.
+
+    Each page meets the one row of its host and goes through its rules in place, so nothing grows
+    by pages times rules; a host of many pages can be split or the rules handed out, as their size
+    allows.
+    """
+    met = pages.join(rules, "host", "left")
+    path = F.coalesce("path", F.lit(""))
+    won = F.array_max(F.transform(F.filter("rules", lambda r: _matches(r, path)), lambda r: F.struct(r["length"], r["allow"])))
+    return met.withColumn("allowed", F.coalesce(won["allow"], F.lit(True))).drop("rules")
 
 
 _LOC = re.compile(r"<(?:[\w-]+:)?(sitemap|url)\b[^>]*>(.*?)(?=<(?:[\w-]+:)?(?:sitemap|url)\b|</(?:[\w-]+:)?(?:urlset|sitemapindex)|\Z)", re.S | re.I)
@@ -141,10 +176,14 @@ def distinct_pages(found: DataFrame, url: Column, ordinal: str) -> DataFrame:
 
 def crawl_order(links: DataFrame, home: str, most_depth: int = 2, most_pages: int | None = None) -> DataFrame:
     """(key, level): pages reached from the home page over ``links(from_key, to_key)``, by the
-    least number of links; each level is one join with what is new, never with what is known."""
+    least number of links. Each level is written and read back, so that a plan holds one level
+    only, and the search ends when a level finds nothing new."""
     found = links.sparkSession.createDataFrame([(home, 0)], "key string, level int")
     fresh = found
     for level in range(1, most_depth + 1):
-        fresh = links.join(fresh.select(F.col("key").alias("from_key")), "from_key").select(F.col("to_key").alias("key")).distinct().join(found.select("key"), "key", "left_anti").withColumn("level", F.lit(level))
-        found = found.unionByName(fresh)
+        step = links.join(fresh.select(F.col("key").alias("from_key")), "from_key").select(F.col("to_key").alias("key")).distinct()
+        fresh = written(step.join(found.select("key"), "key", "left_anti").withColumn("level", F.lit(level)), "crawl-level")
+        if fresh.isEmpty():
+            break
+        found = written(found.unionByName(fresh), "crawl-found")
     return found.orderBy("level", "key").limit(most_pages) if most_pages else found

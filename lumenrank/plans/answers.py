@@ -27,9 +27,9 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to four domains an answer, by formula; of the answers with an even id."""
-    rows = _answers(spark, sf_dir).where("answer_id % 2 = 1")
-    each = rows.select("answer_id", "engine", F.explode(F.sequence(F.lit(0), (F.col("conv_id") % 4).cast("int"))).alias("ordinal"))
+    """None to four domains an answer, by formula."""
+    places = F.filter(F.sequence(F.lit(0), F.lit(3)), lambda o: o < (F.col("answer_id") * 3 + F.col("conv_id")) % 5)
+    each = _answers(spark, sf_dir).select("answer_id", "engine", F.explode(places).alias("ordinal"))
     domain = F.concat(F.lit("site"), ((F.col("answer_id") * 7 + F.col("ordinal") * F.col("ordinal") * 3) % 9).cast("string"))
     return each.select("answer_id", "engine", "ordinal", domain.alias("domain"), (domain == "site4").alias("own"))
 
@@ -113,10 +113,11 @@ def plan_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which answers share the most terms with each conversation's first question."""
-    rows = read_table(spark, sf_dir, "conversations")
-    questions = rows.where("turn = 0 and role = 'user'").select(F.col("conv_id").alias("question_id"), F.slice(F.array_sort(T.keyword_terms(F.left("text", F.lit(80)))), 1, 8).alias("terms")).where(F.size("terms") > 0)
-    pages = rows.where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("url"), F.array_distinct(T.terms(F.left("text", F.lit(80)))).alias("head"), F.array_distinct(T.terms(F.col("text"))).alias("intro"))
+    """Which answers of a conversation share the most terms with each of its questions; the first
+    lines of an answer stand for a page's head."""
+    rows = read_table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    questions = rows.where("role = 'user'").select(F.col("conv_id").alias("scope"), F.col("id").alias("question_id"), T.keyword_terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
+    pages = rows.where("role = 'assistant'").select(F.col("conv_id").alias("scope"), F.col("id").cast("string").alias("url"), F.array_distinct(T.terms(F.substring_index("text", "\n", 1))).alias("head"), F.array_distinct(T.terms(F.col("text"))).alias("intro"))
     return A.coverage_pairs(questions, pages)
 
 
@@ -138,7 +139,7 @@ QUERIES = {
 from .text import _KW, _M  # noqa: E402
 
 _A = "a AS (SELECT conv_id * 1000 + turn AS answer_id, conv_id, ['alpha', 'beta', 'gamma'][conv_id % 3 + 1] AS engine, text FROM conversations WHERE role = 'assistant')"
-_CITE = "c AS (SELECT answer_id, engine, o AS ordinal, 'site' || ((answer_id * 7 + o * o * 3) % 9) AS domain, (answer_id * 7 + o * o * 3) % 9 = 4 AS own FROM (SELECT *, unnest(range(0, conv_id % 4 + 1)) AS o FROM a WHERE answer_id % 2 = 1))"
+_CITE = "c AS (SELECT answer_id, engine, o AS ordinal, 'site' || ((answer_id * 7 + o * o * 3) % 9) AS domain, (answer_id * 7 + o * o * 3) % 9 = 4 AS own FROM (SELECT *, unnest(range(0, (answer_id * 3 + conv_id) % 5)) AS o FROM a))"
 _WILSON = lambda k, n: f"coalesce(floor({k} / {n}::DOUBLE * 1000 + 0.5) / 1000.0::DOUBLE, 0) AS S, coalesce(floor(greatest(0, ({k} / {n}::DOUBLE + 3.8416::DOUBLE / ({n} * 2)) / (1 + 3.8416::DOUBLE / {n}) - 1.96::DOUBLE * sqrt({k} / {n}::DOUBLE * (1 - {k} / {n}::DOUBLE) / {n} + 3.8416::DOUBLE / ({n}::DOUBLE * {n} * 4)) / (1 + 3.8416::DOUBLE / {n})) * 1000 + 0.5) / 1000.0::DOUBLE, 0) AS low, coalesce(floor(least(1, ({k} / {n}::DOUBLE + 3.8416::DOUBLE / ({n} * 2)) / (1 + 3.8416::DOUBLE / {n}) + 1.96::DOUBLE * sqrt({k} / {n}::DOUBLE * (1 - {k} / {n}::DOUBLE) / {n} + 3.8416::DOUBLE / ({n}::DOUBLE * {n} * 4)) / (1 + 3.8416::DOUBLE / {n})) * 1000 + 0.5) / 1000.0::DOUBLE, 0) AS high"  # noqa: E731, E501
 _P = lambda m: f"(answer_id * {m} % 101) / 100.0::DOUBLE"
 _PK = lambda m, e: f"CASE WHEN answer_id % {e} <> 0 THEN {_P(m)} END"
@@ -169,10 +170,11 @@ SELECT answer_id, engine, model, floor(((n * 3 * i + n * o) / 1000000 + conv_id
 f AS (SELECT key, arg_min(reason, (-n, reason)) AS first_reason FROM (SELECT key, reason, count(*) AS n FROM s GROUP BY ALL) GROUP BY key),
 p AS (SELECT key, action, count(*) AS lost, count(DISTINCT question_id) AS questions, count(DISTINCT engine) AS engines, (SELECT count(*) FROM s) AS t FROM s GROUP BY key, action)
 SELECT key, action, lost, questions, engines, first_reason, floor((lost * 2000 + t) / (2 * t)) / 1000.0::DOUBLE AS priority, row_number() OVER (ORDER BY lost DESC, questions DESC, key)::INT AS place FROM p JOIN f USING (key) QUALIFY place <= 12""",
-    "question_coverage": _M + f"""WITH q AS (SELECT conv_id AS question_id, list_sort({_KW.format('left(text, 80)')})[1:8] AS terms FROM conversations WHERE turn = 0 AND role = 'user'),
-p AS (SELECT (conv_id * 1000 + turn)::VARCHAR AS url, unnest(list_distinct(lr_terms(left(text, 80)))) AS term, 7 AS part FROM conversations WHERE role = 'assistant' UNION ALL SELECT (conv_id * 1000 + turn)::VARCHAR, unnest(list_distinct(lr_terms(text))), 3 FROM conversations WHERE role = 'assistant'),
-w AS (SELECT url, term, sum(part)::BIGINT AS part FROM p GROUP BY ALL), e AS (SELECT question_id, len(terms) AS n, unnest(terms) AS term FROM q),
-m AS (SELECT question_id, url, floor((sum(part) * 200 + n) / (2 * n)) / 1000.0::DOUBLE AS overlap FROM e JOIN w USING (term) GROUP BY question_id, url, n)
+    "question_coverage": _M + f"""WITH q AS (SELECT conv_id AS scope, conv_id * 1000 + turn AS question_id, {_KW.format('text')} AS terms FROM conversations WHERE role = 'user'),
+p AS (SELECT conv_id AS scope, (conv_id * 1000 + turn)::VARCHAR AS url, unnest(list_distinct(lr_terms(string_split(text, chr(10))[1]))) AS term, 7 AS part FROM conversations WHERE role = 'assistant'
+  UNION ALL SELECT conv_id, (conv_id * 1000 + turn)::VARCHAR, unnest(list_distinct(lr_terms(text))), 3 FROM conversations WHERE role = 'assistant'),
+w AS (SELECT scope, url, term, sum(part)::BIGINT AS part FROM p GROUP BY ALL), e AS (SELECT scope, question_id, len(terms) AS n, unnest(terms) AS term FROM q),
+m AS (SELECT question_id, url, floor((sum(part) * 200 + n) / (2 * n)) / 1000.0::DOUBLE AS overlap FROM e JOIN w USING (scope, term) GROUP BY question_id, url, n)
 SELECT question_id, url, overlap, row_number() OVER (PARTITION BY question_id ORDER BY overlap DESC, url)::INT AS place FROM m WHERE overlap >= 0.12 QUALIFY place <= 3""",
     "next_steps": """WITH k AS (SELECT ['discover', 'compare', 'price', 'trust', 'howto', 'local'][o_orderkey % 6 + 1] AS s, ['no_page', 'weak', 'answered'][(o_orderkey // 6) % 3 + 1] AS v, (o_orderkey % 10) / 10.0::DOUBLE AS a, (o_orderkey % 7) / 7.0::DOUBLE AS f FROM orders)
 SELECT CASE WHEN v = 'no_page' THEN CASE s WHEN 'compare' THEN 'write_comparison' WHEN 'price' THEN 'write_prices' WHEN 'howto' THEN 'write_guide' ELSE 'write_page' END WHEN v = 'weak' THEN CASE WHEN a < 0.4 THEN 'new_angle' ELSE 'extend' END WHEN f < 0.5 THEN 'answer_first' ELSE 'keep' END AS step, count(*) AS questions FROM k GROUP BY step""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import urls as U
 from ..operators import audit, html, phrases
+from ..sources.shared import written
 from ..sources.tables import read_table
 from .pages import NOW
 from .serp import OWN, RESULTS_SQL, TRACKED, serp_results
@@ -58,7 +59,8 @@ def page_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = html.page_facts(read_table(spark, sf_dir, "pages"), NOW).select(F.col("page_id").alias("id"), "url", U.host(F.col("url")).alias("site"), "facts.*")
+    # parsed once: what follows reads the facts several times
+    pages = written(html.page_facts(read_table(spark, sf_dir, "pages"), NOW).select(F.col("page_id").alias("id"), "url", U.host(F.col("url")).alias("site"), "facts.*"), "page-facts")
     for value, name in (("title", "title_same"), ("description", "meta_same")):
         pages = phrases.duplicate_values(pages, "site", F.col(value), name)
     types = F.array(*[F.lit(t) for t in ("service_page", "blog_article", "company_homepage", "other")])

@@ -12,6 +12,9 @@ from .answers import _answers, _citations
 from .serp import RESULTS_SQL, serp_results
 
 
+OWN_SOURCE = "src12"  # stands for our own pages
+
+
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "part").select(F.col("p_brand").alias("scope"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.substring_index("p_name", " ", 1).alias("keyword"))
 
@@ -36,16 +39,16 @@ def trust_element_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def own_term_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms on half of a language's documents that the first source's documents lack."""
+    """Terms on three tenths of a language's documents that the documents of our source lack."""
     docs = read_table(spark, sf_dir, "documents")
     each = docs.select(F.col("lang").alias("scope"), "source", "doc_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
     pages = docs.groupBy(F.col("lang").alias("scope")).agg(F.count(F.lit(1)).alias("pages"))
     shared = each.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(pages), "scope").select("scope", "term", (F.col("n") / F.col("pages")).alias("share"))
-    return briefs.missing_terms(shared, each.where("source = 'src0' and doc_id < 20").select("scope", "term").distinct(), 0.3).select("scope", "term", "place")
+    return briefs.missing_terms(shared, each.where(F.col("source") == OWN_SOURCE).select("scope", "term").distinct(), 0.3).select("scope", "term", "place")
 
 
 def template_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = read_table(spark, sf_dir, "part").where("p_partkey < 3").select(F.col("p_partkey").cast("long").alias("ordinal"), F.col("p_name").alias("seed"))
+    seeds = read_table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("ordinal"), F.col("p_name").alias("seed"))
     return briefs.template_questions(seeds, ["what is {}", "how much does {} cost", "best {} compared"])
 
 
@@ -92,7 +95,7 @@ def skips_by_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def google_rank_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = serp_results(spark, sf_dir).withColumn("url", F.replace("url", F.lit("#"), F.lit("-")))
-    pages = results.where("key % 5 = 1").select("url", F.col("keyword").alias("phrase"), (F.col("position") * -1).alias("importance"), F.col("key").alias("ordinal"))
+    pages = results.select("url", F.col("keyword").alias("phrase"), (F.col("position") * -1).alias("importance"), F.col("key").alias("ordinal"))
     return collect.rank_lookup(pages, results.select(F.col("keyword").alias("phrase"), F.concat("url", F.lit("/?q")).alias("url"), "position"), 10)
 
 
@@ -120,15 +123,15 @@ SELECT scope, type, pages FROM c QUALIFY row_number() OVER (PARTITION BY scope O
     "trust_element_shares": """WITH e AS (SELECT p_brand AS scope, 'reviews' AS element, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey * 3 % 11 / 10.0::DOUBLE END AS p FROM part UNION ALL SELECT p_brand, 'prices', CASE WHEN p_partkey % 3 <> 0 THEN p_partkey * 5 % 11 / 10.0::DOUBLE END FROM part
 UNION ALL SELECT p_brand, 'contact', CASE WHEN p_partkey % 5 <> 0 THEN p_partkey * 7 % 11 / 10.0::DOUBLE END FROM part)
 SELECT scope, element, count(*) AS pages, floor((count(*) FILTER (p >= 0.6) * 2000 + count(*)) / (2 * count(*))) / 1000.0::DOUBLE AS share FROM e WHERE p IS NOT NULL GROUP BY scope, element""",
-    "own_term_gaps": _M + """WITH e AS (SELECT lang AS scope, source, doc_id, unnest(list_distinct(lr_terms(text))) AS term FROM documents), p AS (SELECT lang AS scope, count(*) AS pages FROM documents GROUP BY lang),
-s AS (SELECT scope, term, count(*) / any_value(pages)::DOUBLE AS share FROM e JOIN p USING (scope) GROUP BY scope, term), o AS (SELECT DISTINCT scope, term FROM e WHERE source = 'src0' AND doc_id < 20)
+    "own_term_gaps": _M + f"""WITH e AS (SELECT lang AS scope, source, doc_id, unnest(list_distinct(lr_terms(text))) AS term FROM documents), p AS (SELECT lang AS scope, count(*) AS pages FROM documents GROUP BY lang),
+s AS (SELECT scope, term, count(*) / any_value(pages)::DOUBLE AS share FROM e JOIN p USING (scope) GROUP BY scope, term), o AS (SELECT DISTINCT scope, term FROM e WHERE source = '{OWN_SOURCE}')
 SELECT scope, term, row_number() OVER (PARTITION BY scope ORDER BY share DESC, term)::INT AS place FROM s WHERE share >= 0.3 AND NOT EXISTS (SELECT 1 FROM o WHERE o.scope = s.scope AND o.term = s.term) QUALIFY place <= 8""",
-    "template_questions": "SELECT (p_partkey * 3 + i)::BIGINT AS ordinal, replace(t, '{}', p_name) AS text FROM part, (VALUES (0, 'what is {}'), (1, 'how much does {} cost'), (2, 'best {} compared')) v(i, t) WHERE p_partkey < 3",
+    "template_questions": "SELECT (p_partkey * 3 + i)::BIGINT AS ordinal, replace(t, '{}', p_name) AS text FROM part, (VALUES (0, 'what is {}'), (1, 'how much does {} cost'), (2, 'best {} compared')) v(i, t)",
     "plan_details": f"""WITH t AS (SELECT doc_id, (floor(greatest(coalesce(CASE WHEN doc_id % 3 <> 0 THEN (doc_id * 37 % 3000)::DOUBLE END, 0), (doc_id * 13 % 2000) * 1.5::DOUBLE, 600) / 100 + 0.5) * 100)::BIGINT AS target FROM documents)
 SELECT doc_id, target, array_to_string([x FOR x IN [{', '.join(f"CASE WHEN {r} THEN '{n}' END" for r, n in _STEPS)}] IF x IS NOT NULL], ',') AS steps FROM t""",
     "winner_pages": f"""WITH {_A}, {_CITE}, p AS (SELECT *, domain || '/p' || (ordinal % 2) AS page FROM c), l AS (SELECT answer_id FROM a WHERE answer_id NOT IN (SELECT answer_id FROM c WHERE own)),
 n AS (SELECT engine, page, count(DISTINCT answer_id) AS n FROM p WHERE NOT own AND answer_id IN (SELECT answer_id FROM l) GROUP BY ALL), b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY engine ORDER BY n DESC, page) <= 3)
 SELECT page, sum(n)::BIGINT AS answers, count(*) AS engines, row_number() OVER (ORDER BY sum(n) DESC, page)::INT AS place FROM b GROUP BY page QUALIFY place <= 10""",
-    "google_rank_lookup": f"""WITH {RESULTS_SQL}, p AS (SELECT url, keyword AS phrase, position, key FROM serp WHERE key % 5 = 1), f AS (SELECT phrase FROM p GROUP BY phrase ORDER BY min((position, key)) LIMIT 10)
+    "google_rank_lookup": f"""WITH {RESULTS_SQL}, p AS (SELECT url, keyword AS phrase, position, key FROM serp), f AS (SELECT phrase FROM p GROUP BY phrase ORDER BY min((position, key)) LIMIT 10)
 SELECT replace(p.url, '#', '-') AS url, p.phrase, min(s.position) AS rank FROM p JOIN f USING (phrase) LEFT JOIN serp s ON s.keyword = p.phrase AND s.url = p.url GROUP BY ALL""",
 }

@@ -94,7 +94,15 @@ def question_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def content_length_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length brackets by source: median of texts of 100 words or more, if there are three."""
     rows = read_table(spark, sf_dir, "documents").select("source", "lang", F.size(T.words(F.col("text"))).alias("words")).where("words >= 100")
-    stats = rows.groupBy("source", "lang").agg(F.median("words").alias("median"), F.count(F.lit(1)).alias("pages"), N.nearest_rank(F.collect_list("words"), 0.75).alias("p75")).where("pages >= 3")
+    # a histogram first: what is ordered in a group has one row a length, not one a document
+    counts = rows.groupBy("source", "lang", "words").agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy("source", "lang")
+    upto = counts.withColumns({"upto": F.sum("n").over(group.orderBy("words")), "pages": F.sum("n").over(group)}).where("pages >= 3")
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("words")))
+    last = F.col("pages") - 1
+    stats = upto.groupBy("source", "lang", "pages").agg(
+        ((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / F.lit(2.0)).alias("median"), at(F.floor(last * 0.75 + 0.5)).alias("p75")
+    )
     to50 = lambda x: (F.floor(x / 50 + 0.5) * 50).cast("long")
     return stats.select("source", "lang", "pages", "p75", to50(F.col("median") * 0.8).alias("least"), to50(F.col("median") * 1.15).alias("target"), to50(F.col("median") * 1.5).alias("most"))
 

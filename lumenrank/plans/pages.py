@@ -74,11 +74,12 @@ _ROBOTS = "User-agent: *\nDisallow: /en/1\nAllow: /en/1*5\nDisallow: /*.html$\n\
 
 
 def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pages(spark, sf_dir).select(F.col("page_id").alias("id"), U.host(F.col("url")).alias("host"), U.path(F.col("url")).alias("path"))
+    rows = _pages(spark, sf_dir).select(F.col("page_id").alias("id"), U.host(F.col("url")).alias("host"), U.path_and_query(F.col("url")).alias("path"))
     hosts = rows.select("host").distinct()
     n = F.length("host") % 4
     files = hosts.select("host", F.when(n == 0, 404).when(n == 1, 503).otherwise(200).alias("status"), F.lit(_ROBOTS).alias("text"))
-    return sites.allowed(rows, sites.robots_rules(files), "somebot").select("id", "allowed")
+    agent = "Somebot/1.0 (+https://somebot.example)"
+    return sites.allowed(rows, sites.robots_rules(files, agent)).select("id", "allowed")
 
 
 def robots_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +131,9 @@ count(*) AS pages, count(DISTINCT host) AS hosts FROM addr GROUP BY ALL""",
 len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(lower(regexp_replace(regexp_replace(html, '(?s)<(script|style|title)\b.*?</(script|style|title)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')), '[\p{L}\p{N}]+'))::INT AS words,
 starts_with(url, 'https:') AS https FROM pages""",
     "link_crawl_levels": """SELECT lvl::INT AS level, count(*) AS pages FROM (SELECT DISTINCT k, min(floor(log2(k + 1))) AS lvl FROM (SELECT 0 AS k UNION ALL SELECT page_id * 2 + 1 FROM pages UNION ALL SELECT page_id * 2 + 2 FROM pages) GROUP BY k) WHERE lvl <= 5 GROUP BY lvl""",
-    "robots_allowed": rf"""WITH {_URL_SQL} SELECT page_id AS id, CASE length(host) % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE NOT (regexp_matches(path, '\.html$') AND NOT regexp_matches(path, '^/en/1.*5') OR starts_with(path, '/en/1') AND NOT regexp_matches(path, '^/en/1.*5')
-  OR regexp_matches(path, '^/en/1.*5') AND regexp_matches(path, '\.html$') AND false) END AS allowed FROM u""",
+    "robots_allowed": rf"""WITH {_URL_SQL}, rules(allow, pattern, size) AS (VALUES (false, '^/en/1', 5), (true, '^/en/1.*5', 7), (false, '^/.*\.html$', 7)),
+t AS (SELECT page_id, host, regexp_extract(url, '^https?://[^/?#]*([^#]*)', 1) AS rest FROM u), pq AS (SELECT page_id, host, CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END AS path FROM t),
+best AS (SELECT page_id, arg_max(allow, size * 2 + allow::INT) AS allow FROM pq JOIN rules ON regexp_matches(path, pattern) GROUP BY page_id)
+SELECT page_id AS id, CASE length(host) % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE coalesce(allow, true) END AS allowed FROM pq LEFT JOIN best USING (page_id)""",
     "robots_sitemaps": f"WITH {_URL_SQL} SELECT DISTINCT host, s AS url FROM u, LATERAL (SELECT unnest(['https://a.example/s.xml', 'https://' || host || '/t.xml']) AS s)",
 }

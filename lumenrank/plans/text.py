@@ -26,14 +26,14 @@ def keyword_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each question's first words its answer covers, and whether it opens with them."""
-    turns = read_table(spark, sf_dir, "conversations").where("turn <= 1")
-    asked = turns.where("turn = 0").select("conv_id", T.keyword_terms(F.left("text", F.lit(60))).alias("kw"))
-    said = turns.where("turn = 1").select("conv_id", T.terms(F.col("text")).alias("terms"))
-    both = asked.join(said, "conv_id")
+    """How much of what a user says the turn after it covers, and whether that opens with it."""
+    turns = read_table(spark, sf_dir, "conversations")
+    asked = turns.where("role = 'user'").select("conv_id", "turn", T.keyword_terms(F.col("text")).alias("kw"))
+    said = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), T.terms(F.col("text")).alias("terms"))
+    both = asked.join(said, ["conv_id", "turn"])
     share = T.coverage(F.col("kw"), F.col("terms"))
     return both.select(
-        "conv_id", F.floor(share * 1000 + 0.5).alias("coverage_milli"), (share >= 0.999).alias("contains"), T.starts_with_keyword(F.col("terms"), F.col("kw")).alias("opens"),
+        "conv_id", "turn", F.floor(share * 1000 + 0.5).alias("coverage_milli"), (share >= 0.999).alias("contains"), T.starts_with_keyword(F.col("terms"), F.col("kw")).alias("opens"),
         F.floor(T.jaccard(F.col("kw"), F.array_distinct("terms")) * 1000 + 0.5).alias("jaccard_milli"),
     )
 
@@ -114,9 +114,9 @@ mined AS (SELECT a.key, a.n, pages, total, display FROM (SELECT key, n, sum(c)::
 ORACLE_SQL = {
     "stem_terms": _M + "SELECT term, count(*) AS docs FROM (SELECT doc_id, unnest(list_distinct(lr_terms(text))) AS term FROM documents) GROUP BY term",
     "keyword_key": _M + f"SELECT p_partkey, array_to_string(list_sort({_KW.format('p_name')}), ' ') AS key, len({_KW.format('p_type')})::INT AS n_terms FROM part",
-    "coverage": _M + f"""WITH a AS (SELECT conv_id, {_KW.format('left(text, 60)')} AS kw FROM conversations WHERE turn = 0), b AS (SELECT conv_id, lr_terms(text) AS t FROM conversations WHERE turn = 1),
-c AS (SELECT conv_id, kw, t, len(list_intersect(kw, t)) AS i FROM a JOIN b USING (conv_id))
-SELECT conv_id, coalesce(floor(i / nullif(len(kw), 0)::DOUBLE * 1000 + 0.5), 0)::BIGINT AS coverage_milli, coalesce(i / nullif(len(kw), 0)::DOUBLE >= 0.999, false) AS contains, len(kw) > 0 AND t[1 : len(kw)] = kw AS opens,
+    "coverage": _M + f"""WITH a AS (SELECT conv_id, turn, {_KW.format('text')} AS kw FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, turn - 1 AS turn, lr_terms(text) AS t FROM conversations WHERE role = 'assistant'),
+c AS (SELECT conv_id, turn, kw, t, len(list_intersect(kw, t)) AS i FROM a JOIN b USING (conv_id, turn))
+SELECT conv_id, turn, coalesce(floor(i / nullif(len(kw), 0)::DOUBLE * 1000 + 0.5), 0)::BIGINT AS coverage_milli, coalesce(i / nullif(len(kw), 0)::DOUBLE >= 0.999, false) AS contains, len(kw) > 0 AND t[1 : len(kw)] = kw AS opens,
   coalesce(floor(i / nullif(len(list_distinct(list_concat(kw, t))), 0)::DOUBLE * 1000 + 0.5), 0)::BIGINT AS jaccard_milli FROM c""",
     "question_shapes": _M + "SELECT lr_asks(text) AS question, CASE WHEN n < 150 THEN 'very_short' WHEN n < 400 THEN 'short' WHEN n < 900 THEN 'medium' WHEN n < 1800 THEN 'long' ELSE 'very_long' END AS bucket, count(*) AS turns FROM (SELECT text, len(lr_words(text)) AS n FROM conversations) GROUP BY ALL",
     "phrase_document_frequency": _M + f"WITH {_TOKENS} SELECT key, n, pages, total, display FROM mined",

@@ -87,17 +87,17 @@ RULES = "User-agent: *\nDisallow: /fish*\nAllow: /fish/ok\n\nUser-agent: mybot\n
 
 
 def test_robots(spark):
-    assert sites.parse_robots(RULES) == [("*", False, "/fish*"), ("*", True, "/fish/ok"), ("mybot", False, "/*.php$")]
+    assert sites.parse_robots(RULES) == [(["*"], [(False, "/fish*"), (True, "/fish/ok")]), (["mybot"], [(False, "/*.php$")])]
     draw = random.Random(3)
     for _ in range(4000):
         p = "/" + "".join(draw.choice("ab*/") for _ in range(draw.randrange(7))) + draw.choice(["", "$"])
         s = "/" + "".join(draw.choice("ab/") for _ in range(draw.randrange(9)))
         rule = "".join(".*" if c == "*" else re.escape(c) for c in p.removesuffix("$")) + (r"\Z" if p.endswith("$") else "")
         assert sites.pattern_matches(p, s) == bool(re.match(rule, s, re.S)), (p, s)
-    rules = sites.robots_rules(spark.createDataFrame([("a", 200, RULES), ("b", 500, ""), ("c", 404, "")], "host string, status int, text string"))
+    files = spark.createDataFrame([("a", 200, RULES), ("b", 500, ""), ("c", 404, "")], "host string, status int, text string")
     pages = spark.createDataFrame([(1, "a", "/fish/x"), (2, "a", "/fish/ok/1"), (3, "b", "/"), (4, "c", "/"), (5, "d", "/")], "id int, host string, path string")
-    assert [r.allowed for r in sites.allowed(pages, rules, "other").orderBy("id").collect()] == [False, True, False, True, True]
-    assert [r.allowed for r in sites.allowed(pages, rules, "mybot").orderBy("id").collect()][:2] == [True, True]
+    assert [r.allowed for r in sites.allowed(pages, sites.robots_rules(files, "other")).orderBy("id").collect()] == [False, True, False, True, True]
+    assert [r.allowed for r in sites.allowed(pages, sites.robots_rules(files, "MyBot/2.1 (+https://mybot.example)")).orderBy("id").collect()][:2] == [True, True]
 
 
 def test_sitemaps():
@@ -239,3 +239,28 @@ def test_streams(spark, tmp_path):
     got = limits.run_available(spark, folder, rows.schema, limits.progress_stream, "progress", "update")
     best = {r.user_id: (r.last_event, r.events) for r in got.groupBy("user_id").agg(F.max("last_event").alias("last_event"), F.max("events").alias("events")).collect()}
     assert best == {r.user_id: (r.a, r.b) for r in rows.groupBy("user_id").agg(F.max("event_id").alias("a"), F.count(F.lit(1)).alias("b")).collect()}
+
+
+def test_robots_rules_in_place_match_as_one_by_one(spark):
+    import random
+
+    draw = random.Random(1)
+    part = lambda n: "".join(draw.choice("ab/") for _ in range(draw.randrange(n)))
+    rows = []
+    for i in range(300):
+        rules = ["/" + "*".join(part(4) for _ in range(draw.randrange(1, 5))) + draw.choice(["", "$"]) for _ in range(draw.randrange(1, 6))]
+        allow = [draw.random() < 0.5 for _ in rules]
+        rows.append((f"h{i}", 200, "User-agent: *\n" + "\n".join(("Allow: " if a else "Disallow: ") + r for a, r in zip(allow, rules)), list(zip(allow, rules))))
+    files = spark.createDataFrame([r[:3] for r in rows], "host string, status int, text string")
+    pages = [(f"{h}:{k}", h, "/" + part(12)) for h, *_ in rows for k in range(8)]
+    got = {r.id: r.allowed for r in sites.allowed(spark.createDataFrame(pages, "id string, host string, path string"), sites.robots_rules(files, "x")).collect()}
+    of = {h: rules for h, _, _, rules in rows}
+    for i, h, path in pages:
+        hit = [(len(p.removesuffix("$")), a) for a, p in of[h] if sites.pattern_matches(p, path)]
+        assert got[i] == (max(hit)[1] if hit else True), (path, of[h])
+
+
+def test_robots_group_of_the_agent_without_rules():
+    text = "User-agent: fixbot\nDisallow:\n\nUser-agent: *\nDisallow: /\n"
+    assert sites.rules_for(text, "FixBot/1.0 (+https://fixbot.example)") == []
+    assert sites.rules_for(text, "bot") == [(False, "/")]

@@ -62,7 +62,8 @@ def test_partitions_do_not_matter(spark, name):
 
 def test_shares_of_voice_sum_to_one(spark):
     rows = registry.QUERIES["share_of_voice_profiles"](spark, SF).collect()
-    assert 0.8 < sum(r.share_of_voice for r in rows) <= 1.001
+    # each share is rounded to three decimals by itself
+    assert 0.8 < sum(r.share_of_voice for r in rows) <= 1 + 0.0005 * len(rows)
 
 
 def test_citability_never_falls(spark):
