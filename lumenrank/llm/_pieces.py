@@ -46,7 +46,7 @@ class PieceEncoder:
     ``encode_words`` does so for matches of ``pattern``, which are encoded each alone.
     """
 
-    def __init__(self, pattern: str, encode_words: Callable[[list[str]], list[bytes]], keep_pieces: int = 120_000, keep_words: int = 150_000):
+    def __init__(self, pattern: str, encode_words: Callable[[list[str]], list[bytes]], keep_pieces: int = 200_000, keep_words: int = 50_000):
         # the pattern's white space is Unicode's property, whatever the library's \s is
         self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.encode_words = encode_words
@@ -77,9 +77,12 @@ class PieceEncoder:
         parts = list(map(memo.get, rest))
         if None in parts:
             new = self.after_blank.missing([p for p, v in zip(rest, parts, strict=True) if v is None])
-            for at in range(0, len(new), 10_000):
-                run = new[at : at + 10_000]
-                memo.update(zip(run, self._all([" " + p for p in run]), strict=True))
-            parts = list(map(memo.__getitem__, rest))
+            for at in range(0, len(new), 4_000):
+                run = new[at : at + 4_000]
+                # a blank and letters are one match: nothing to cut, nothing to remember twice
+                plain, others = [p for p in run if p.isalpha()], [p for p in run if not p.isalpha()]
+                memo.update(zip(plain, self.encode_words([" " + p for p in plain]), strict=True))
+                memo.update(zip(others, self._all([" " + p for p in others]), strict=True))
+            parts = [memo[p] if v is None else v for p, v in zip(rest, parts, strict=True)]
         ends = self._all([first, " " + last])
         return b"".join([ends[0], *parts, ends[1]])
