@@ -106,9 +106,9 @@ _TOKENS = r"""
 segs AS (SELECT doc_id AS doc, unnest([trim(x) FOR x IN regexp_split_to_array(lower(text), '[.,;:!?()\[\]{}"«»„“”|/\\\n\r\t•·–—]+') IF trim(x) <> '']) AS seg FROM documents),
 toks AS (SELECT doc, [{'raw': w, 'stem': lr_stem(w), 'stop': lr_stop(w)} FOR w IN lr_words(seg)] AS t FROM segs),
 runs AS (SELECT doc, n, unnest([t[i : i + n - 1] FOR i IN range(1, len(t) - n + 2)]) AS run FROM toks, (SELECT unnest([1, 2, 3]) AS n) WHERE len(t) >= n),
-good AS (SELECT doc, n::INT AS n, array_to_string([CASE WHEN x.stop THEN x.raw ELSE x.stem END FOR x IN run], ' ') AS key, array_to_string([x.raw FOR x IN run], ' ') AS surface FROM runs
+good AS MATERIALIZED (SELECT doc, n::INT AS n, array_to_string([CASE WHEN x.stop THEN x.raw ELSE x.stem END FOR x IN run], ' ') AS key, array_to_string([x.raw FOR x IN run], ' ') AS surface FROM runs
   WHERE NOT run[1].stop AND NOT run[-1].stop AND len([1 FOR x IN run IF x.stop]) <= n // 2 AND len([1 FOR x IN run IF regexp_full_match(x.raw, '\p{N}+') OR length(x.raw) < CASE WHEN n = 1 THEN 3 ELSE 2 END]) = 0),
-mined AS (SELECT a.key, a.n, pages, total, display FROM (SELECT key, n, sum(c)::BIGINT AS total, arg_min(surface, (-c, length(surface), surface)) AS display FROM (SELECT key, n, surface, count(*) AS c FROM good GROUP BY ALL) GROUP BY key, n) a
+mined AS MATERIALIZED (SELECT a.key, a.n, pages, total, display FROM (SELECT key, n, sum(c)::BIGINT AS total, arg_min(surface, (-c, length(surface), surface)) AS display FROM (SELECT key, n, surface, count(*) AS c FROM good GROUP BY ALL) GROUP BY key, n) a
   JOIN (SELECT key, count(DISTINCT doc) AS pages FROM good GROUP BY key HAVING count(DISTINCT doc) >= 3) b USING (key))"""
 
 ORACLE_SQL = {
@@ -121,7 +121,8 @@ SELECT conv_id, turn, coalesce(floor(i / nullif(len(kw), 0)::DOUBLE * 1000 + 0.5
     "question_shapes": _M + "SELECT lr_asks(text) AS question, CASE WHEN n < 150 THEN 'very_short' WHEN n < 400 THEN 'short' WHEN n < 900 THEN 'medium' WHEN n < 1800 THEN 'long' ELSE 'very_long' END AS bucket, count(*) AS turns FROM (SELECT text, len(lr_words(text)) AS n FROM conversations) GROUP BY ALL",
     "phrase_document_frequency": _M + f"WITH {_TOKENS} SELECT key, n, pages, total, display FROM mined",
     "prune_subsumed_phrases": _M + f"""WITH {_TOKENS},
-inner_ AS (SELECT DISTINCT key AS whole, array_to_string(string_split(key, ' ')[i : i + m - 1], ' ') AS key, pages FROM mined, (SELECT unnest([1, 2]) AS m), (SELECT unnest([1, 2, 3]) AS i) WHERE m < n AND i + m - 1 <= n),
+split_ AS MATERIALIZED (SELECT string_split(key, ' ') AS w, n, pages FROM mined WHERE n > 1),
+inner_ AS (SELECT unnest(list_concat(w, CASE WHEN n = 3 THEN [w[1] || ' ' || w[2], w[2] || ' ' || w[3]] ELSE [] END)) AS key, pages FROM split_),
 most AS (SELECT key, max(pages) AS p FROM inner_ GROUP BY key)
 SELECT key, n, pages FROM mined LEFT JOIN most USING (key) WHERE coalesce(p, 0) < pages * 0.85::DOUBLE""",
     "duplicate_values_window": r"""WITH d AS (SELECT doc_id AS doc, lang, trim(regexp_replace(lower(text), '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS v FROM documents)
