@@ -20,12 +20,25 @@ INFLECTION_SUFFIXES = ["ове", "ия", "ии", "ие", "и", "а", "я", "е",
 SYNONYMS = {"веб": "уеб", "web": "уеб", "online": "онлайн", "интернет": "онлайн", "site": "сайт", "website": "сайт", "design": "дизайн"}
 MIN_STEM = 3
 FIRST_CYRILLIC = "\u0400"  # first character of the block, in byte order as Spark compares strings
-#: English words without a topic. Cyrillic ones follow a rule (see is_stop) or a parameter.
-STOPWORDS = (
+#: Bulgarian and English words without a topic.
+BULGARIAN_STOPWORDS = """
+а аз ако ала бе без беше би бил била били било били благодаря близо бъдат бъде бяха в вас ваш ваша ваше ваши вече
+ви вие винаги все всеки всички всичко всяка във въпреки върху г ги го година години да дали два двама две двете ден
+днес дни до добре докато дори досега доста друг друга други е едва един една едно ето за зад заедно заради засега
+затова защо защото и из или им има имат иска й каза как каква какво както какъв като кога когато което които кой
+който колко която къде където към ли м май ме между мен ми много мога могат може моля момента му н на над назад
+най напред например нас не него нещо нея ни ние никой нито нищо но някои някой няколко няма обаче около освен
+особено от отново още пак по повече повечето под поне поради после почти прави пред преди през при пък първо с са
+сам само се сега си след следва сме според сред срещу сте съм със също т така такива такъв там твой те тези ти
+то това тогава този той толкова точно трябва тук тъй тя тях у утре ч часа че често чрез ще щом я
+нашата нашият нашите нашето наш наши ваша вашата вашият вашите вашето ни нас вас
+""".split()
+ENGLISH_STOPWORDS = (
     "a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having "
     "he her here hers him his how i if in into is it its just me more most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then there "
     "these they this those through to too under until up very was we were what when where which while who whom why will with would you your"
 ).split()
+STOPWORDS = list(dict.fromkeys([*BULGARIAN_STOPWORDS, *ENGLISH_STOPWORDS]))
 #: Words that open a question.
 QUESTION_WORDS = "как какво какъв каква какви кой коя кое кои кога къде колко защо докога how what why when where which who can should is are do does".split()
 #: A deliberately loose Latin form, and the official streamlined one.
@@ -88,10 +101,8 @@ def stem(w: Column) -> Column:
 
 
 def is_stop(w: Column, stopwords: list[str] | None = None) -> Column:
-    """By default the English list and Cyrillic words of at most two letters; else a list given."""
-    if stopwords is not None:
-        return F.array_contains(F.array(*[F.lit(x) for x in stopwords]), w)
-    return w.isin(STOPWORDS) | ((F.length(w) <= 2) & (w >= FIRST_CYRILLIC) & w.rlike(r"^\p{IsCyrillic}{1,2}$"))
+    """By the fixed Bulgarian and English lists, or by a list given."""
+    return w.isin(STOPWORDS if stopwords is None else stopwords)
 
 
 def is_number(w: Column) -> Column:
@@ -173,3 +184,79 @@ def segments(s: Column) -> Column:
 def title_core(title: Column) -> Column:
     """The part before the first separator."""
     return F.trim(F.split(title, r"\s[|–—-]\s|\s?[|»]\s?").getItem(0))
+
+
+def slug_matches(url: Column, keyword: Column) -> Column:
+    """Whether at least half of the keyword's terms that have a spelling of four letters or more, as
+    stem or as written, in loose Latin, are in the address's host and path."""
+    place = F.try_url_decode(F.regexp_extract(url, r"^(?i:https?)://(?:[^/?#@]*@)?([^?#]*)", 1))
+    slug = loose_latin(F.regexp_replace(place, r"[^\p{L}\p{N}]+", ""))
+    kept = F.transform(F.filter(words(keyword), lambda w: ~is_stop(w)), lambda w: F.struct(stem(w).alias("stem"), w.alias("raw")))
+    spelled = F.transform(kept, lambda t: F.struct(t["stem"].alias("stem"), loose_latin(t["stem"]).alias("a"), loose_latin(t["raw"]).alias("b")))
+    found = F.transform(
+        F.filter(spelled, lambda t: (F.length(t["a"]) >= 4) | (F.length(t["b"]) >= 4)),
+        lambda t: F.struct(t["stem"].alias("stem"), ((F.length(t["a"]) >= 4) & F.contains(slug, t["a"]) | (F.length(t["b"]) >= 4) & F.contains(slug, t["b"])).alias("hit")),
+    )
+    testable = F.size(F.array_distinct(F.transform(found, lambda t: t["stem"])))
+    hits = F.size(F.array_distinct(F.transform(F.filter(found, lambda t: t["hit"]), lambda t: t["stem"])))
+    return F.coalesce((testable > 0) & (hits * 2 >= testable), F.lit(False))
+
+
+def keyword_flags(keyword: Column, title: Column, h1: Column, meta: Column, body: Column, url: Column) -> dict[str, Column]:
+    """What of a page has the keyword; ``h1`` is an array."""
+    kw = keyword_terms(keyword)
+    whole = lambda s: coverage(kw, terms(s)) >= 0.999
+    none = F.lit("")
+    return {
+        "in_title": whole(F.coalesce(title, none)), "in_h1": F.coalesce(F.exists(h1, whole), F.lit(False)), "in_url": slug_matches(url, keyword), "in_meta": whole(F.coalesce(meta, none)),
+        "title_coverage": coverage(kw, terms(F.coalesce(title, none))), "body_coverage": coverage(kw, terms(F.coalesce(body, none))), "starts_title": starts_with_keyword(terms(F.coalesce(title, none)), kw),
+    }
+
+
+def phrase_of(h1: Column, title: Column) -> Column:
+    """What a page is about: its first H1, else its title without the site's name, in lower case; of 4
+    to 90 characters and twelve words at most, or nothing."""
+    head = F.trim(F.regexp_replace(F.coalesce(h1, F.lit("")), r"(?U)\s+", " "))
+    core = F.trim(F.get(F.split(F.coalesce(title, F.lit("")), r"(?U)\s+[|–—·•-]\s+|\s*[|–—·•]\s*"), F.lit(0)))
+    fits = lambda s: F.length(s).between(4, 90) & (F.size(F.split(s, r"(?U)\s+")) <= 12)
+    return F.lower(F.when(fits(head), head).when(fits(core), core))
+
+
+def intro_prose(intro: Column, headings: Column, blocks: int = 2) -> Column:
+    """The first paragraphs of 40 characters or more that are no headings, joined by a blank."""
+    known = F.transform(F.array_compact(headings), for_compare)
+    kept = F.filter(F.transform(F.split(intro, r"\n+"), lambda b: F.trim(F.regexp_replace(b, r"(?U)\s+", " "))), lambda b: (F.length(b) >= 40) & ~F.array_contains(known, for_compare(b)))
+    return F.array_join(F.slice(kept, 1, blocks), " ")
+
+
+def faq_questions(subheads: Column, most: int = 12) -> Column:
+    """Subheadings that ask something, each once, in order."""
+    return F.slice(F.array_distinct(F.filter(subheads, looks_like_question)), 1, most)
+
+
+def as_question(s: Column) -> Column:
+    """Cleaned of list marks, with a question mark and a capital letter."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(s, r"(?U)\s+", " "), r"^[\s\-–•\d.)]+", ""))
+    asked = F.when(clean.endswith("?"), clean).otherwise(F.concat(clean, F.lit("?")))
+    return F.concat(F.upper(F.left(asked, F.lit(1))), F.substr(asked, F.lit(2)))
+
+
+def percent(x: Column) -> Column:
+    """0.29 as "29%"."""
+    return F.concat(F.floor(x * 100 + 0.5).cast("long").cast("string"), F.lit("%"))
+
+
+def interval(rate: Column, low: Column, high: Column) -> Column:
+    """"29% (19–41%)", of equal ends one figure."""
+    a, b = percent(low), percent(high)
+    return F.concat(percent(rate), F.lit(" ("), F.when(a == b, a).otherwise(F.concat(F.rtrim(a, F.lit("%")), F.lit("–"), b)), F.lit(")"))
+
+
+def money(usd: Column) -> Column:
+    """Two decimals, four below a cent; of unknown prices nothing."""
+    return F.when(usd <= 0, "$0").when(usd < 0.01, F.format_string("$%.4f", usd)).otherwise(F.format_string("$%.2f", usd))
+
+
+def latency(ms: Column) -> Column:
+    """"840 ms" or "2.3 s"; a dash where nothing was measured."""
+    return F.when(ms.isNull() | (ms <= 0), "—").when(ms < 1000, F.concat(ms.cast("long").cast("string"), F.lit(" ms"))).otherwise(F.concat(F.format_string("%.1f", F.floor(ms / 100 + 0.5) / 10), F.lit(" s")))

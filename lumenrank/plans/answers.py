@@ -179,3 +179,21 @@ SELECT question_id, url, overlap, row_number() OVER (PARTITION BY question_id OR
     "next_steps": """WITH k AS (SELECT ['discover', 'compare', 'price', 'trust', 'howto', 'local'][o_orderkey % 6 + 1] AS s, ['no_page', 'weak', 'answered'][(o_orderkey // 6) % 3 + 1] AS v, (o_orderkey % 10) / 10.0::DOUBLE AS a, (o_orderkey % 7) / 7.0::DOUBLE AS f FROM orders)
 SELECT CASE WHEN v = 'no_page' THEN CASE s WHEN 'compare' THEN 'write_comparison' WHEN 'price' THEN 'write_prices' WHEN 'howto' THEN 'write_guide' ELSE 'write_page' END WHEN v = 'weak' THEN CASE WHEN a < 0.4 THEN 'new_angle' ELSE 'extend' END WHEN f < 0.5 THEN 'answer_first' ELSE 'keep' END AS step, count(*) AS questions FROM k GROUP BY step""",
 }
+
+_NAMED = """b(domain, own, pattern) AS (VALUES ('ing-studio.example', true, 'ing-studio\\.example'), ('ing-studio.example', true, 'ing-studio'), ('ing-studio.example', true, 'ing studio'), ('ing-studio.example', true, 'ingstudio'),
+  ('tion.example', false, 'tion\\.example'), ('tion.example', false, 'tion'), ('that.example', false, 'that\\.example'), ('that.example', false, 'that'), ('with.example', false, 'with\\.example'), ('with.example', false, 'with')),
+h AS (SELECT answer_id, domain, own, regexp_extract(lower(text), '(?s)^((?:.*?[^\\p{L}\\p{N}])??)' || pattern || '(?:[^\\p{L}\\p{N}]|$)', 1) AS head FROM a, b WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])' || pattern || '([^\\p{L}\\p{N}]|$)')),
+f AS (SELECT answer_id, domain, own, min(length(head) + 1)::BIGINT AS pos FROM h GROUP BY ALL)"""
+_KINDS = """CASE WHEN d IN ('en.wikipedia.org', 'data.gov.bg') THEN 'authority' WHEN d = 'reddit.com' OR t = 'forum_or_social' THEN 'community' WHEN t = 'news_or_media' THEN 'media' WHEN t = 'comparison_listicle' THEN 'compare'
+  WHEN t = 'blog_article' THEN CASE WHEN s >= 0.7 AND w >= 0.6 THEN 'authority' ELSE 'guide' END WHEN t = 'service_page' THEN 'brand' ELSE 'other' END"""
+ORACLE_SQL |= {
+    "brand_mentions_first": f"WITH {_A}, {_NAMED} SELECT answer_id, domain, pos AS first_at FROM f",
+    "answer_analysis": f"""WITH {_A}, {_CITE}, {_NAMED}, o AS (SELECT answer_id, domain, own, min(ordinal) AS first FROM c GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY first) AS place, count(*) OVER (PARTITION BY answer_id) AS n FROM o), w AS (SELECT answer_id, min(place) AS place, max(n) AS n FROM p WHERE own GROUP BY answer_id),
+m AS (SELECT answer_id, pos FROM f WHERE own), r AS (SELECT f.answer_id, count(*) FILTER (f.pos < m.pos) AS before, count(*) AS others FROM f JOIN m USING (answer_id) WHERE NOT own GROUP BY f.answer_id)
+SELECT answer_id, CASE WHEN place IS NOT NULL THEN 'cited' WHEN pos IS NOT NULL THEN 'named' ELSE 'missing' END AS status, CASE WHEN place IS NOT NULL THEN place WHEN pos IS NOT NULL THEN coalesce(before, 0) + 1 END::BIGINT AS position,
+CASE WHEN place IS NOT NULL THEN floor((2000 + n) / (2 * n)) / 1000.0::DOUBLE WHEN pos IS NOT NULL THEN floor((2000 + coalesce(others, 0) + 1) / (2 * (coalesce(others, 0) + 1))) / 1000.0::DOUBLE ELSE 0 END AS share
+FROM a LEFT JOIN w USING (answer_id) LEFT JOIN m USING (answer_id) LEFT JOIN r USING (answer_id)""",
+    "source_kinds": f"""WITH k AS (SELECT ['en.wikipedia.org', 'reddit.com', 'shop.example', 'news.example', 'data.gov.bg', 'x.edu', 'blog.example'][doc_id % 7 + 1] AS d, ['blog_article', 'service_page', 'news_or_media', 'comparison_listicle', 'other', 'forum_or_social'][doc_id % 6 + 1] AS t,
+(doc_id % 10) / 10.0::DOUBLE AS s, (doc_id % 7) / 7.0::DOUBLE AS w FROM documents) SELECT {_KINDS} AS kind, count(*) AS pages FROM k GROUP BY 1""",
+}

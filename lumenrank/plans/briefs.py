@@ -135,3 +135,14 @@ SELECT page, sum(n)::BIGINT AS answers, count(*) AS engines, row_number() OVER (
     "google_rank_lookup": f"""WITH {RESULTS_SQL}, p AS (SELECT url, keyword AS phrase, position, key FROM serp), f AS (SELECT phrase FROM p GROUP BY phrase ORDER BY min((position, key)) LIMIT 10)
 SELECT replace(p.url, '#', '-') AS url, p.phrase, min(s.position) AS rank FROM p JOIN f USING (phrase) LEFT JOIN serp s ON s.keyword = p.phrase AND s.url = p.url GROUP BY ALL""",
 }
+
+ORACLE_SQL |= {
+    "skips_by_question": f"""WITH {_A}, s AS (SELECT conv_id % 9 AS question_id, engine, answer_id AS ordinal, list_distinct([['thin', 'stale', 'no_facts'][answer_id % 3 + 1], ['thin', 'stale', 'no_facts'][answer_id % 2 + 1]]) AS reasons, CASE WHEN answer_id % 4 <> 0 THEN answer_id % 10 / 10.0::DOUBLE END AS score FROM a),
+o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY question_id, engine ORDER BY ordinal) = 1), e AS (SELECT question_id, reason, count(*) AS n FROM (SELECT question_id, unnest(reasons) AS reason FROM o) GROUP BY ALL),
+l AS (SELECT question_id, string_agg(reason, ',' ORDER BY n DESC, reason) AS reasons FROM e GROUP BY question_id)
+SELECT question_id, count(*) AS engines, any_value(l.reasons) AS reasons, min(coalesce(score, -1)) AS score FROM o JOIN l USING (question_id) GROUP BY question_id""",
+    "citation_collection": f"""WITH {_A}, {_CITE}, r AS (SELECT answer_id, ordinal, 'https://www.' || domain || '.example/p' || (ordinal % 2) AS url, domain || '.example' AS domain, 'cited' AS kind FROM c
+UNION ALL SELECT answer_id, ordinal, regexp_replace('https://www.' || domain || '.example/p' || (ordinal % 2), 'p1$', 'p2'), domain || '.example', 'consulted' FROM c),
+o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY answer_id, kind, domain, url ORDER BY ordinal) = 1), k AS (SELECT * FROM o WHERE kind = 'cited' OR NOT EXISTS (SELECT 1 FROM o x WHERE x.kind = 'cited' AND x.answer_id = o.answer_id AND x.domain = o.domain AND x.url = o.url))
+SELECT answer_id, kind, row_number() OVER (PARTITION BY answer_id, kind ORDER BY ordinal)::INT AS place, url, domain FROM k QUALIFY place <= 3""",
+}

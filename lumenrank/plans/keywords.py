@@ -158,3 +158,11 @@ c AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL)
 SELECT lang, term, n, floor((n * 2000 + pages) / (2 * pages)) / 1000.0::DOUBLE AS share, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term)::INT AS place FROM c JOIN p USING (lang) WHERE n >= greatest(2, ceil(pages * 0.4::DOUBLE)) QUALIFY place <= 15""",
     "peer_median_and_nearest_rank": """SELECT l_returnflag, l_linestatus, median(l_quantity::BIGINT)::DOUBLE AS median, list_sort(list(l_quantity::BIGINT))[floor((count(*) - 1) * 0.75 + 0.5)::INT + 1] AS p75, count(*) AS rows FROM lineitem GROUP BY ALL""",
 }
+
+SPACES = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+ORACLE_SQL |= {
+    "question_screening": _M + rf"""WITH q AS (SELECT conv_id, trim(regexp_replace(text, '{SPACES}', ' ', 'g')) AS text, (turn % 5)::INT AS rank, conv_id * 100 + turn AS ord FROM conversations WHERE role = 'user'),
+k AS (SELECT *, array_to_string(list_sort({_KW.format('text')}), ' ') AS key FROM q WHERE length(text) BETWEEN 10 AND 200),
+o AS (SELECT key, arg_min(text, (rank, ord)) AS text, arg_min(rank, (rank, ord)) AS rank, arg_min(conv_id, (rank, ord)) AS conv_id, min(ord) AS ord FROM k GROUP BY key),
+j AS (SELECT o.*, CASE WHEN quality IS NULL THEN 0.5::DOUBLE ELSE quality * 0.9::DOUBLE END AS relevance FROM o LEFT JOIN labels ON conv_id = doc_id) SELECT key, text, rank, ord, relevance FROM j WHERE relevance >= 0.5""",
+}

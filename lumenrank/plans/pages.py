@@ -137,3 +137,8 @@ best AS (SELECT page_id, arg_max(allow, size * 2 + allow::INT) AS allow FROM pq
 SELECT page_id AS id, CASE length(host) % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE coalesce(allow, true) END AS allowed FROM pq LEFT JOIN best USING (page_id)""",
     "robots_sitemaps": f"WITH {_URL_SQL} SELECT DISTINCT host, s AS url FROM u, LATERAL (SELECT unnest(['https://a.example/s.xml', 'https://' || host || '/t.xml']) AS s)",
 }
+
+ORACLE_SQL |= {
+    "sitemap_pages": f"WITH {_URL_SQL} SELECT host AS source, 'urls' AS kind, count(*) AS urls, count(DISTINCT key) AS pages FROM addr GROUP BY host",
+    "public_addresses": "SELECT public, count(*) AS addresses FROM (SELECT true AS public FROM pages UNION ALL SELECT page_id % 7 = 6 FROM pages) GROUP BY public",
+}

@@ -155,3 +155,18 @@ SELECT p_partkey || ',' || {_CELL('name')} || ',' || p_size AS line FROM q""",
     "report_index": "SELECT o_orderkey AS id, o_orderstatus AS kind, strftime(o_orderdate, '%Y-%m-%d') AS created_at, o_orderpriority AS keyword FROM orders ORDER BY created_at DESC, id LIMIT 100",
     "audit_figures": "SELECT count(*) AS pages, count(quality) AS judged, count(*) FILTER (quality = 1) AS good, count(DISTINCT source) AS sources, bool_or(quality IS NULL) AS partial, CASE WHEN count(toxic) = count(*) THEN sum(toxic)::BIGINT END AS cost FROM documents LEFT JOIN labels USING (doc_id)",
 }
+
+_J = """j AS (SELECT doc_id, (doc_id * 7 % 11)::DOUBLE AS a, (doc_id * 5 % 7)::DOUBLE AS b, (doc_id % 3)::DOUBLE AS c FROM labels),
+n AS (SELECT doc_id, CASE WHEN a + b + c > 0 THEN [a / (a + b + c), b / (a + b + c), c / (a + b + c)] ELSE [1.0::DOUBLE / 3, 1.0::DOUBLE / 3, 1.0::DOUBLE / 3] END AS p FROM j),
+r AS (SELECT doc_id, p, list_sort([(-p[1], 0, 'a'), (-p[2], 1, 'b'), (-p[3], 2, 'c')]) AS o, list_position(p, list_max(p)) - 1 AS mode FROM n)"""
+ORACLE_SQL |= {
+    "judgment_parsing": f"""WITH {_J} SELECT doc_id, o[1][3] AS value, floor(-o[1][1] * 1000 + 0.5) / 1000.0::DOUBLE AS p, o[2][3] AS runner_up, floor(greatest(0, least(1, (-o[1][1] - 1.0::DOUBLE / 3) / (1 - 1.0::DOUBLE / 3))) * 1000 + 0.5) / 1000.0::DOUBLE AS confidence,
+floor((p[2] + p[3] * 2) / 2 * 1000 + 0.5) / 1000.0::DOUBLE AS score, floor(greatest(0, least(1, 1 - (p[1] * abs(0 - mode) + p[2] * abs(1 - mode) + p[3] * abs(2 - mode)) / (2.0::DOUBLE / 3))) * 1000 + 0.5) / 1000.0::DOUBLE AS score_confidence FROM r""",
+    "merged_twins": """WITH m AS (SELECT doc_id, (doc_id * 7 % 11 / 10.0::DOUBLE + doc_id * 3 % 11 / 10.0::DOUBLE) / 2 AS a, ((1 - doc_id * 7 % 11 / 10.0::DOUBLE) + (1 - doc_id * 3 % 11 / 10.0::DOUBLE)) / 2 AS b FROM labels)
+SELECT doc_id, CASE WHEN a >= b THEN 'a' ELSE 'b' END AS value, floor(greatest(a, b) * 1000 + 0.5) / 1000.0::DOUBLE AS p FROM m""",
+    "tracked_registry": """WITH t AS (SELECT s_name AS domain, s_suppkey::BIGINT AS added_at FROM supplier), f AS (SELECT s_name || CASE WHEN s_suppkey % 2 = 0 THEN 'x' ELSE '' END AS domain, s_suppkey::BIGINT + 1000 AS added_at FROM supplier),
+b AS (SELECT * FROM t UNION ALL SELECT * FROM f WHERE domain NOT IN (SELECT domain FROM t)), g AS (SELECT domain, min(added_at) AS added_at FROM b GROUP BY domain ORDER BY 2, 1 LIMIT 100)
+SELECT domain, added_at FROM g WHERE domain <> 'Supplier#000000002'""",
+    "markdown_export": r"""WITH r AS (SELECT p_name, p_type, '*' || p_brand || '_' AS brand FROM part ORDER BY p_name, p_type, 3 LIMIT 30), e AS (SELECT [regexp_replace(x, '([\\`*_{}\[\]()#+|<>!~-])', '\\\1', 'g') FOR x IN [p_name, p_type, brand]] AS c FROM r)
+SELECT '| ' || array_to_string(c, ' | ') || ' |' AS line FROM e UNION ALL SELECT unnest(['| p_name | p_type | brand |', '| --- | --- | --- |'])""",
+}
