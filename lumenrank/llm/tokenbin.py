@@ -152,7 +152,7 @@ def _library(tokenizer_json: str, pattern: str, plain_specials: bool) -> Callabl
 
     made = Tokenizer.from_str(tokenizer_json)
     made.encode_special_tokens = plain_specials
-    pieces = PieceEncoder(pattern, lambda words: [array("I", x.ids).tobytes() for x in made.encode_batch_fast(words, add_special_tokens=False)], 400_000, 50_000)
+    pieces = PieceEncoder(pattern, lambda words: [array("I", x.ids).tobytes() for x in made.encode_batch_fast(words, add_special_tokens=False)], 500_000, 100_000)
     added = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens") or []]
 
     def encode(text: str) -> bytes:
