@@ -254,7 +254,7 @@ def interval(rate: Column, low: Column, high: Column) -> Column:
 
 def money(usd: Column) -> Column:
     """Two decimals, four below a cent; of unknown prices nothing."""
-    return F.when(usd <= 0, "$0").when(usd < 0.01, F.format_string("$%.4f", usd)).otherwise(F.format_string("$%.2f", usd))
+    return F.when(usd <= 0, "$0").when(usd < 0.01, F.format_string("$%.4f", usd)).otherwise(F.format_string("$%.2f", F.floor(usd * 100 + 0.5) / 100))
 
 
 def latency(ms: Column) -> Column:

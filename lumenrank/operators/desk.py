@@ -154,11 +154,11 @@ EXPECTED_SCHEMA = {
 
 def has_expected_schema(page_type: Column, types: Column) -> Column:
     """Null where a type of page has no markup of its own."""
-    out = None
-    for name, pattern in EXPECTED_SCHEMA.items():
-        rule = F.exists(types, lambda t, p=pattern: t.rlike(p))
-        out = F.when(page_type == name, rule) if out is None else out.when(page_type == name, rule)
-    return out
+
+    def any_like(pattern: str) -> Column:
+        return F.exists(types, lambda t: t.rlike(pattern))
+
+    return F.coalesce(*[F.when(page_type == name, any_like(pattern)) for name, pattern in EXPECTED_SCHEMA.items()])
 
 
 def brief_summary(c: dict[str, Column]) -> Column:

@@ -79,6 +79,28 @@ def _cut_sql(w: str, suffixes: list[str]) -> str:
     return "CASE " + " ".join(f"WHEN ends_with({w}, '{x}') AND length({w}) >= {len(x) + 3} THEN left({w}, length({w}) - {len(x)})" for x in suffixes) + f" ELSE {w} END"
 
 
+def _loose_sql() -> str:
+    out = "lower(s)"
+    for c, to in zip(T.CYRILLIC, T.LOOSE, strict=True):
+        out = f"replace({out}, '{c}', '{to}')"
+    for pattern, to in T._FOLDS[:-1]:
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    return out
+
+
+def _streamlined_sql(x: str) -> str:
+    out = f"lower({x})"
+    for c, to in zip(T.CYRILLIC, T.STREAMLINED, strict=True):
+        out = f"replace({out}, '{c}', '{to}')"
+    return out
+
+
+#: A run of one character as one: without back references by looking at the character before.
+_LOOSE = _loose_sql()
+_SPACES = r"[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+"
+_WS_TRIM = rf"trim(regexp_replace(regexp_replace({{0}}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{{{{AD}}}}\x{{{{61C}}}}\x{{{{200B}}}}-\x{{{{200F}}}}\x{{{{2028}}}}-\x{{{{202F}}}}\x{{{{2060}}}}-\x{{{{206F}}}}\x{{{{FEFF}}}}\x{{{{E0000}}}}-\x{{{{E007F}}}}]', '', 'g'), '{_SPACES}', ' ', 'g'))"
+
+
 def _macros() -> str:
     stop = ", ".join(f"'{w}'" for w in T.STOPWORDS)
     same = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in T.SYNONYMS.items())
@@ -96,11 +118,15 @@ CREATE OR REPLACE TEMP MACRO lr_stop(w) AS w IN ({stop});
 CREATE OR REPLACE TEMP MACRO lr_words(s) AS regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}]+');
 CREATE OR REPLACE TEMP MACRO lr_terms(s) AS [lr_stem(w) FOR w IN lr_words(s) IF NOT lr_stop(w) AND NOT regexp_full_match(w, '\p{{N}}+') AND length(w) >= 2];
 CREATE OR REPLACE TEMP MACRO lr_topic(s) AS [w FOR w IN lr_words(s) IF NOT lr_stop(w)];
+CREATE OR REPLACE TEMP MACRO lr_spelled(s) AS {_LOOSE};
+CREATE OR REPLACE TEMP MACRO lr_once(s) AS array_to_string([s[i] FOR i IN range(1, length(s) + 1) IF i = 1 OR s[i] <> s[i - 1]], '');
+CREATE OR REPLACE TEMP MACRO lr_loose(s) AS lr_once(lr_spelled(s));
 CREATE OR REPLACE TEMP MACRO lr_asks(s) AS ends_with(trim(s), '?') OR coalesce(lr_words(s)[1] IN ({asks}), false);
 """
 
 
 _M = _macros()
+_FOLD = r"regexp_replace(regexp_replace(lower(text), '\\p{Pd}', '-', 'g'), '(^|[^\\p{L}])(?:уеб|веб|web)[\\s-]*(?:сайт|site)s?', '\\1сайт', 'g')".replace("\\\\", "\\")
 _KW = "list_distinct([lr_stem(w) FOR w IN CASE WHEN len(lr_topic({0})) > 0 THEN lr_topic({0}) ELSE lr_words({0}) END])"
 _TOKENS = r"""
 segs AS (SELECT doc_id AS doc, unnest([trim(x) FOR x IN regexp_split_to_array(lower(text), '[.,;:!?()\[\]{}"«»„“”|/\\\n\r\t•·–—]+') IF trim(x) <> '']) AS seg FROM documents),
@@ -125,6 +151,9 @@ split_ AS MATERIALIZED (SELECT string_split(key, ' ') AS w, n, pages FROM mined
 inner_ AS (SELECT unnest(list_concat(w, CASE WHEN n = 3 THEN [w[1] || ' ' || w[2], w[2] || ' ' || w[3]] ELSE [] END)) AS key, pages FROM split_),
 most AS (SELECT key, max(pages) AS p FROM inner_ GROUP BY key)
 SELECT key, n, pages FROM mined LEFT JOIN most USING (key) WHERE coalesce(p, 0) < pages * 0.85::DOUBLE""",
+    "text_cleaning": _M + f"""WITH s AS (SELECT doc_id AS doc, text, {_WS_TRIM.format('text')} AS x, lr_spelled(text) AS spelled, regexp_replace(regexp_replace({_streamlined_sql('text')}, '[^a-z0-9]+', '-', 'g'), '^-+', '') AS slug FROM documents),
+h AS (SELECT *, left(x, 79) AS head FROM s), p AS (SELECT *, CASE WHEN contains(head, ' ') THEN length(head) - strpos(reverse(head), ' ') END AS pos FROM h)
+SELECT doc, md5(x) AS squashed, md5({_FOLD}) AS folded, CASE WHEN length(x) <= 80 THEN x ELSE rtrim(CASE WHEN pos > 48 THEN left(head, pos) ELSE head END) || '…' END AS clipped, regexp_replace(left(slug, 40), '-+$', '') AS slug, md5(lr_once(spelled)) AS loose FROM p""",
     "duplicate_values_window": r"""WITH d AS (SELECT doc_id AS doc, lang, trim(regexp_replace(lower(text), '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS v FROM documents)
 SELECT doc, lang, CASE WHEN v IS NULL OR v = '' THEN 1 ELSE count(*) OVER (PARTITION BY lang, v) END::BIGINT AS same FROM d""",
 }
