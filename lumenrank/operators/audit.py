@@ -175,20 +175,3 @@ def pages_worth_rewriting(verdicts: DataFrame, k: int = 24) -> DataFrame:
     changed = verdicts.where(F.col("element").isin("title", "meta", "h1", "intro") & (F.col("issue") != "keep"))
     milli = F.floor(F.col("impact") * 1000 + 0.5).cast("long")
     return changed.groupBy("url").agg(F.sum(milli).alias("impact_milli"), F.count(F.lit(1)).alias("changes")).orderBy(F.desc("impact_milli"), "url").limit(k)
-
-
-def page_signals(m: dict[str, Column], year: int) -> tuple[Column, Column]:
-    """Strengths and weaknesses as arrays of names, by fixed thresholds."""
-    useful = F.size(F.filter(m["schema_types"], lambda t: ~t.isin(GENERIC_SCHEMA))) > 0
-    alt = m["images_alt"] / F.nullif(m["images"].cast("double"), F.lit(0.0))
-    n, d = F.length(m["title"]), F.length(m["description"])
-    strong = [
-        (m["words"] >= F.greatest(F.lit(1000.0), m["peer_median"] * 1.25), "long"), ((m["title_coverage"] >= 0.999) & m["in_h1"], "on_phrase"), (useful, "schema"), (m["faq_schema"] | m["faq_section"], "faq"),
-        ((m["images"] >= 5) & (alt >= 0.8), "images"), (m["latest_year"] >= year - 1, "current"), ((m["ttfb_ms"] >= 1) & (m["ttfb_ms"] < 400), "fast"),
-    ]
-    weak = [
-        (m["words"] < F.lit(300), "thin"), (m["words"] < m["peer_median"] * 0.5, "shorter_than_peers"), (m["title_coverage"] < 0.5, "off_phrase"), (m["h1"] == 0, "no_h1"), (m["h1"] > 1, "several_h1"), (m["description"].isNull(), "no_meta"),
-        ((d < 50) | (d > 200), "bad_meta"), ((n > 70) | n.between(1, 19), "bad_title"), (~useful, "no_schema"), (~m["viewport"], "no_viewport"), (~m["https"], "no_https"), (m["noindex"], "noindex"), ((m["images"] >= 5) & (alt < 0.4), "no_alt"),
-        (m["latest_year"] <= year - 3, "dated"), (m["ttfb_ms"] > 1500, "slow"),
-    ]
-    return tuple(F.array_compact(F.array(*[F.when(r, F.lit(s)) for r, s in rules])) for rules in (strong, weak))

@@ -1,7 +1,8 @@
 """Facts of a web page, one row a page, from a tolerant streaming parser.
 
-A page is cut to MOST_CHARS, its elements to MOST_ELEMENTS and its time to a budget; a page
-that fails gives a row with status 'error', never a failed task.
+Pages are read within ``Limits``, each of which can be lifted (None); ``cut`` names those that a
+page ran into. The parser takes time in proportion to the page, and no clock decides on a row unless
+``seconds`` is given. A page that fails gives a row with status 'error', never a failed task.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import json
 import re
 import time
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
@@ -18,20 +20,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_CHARS, MOST_ELEMENTS, MOST_DEPTH, BUDGET_S = 1_500_000, 120_000, 256, 4.0
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What of a page is looked at, at most."""
+
+    chars: int | None = 1_500_000
+    elements: int | None = 120_000
+    depth: int | None = 256
+    links: int | None = 5_000
+    text: int | None = 400_000
+    seconds: float | None = None
+
+
 #: What carries no text, what starts a line, what frames a page.
-SILENT = {"script", "style", "noscript", "template", "svg", "canvas", "iframe", "object"}
+SILENT = {"script", "style", "noscript", "template", "svg", "canvas", "iframe", "object", "textarea", "option", "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul", "option", "title"}
 FRAME = {"nav", "header", "footer", "aside"}
 SOCIAL = {"facebook.com", "instagram.com", "twitter.com", "x.com", "linkedin.com", "youtube.com", "tiktok.com", "pinterest.com", "t.me", "viber.com", "whatsapp.com", "google.com"}
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0(?![.\d])|opacity\s*:\s*0(?![.\d])", re.I)
 _WORD = re.compile(r"[^\W_]+")
-_FAQ = re.compile(r"\bfaq\b|frequently asked|често задавани|въпроси и отговори", re.I)
-_CTA = re.compile(r"contact|quote|order|buy|book|start|sign up|call|свържете|поръчай|запитване|оферта|купи|запази|обади", re.I)
-_PROOF = re.compile(r"\b\d+\+? (?:clients|customers|projects|reviews)|testimonial|отзиви|клиенти|проекта", re.I)
-_PRICE = re.compile(r"(?:[€$£]\s?\d[\d.,]*|\d[\d.,]*\s?(?:€|\$|£|lv\.?|лв\.?|eur|usd|bgn)(?!\w))", re.I)
-_PHONE, _EMAIL = re.compile(r"(?<!\d)\+?\d[\d\s().-]{7,20}\d(?!\d)"), re.compile(r"[a-z0-9._%+-]{1,64}@[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,4}", re.I)
+#: Patterns by which texts are told to be a call, a price, a number to call and so on.
+_FAQ = re.compile(r"\bfaq\b|frequently asked|често\s+задавани|въпроси и отговори|f\.a\.q", re.I)
+_CTA = re.compile(
+    r"поръч|заяви|заявка|свържи|свържете|запитване|оферт|консултаци|безплатн|започн|разбер|виж\s+цен|изпрат|обади|звънни|купи|регистр|пробв|демо|contact|get\s+(?:a\s+)?(?:quote|started)|request|order|buy|book|free\s+(?:quote|consult)|call\s+us|start\s+now", re.I
+)
+_PROOF = re.compile(r"доволн[иа]|клиент|отзив|препоръ|проект|портфолио|референци|рейтинг|оценк|testimonial|case\s+study|★|⭐", re.I)
+_WORK = re.compile(r"портфолио|проекти|референци|клиент|отзив|case|работи|примери|portfolio|testimonial", re.I)
+_PRICE = re.compile(r"(?:от\s+)?\d[\d\s.,]{0,8}\s?(?:лв\.?|лева|bgn|eur|евро|€|usd|\$)(?:\s?(?:/|на)\s?(?:месец|мес\.?|година|час))?", re.I)
+_PRICE_WORD = re.compile(r"\b(?:ценова\s+листа|ценообразуване|цени|цената|цена|pricing|price)\b", re.I)
+_PHONE = re.compile(r"(?<![\w.])(?:\+|00|0)\d[\d\s().-]{6,16}\d")
+_EMAIL = re.compile(r"[a-z0-9._%+-]{1,64}@[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,8}\.[a-z]{2,24}", re.I)
+_ABOUT = re.compile(r"за\s+нас|кои\s+сме|екип|about|team|компания", re.I)
+_ADDRESS = re.compile(r"\b(?:ул|бул|гр|пл|ж\.к|жк)\.\s?\w", re.I)
+_REGISTRATION = re.compile(r"\b(?:ЕИК|булстат|ддс\s*(?:номер|№)|vat\s*(?:number|no)?)\b|(?-i:\b(?:ЕООД|ООД|АД|ЕТ)\b)", re.I)
+_BANNER, _CONSENT, BANNER_CHARS = re.compile("cookie", re.I), re.compile("consent|gdpr", re.I), 800
 _YEAR = re.compile(r"(?<!\d)20[0-3]\d(?!\d)")
 _DATE = re.compile(r"^(\d{4})-(\d\d)-(\d\d)(?:[T ](\d\d):(\d\d)(?::(\d\d)(?:\.\d{1,9})?)?\s*(Z|[+-]\d\d:?\d\d)?)?$")
 _QUESTION = re.compile(r"\?\s*$|^(?:how|what|why|when|where|which|who|can|should|is|are|do|does|как|какво|кой|кога|къде|колко|защо)\b", re.I)
@@ -39,9 +64,9 @@ _QUESTION = re.compile(r"\?\s*$|^(?:how|what|why|when|where|which|who|can|should
 HEADING = pa.struct([("level", pa.int32()), ("text", pa.string())])
 FACTS = pa.struct(
     [(n, pa.string()) for n in ("status", "title", "description", "canonical", "lang", "intro", "middle", "modified_at", "published_at")]
-    + [(n, pa.bool_()) for n in ("canonical_self", "noindex", "viewport", "https", "faq_schema", "faq_section", "author", "form", "about_link", "registration")]
+    + [(n, pa.bool_()) for n in ("canonical_self", "noindex", "viewport", "https", "faq_schema", "faq_section", "author", "form", "about_link", "registration", "address")]
     + [(n, pa.int64()) for n in ("words", "h1", "h2", "h3", "links_in", "links_out", "images", "images_alt", "tables", "lists", "phones", "emails", "external_domains", "latest_year")]
-    + [(n, pa.list_(pa.string())) for n in ("schema_types", "faq_questions", "cta", "nav", "prices", "proof", "hosts")]
+    + [(n, pa.list_(pa.string())) for n in ("schema_types", "faq_questions", "cta", "nav", "prices", "proof", "hosts", "work", "cut")]
     + [("headings", pa.list_(HEADING))]
 )
 
@@ -62,31 +87,53 @@ def parse_date(text: str | None, now: datetime) -> datetime | None:
 
 
 class _Page(HTMLParser):
-    def __init__(self, deadline: float):
+    """Collects what the facts are made of, in one pass."""
+
+    def __init__(self, limits: Limits):
         super().__init__(convert_charrefs=True)
-        self.deadline, self.seen = deadline, 0
-        self.stack: list[tuple[str, bool, bool, bool]] = []  # name, hidden, in a frame, in main or article
-        self.lines: dict[str, list[str]] = {"body": [""], "main": [""], "all": [""]}
+        self.limits, self.seen, self.cut = limits, 0, set()
+        self.deadline = None if limits.seconds is None else time.monotonic() + limits.seconds
+        self.stack: list[tuple[str, bool, bool]] = []  # name, hidden, in a frame
+        self.lines: dict[str, list[str]] = {"body": [""], "all": [""]}
         self.meta: dict[str, str] = {}
         self.root_lang = self.canonical = self.base = None
         self.title, self.heads, self.head = [], [], None
         self.links, self.ld, self.catch = [], [], None
-        self.images = self.alts = self.tables = self.lists = self.inputs = 0
-        self.textarea = self.byline = False
-        self.ctas, self.navs, self.times, self.types = [], [], [], []
-
-    def _state(self) -> tuple[bool, bool, bool]:
-        return self.stack[-1][1:] if self.stack else (False, False, False)
+        self.images = self.alts = self.tables = self.lists = 0
+        self.form = self.byline = False
+        self.ctas, self.times, self.types = [], [], []
+        self.open_tables: list[list[int]] = []  # rows, cells of the first
+        self.open_lists: list[int] = []  # items
+        self.open_form: list | None = None  # a search form, text fields, text areas
+        self.roots: dict[str, list[tuple[int, int]]] = {"main": [], "article": []}
+        self.open_roots: list[tuple[str, int, int]] = []  # kind, depth in the stack, first line
+        self.banner: tuple | None = None
+
+    def _state(self) -> tuple[bool, bool]:
+        return self.stack[-1][1:] if self.stack else (False, False)
+
+    def _mark(self) -> tuple:
+        return {k: (len(x), x[-1]) for k, x in self.lines.items()}, len(self.heads), len(self.links), len(self.ctas)
+
+    def _undo(self, mark: tuple) -> None:
+        """Forget what came since ``mark``."""
+        at, heads, links, ctas = mark
+        for k, (n, last) in at.items():
+            self.lines[k][n - 1 :] = [last]
+        del self.heads[heads:], self.links[links:], self.ctas[ctas:]
 
     def handle_starttag(self, tag, attrs):
         self.seen += 1
-        if self.seen > MOST_ELEMENTS or self.seen % 512 == 0 and time.monotonic() > self.deadline:
-            raise TimeoutError
+        if self.limits.elements is not None and self.seen > self.limits.elements:
+            raise _Enough("elements")
+        if self.deadline is not None and self.seen % 512 == 0 and time.monotonic() > self.deadline:
+            raise _Enough("seconds")
         a = {k: v or "" for k, v in attrs}
-        hidden, frame, main = self._state()
+        hidden, frame = self._state()
         hidden |= tag in SILENT or "hidden" in a or a.get("aria-hidden") == "true" or bool(_HIDDEN.search(a.get("style", "")))
-        frame |= tag in FRAME or a.get("role") in ("navigation", "banner", "contentinfo")
-        main |= tag in ("main", "article") and not frame
+        frame |= tag in FRAME or a.get("role") in ("navigation", "banner", "contentinfo", "complementary")
+        if tag in BLOCK:
+            self._line()
         if tag == "html":
             self.root_lang = a.get("lang", "")[:35] or None
         elif tag == "meta":
@@ -100,56 +147,133 @@ class _Page(HTMLParser):
         elif tag == "img":
             self.images += 1
             self.alts += bool(a.get("alt", "").strip())
-        elif tag == "table":
-            self.tables += 1
-        elif tag in ("ul", "ol") and not frame:
-            self.lists += 1
-        elif tag == "textarea":
-            self.textarea = True
-        elif tag == "input" and a.get("type", "text") in ("text", "email", "tel"):
-            self.inputs += 1
         elif tag == "time" and a.get("datetime") and not frame:
             self.times.append(a["datetime"])
-        self.byline |= a.get("rel") == "author" or a.get("itemprop") == "author" or bool(re.search(r"\bauthor\b|\bbyline\b", a.get("class", ""), re.I))
+        self._structure(tag, a, frame)
+        self.byline |= a.get("rel") == "author" or a.get("itemprop") == "author" or bool(re.search(r"\bauthor\b|\bbyline\b|\bpost-author\b", a.get("class", ""), re.I))
         if "itemtype" in a:
             self.types.append(a["itemtype"].rstrip("/").rpartition("/")[2])
         if tag in ("h1", "h2", "h3", "h4") and not frame and not hidden:
             self.head = (int(tag[1]), [])
-        if tag == "a" and a.get("href") is not None and len(self.links) < 5000:
-            self.links.append([a["href"], [], frame, a.get("rel", "")])
-        if tag == "script" and a.get("type", "").lower() == "application/ld+json" and len(self.ld) < 20:
+        if tag == "a" and a.get("href") is not None:
+            if self.limits.links is None or len(self.links) < self.limits.links:
+                self.links.append([a["href"], [], frame, a.get("rel", "")])
+            else:
+                self.cut.add("links")
+        if tag == "script" and a.get("type", "").lower() == "application/ld+json":
             self.catch = []
-        if tag in BLOCK:
-            self._line()
-        if tag not in VOID and len(self.stack) < MOST_DEPTH:
-            self.stack.append((tag, hidden, frame, main))
+        if tag in VOID:
+            return
+        if self.limits.depth is not None and len(self.stack) >= self.limits.depth:
+            self.cut.add("depth")
+            return
+        named = f"{a.get('id', '')} {a.get('class', '')}"
+        if self.banner is None and (tag in ("div", "section", "aside") and _BANNER.search(named) or tag == "div" and _CONSENT.search(named)):
+            self.banner = (len(self.stack), self._mark())
+        elif self.banner is not None and tag in ("main", "article", "h1"):
+            self.banner = None  # a page wrapped in such a class
+        kind = "main" if tag == "main" or a.get("role") == "main" else "article" if tag == "article" else None
+        if kind:
+            self.open_roots.append((kind, len(self.stack), len(self.lines["all"]) - 1))
+        self.stack.append((tag, hidden, frame))
+
+    def _structure(self, tag: str, a: dict[str, str], frame: bool) -> None:
+        """Tables of two rows and columns, lists of three items, forms to write to someone."""
+        if tag == "form":
+            self.open_form = [a.get("role") == "search", 0, 0]
+        elif self.open_form and tag == "textarea":
+            self.open_form[2] += 1
+        elif self.open_form and tag == "input":
+            kind = a.get("type", "text").lower() or "text"
+            self.open_form[0] |= kind == "search"
+            self.open_form[1] += kind not in ("hidden", "submit", "button", "checkbox", "radio", "search")
+        if frame:
+            return
+        if tag == "table":
+            self.open_tables.append([0, 0])
+        elif tag == "tr" and self.open_tables:
+            self.open_tables[-1][0] += 1
+        elif tag in ("td", "th") and self.open_tables and self.open_tables[-1][0] == 1:
+            self.open_tables[-1][1] += 1
+        elif tag in ("ul", "ol"):
+            self.open_lists.append(0)
+        elif tag == "li" and self.open_lists:
+            self.open_lists[-1] += 1
 
     def _line(self):
         for x in self.lines.values():
             if x[-1]:
                 x.append("")
 
+    def _close_structure(self, tag: str) -> None:
+        if tag == "table" and self.open_tables:
+            rows, cells = self.open_tables.pop()
+            self.tables += rows >= 2 and cells >= 2
+        elif tag in ("ul", "ol") and self.open_lists:
+            self.lists += self.open_lists.pop() >= 3
+        elif tag == "form" and self.open_form:
+            search, fields, areas = self.open_form
+            self.form |= not search and (areas > 0 or fields >= 3)
+            self.open_form = None
+
     def handle_endtag(self, tag):
         if tag == "script" and self.catch is not None:
-            self.ld.append("".join(self.catch)[:200_000])
+            self.ld.append("".join(self.catch))
             self.catch = None
         if self.head and tag == f"h{self.head[0]}":
-            text = " ".join("".join(self.head[1]).split())[:200]
-            if text and (not self.heads or self.heads[-1] != (self.head[0], text)) and len(self.heads) < 60:
-                self.heads.append((self.head[0], text))
-            self.head = None
+            self._heading()
         if tag in BLOCK:
             self._line()
+        self._close_structure(tag)
         for i in range(len(self.stack) - 1, max(-1, len(self.stack) - 40), -1):
             if self.stack[i][0] == tag:
                 del self.stack[i:]
                 break
+        self._leave()
+
+    def _leave(self) -> None:
+        """Roots and banners whose element has been closed."""
+        while self.open_roots and self.open_roots[-1][1] >= len(self.stack):
+            kind, _, first = self.open_roots.pop()
+            self.roots[kind].append((first, len(self.lines["all"])))
+        if self.banner is not None and self.banner[0] >= len(self.stack):
+            mark, self.banner = self.banner[1], None
+            n, last = mark[0]["all"]
+            if len("".join(self.lines["all"][n - 1 :])) - len(last) <= BANNER_CHARS:
+                self._undo(mark)
+
+    def _heading(self) -> None:
+        text = " ".join("".join(self.head[1]).split())
+        if 0 < len(text) <= 200 and (not self.heads or self.heads[-1] != (self.head[0], text)) and len(self.heads) < 60:
+            self.heads.append((self.head[0], text))
+        self.head = None
+
+    def finish(self) -> None:
+        """What a page leaves open ends with it."""
+        if self.head:
+            self._heading()
+        for tag, some in (("table", self.open_tables), ("ul", self.open_lists)):
+            while some:
+                self._close_structure(tag)
+        self._close_structure("form")
+        self.stack.clear()
+        self._leave()
+
+    def root(self) -> list[str]:
+        """Lines of the main part, of the longest article, or of the body without its frame."""
+        tidy = lambda some: [" ".join(x.split()) for x in some if x.strip()]
+        size = lambda some: sum(map(len, some))
+        for a, b in sorted(self.roots["main"])[:1]:
+            if size(tidy(self.lines["all"][a:b])) >= 300:
+                return tidy(self.lines["all"][a:b])
+        best = max((tidy(self.lines["all"][a:b]) for a, b in sorted(self.roots["article"])), key=size, default=[])
+        return best if size(best) >= 600 else tidy(self.lines["body"])
 
     def handle_data(self, data):
         if self.catch is not None:
             self.catch.append(data)
             return
-        hidden, frame, main = self._state()
+        hidden, frame = self._state()
         names = {s[0] for s in self.stack[-3:]}
         if "title" in names:
             self.title.append(data)
@@ -165,15 +289,37 @@ class _Page(HTMLParser):
         self.lines["all"][-1] += data
         if not frame:
             self.lines["body"][-1] += data
-        if main:
-            self.lines["main"][-1] += data
+
+
+class _Enough(Exception):
+    """A limit that ends the reading of a page."""
+
+
+def _around(text: str, pattern: re.Pattern, radius: int, most: int) -> list[str]:
+    """Short pieces around what matches, apart from one another, cut at blanks, each once."""
+    out: dict[str, str] = {}
+    done = -1
+    for m in pattern.finditer(text):
+        if len(out) >= most:
+            break
+        if m.start() < done:
+            continue
+        lo, hi = max(0, m.start() - radius), min(len(text), m.end() + radius)
+        if lo and not text[lo - 1].isspace() and (blank := text.find(" ", lo, m.start())) >= 0:
+            lo = blank + 1
+        if hi < len(text) and not text[hi - 1].isspace() and (blank := text.rfind(" ", m.end(), hi)) > m.end():
+            hi = blank
+        done = hi
+        piece = " ".join(text[lo:hi].split())
+        out.setdefault(piece.lower(), piece)
+    return list(out.values())
 
 
 def _distinct(items, width: int, most: int) -> list[str]:
     out: dict[str, str] = {}
     for x in items:
-        text = " ".join(x.split())[:width]
-        if text:
+        text = " ".join(x.split())
+        if text and len(text) <= width:
             out.setdefault(text.lower(), text)
     return list(out.values())[:most]
 
@@ -206,16 +352,22 @@ def _site(host: str) -> str:
     return re.sub(r"^www\d?\.", "", host.lower())
 
 
-def extract(html: str, url: str, now: datetime) -> dict:
+def extract(html: str, url: str, now: datetime, limits: Limits = Limits()) -> dict:
     """The facts of FACTS for one page."""
-    page = _Page(time.monotonic() + BUDGET_S)
-    page.feed(html[:MOST_CHARS])
-    page.close()
-    for h, text in [(page.head[0], "".join(page.head[1]))] if page.head else []:
-        page.heads.append((h, " ".join(text.split())[:200]))
-    lines = {k: [" ".join(x.split()) for x in v if x.strip()] for k, v in page.lines.items()}
-    main = lines["main"] if sum(map(len, lines["main"])) >= 300 else lines["body"]
-    full, everything = "\n".join(main)[:400_000], "\n".join(lines["all"])[:400_000]
+    page = _Page(limits)
+    if limits.chars is not None and len(html) > limits.chars:
+        page.cut.add("chars")
+    try:
+        page.feed(html[: limits.chars])
+        page.close()
+    except _Enough as limit:
+        page.cut.add(str(limit))
+    page.finish()
+    lines = [" ".join(x.split()) for x in page.lines["all"] if x.strip()]
+    full, everything = "\n".join(page.root()), "\n".join(lines)
+    if limits.text is not None and max(len(full), len(everything)) > limits.text:
+        page.cut.add("text")
+        full, everything = full[: limits.text], everything[: limits.text]
     own = _site(urlsplit(url).hostname or "")
     inside, outside, hosts, about, tels, mails = 0, 0, {}, False, set(), set()
     for href, text, frame, rel in page.links:
@@ -234,7 +386,7 @@ def extract(html: str, url: str, now: datetime) -> dict:
         except ValueError:
             continue
         label = "".join(text)
-        about |= bool(re.search(r"about|за нас|team", f"{href} {label}", re.I))
+        about |= bool(_ABOUT.search(f"{href} {label}"))
         if to == own:
             inside += 1
         elif to:
@@ -249,11 +401,13 @@ def extract(html: str, url: str, now: datetime) -> dict:
     dates = lambda xs: [d for d in (parse_date(x, now) for x in xs) if d]
     changed = max(dates(modified), default=None) or next(iter(dates([page.meta.get("article:modified_time"), page.meta.get("og:updated_time"), page.meta.get("datemodified")])), None)
     first = min(dates(published), default=None) or next(iter(dates([page.meta.get("article:published_time"), page.meta.get("datepublished"), *page.times])), None)
-    tels |= {re.sub(r"\D", "", m) for m in _PHONE.findall(everything)}
+    tels = {t for t in tels if len(t) >= 7} | {d for d in (re.sub(r"\D", "", m) for m in _PHONE.findall(everything)) if 9 <= len(d) <= 13}
     mails |= {m.lower() for m in _EMAIL.findall(everything) if not re.search(r"\.(?:png|jpe?g|gif|webp|svg)$", m, re.I)}
     canonical = urljoin(url, page.canonical) if page.canonical else None
     same = lambda u: re.sub(r"/+(?=$|\?)", "", re.sub(r"^(https?://)www\.", r"\1", u.partition("#")[0].lower()))
-    robots, years = page.meta.get("robots", "").lower(), [int(y) for y in _YEAR.findall(everything) if int(y) <= now.year + 1]
+    robots, years = page.meta.get("robots", "").lower(), [int(y) for y in _YEAR.findall(full) if int(y) <= now.year + 1]
+    prices = _around(everything, _PRICE, 30, 8)
+    prices += _around(everything, _PRICE_WORD, 40, 3 - len(prices)) if len(prices) < 3 else []
     iso = lambda d: d.strftime("%Y-%m-%dT%H:%M:%SZ") if d else None
     return {
         "status": "ok", "title": " ".join((" ".join(page.title) or page.meta.get("og:title", "")).split())[:300] or None, "description": " ".join(page.meta.get("description", "").split())[:500] or None,
@@ -261,15 +415,15 @@ def extract(html: str, url: str, now: datetime) -> dict:
         "https": url.lower().startswith("https:"), "schema_types": types, "faq_schema": any("faqpage" in t.lower() for t in types), "faq_section": section, "faq_questions": (asked or (questions if section else []))[:50],
         "headings": [{"level": h, "text": t} for h, t in page.heads], **{f"h{k}": sum(h == k for h, _ in page.heads) for k in (1, 2, 3)}, "words": len(_WORD.findall(full)), "intro": full[:1500],
         "middle": full[len(full) // 2 - 500 : len(full) // 2 + 500] if len(full) > 3000 else None, "links_in": inside, "links_out": outside, "hosts": list(hosts)[:200], "external_domains": len(hosts), "images": page.images,
-        "images_alt": page.alts, "tables": page.tables, "lists": page.lists, "form": page.textarea or page.inputs >= 3, "phones": len([t for t in tels if 7 <= len(t) <= 13]), "emails": len(mails),
+        "images_alt": page.alts, "tables": page.tables, "lists": page.lists, "form": page.form, "phones": len(tels), "emails": len(mails),
         "cta": _distinct([*page.ctas, *("".join(t) for _, t, _, _ in page.links if _CTA.search("".join(t)))], 60, 10), "nav": _distinct(["".join(t) for _, t, frame, _ in page.links if frame], 40, 12),
-        "prices": _distinct((everything[max(0, m.start() - 30) : m.end() + 30] for m in _PRICE.finditer(everything[:200_000])), 90, 8), "proof": _distinct((x for x in lines["all"] if _PROOF.search(x)), 200, 8),
-        "latest_year": max(years, default=None), "modified_at": iso(changed), "published_at": iso(first), "author": ld_author or page.byline or bool(page.meta.get("author")), "about_link": about,
-        "registration": bool(re.search(r"\bЕИК\b|\bVAT\b|company (?:no|number)|registered in", everything, re.I)),
+        "prices": prices, "proof": _distinct((x for x in lines if _PROOF.search(x)), 200, 8), "work": [t for t in texts if _WORK.search(t)][:8],
+        "latest_year": max(years, default=None), "modified_at": iso(changed), "published_at": iso(first), "author": ld_author or page.byline or bool(page.meta.get("author")) or bool(re.search(r"\bавтор\s*:", everything, re.I)), "about_link": about,
+        "registration": bool(_REGISTRATION.search(everything)), "address": bool(_ADDRESS.search(everything)), "cut": sorted(page.cut),
     }
 
 
-def page_facts(pages: DataFrame, now: datetime, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def page_facts(pages: DataFrame, now: datetime, url_col: str = "url", html_col: str = "html", limits: Limits = Limits()) -> DataFrame:
     """``pages`` without the source text, with the struct ``facts``."""
     from pyspark.sql.pandas.types import from_arrow_type
 
@@ -279,7 +433,7 @@ def page_facts(pages: DataFrame, now: datetime, url_col: str = "url", html_col:
             out = []
             for u, h in zip(urls.to_pylist(), sources, strict=True):
                 try:
-                    out.append(extract(h.as_py() or "", u or "", now))
+                    out.append(extract(h.as_py() or "", u or "", now, limits))
                 except Exception:  # one page's failure is a row of its own
                     out.append({"status": "error"})
             yield pa.array(out, FACTS)
@@ -309,32 +463,33 @@ def decode_pages(pages: DataFrame, body_col: str = "body", type_col: str = "cont
 
 
 class _Links(HTMLParser):
-    def __init__(self):
+    def __init__(self, most: int | None):
         super().__init__(convert_charrefs=True)
-        self.found, self.base, self.inside = [], None, 0
+        self.found, self.base, self.inside, self.most = [], None, 0, most
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         self.inside += tag == "template"
         if tag == "base" and self.base is None:
             self.base = a.get("href")
-        if tag == "a" and a.get("href") and not self.inside and len(self.found) < 20_000:
+        if tag == "a" and a.get("href") and not self.inside and (self.most is None or len(self.found) < self.most):
             self.found.append(a["href"])
 
     def handle_endtag(self, tag):
         self.inside = max(0, self.inside - (tag == "template"))
 
 
-def link_table(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(from_url, ordinal, to_url) of every link, resolved against the page or its base."""
+def link_table(pages: DataFrame, url_col: str = "url", html_col: str = "html", most: int | None = 20_000, chars: int | None = 1_500_000) -> DataFrame:
+    """(from_url, ordinal, to_url) of every link, resolved against the page or its base; of a page the
+    first ``most`` in its first ``chars`` characters (None: all)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: tuple[list, list, list] = ([], [], [])
             for u, h in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                parser = _Links()
+                parser = _Links(most)
                 try:
-                    parser.feed((h.as_py() or "")[:MOST_CHARS])
+                    parser.feed((h.as_py() or "")[:chars])
                     base = urljoin(u or "", parser.base or "")
                     found = [urljoin(base, x.strip()) for x in parser.found]
                 except (ValueError, AssertionError):

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import urls as U
-from ..operators import audit, html, phrases
+from ..functions import text as T
+from ..operators import audit, html, phrases, signals
 from ..sources.shared import written
 from ..sources.tables import read_table
 from .pages import NOW
@@ -53,7 +54,7 @@ def page_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda c: F.to_timestamp(F.col(c))
     months = audit.age_months(at("modified_at"), at("published_at"), F.col("latest_year"), F.lit(NOW.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp"))
     f = {c: F.col(c) for c in ("external_domains", "registration", "about_link", "faq_schema", "faq_section", "tables", "lists", "links_in", "words")}
-    f |= {"answer": _known(7, 5), "facts": _known(11, 3), "cites": _known(13, 2), "identity": _known(17, 2), "author_hint": F.col("author"), "address": F.lit(False), "faq_questions": F.size("faq_questions"), "question_heads": F.lit(0), "age_months": months}
+    f |= {"answer": _known(7, 5), "facts": _known(11, 3), "cites": _known(13, 2), "identity": _known(17, 2), "author_hint": F.col("author"), "address": F.col("address"), "faq_questions": F.size("faq_questions"), "question_heads": F.lit(0), "age_months": months}
     made = audit.with_citability(pages, audit.criteria(f))
     return made.select("id", *[k for k, _, _ in CRITERIA], "now", "fix_first")
 
@@ -64,8 +65,11 @@ def _judged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     for value, name in (("title", "title_same"), ("description", "meta_same")):
         pages = phrases.duplicate_values(pages, "site", F.col(value), name)
     types = F.array(*[F.lit(t) for t in ("service_page", "blog_article", "company_homepage", "other")])
+    heads = F.transform(F.filter("headings", lambda h: h["level"] == 1), lambda h: h["text"])
+    pages = pages.withColumn("h1_texts", heads).withColumn("phrase", T.phrase_of(F.get("h1_texts", F.lit(0)), F.col("title")))
+    flags = T.keyword_flags(F.coalesce("phrase", F.lit("")), F.col("title"), F.col("h1_texts"), F.col("description"), F.col("intro"), F.col("url"))
     return pages.select(
-        "*", F.get(types, (F.col("id") % 4).cast("int")).alias("page_type"), F.when(F.col("id") % 3 == 0, (F.col("id") % 40).cast("int")).alias("rank"), F.col("title_same").alias("h1_same"), _share(3).alias("title_coverage"),
+        "*", F.get(types, (F.col("id") % 4).cast("int")).alias("page_type"), F.when(F.col("id") % 3 == 0, (F.col("id") % 40).cast("int")).alias("rank"), F.col("title_same").alias("h1_same"), *[v.alias(k) for k, v in flags.items()],
         _known(5, 2).alias("title_clear"), _known(7, 2).alias("meta_inviting"), _known(9, 3).alias("h1_matches"), _known(11, 3).alias("intro_direct"), _known(13, 2).alias("outline"), _known(15, 2).alias("faq_useful"), U.problem(F.col("url")).alias("url_problem"),
     )
 
@@ -79,16 +83,21 @@ def pages_worth_rewriting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _judged_pages(spark, sf_dir).withColumn("peer_median", F.lit(200.0)).withColumn("ttfb_ms", F.col("id") * 37 % 2000).withColumn("in_h1", F.col("id") % 2 == 0)
-    cols = ("words", "peer_median", "title_coverage", "in_h1", "schema_types", "faq_schema", "faq_section", "images", "images_alt", "latest_year", "ttfb_ms", "h1", "description", "title", "viewport", "https", "noindex")
-    strong, weak = audit.page_signals({c: F.col(c) for c in cols}, NOW.year)
-    return pages.select("id", F.array_join(strong, ",").alias("strengths"), F.array_join(weak, ",").alias("weaknesses"))
+    """Strengths and weaknesses of every crawled page beside the others of its site."""
+    pages = _judged_pages(spark, sf_dir)
+    peers = pages.groupBy("site").agg(F.median("words").alias("peer_words"), F.count(F.lit(1)).alias("peer_pages"), F.avg((F.col("faq_schema") | F.col("faq_section")).cast("double")).alias("peer_faq"))
+    rows = pages.join(peers, "site")
+    m = {c: F.col(c) for c in rows.columns} | {"price_texts": F.col("prices"), "cta_texts": F.col("cta"), "ttfb_ms": F.col("id") * 37 % 2000, "fetch_status": F.col("status")}
+    j = {"depth": _known(7, 5), "depth_confidence": _share(43), "targets": _known(11, 3), "generic": _known(13, 2), "prices": _known(17, 2), "portfolio": _known(19, 3), "reviews": _known(23, 4), "cta": _known(29, 3), "identity": _known(31, 3), "page_type": F.col("page_type"), "type_confidence": _share(37)}
+    made = signals.page_signals(m, j, {"words": F.col("peer_words"), "pages": F.col("peer_pages"), "faq_share": F.col("peer_faq"), "intent": F.lit("transactional")}, NOW.year)
+    named = lambda kind: F.array_join(F.transform(signals.listed(F.col("s"), kind), lambda s: s["id"]), ",")
+    return rows.withColumn("s", made).select("id", named("strength").alias("strengths"), named("weakness").alias("weaknesses"))
 
 
 def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _judged_pages(spark, sf_dir)
     m = {c: F.col(c) for c in ("title", "description", "images", "images_alt", "title_coverage", "h1", "h2", "canonical_self", "viewport", "https", "noindex", "words")}
-    m |= {"in_h1": F.col("id") % 2 == 0, "in_url": F.col("id") % 3 == 0, "in_meta": F.lit(False), "has_schema": F.size("schema_types") > 0}
+    m |= {"in_h1": F.col("in_h1"), "in_url": F.col("in_url"), "in_meta": F.col("in_meta"), "has_schema": F.size("schema_types") > 0}
     optimization = audit.optimization_score(m)
     j = {"words": F.col("words"), "depth": _known(7, 5), "need": _known(11, 3), "generic": _known(13, 2), "portfolio": _known(17, 2), "reviews": _known(19, 3), "identity": _known(23, 4), "contact": F.col("phones") + F.col("emails") > 0, "cta": _known(29, 3), "prices": _known(31, 3), "form": F.col("form")}
     made = audit.composite_scores(j, optimization)

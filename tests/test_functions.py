@@ -111,7 +111,7 @@ def test_sitemaps():
 PAGE = """<!doctype html><html lang="bg-BG"><head><title>Изработка на сайт</title><meta name="description" content="Кратко описание"><meta name=viewport content="width=1"><link rel=canonical href="https://www.studio.example/site/">
 <script type="application/ld+json">{"@graph":[{"@type":"Organization"},{"@type":"Service","dateModified":"2026-09-01"},{"@type":"FAQPage","mainEntity":[{"@type":"Question","name":"Колко струва?"}]}]}</script></head>
 <body><nav><a href="/">Начало</a><a href="/za-nas">За нас</a></nav><main><h1>Изработка на сайт</h1><p>Правим сайтове от 2019 година. Цена от 900 лв.</p><h2>Цени</h2><div style="display:none">скрито</div><p aria-hidden="true">тайно</p>
-<img src=a alt="a"><img src=b><table><tr><td>1<td>2</tr></table><ul><li>a<li>b<li>c</ul><a href="tel:+359888123456">тел</a><a href="https://other.example/x">друг</a><form><textarea></textarea></form></main>
+<img src=a alt="a"><img src=b><table><tr><td>1<td>2</tr><tr><td>3<td>4</tr></table><table><tr><td>one row<td>is none</table><ul><li>two<li>items</ul><ul><li>a<li>b<li>c</ul><a href="tel:+359888123456">тел</a><a href="https://other.example/x">друг</a><form><textarea></textarea></form></main>
 <footer>info@studio.example</footer><script>var x = "невидимо";</script></body></html>"""
 
 
@@ -132,7 +132,32 @@ def test_hostile_pages(source):
 
 def test_page_errors_are_rows(spark):
     df = spark.createDataFrame([("https://a.example/", "<p>x</p>" * 130_000), ("https://a.example/b", None), (None, "<p>y</p>")], "url string, html string")
-    assert sorted(r.facts.status for r in html.page_facts(df, NOW).collect()) == ["error", "ok", "ok"]
+    rows = html.page_facts(df, NOW).collect()
+    # a page over a limit is read up to it and says so
+    assert [r.facts.status for r in rows] == ["ok"] * 3 and sorted(map(str, (r.facts.cut for r in rows))) == ["['elements']", "[]", "[]"]
+
+
+def test_limits_can_be_lifted():
+    source = "<p>x</p>" * 130_000 + "<p>2024</p>"
+    whole = html.extract(source, "https://a.example/", NOW, html.Limits(None, None, None, None, None))
+    assert (whole["words"], whole["latest_year"], whole["cut"]) == (130_001, 2024, [])
+    assert html.extract("<p>word </p>" * 200_000, "https://a.example/", NOW)["cut"] == ["chars", "elements", "text"]
+
+
+def test_what_counts_as_fact():
+    facts = lambda body: html.extract(f"<html><body>{body}</body></html>", "https://a.example/", NOW)
+    assert facts("ЕИК 123456789, 2019, 15 12345678")["phones"] == 0 and facts("call +359 888 123 456 or 02 987 6543")["phones"] == 2
+    assert facts("ask a.b@c.example or logo@2x.png")["emails"] == 1
+    long, short = "long text " * 80, "short text " * 10
+    page = facts(f"<article>{short}</article><div>beside</div><article>{long}</article>")
+    assert page["words"] == 160 and facts(f"<article>{short}</article><div>beside</div>")["words"] == 21
+    banner = "<div class='cookie-bar'>We use cookies <a href='/c'>more</a></div><p>the text</p>"
+    assert facts(banner)["intro"] == "the text" and facts(banner)["links_in"] == 0
+    assert "body" in facts("<div class='has-cookie-banner'><h1>head</h1>body</div>")["intro"]
+    assert facts("our prices and the pricing page")["prices"] and facts("от 900 лв. на месец")["prices"]
+    assert facts("<form role=search><input></form>")["form"] is False and facts("<form><input><input type=email><input type=tel></form>")["form"]
+    assert facts("гр. София, ул. Първа 5")["address"] and facts("Фирма ЕООД")["registration"] and not facts("ул нещо")["address"]
+    assert facts("<h2>Портфолио</h2>")["work"] == ["Портфолио"]
 
 
 def test_decoding():
