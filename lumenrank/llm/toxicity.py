@@ -1,21 +1,26 @@
 """Toxicity by weak supervision.
 
 Voters look for words of a lexicon, for stems mined from labelled texts, and for how many and how
-dense the finds are; a text's votes are one number of VOTERS bits. What is learned comes from a
-table of how often each combination of votes occurs, with and without a label: at most
-3 * 2**VOTERS rows whatever the corpus, counted by Spark over all rows that may be learned from.
-On it expectation maximisation fits a generative label model: how often each voter fires for
-either class, and, within the classes, how voters correlate, so that voters that repeat one
-another count less. A logistic regression on the votes is trained on the model's posterior
-labels, weighted by the counts.
+dense the finds are; a text's votes are one number of VOTERS bits. A generative label model is fitted
+to the table of how often each combination of votes occurs, at most 3 * 2**VOTERS rows whatever the
+corpus, counted by Spark over all rows that may be learned from: expectation maximisation estimates
+how often each voter fires for either class and, as part of the model, how voters hang together
+within the classes, by the tree of dependences that explains most of it (negative ones included).
+Who labelled texts is one more voter, silent on most, whose accuracy is estimated like the others'.
+
+Its posterior labels train a linear classifier on the votes and on the text: the words of all texts,
+hashed to BUCKETS, are counted by posterior label, each bucket's log odds against the prior are its
+weight, and a logistic regression on a bounded sample of CLASSIFIER_ROWS rows, the first in order of
+a hash of their ids, balances the votes and the mean weight of a text's words. So a text without any
+listed word has a score of its own.
 
 The stems are whole words and word beginnings of four to seven letters that set toxic texts
 apart, by a likelihood-ratio test over at most LABELLED_ROWS labelled texts, the first in order
-of a hash of their ids; at most STEMS of them are kept.
+of a hash of their ids; at most STEMS of them are kept, the most telling first.
 
-Rows: null text counts as empty; documents without a label are learned from without one, rows
+Rows: null text counts as empty; documents without a label are learned from as well, rows
 of a null id not at all; several labels of a document count as toxic if one is; equal texts
-have equal scores.
+have equal scores; without any row to learn from every text has the same low score.
 """
 
 from __future__ import annotations
@@ -28,9 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import free_name, materialize
+from ._shared import free_name
+from ._words import hashed_words, texts_of
 
 LABELLED_ROWS, STEMS = 10_000, 64
+CLASSIFIER_ROWS, BUCKETS, PRIOR_ROWS = 10_000, 1 << 15, 100.0
+_UNITS = 1000  # posterior labels are counted in thousandths, so that sums do not depend on their order
 #: Fixed word lists, one a voter.
 LEXICON = [
     ["idiot", "idiots", "idiotic", "imbecile", "moron", "morons", "moronic", "cretin"],
@@ -123,35 +131,65 @@ def with_votes(docs: DataFrame, stems: list[str], text_col: str = "text", out_co
     return docs.withColumn(out_col, run(F.col(text_col)))
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray:
+def _dependences(fires: np.ndarray, weights: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
+    """(voter, parent or -1), parents first: the tree of greatest mutual information given the class."""
+    v = fires.shape[1]
+    total = sum(w.sum() for w in weights) + 4
+    info = np.zeros((v, v))
+    for w in weights:
+        n = w.sum() + 4
+        one = (fires.T @ w + 2) / n
+        both = ((fires * w[:, None]).T @ fires + 1) / n
+        for a in (0, 1):
+            for b in (0, 1):
+                p = both if a and b else one[:, None] - both if a else one[None, :] - both if b else 1 - one[:, None] - one[None, :] + both
+                p = np.clip(p, 1e-9, 1)
+                alone = (one if a else 1 - one)[:, None] * (one if b else 1 - one)[None, :]
+                info += n / total * p * np.log(p / alone)
+    order, parent, best = [(0, -1)], np.zeros(v, int), info[0].copy()
+    left = list(range(1, v))
+    while left:
+        i = max(left, key=lambda k: (best[k], -k))
+        left.remove(i)
+        order.append((i, int(parent[i])))
+        for k in left:
+            if info[i, k] > best[k]:
+                best[k], parent[k] = info[i, k], i
+    return order
+
+
+def label_model(votes: np.ndarray, labels: np.ndarray, counts: np.ndarray, rounds: int = 60, settled: int = 8) -> np.ndarray:
     """Posterior probability of the toxic class for each row of the table of counts.
 
-    votes: rows x voters of 0 and 1; labels: 1, 0 or -1 for none; a label is taken as given.
+    votes: rows x voters of 0 and 1; labels: 1, 0 or -1 for none. The tree of dependences is chosen
+    anew for ``settled`` rounds.
     """
-    n = counts.astype(float)
-    fires = votes.astype(float)
+    n, fires = counts.astype(float), votes.astype(float)
     start = fires[:, :MINED].any(1) | (fires[:, MINED + 1 : NOTHING].sum(1) >= 2)  # a word of the lexicon, or several finds
-    post = np.where(labels >= 0, labels, np.where(start, 0.9, 0.05)).astype(float)
-    for _ in range(rounds):
-        share, rate, corr = [], [], []
-        for w in (n * (1 - post), n * post):
-            total = w.sum() + 2
-            p = (w @ fires + 1) / total
-            share.append(total)
-            rate.append(p)
-            dev = fires - p
-            cov = (dev * w[:, None]).T @ dev / total
-            sd = np.sqrt(p * (1 - p))
-            corr.append(cov / np.outer(sd, sd))
-        together = np.clip((share[0] * corr[0] + share[1] * corr[1]) / (share[0] + share[1]), 0, 1)
-        np.fill_diagonal(together, 0)
-        weight = 1 / (1 + together.sum(1))
-        p0, p1 = rate
-        odds = np.log(share[1] / share[0]) + fires @ (weight * np.log(p1 / p0)) + (1 - fires) @ (weight * np.log((1 - p1) / (1 - p0)))
-        new = np.where(labels >= 0, labels, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
-        if np.abs(new - post).max() < 1e-7:
-            break
+    said = labels >= 0
+    post, tree = np.where(said, 0.02 + 0.96 * labels, np.where(start, 0.9, 0.02)), None
+    for r in range(rounds):
+        weights = (n * (1 - post), n * post)
+        if tree is None or r < settled:
+            tree = _dependences(fires, weights)
+        logs = []
+        for w in weights:
+            log = np.full(len(n), np.log(w.sum() + 1))
+            for i, parent in tree:
+                rate = np.empty(len(n))
+                for state in ((0, 1) if parent >= 0 else (None,)):
+                    rows = slice(None) if state is None else fires[:, parent] == state
+                    part = w[rows]
+                    rate[rows] = (part @ fires[rows, i] + 0.5) / (part.sum() + 1)
+                log += np.log(np.where(fires[:, i] > 0, rate, 1 - rate))
+            yes = (w[said] @ labels[said] + 0.5) / (w[said].sum() + 1)
+            log[said] += np.log(np.where(labels[said] > 0, yes, 1 - yes))
+            logs.append(log)
+        new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -30, 30)))
+        done = np.abs(new - post).max() < 1e-7
         post = new
+        if done and r >= settled:
+            break
     return post
 
 
@@ -171,29 +209,92 @@ def linear_classifier(votes: np.ndarray, target: np.ndarray, counts: np.ndarray,
     return w
 
 
-def train(votes: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Weights from (id, votes, held_out) and (doc_id, toxic); held-out rows are not looked at."""
-    marked = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    table = (
-        votes.where(~F.col("held_out"))
-        .join(marked, F.col("id") == F.col("doc_id"), "left")
-        .groupBy("votes", F.coalesce(F.col("toxic").cast("int"), F.lit(-1)).alias("label"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy("votes", "label")
-        .collect()  # at most 3 * 2**VOTERS rows
-    )
+def posteriors(voted: DataFrame, labels: DataFrame) -> dict[tuple[int, int], float]:
+    """Posterior by (votes, label), from (id, votes, held_out) and (doc_id, toxic); held-out rows are
+    not looked at. A label of -1 stands for none."""
+    table = with_labels(voted, labels).groupBy("votes", "label").agg(F.count(F.lit(1)).alias("n")).orderBy("votes", "label").collect()  # at most 3 * 2**VOTERS rows
     if not table:
-        return np.zeros(VOTERS + 1)
+        return {}
     bits = np.array([r.votes for r in table])
-    fires = bits[:, None] >> np.arange(VOTERS) & 1
-    n = np.array([r.n for r in table], float)
-    post = label_model(fires, np.array([r.label for r in table]), n)
-    return linear_classifier(fires, post, n)
+    post = label_model(bits[:, None] >> np.arange(VOTERS) & 1, np.array([r.label for r in table]), np.array([r.n for r in table], float))
+    return {(r.votes, r.label): float(p) for r, p in zip(table, post, strict=True)}
+
+
+def with_labels(voted: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows to learn from, with their label or -1."""
+    marked = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    joined = voted.where(~F.col("held_out")).join(marked, F.col("id") == F.col("doc_id"), "left")
+    return joined.withColumn("label", F.coalesce(F.col("toxic").cast("int"), F.lit(-1))).drop("doc_id", "toxic")
+
+
+def _buckets(text: bytes) -> np.ndarray:
+    """Different buckets of a text's words in lower case."""
+    found = [h[0] for _, _, h, _ in hashed_words([text.lower()])]
+    return np.unique(found[0] >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64) if found else np.zeros(0, np.int64)
+
+
+def word_weights(docs: DataFrame, post: dict[tuple[int, int], float]) -> np.ndarray:
+    """Log odds of each bucket against the prior, from (text, votes, label): what is counted grows
+    with the corpus, what comes to the driver has two numbers a bucket."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic, seen = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
+        for b in batches:
+            for text, v, y in zip(texts_of(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                p = round(post[v, y] * _UNITS)
+                at = np.append(_buckets(text), BUCKETS)  # the last counts texts
+                seen[at] += _UNITS
+                toxic[at] += p
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(toxic[some]), pa.array(seen[some])], ["bucket", "toxic", "seen"])
+
+    parts = docs.select("text", "votes", "label").mapInArrow(count, "bucket int, toxic long, seen long")
+    toxic, seen = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    for r in parts.groupBy("bucket").agg(F.sum("toxic").alias("t"), F.sum("seen").alias("n")).collect():  # BUCKETS + 1 rows
+        toxic[r.bucket], seen[r.bucket] = r.t / _UNITS, r.n / _UNITS
+    prior = min(max(toxic[-1] / max(seen[-1], 1), 1e-4), 0.5)
+    share = (toxic[:-1] + PRIOR_ROWS * prior) / (seen[:-1] + PRIOR_ROWS)
+    share = np.clip(share, 1e-4, 1 - 1e-4)
+    return (np.log(share / (1 - share)) - np.log(prior / (1 - prior))).astype(np.float32)
+
+
+def text_weight(text: bytes, weights: np.ndarray) -> float:
+    """Mean weight of a text's different words, scaled by the square root of their number."""
+    at = _buckets(text)
+    return float(weights[at].sum(dtype=np.float64) / np.sqrt(len(at))) if len(at) else 0.0
+
+
+def train(docs: DataFrame, stems: list[str], labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the votes, of the text and, last, the intercept; and those of the word buckets."""
+    voted = with_votes(docs, stems)
+    post = posteriors(voted, labels)
+    if not post:
+        return np.append(np.zeros(VOTERS + 1), -3.0), np.zeros(BUCKETS, np.float32)
+    words = word_weights(with_labels(voted, labels), post)
+    order = F.crc32(F.concat_ws("/", F.lit("train"), F.col("id").cast("string")).cast("binary"))
+    first = with_labels(docs, labels).orderBy(order, "id", "text").limit(CLASSIFIER_ROWS)
+    sample = with_text_weight(with_votes(first, stems), words, "text", "weight").select("votes", "label", "weight").collect()
+    rows = sorted((r.votes, r.label, r.weight) for r in sample)
+    bits, weight = np.array([v for v, _, _ in rows]), np.array([w for _, _, w in rows])
+    x = np.hstack([bits[:, None] >> np.arange(VOTERS) & 1, weight[:, None]])
+    return linear_classifier(x, np.array([post[v, y] for v, y, _ in rows]), np.ones(len(rows))), words
+
+
+def with_text_weight(docs: DataFrame, words: np.ndarray, text_col: str, out_col: str) -> DataFrame:
+    """``docs`` with the weight of each text; BUCKETS numbers go to the executors."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    @F.arrow_udf("double")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            yield pa.array([text_weight(t, shared.value) for t in texts_of(texts)], pa.float64())
+
+    return docs.withColumn(out_col, run(F.col(text_col)))
 
 
-def score_of(votes: Column, weights: np.ndarray) -> Column:
-    total = F.lit(float(weights[-1]))
-    for k, w in enumerate(weights[:-1]):
+def score_of(votes: Column, weight: Column, weights: np.ndarray) -> Column:
+    total = F.lit(float(weights[-1])) + weight * F.lit(float(weights[-2]))
+    for k, w in enumerate(weights[:-2]):
         total = total + F.getbit(votes, F.lit(k)).cast("double") * F.lit(float(w))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
@@ -202,22 +303,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[list[str], np.ndarray, DataFrame]:
+def _learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[list[str], tuple[np.ndarray, np.ndarray], DataFrame]:
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("held_out", held_out(F.col("id")))
     stems = mine_stems(plain, labels)
-    votes = materialize(with_votes(plain, stems).select("id", "held_out", "votes"), "toxicity-votes")
-    return stems, train(votes, labels), votes
+    return stems, train(plain, stems, labels), plain
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted), one row per input row."""
-    _, weights, votes = _learn(docs, labels, id_col, text_col)
-    scored = votes.withColumn("score", score_of(F.col("votes"), weights))
+    """(id, held_out, score, predicted, votes), one row per input row."""
+    stems, (weights, words), plain = _learn(docs, labels, id_col, text_col)
+    scored = with_text_weight(with_votes(plain, stems), words, "text", "weight").withColumn("score", score_of(F.col("votes"), F.col("weight"), weights))
     return scored.select("id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "votes")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, scored with a model trained on ``docs``."""
-    stems, weights, _ = _learn(docs, labels, id_col, text_col)
-    votes = free_name(docs, "toxicity_votes")
-    return with_votes(docs, stems, text_col, votes).where(score_of(F.col(votes), weights) < 0.5).select(*docs.columns)
+    stems, (weights, words), _ = _learn(docs, labels, id_col, text_col)
+    votes, weight = free_name(docs, "toxicity_votes"), free_name(docs, "toxicity_weight")
+    scored = with_text_weight(with_votes(docs, stems, text_col, votes), words, text_col, weight)
+    return scored.where(score_of(F.col(votes), F.col(weight), weights) < 0.5).select(*docs.columns)
