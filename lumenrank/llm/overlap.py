@@ -5,7 +5,10 @@ A pair of Jaccard similarity j shares a band of ``WIDE`` least hashes with chanc
 a pair is linked is counted from the two sets of 64-bit shingle hashes.
 
 Texts of one set are one class and meet once. Of a band's key, the members of other components meet
-its least member first; only pairs that are still in different components after that meet all with all.
+its least member first. Keys that still have several components after that are compared in blocks: the
+members of the greatest of them are dealt to blocks of about BLOCK, and so are the others; a block of the
+former meets a block of the latter in one task, which holds the two, counts all their overlaps and sends
+only links on. Members of one component never meet, and no pairs are made.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from ._words import hashed_words, mix64, powers, texts_of
 
 WORDS = 5
 WIDE, BANDS = 5, 30
+BLOCK = 256
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
 _SALTS, _SCALES = mix64(np.arange(1, 2 * WIDE * BANDS + 1, dtype=np.uint64)).reshape(2, -1)
@@ -81,6 +85,69 @@ def _decided(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return with_sets.where(both + 1e-9 >= F.lit(least) * (total - both)).select(F.col("root").alias("u"), F.col("other_root").alias("v")).distinct()
 
 
+def _in_blocks(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(u, v): roots of members (key, s, n, root) of one key and different roots that are alike."""
+    sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    keys = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.max("c").alias("m"), (F.sum("c") - F.max("c")).alias("u"))
+    blocks = lambda c: F.ceil(F.col(c) / F.lit(float(BLOCK))).cast("int")
+    keys = materialize(keys.select("key", "major", blocks("m").alias("mb"), blocks("u").alias("ub")), "overlap-keys")
+    dealt = members.join(keys, "key").withColumn("of_major", F.col("root") == F.col("major"))
+    own = lambda n: F.pmod(F.xxhash64("s"), F.col(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    major = dealt.where("of_major").select("key", "s", "root", own("mb").alias("a"), every("ub").alias("b"), F.lit(0).alias("side"))
+    minor = dealt.where("not of_major").select("key", "s", "root", every("mb").alias("a"), own("ub").alias("b"), F.lit(1).alias("side"))
+    # the others among themselves: each pair of blocks once, marked by a below zero
+    two = dealt.where("not of_major").select("key", "s", "root", own("ub").alias("x"), every("ub").alias("y"))
+    two = two.select("key", "s", "root", (-F.least("x", "y") - 1).alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), 0).when(F.col("x") > F.col("y"), 1).otherwise(2).alias("side"))
+    rows = major.unionByName(minor).unionByName(two).join(sets, "s")
+    kind = members.schema["root"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(group: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+            left = [x for x in group if x[0] != 1]
+            if not left:
+                return
+            size = np.array([len(x[2]) for x in left])
+            owner, values = np.repeat(np.arange(len(left)), size), np.concatenate([x[2] for x in left])
+            order = np.argsort(values, kind="stable")
+            owner, values = owner[order], values[order]
+            roots, seen = np.array([x[1] for x in left]), set()
+            for side, root, h in group:
+                if side == 0:
+                    continue
+                lo, hi = np.searchsorted(values, h, "left"), np.searchsorted(values, h, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(left))
+                near = both + 1e-9 >= least * (size + len(h) - both)
+                for other in np.unique(roots[near & (roots != root)]).tolist():
+                    if (root, other) not in seen:
+                        seen |= {(root, other), (other, root)}
+                        yield root, other
+
+        def sent(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in pairs], pa.int64()), pa.array([v for _, v in pairs], pa.int64())], ["u", "v"])
+
+        at, group = None, []
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                keys_, a_, b_, side, root = (part.column(k).to_pylist() for k in range(5))
+                lists = part.column(5)
+                for i in range(part.num_rows):
+                    here = (keys_[i], a_[i], b_[i])
+                    if here != at:
+                        if group:
+                            yield sent(list(linked(group)))
+                        at, group = here, []
+                    group.append((side[i], root[i], lists[i].values.to_numpy().view(np.uint64)))
+        if group:
+            yield sent(list(linked(group)))
+
+    grouped = rows.select("key", "a", "b", "side", "root", "hashes").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    return grouped.mapInArrow(run, f"u {kind}, v {kind}").distinct()
+
+
 def links(docs: DataFrame, prints: DataFrame, known: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", ignore: bytes = b"") -> DataFrame:
     """(u, v): links whose components are those of ``known`` and of texts alike at ``least`` or more.
 
@@ -104,10 +171,7 @@ def links(docs: DataFrame, prints: DataFrame, known: DataFrame, least: float, id
     sets = _sets(docs, prints.join(split.select("s").distinct(), "s", "left_semi"), id_col, text_col, ignore)
     stars = split.where("root <> low.root").select("s", "n", "root", F.col("low.s").alias("other"), F.col("low.n").alias("other_n"), F.col("low.root").alias("other_root")).where(near)
     now, rest = labelled(now.unionByName(_decided(stars.select("s", "root", "other", "other_root").distinct(), sets, least)))
-    rest = rest.select("key", "s", "n", "root")
-    renamed = rest.select("key", *[F.col(c).alias(f"other_{c}") for c in ("s", "n", "root")])
-    pairs = rest.join(renamed, "key").where("root <> other_root and s < other_s").where(near)
-    found = _decided(pairs.select("s", "root", F.col("other_s").alias("other"), "other_root").distinct(), sets, least)
+    found = materialize(_in_blocks(rest.select("key", "s", "n", "root"), sets, least), "overlap-found")
     out = materialize(now.unionByName(found), "overlap-links")
     for done in (members, sets):
         discard(done)

@@ -74,3 +74,26 @@ def test_every_mask_keeps_enough_bits(radius):
     for _ in range(2000):
         diff = sum(1 << b for b in draw.sample(range(64), radius))
         assert any(not m & diff for m in made)
+
+
+@pytest.mark.parametrize("block", [2, 7, 256])
+def test_blocks_find_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    draw, rows, sets = random.Random(block), [], {}
+    for key in range(4):
+        base = draw.sample(range(10**9), 40)
+        for m in range(draw.choice([2, 9, 30])):
+            s = key * 100 + m
+            kept = base[: draw.randrange(28, 41)] + draw.sample(range(10**9, 2 * 10**9), draw.randrange(6))
+            sets[s] = sorted(set(kept))
+            rows.append((key, s, len(sets[s]), draw.choice([1, 1, 1, 50 + m, 60 + m % 3]) + 1000 * key))
+    members = spark.createDataFrame(rows, "key long, s long, n int, root long")
+    table = spark.createDataFrame(list(sets.items()), "s long, hashes array<long>")
+    got = {frozenset((r.u, r.v)) for r in overlap._in_blocks(members, table, 0.8).collect()}
+    want = set()
+    for i, (k, s, _, root) in enumerate(rows):
+        for k2, s2, _, other in rows[:i]:
+            a, b = set(sets[s]), set(sets[s2])
+            if k == k2 and root != other and len(a & b) >= 0.8 * len(a | b):
+                want.add(frozenset((root, other)))
+    assert want and got == want
