@@ -187,3 +187,25 @@ def crawl_order(links: DataFrame, home: str, most_depth: int = 2, most_pages: in
             break
         found = written(found.unionByName(fresh), "crawl-found")
     return found.orderBy("level", "key").limit(most_pages) if most_pages else found
+
+
+def discover(home: DataFrame, mapped: DataFrame, crawled: DataFrame, most_pages: int | None = None) -> DataFrame:
+    """(host, key, url, via, place, truncated): a site's pages from the first site map that has any, by
+    its rank, else from its links; the home page first, then by depth, then as found.
+
+    ``home`` is (host, url), ``mapped`` (host, rank, ordinal, url), ``crawled`` (host, ordinal, url);
+    ``most_pages`` cuts each site, and every row of a site that was cut says so.
+    """
+    address = lambda df: df.withColumn("p", U.page_address(F.col("url"))).where("p is not null").select(*[c for c in df.columns if c != "url"], "p.key", "p.url", "p.depth")
+    maps = address(mapped)
+    first = maps.groupBy("host").agg(F.min("rank").alias("rank"))
+    chosen = maps.join(first, ["host", "rank"]).select("host", "ordinal", "key", "url", "depth", F.lit("sitemap").alias("via"))
+    linked = address(crawled).join(first.select("host"), "host", "left_anti").select("host", "ordinal", "key", "url", "depth", F.lit("links").alias("via"))
+    start = address(home).select("host", F.lit(-1).cast("long").alias("ordinal"), "key", "url", F.lit(-1).alias("depth"), F.lit("home").alias("via"))
+    both = start.unionByName(chosen.withColumn("ordinal", F.col("ordinal").cast("long"))).unionByName(linked.withColumn("ordinal", F.col("ordinal").cast("long")))
+    one = both.groupBy("host", "key").agg(F.min(F.struct("depth", "ordinal", "url", "via")).alias("o"))
+    by_host = Window.partitionBy("host")
+    placed = one.select("host", "key", "o.url", "o.via", F.row_number().over(by_host.orderBy("o.depth", "o.ordinal", "key")).alias("place"), F.count(F.lit(1)).over(by_host).alias("n"))
+    if most_pages is None:
+        return placed.withColumn("truncated", F.lit(False)).drop("n")
+    return placed.where(F.col("place") <= most_pages).withColumn("truncated", F.col("n") > most_pages).drop("n")
