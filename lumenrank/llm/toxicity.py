@@ -209,22 +209,18 @@ def linear_classifier(votes: np.ndarray, target: np.ndarray, counts: np.ndarray,
     return w
 
 
-def posteriors(voted: DataFrame, labels: DataFrame) -> dict[tuple[int, int], float]:
-    """Posterior by (votes, label), from (id, votes, held_out) and (doc_id, toxic); held-out rows are
-    not looked at. A label of -1 stands for none."""
-    table = with_labels(voted, labels).groupBy("votes", "label").agg(F.count(F.lit(1)).alias("n")).orderBy("votes", "label").collect()  # at most 3 * 2**VOTERS rows
+def posteriors(voted: DataFrame, labels: DataFrame) -> dict[int, float]:
+    """Posterior by votes, from (id, votes, held_out) and (doc_id, toxic); held-out rows are not looked
+    at. Labels meet ids and votes only, so no text moves for them."""
+    marked = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = voted.where(~F.col("held_out")).select("id", "votes").join(marked, F.col("id") == F.col("doc_id"), "left")
+    counted = known.groupBy("votes", F.coalesce(F.col("toxic").cast("int"), F.lit(-1)).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    table = counted.orderBy("votes", "label").collect()  # at most 3 * 2**VOTERS rows
     if not table:
         return {}
-    bits = np.array([r.votes for r in table])
-    post = label_model(bits[:, None] >> np.arange(VOTERS) & 1, np.array([r.label for r in table]), np.array([r.n for r in table], float))
-    return {(r.votes, r.label): float(p) for r, p in zip(table, post, strict=True)}
-
-
-def with_labels(voted: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows to learn from, with their label or -1."""
-    marked = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    joined = voted.where(~F.col("held_out")).join(marked, F.col("id") == F.col("doc_id"), "left")
-    return joined.withColumn("label", F.coalesce(F.col("toxic").cast("int"), F.lit(-1))).drop("doc_id", "toxic")
+    bits, n = np.array([r.votes for r in table]), np.array([r.n for r in table], float)
+    post = label_model(bits[:, None] >> np.arange(VOTERS) & 1, np.array([r.label for r in table]), n)
+    return {int(v): float(post[bits == v] @ n[bits == v] / n[bits == v].sum()) for v in np.unique(bits)}
 
 
 def _buckets(text: bytes) -> np.ndarray:
@@ -233,22 +229,22 @@ def _buckets(text: bytes) -> np.ndarray:
     return np.unique(found[0] >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
-def word_weights(docs: DataFrame, post: dict[tuple[int, int], float]) -> np.ndarray:
-    """Log odds of each bucket against the prior, from (text, votes, label): what is counted grows
+def word_weights(docs: DataFrame, post: dict[int, float]) -> np.ndarray:
+    """Log odds of each bucket against the prior, from (text, votes, held_out): what is counted grows
     with the corpus, what comes to the driver has two numbers a bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, seen = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
         for b in batches:
-            for text, v, y in zip(texts_of(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                p = round(post[v, y] * _UNITS)
+            for text, v in zip(texts_of(b.column(0)), b.column(1).to_pylist(), strict=True):
+                p = round(post[v] * _UNITS)
                 at = np.append(_buckets(text), BUCKETS)  # the last counts texts
                 seen[at] += _UNITS
                 toxic[at] += p
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(toxic[some]), pa.array(seen[some])], ["bucket", "toxic", "seen"])
 
-    parts = docs.select("text", "votes", "label").mapInArrow(count, "bucket int, toxic long, seen long")
+    parts = docs.where(~F.col("held_out")).select("text", "votes").mapInArrow(count, "bucket int, toxic long, seen long")
     toxic, seen = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for r in parts.groupBy("bucket").agg(F.sum("toxic").alias("t"), F.sum("seen").alias("n")).collect():  # BUCKETS + 1 rows
         toxic[r.bucket], seen[r.bucket] = r.t / _UNITS, r.n / _UNITS
@@ -270,14 +266,16 @@ def train(docs: DataFrame, stems: list[str], labels: DataFrame) -> tuple[np.ndar
     post = posteriors(voted, labels)
     if not post:
         return np.append(np.zeros(VOTERS + 1), -3.0), np.zeros(BUCKETS, np.float32)
-    words = word_weights(with_labels(voted, labels), post)
+    words = word_weights(voted, post)
     order = F.crc32(F.concat_ws("/", F.lit("train"), F.col("id").cast("string")).cast("binary"))
-    first = with_labels(docs, labels).orderBy(order, "id", "text").limit(CLASSIFIER_ROWS)
-    sample = with_text_weight(with_votes(first, stems), words, "text", "weight").select("votes", "label", "weight").collect()
-    rows = sorted((r.votes, r.label, r.weight) for r in sample)
-    bits, weight = np.array([v for v, _, _ in rows]), np.array([w for _, _, w in rows])
-    x = np.hstack([bits[:, None] >> np.arange(VOTERS) & 1, weight[:, None]])
-    return linear_classifier(x, np.array([post[v, y] for v, y, _ in rows]), np.ones(len(rows))), words
+    first = docs.where(~F.col("held_out")).select("id").orderBy(order, "id").limit(CLASSIFIER_ROWS).distinct()
+    # CLASSIFIER_ROWS ids at most, so the texts need not move; of rows repeating an id one is taken
+    texts = docs.where(~F.col("held_out")).join(F.broadcast(first), "id").groupBy("id").agg(F.min("text").alias("text"))
+    sample = with_text_weight(with_votes(texts, stems), words, "text", "weight").select("votes", "weight").collect()
+    rows = sorted((r.votes, r.weight) for r in sample)
+    bits, weight = np.array([v for v, _ in rows]), np.array([w for _, w in rows])
+    target = np.array([post.get(v, 0.0) for v, _ in rows])
+    return linear_classifier(np.hstack([bits[:, None] >> np.arange(VOTERS) & 1, weight[:, None]]), target, np.ones(len(rows))), words
 
 
 def with_text_weight(docs: DataFrame, words: np.ndarray, text_col: str, out_col: str) -> DataFrame:

@@ -77,7 +77,10 @@ def test_scores_against_plain_versions(spark):
     counted = collections.Counter((v, y) for v, y, _ in learned)
     keys = sorted(counted)
     post = toxicity.label_model(np.array([[v >> k & 1 for k in range(toxicity.VOTERS)] for v, _ in keys]), np.array([y for _, y in keys]), np.array([counted[k] for k in keys], float))
-    post = dict(zip(keys, post))
+    share = collections.defaultdict(list)
+    for (v, _), p in zip(keys, post):
+        share[v].append((p, counted[v, _]))
+    post = {v: sum(p * n for p, n in some) / sum(n for _, n in some) for v, some in share.items()}
 
     def buckets(t):
         found = set()
@@ -87,11 +90,11 @@ def test_scores_against_plain_versions(spark):
         return found
 
     toxic, seen = collections.Counter(), collections.Counter()
-    for v, y, t in learned:
+    for v, _, t in learned:
         for b in buckets(t):
             seen[b] += 1
-            toxic[b] += round(post[v, y] * 1000) / 1000
-    prior = min(max(sum(round(post[v, y] * 1000) / 1000 for v, y, _ in learned) / len(learned), 1e-4), 0.5)
+            toxic[b] += round(post[v] * 1000) / 1000
+    prior = min(max(sum(round(post[v] * 1000) / 1000 for v, _, _ in learned) / len(learned), 1e-4), 0.5)
     odds = lambda p: math.log(p / (1 - p))
     weight_of = lambda b: odds(min(max((toxic[b] + toxicity.PRIOR_ROWS * prior) / (seen[b] + toxicity.PRIOR_ROWS), 1e-4), 1 - 1e-4)) - odds(prior)
     for b in list(seen)[:300]:
