@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import judgments, panels
+from ..functions import urls as U
+from ..operators import briefs, html, judgments, panels
 from ..sources import reports, results_json
 from ..sources.tables import read_table
 from ..streaming import limits
@@ -46,11 +47,43 @@ def structured_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly counts by a stream over the events' files as they are now."""
     schema = _events(spark, sf_dir).schema
     folder = f"{sf_dir}/events*.parquet"
-    name = f"stream_windows_{abs(hash(sf_dir))}"
-    out = limits.run_available(spark, folder, schema, lambda s: limits.windowed_counts(s), name)
+    out = limits.run_available(spark, folder, schema, lambda s: limits.windowed_counts(s))
     return out.select(F.unix_seconds("window.start").alias("start"), "event_type", "n", "cents")
 
 
+def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state of each user by a stream that keeps it between batches."""
+    out = limits.run_available(spark, f"{sf_dir}/events*.parquet", _events(spark, sf_dir).schema, limits.progress_stream, "update")
+    return out.groupBy("user_id").agg(F.max_by("last_event", "batch").alias("last_event"), F.max_by("events", "batch").alias("events"))
+
+
+def known_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps ticked off that a plan has, each once."""
+    k = F.col("p_partkey")
+    done = F.transform(F.array(k % 5, k % 3, k % 5, k % 7), lambda i: F.concat(F.lit("c"), i.cast("string")))
+    return read_table(spark, sf_dir, "part").select("p_partkey", F.array_join(briefs.known_steps(done, F.array(*[F.lit(f"c{i}") for i in range(4)])), ",").alias("steps"))
+
+
+def domain_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """International host names in ASCII."""
+    names = F.get(F.array(F.lit("пример.example"), F.lit("müller.example"), F.lit("plain.example"), F.lit("a..b")), (F.col("p_partkey") % 4).cast("int"))
+    return read_table(spark, sf_dir, "part").groupBy(names.alias("name"), U.to_ascii(names).alias("ascii")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def decoded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages from bytes in the character set that their header or their first bytes name."""
+    k = F.col("page_id")
+    word = F.when(k % 2 == 0, F.unhex(F.lit("F6E5EDE0"))).otherwise(F.encode(F.lit("цена"), "UTF-8"))
+    rows = read_table(spark, sf_dir, "pages").select("page_id", word.alias("body"), F.when(k % 2 == 0, "text/html; charset=windows-1251").otherwise("text/html").alias("content_type"))
+    return html.decode_pages(rows).groupBy("html").agg(F.count(F.lit(1)).alias("pages"))
+
+
+def settings_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of one row, and a patch that defines some of them."""
+    now = spark.createDataFrame([("bg", 20, "own.example")], "market string, depth int, domain string")
+    return reports.update_settings(now, spark.createDataFrame([(None, 30)], "market string, depth int"))
+
+
 def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each facet under the filters of the others."""
     orders = read_table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus", (F.col("o_custkey") % 3).cast("string").alias("kind"))
@@ -127,7 +160,7 @@ def audit_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sliding_failure_limit, failure_streaks, budget_running_total, last_state_per_job, cache_expiry, event_properties, structured_stream_windows, facet_counts, panel_sort, judgment_parsing, merged_twins, csv_safe_export,
+        sliding_failure_limit, failure_streaks, budget_running_total, last_state_per_job, cache_expiry, event_properties, structured_stream_windows, job_progress, known_steps, domain_forms, decoded_pages, settings_patch, facet_counts, panel_sort, judgment_parsing, merged_twins, csv_safe_export,
         markdown_export, report_index, tracked_registry, result_json_sources, audit_figures,
     )
 }
@@ -170,3 +203,11 @@ SELECT domain, added_at FROM g WHERE domain <> 'Supplier#000000002'""",
     "markdown_export": r"""WITH r AS (SELECT p_name, p_type, '*' || p_brand || '_' AS brand FROM part ORDER BY p_name, p_type, 3 LIMIT 30), e AS (SELECT [regexp_replace(x, '([\\`*_{}\[\]()#+|<>!~-])', '\\\1', 'g') FOR x IN [p_name, p_type, brand]] AS c FROM r)
 SELECT '| ' || array_to_string(c, ' | ') || ' |' AS line FROM e UNION ALL SELECT unnest(['| p_name | p_type | brand |', '| --- | --- | --- |'])""",
 }
+ORACLE_SQL |= {
+    "job_progress": "SELECT user_id, max(event_id) AS last_event, count(*) AS events FROM events GROUP BY user_id",
+    "known_steps": """WITH s AS (SELECT p_partkey, [p_partkey % 5, p_partkey % 3, p_partkey % 5, p_partkey % 7] AS d FROM part)
+SELECT p_partkey, array_to_string([ 'c' || d[i] FOR i IN [1, 2, 3, 4] IF d[i] < 4 AND list_position(d, d[i]) = i], ',') AS steps FROM s""",
+    "domain_forms": "SELECT ['пример.example', 'müller.example', 'plain.example', 'a..b'][p_partkey % 4 + 1] AS name, ['xn--e1afmkfd.example', 'xn--mller-kva.example', 'plain.example', NULL][p_partkey % 4 + 1] AS ascii, count(*) AS rows FROM part GROUP BY ALL",
+    "decoded_pages": "SELECT 'цена' AS html, count(*) AS pages FROM pages",
+    "settings_patch": "SELECT 'bg' AS market, 30 AS depth, 'own.example' AS domain",
+}

@@ -19,10 +19,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_folder(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark)}/lumenrank-{what}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as a table and read back: it is computed once however often it is used, and
     the files' sizes decide on broadcasts."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lumenrank-{what}-{uuid.uuid4().hex}"
+    path = new_folder(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.shared import new_folder
+
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
@@ -71,10 +74,28 @@ def progress_stream(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(_track, "user_id long, last_event long, events long", "last long, n long", "update", "NoTimeout")
 
 
-def run_available(spark: SparkSession, folder: str, schema: StructType, plan, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Run a streaming plan over the files of a folder that are there now; its result as a table."""
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(folder)
-    writer = plan(stream).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+def run_available(spark: SparkSession, folder: str, schema: StructType, plan, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
+    """Run a streaming plan over the files of a folder that are there now; its result as a table.
+
+    Each batch is written as a table of its own in the shared folder, over what a failed attempt at
+    it left, beside the checkpoint; nothing passes through the driver. In complete mode the last batch
+    is the result, in update mode all of them are, with ``batch``.
+    """
+    base = new_folder(spark, "stream")
+    stream = plan(spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(folder))
+    done: list[int] = []
+
+    def save(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/rows/batch={batch}")
+        done.append(batch)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint or f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not done:
+        empty = spark.createDataFrame([], stream.schema)
+        return empty if mode == "complete" else empty.withColumn("batch", F.lit(0).cast("long"))
+    read = lambda n: spark.read.schema(stream.schema).parquet(f"{base}/rows/batch={n}")
+    if mode == "complete":
+        return read(max(done))
+    out = [read(n).withColumn("batch", F.lit(n).cast("long")) for n in sorted(set(done))]
+    return reduce(DataFrame.unionByName, out)

@@ -261,7 +261,7 @@ def test_streams(spark, tmp_path):
     rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     folder = str(tmp_path / "in")
     rows.repartition(3).write.parquet(folder)
-    got = limits.run_available(spark, folder, rows.schema, limits.progress_stream, "progress", "update")
+    got = limits.run_available(spark, folder, rows.schema, limits.progress_stream, "update")
     best = {r.user_id: (r.last_event, r.events) for r in got.groupBy("user_id").agg(F.max("last_event").alias("last_event"), F.max("events").alias("events")).collect()}
     assert best == {r.user_id: (r.a, r.b) for r in rows.groupBy("user_id").agg(F.max("event_id").alias("a"), F.count(F.lit(1)).alias("b")).collect()}
 
