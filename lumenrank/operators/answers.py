@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import urls as U
+
 from ..functions.numbers import r3, ratio3, wilson
 from .ranking import top_per
 
@@ -24,12 +28,54 @@ def first_mention(text: Column, name: Column) -> Column:
     return F.nullif(head, F.lit(0))
 
 
-def mentions(answers: DataFrame, brands: DataFrame) -> DataFrame:
-    """(answer_id, domain, own, at): each brand's first mention. The brands are a short list of
-    rules (domain, own); each answer meets each name once, nothing is paired with other answers."""
-    names = brands.select("domain", "own", F.explode(names_of(F.col("domain"))).alias("name"))
-    met = answers.select("answer_id", F.lower("text").alias("low")).join(names, F.expr("instr(low, lower(name)) > 0"))
-    return met.withColumn("at", first_mention(F.col("low"), F.col("name"))).where("at is not null").groupBy("answer_id", "domain", "own").agg(F.min("at").alias("at"))
+def brand_table(brands: DataFrame) -> DataFrame:
+    """(domain, own, names) of brands (domain, own): one row a registrable domain, ours if any of its
+    rows is, with all the names its domains go by."""
+    named = brands.select(U.registrable(F.concat(F.lit("https://"), "domain")).alias("domain"), "own", names_of(F.col("domain")).alias("names"))
+    return named.groupBy("domain").agg(F.bool_or("own").alias("own"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
+
+
+MENTION = "array<struct<domain: string, own: boolean, at: int>>"
+
+
+def mentions(answers: DataFrame, brands: DataFrame, most_names: int = 10_000) -> DataFrame:
+    """(answer_id, domain, own, at): each brand's first mention as a whole word, from 1; up to three
+    letters may follow a Cyrillic name. Brands are a list of rules of at most ``most_names`` names,
+    found in one pass over each answer however many they are."""
+    rules = [(r.domain, r.own, n.lower()) for r in brand_table(brands).limit(most_names + 1).collect() for n in r.names]
+    if len(rules) > most_names:
+        raise ValueError(f"more than {most_names} names; pass a greater most_names")
+    by_name: dict[str, list[tuple[str, bool]]] = {}
+    for domain, own, name in rules:
+        by_name.setdefault(name, []).append((domain, own))
+
+    @F.arrow_udf(MENTION)
+    def find(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("domain", pa.string()), ("own", pa.bool_()), ("at", pa.int32())]))
+        search = ahocorasick.Automaton()
+        for name, owners in by_name.items():
+            search.add_word(name, (len(name), owners))
+        search.make_automaton()
+        cyrillic = lambda c: "\u0400" <= c <= "\u052f"
+        out = []
+        for text in texts.to_pylist():
+            first: dict[tuple[str, bool], int] = {}
+            low = (text or "").lower()
+            for end, (size, owners) in search.iter(low) if by_name else ():
+                start, after = end + 1 - size, end + 1
+                if start and low[start - 1].isalnum():
+                    continue
+                if cyrillic(low[end]):
+                    while after < len(low) and after - end <= 3 and cyrillic(low[after]):
+                        after += 1
+                if after < len(low) and low[after].isalnum():
+                    continue
+                for owner in owners:
+                    first[owner] = min(first.get(owner, start + 1), start + 1)
+            out.append([{"domain": d, "own": o, "at": at} for (d, o), at in sorted(first.items())])
+        return pa.array(out, kind)
+
+    return answers.select("answer_id", F.explode(find(F.col("text"))).alias("m")).select("answer_id", "m.domain", "m.own", "m.at")
 
 
 def analyse(answers: DataFrame, citations: DataFrame, found: DataFrame) -> DataFrame:

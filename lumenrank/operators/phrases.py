@@ -92,12 +92,16 @@ def _cluster(rows: list[tuple[str, str, frozenset]], least: float) -> list[tuple
     return out
 
 
-def cluster_headings(headings: DataFrame, least: float = 0.4) -> DataFrame:
-    """(scope, topic, pages, examples) from (scope, ordinal, doc, heading), each scope by itself.
+def cluster_headings(headings: DataFrame, least: float = 0.4, ignore: Column | None = None) -> DataFrame:
+    """(scope, topic, pages, examples) from (scope, ordinal, doc, heading), each scope by itself; the
+    terms of ``ignore``, an array, do not count.
 
-    A scope is the pages of one keyword, a few hundred headings; scopes run side by side.
+    A scope is the pages of one keyword, a few hundred headings; scopes run side by side, and the
+    headings of one are taken one after the other by nature.
     """
-    rows = headings.select("scope", "ordinal", F.col("doc").cast("string").alias("doc"), "heading", F.array_distinct(T.terms(F.col("heading"))).alias("terms")).where(F.size("terms") > 0)
+    terms = F.array_distinct(T.terms(F.col("heading")))
+    terms = terms if ignore is None else F.array_except(terms, ignore)
+    rows = headings.select("scope", "ordinal", F.col("doc").cast("string").alias("doc"), "heading", terms.alias("terms")).where(F.size("terms") > 0)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ordinal")
@@ -112,6 +116,15 @@ def cluster_headings(headings: DataFrame, least: float = 0.4) -> DataFrame:
     return rows.groupBy("scope").applyInPandas(run, f"scope {headings.schema['scope'].dataType.simpleString()}, topic string, pages long, examples array<string>")
 
 
+def subtopics(headings: DataFrame, keyword_terms: Column | None = None, share: float = 0.25, most: int = 12) -> DataFrame:
+    """(scope, topic, pages, place): clusters of headings on a quarter of a scope's pages, two at least,
+    without the keyword's own terms; the ``most`` common."""
+    total = headings.groupBy("scope").agg(F.count_distinct("doc").alias("all"))
+    kept = cluster_headings(headings, ignore=keyword_terms).join(total, "scope").where(F.col("pages") >= F.greatest(F.lit(2).cast("double"), F.ceil(F.col("all") * share)))
+    placed = kept.withColumn("place", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("pages"), "topic")))
+    return placed.where(F.col("place") <= most).select("scope", "topic", "pages", "place")
+
+
 def cluster_questions(questions: DataFrame, least: float = 0.5) -> DataFrame:
     """(scope, ordinal, text, cluster): a question joins the first cluster with a member that
     shares at least half of the shorter one's terms. Texts without terms are left out."""
@@ -149,4 +162,4 @@ def most_frequent(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return counted.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), value)))
 
 
-__all__ = ["phrases_of", "mine_phrases", "prune_subsumed", "cluster_headings", "cluster_questions", "duplicate_values", "most_frequent"]
+__all__ = ["phrases_of", "mine_phrases", "prune_subsumed", "cluster_headings", "subtopics", "cluster_questions", "duplicate_values", "most_frequent"]

@@ -122,36 +122,40 @@ _LOC = re.compile(r"<(?:[\w-]+:)?(sitemap|url)\b[^>]*>(.*?)(?=<(?:[\w-]+:)?(?:si
 _INNER = re.compile(r"<(?:(\w[\w-]*):)?loc\b[^>]*>\s*(?:<!\[CDATA\[(.*?)\]\]>|([^<]*))", re.S | re.I)
 
 
-def parse_sitemap(text: str) -> tuple[str, list[str]]:
+def parse_sitemap(text: str, most_urls: int | None = MOST_URLS, most_children: int | None = MOST_CHILDREN, most_length: int | None = MOST_LENGTH) -> tuple[str, list[str]]:
     """('urls' or 'sitemaps', addresses): tolerant of prefixes, CDATA, entities and bare &; a
-    plain list of addresses counts too. Addresses of images and the like are left out."""
+    plain list of addresses counts too. Addresses of images and the like are left out. Each limit
+    can be lifted (None)."""
     text = text.lstrip("﻿ \t\r\n")
+    fits = lambda x: re.match(r"https?://", x, re.I) and (most_length is None or len(x) <= most_length)
     if not text.startswith("<"):
         found = [x.strip() for x in text.splitlines()]
-        return "urls", [x for x in found if re.match(r"https?://", x, re.I) and len(x) <= MOST_LENGTH][:MOST_URLS]
-    kind = "sitemaps" if re.search(r"<(?:[\w-]+:)?sitemapindex\b", text[:5000], re.I) else "urls"
+        return "urls", [x for x in found if fits(x)][:most_urls]
+    root = re.search(r"<(?:[\w-]+:)?(sitemapindex|urlset|sitemap|url)\b", text, re.I)
+    kind = "sitemaps" if root and root[1].lower().startswith("sitemap") else "urls"
+    most = most_children if kind == "sitemaps" else most_urls
     out = []
     for m in _LOC.finditer(text):
         for prefix, quoted, plain in _INNER.findall(m[2]):
             if prefix.lower() in ("image", "video", "news"):
                 continue
             x = (quoted or _html.unescape(plain)).strip()
-            if re.match(r"https?://", x, re.I) and len(x) <= MOST_LENGTH:
+            if fits(x):
                 out.append(x)
             break
-        if len(out) >= (MOST_CHILDREN if kind == "sitemaps" else MOST_URLS):
+        if most is not None and len(out) >= most:
             break
     return kind, out
 
 
-def sitemap_urls(files: DataFrame) -> DataFrame:
-    """(source, kind, ordinal, url) from (source, text)."""
+def sitemap_urls(files: DataFrame, most_urls: int | None = MOST_URLS, most_children: int | None = MOST_CHILDREN, most_length: int | None = MOST_LENGTH) -> DataFrame:
+    """(source, kind, ordinal, url) from (source, text); limits as in ``parse_sitemap``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                kind, found = parse_sitemap(text or "")
+                kind, found = parse_sitemap(text or "", most_urls, most_children, most_length)
                 rows += [(source, kind, i, u) for i, u in enumerate(found)]
             kinds = (pa.string(), pa.string(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["source", "kind", "ordinal", "url"])
@@ -159,13 +163,15 @@ def sitemap_urls(files: DataFrame) -> DataFrame:
     return files.select("source", "text").mapInArrow(run, "source string, kind string, ordinal int, url string")
 
 
-def sitemaps_of_robots(files: DataFrame) -> DataFrame:
-    """(host, ordinal, url) of the Sitemap: lines, distinct, at most 20 a host."""
+def sitemaps_of_robots(files: DataFrame, most: int | None = 20) -> DataFrame:
+    """(host, ordinal, url) of the Sitemap: lines, distinct, at most ``most`` a host (None: all)."""
     line = F.explode(F.transform(F.split("text", r"\r\n|\r|\n"), lambda x, i: F.struct(i.alias("ordinal"), F.trim(F.substring_index(x, "#", 1)).alias("line"))))
     rows = files.select("host", line.alias("l")).select("host", "l.ordinal", F.regexp_extract("l.line", r"^(?i:sitemap)\s*:\s*(\S+)", 1).alias("url")).where("url <> ''")
     full = rows.withColumn("url", F.when(F.col("url").startswith("/"), F.concat(F.lit("https://"), "host", "url")).otherwise(F.col("url"))).where(F.col("url").rlike("^(?i:https?)://"))
     one = full.groupBy("host", "url").agg(F.min("ordinal").alias("ordinal"))
-    return one.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("ordinal"))).where("n <= 20").drop("n")
+    if most is None:
+        return one
+    return one.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("ordinal"))).where(F.col("n") <= most).drop("n")
 
 
 def distinct_pages(found: DataFrame, url: Column, ordinal: str) -> DataFrame:

@@ -43,7 +43,7 @@ def own_term_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     each = docs.select(F.col("lang").alias("scope"), "source", "doc_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
     pages = docs.groupBy(F.col("lang").alias("scope")).agg(F.count(F.lit(1)).alias("pages"))
-    shared = each.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(pages), "scope").select("scope", "term", (F.col("n") / F.col("pages")).alias("share"))
+    shared = each.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("n")).join(pages, "scope").select("scope", "term", (F.col("n") / F.col("pages")).alias("share"))
     return briefs.missing_terms(shared, each.where(F.col("source") == OWN_SOURCE).select("scope", "term").distinct(), 0.3).select("scope", "term", "place")
 
 

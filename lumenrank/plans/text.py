@@ -58,9 +58,18 @@ def prune_subsumed_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of documents as headings, clustered by source and language."""
-    rows = _docs(spark, sf_dir).select(F.concat_ws("/", "source", "lang").alias("scope"), F.col("doc").alias("ordinal"), "doc", F.substring_index("text", "\n", 1).alias("heading"))
-    return phrases.cluster_headings(rows)
+    """First lines of documents as headings, clustered by source, language and thousand of ids."""
+    return phrases.cluster_headings(_headings(spark, sf_dir))
+
+
+def _headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = F.concat_ws("/", "source", "lang", F.floor(F.col("doc") / 1000).cast("string"))
+    return _docs(spark, sf_dir).select(scope.alias("scope"), F.col("doc").alias("ordinal"), "doc", F.substring_index("text", "\n", 1).alias("heading"))
+
+
+def subtopics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What headings of a scope share, the commonest words of their language left out."""
+    return phrases.subtopics(_headings(spark, sf_dir), T.keyword_terms(F.lit("the of and la de der die en")), 0.05)
 
 
 def cluster_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +81,7 @@ def duplicate_values_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.duplicate_values(_docs(spark, sf_dir), "lang", F.col("text"), "same").select("doc", "lang", "same")
 
 
-QUERIES = {f.__name__: f for f in (stem_terms, keyword_key, coverage, question_shapes, text_cleaning, phrase_document_frequency, prune_subsumed_phrases, cluster_headings, cluster_questions, duplicate_values_window)}
+QUERIES = {f.__name__: f for f in (stem_terms, keyword_key, coverage, question_shapes, text_cleaning, phrase_document_frequency, prune_subsumed_phrases, cluster_headings, subtopics, cluster_questions, duplicate_values_window)}
 
 
 def _cut_sql(w: str, suffixes: list[str]) -> str:
