@@ -30,8 +30,9 @@ def first_mention(text: Column, name: Column) -> Column:
 
 def brand_table(brands: DataFrame) -> DataFrame:
     """(domain, own, names) of brands (domain, own): one row a registrable domain, ours if any of its
-    rows is, with all the names its domains go by."""
-    named = brands.select(U.registrable(F.concat(F.lit("https://"), "domain")).alias("domain"), "own", names_of(F.col("domain")).alias("names"))
+    rows is, with the names it goes by and its domains."""
+    site = U.registrable(F.concat(F.lit("https://"), "domain"))
+    named = brands.select(site.alias("domain"), "own", F.array_append(names_of(site), F.col("domain")).alias("names"))
     return named.groupBy("domain").agg(F.bool_or("own").alias("own"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
 
 

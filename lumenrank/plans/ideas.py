@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..functions import weights as W
 from ..operators import collect, fetch, ideas, opportunities, phrases, sites
-from ..sources import adapters, results_json
+from ..sources import adapters, demo, results_json
 from ..sources.tables import read_table
 from .pages import _URL_SQL, _pages
 from .serp import RESULTS_SQL, serp_results
@@ -144,10 +144,20 @@ def site_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.discover(home, mapped, rows, 20)
 
 
+def demo_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return demo.volumes(_parts(spark, sf_dir).select(F.col("p_name").alias("keyword")))
+
+
+def demo_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each made-up site comes first, and among the first three."""
+    rows = demo.results(_parts(spark, sf_dir).select(F.concat("p_name", F.lit(" "), "p_brand").alias("keyword")))
+    return rows.groupBy("domain").agg(F.count_if(F.col("position") == 1).alias("first"), F.count_if(F.col("position") <= 3).alias("top3"), F.count(F.lit(1)).alias("seen"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        candidate_ideas, local_keywords, keyword_volumes, candidate_results, crawl_plan, seed_signals, best_formats, must_cover_phrases, fetch_outcomes, capped_bodies, robots_fetches, engine_answers, redirect_domains, site_discovery,
+        demo_volumes, demo_results, candidate_ideas, local_keywords, keyword_volumes, candidate_results, crawl_plan, seed_signals, best_formats, must_cover_phrases, fetch_outcomes, capped_bodies, robots_fetches, engine_answers, redirect_domains, site_discovery,
     )
 }
 
@@ -155,7 +165,15 @@ _SUFFIX, _PREFIX = ideas.MODIFIERS["en"]
 _VARIED = ", ".join(f"({i}, '{t}')" for i, t in enumerate([f"{SEED} {m}" for m in _SUFFIX] + [f"{m} {SEED}" for m in _PREFIX]))
 _TERMS = _KW.format("text")
 
+_HASH = lambda text: f"list_reduce(list_prepend(2166136261::UBIGINT, [ord(x)::UBIGINT FOR x IN string_split({text}, '')]), lambda a, x: (xor(a, x) * 16777619) % 4294967296)"
+#: The nth number drawn from a hash h, in three steps: a, t, u.
+_DRAWN = """{0}a AS (SELECT *, (h + 1831565813::UBIGINT * {1}) % 4294967296 AS a FROM {2}), {0}b AS (SELECT *, ((xor(a, a >> 15))::HUGEINT * (a | 1)::HUGEINT % 4294967296)::UBIGINT AS t FROM {0}a),
+{0}c AS (SELECT *, xor(t, (t + ((xor(t, t >> 7))::HUGEINT * (t | 61)::HUGEINT % 4294967296)::UBIGINT) % 4294967296) AS u FROM {0}b), {0} AS (SELECT * EXCLUDE (a, t, u), xor(u, u >> 14) / 4294967296.0::DOUBLE AS {0}_drawn FROM {0}c)"""
+
 ORACLE_SQL = {
+    "demo_volumes": f"WITH k AS (SELECT DISTINCT p_name AS keyword FROM part), h AS (SELECT keyword, {_HASH("'volume|' || keyword")} AS h FROM k), {_DRAWN.format('one', 1, 'h')}, {_DRAWN.format('two', 2, 'one')} SELECT keyword, CASE WHEN one_drawn >= 0.12 THEN (floor(two_drawn * 200) * 10 + 10)::BIGINT END AS volume FROM two",
+    "demo_results": f"""WITH k AS (SELECT DISTINCT p_name || ' ' || p_brand AS keyword FROM part), s AS (SELECT keyword, domain FROM k, (SELECT unnest({[d for d, _ in demo.SITES]}) AS domain)), h AS (SELECT *, {_HASH("'rank|' || keyword || '|' || domain")} AS h FROM s), {_DRAWN.format('one', 1, 'h')},
+p AS (SELECT domain, row_number() OVER (PARTITION BY keyword ORDER BY one_drawn DESC, domain) AS position FROM one) SELECT domain, count(*) FILTER (position = 1) AS first, count(*) FILTER (position <= 3) AS top3, count(*) AS seen FROM p WHERE position <= 10 GROUP BY domain""",
     "candidate_ideas": _M + f"""WITH b AS (SELECT p_partkey::BIGINT AS ordinal, p_partkey % 5 AS g, p_name AS name, p_type AS kind, (p_size % 6)::BIGINT AS pages FROM part),
 r AS (SELECT 0 AS part, ordinal, '  Best ' || name || '??' AS text, 0::BIGINT AS pages, 'related' AS source FROM b WHERE g = 0 UNION ALL SELECT 1, ordinal, 'how much is a ' || name || '?', 0, 'people_also_ask' FROM b WHERE g = 1 UNION ALL SELECT 2, ordinal, name || ' ' || kind, 0, 'autocomplete' FROM b WHERE g = 2
 UNION ALL SELECT 3, ordinal, name || ' guide', pages, 'competitor_terms' FROM b WHERE g = 3 UNION ALL SELECT 4, ordinal, '{SEED} ' || lower(string_split(kind, ' ')[1]), pages, 'competitor_terms' FROM b WHERE g = 4 AND length(string_split(kind, ' ')[1]) >= 4
