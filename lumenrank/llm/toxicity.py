@@ -229,22 +229,23 @@ def _buckets(text: bytes) -> np.ndarray:
     return np.unique(found[0] >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
-def word_weights(docs: DataFrame, post: dict[int, float]) -> np.ndarray:
-    """Log odds of each bucket against the prior, from (text, votes, held_out): what is counted grows
+def word_weights(docs: DataFrame, stems: list[str], post: dict[int, float]) -> np.ndarray:
+    """Log odds of each bucket against the prior, from (text, held_out): what is counted grows
     with the corpus, what comes to the driver has two numbers a bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _search(stems)
         toxic, seen = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
         for b in batches:
-            for text, v in zip(texts_of(b.column(0)), b.column(1).to_pylist(), strict=True):
-                p = round(post[v] * _UNITS)
+            for text in texts_of(b.column(0)):
+                p = round(post[votes_of(text.decode(), search)] * _UNITS)
                 at = np.append(_buckets(text), BUCKETS)  # the last counts texts
                 seen[at] += _UNITS
                 toxic[at] += p
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(toxic[some]), pa.array(seen[some])], ["bucket", "toxic", "seen"])
 
-    parts = docs.where(~F.col("held_out")).select("text", "votes").mapInArrow(count, "bucket int, toxic long, seen long")
+    parts = docs.where(~F.col("held_out")).select("text").mapInArrow(count, "bucket int, toxic long, seen long")
     toxic, seen = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for r in parts.groupBy("bucket").agg(F.sum("toxic").alias("t"), F.sum("seen").alias("n")).collect():  # BUCKETS + 1 rows
         toxic[r.bucket], seen[r.bucket] = r.t / _UNITS, r.n / _UNITS
@@ -266,26 +267,31 @@ def train(docs: DataFrame, stems: list[str], labels: DataFrame) -> tuple[np.ndar
     post = posteriors(voted, labels)
     if not post:
         return np.append(np.zeros(VOTERS + 1), -3.0), np.zeros(BUCKETS, np.float32)
-    words = word_weights(voted, post)
+    words = word_weights(docs, stems, post)
     order = F.crc32(F.concat_ws("/", F.lit("train"), F.col("id").cast("string")).cast("binary"))
     first = docs.where(~F.col("held_out")).select("id").orderBy(order, "id").limit(CLASSIFIER_ROWS).distinct()
     # CLASSIFIER_ROWS ids at most, so the texts need not move; of rows repeating an id one is taken
     texts = docs.where(~F.col("held_out")).join(F.broadcast(first), "id").groupBy("id").agg(F.min("text").alias("text"))
-    sample = with_text_weight(with_votes(texts, stems), words, "text", "weight").select("votes", "weight").collect()
+    sample = with_features(texts, stems, words, "text", "f").select("f.votes", "f.weight").collect()
     rows = sorted((r.votes, r.weight) for r in sample)
     bits, weight = np.array([v for v, _ in rows]), np.array([w for _, w in rows])
     target = np.array([post.get(v, 0.0) for v, _ in rows])
     return linear_classifier(np.hstack([bits[:, None] >> np.arange(VOTERS) & 1, weight[:, None]]), target, np.ones(len(rows))), words
 
 
-def with_text_weight(docs: DataFrame, words: np.ndarray, text_col: str, out_col: str) -> DataFrame:
-    """``docs`` with the weight of each text; BUCKETS numbers go to the executors."""
+def with_features(docs: DataFrame, stems: list[str], words: np.ndarray, text_col: str, out_col: str) -> DataFrame:
+    """``docs`` with struct(votes, weight) of each text; BUCKETS numbers go to the executors. One pass in
+    one worker: two columns of their own would have two read each text."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
+    kind = pa.struct([("votes", pa.int32()), ("weight", pa.float64())])
 
-    @F.arrow_udf("double")
+    @F.arrow_udf("votes int, weight double")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        search = _search(stems)
         for texts in parts:
-            yield pa.array([text_weight(t, shared.value) for t in texts_of(texts)], pa.float64())
+            raw = texts_of(texts)
+            votes, weight = [votes_of(t.decode(), search) for t in raw], [text_weight(t, shared.value) for t in raw]
+            yield pa.StructArray.from_arrays([pa.array(votes, pa.int32()), pa.array(weight, pa.float64())], fields=list(kind))
 
     return docs.withColumn(out_col, run(F.col(text_col)))
 
@@ -310,13 +316,13 @@ def _learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tu
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted, votes), one row per input row."""
     stems, (weights, words), plain = _learn(docs, labels, id_col, text_col)
-    scored = with_text_weight(with_votes(plain, stems), words, "text", "weight").withColumn("score", score_of(F.col("votes"), F.col("weight"), weights))
+    scored = with_features(plain, stems, words, "text", "f").select("id", "held_out", score_of(F.col("f.votes"), F.col("f.weight"), weights).alias("score"), "f.votes")
     return scored.select("id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "votes")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, scored with a model trained on ``docs``."""
     stems, (weights, words), _ = _learn(docs, labels, id_col, text_col)
-    votes, weight = free_name(docs, "toxicity_votes"), free_name(docs, "toxicity_weight")
-    scored = with_text_weight(with_votes(docs, stems, text_col, votes), words, text_col, weight)
-    return scored.where(score_of(F.col(votes), F.col(weight), weights) < 0.5).select(*docs.columns)
+    f = free_name(docs, "toxicity_features")
+    scored = with_features(docs, stems, words, text_col, f)
+    return scored.where(score_of(F.col(f"{f}.votes"), F.col(f"{f}.weight"), weights) < 0.5).select(*docs.columns)

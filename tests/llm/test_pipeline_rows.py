@@ -9,7 +9,7 @@ from lumenrank.llm import _shared, mixing, queries, toxicity
 
 LONG = " ".join(f"w{i}" for i in range(80))
 NEAR = LONG + " more"
-CLASH = "doc_id long, text string, lang string, source string, secrets string, __source string, __rate double, __copy int, __votes int, mix_source string, mix_rate double, mix_copy int, toxicity_votes int"
+CLASH = "doc_id long, text string, lang string, source string, secrets string, __source string, __rate double, __copy int, __votes int, mix_source string, mix_rate double, mix_copy int, toxicity_features int"
 
 
 @pytest.fixture
