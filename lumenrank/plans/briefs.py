@@ -146,3 +146,12 @@ UNION ALL SELECT answer_id, ordinal, regexp_replace('https://www.' || domain ||
 o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY answer_id, kind, domain, url ORDER BY ordinal) = 1), k AS (SELECT * FROM o WHERE kind = 'cited' OR NOT EXISTS (SELECT 1 FROM o x WHERE x.kind = 'cited' AND x.answer_id = o.answer_id AND x.domain = o.domain AND x.url = o.url))
 SELECT answer_id, kind, row_number() OVER (PARTITION BY answer_id, kind ORDER BY ordinal)::INT AS place, url, domain FROM k QUALIFY place <= 3""",
 }
+
+ORACLE_SQL |= {
+    "best_excerpts": _M + f"""WITH s AS (SELECT conv_id, turn, {_KW.format('text')} AS kw, [x FOR x IN regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+') IF length(x) > 20] AS s FROM conversations WHERE role = 'assistant'),
+n AS (SELECT conv_id, turn, s, [len(list_intersect(kw, lr_terms(x))) FOR x IN s] AS n FROM s), p AS (SELECT *, list_position(n, list_max(n)) AS pos FROM n)
+SELECT conv_id, turn, CASE WHEN len(s) > 0 THEN left(array_to_string(s[pos : pos + 3], ' '), 600) END AS excerpt FROM p""",
+    "labels_and_forms": r"""WITH p AS (SELECT p_partkey, p_name, p_type, p_size, regexp_split_to_array(trim(p_name || ';;' || p_name || ',x'), '[\s,;]+') AS t, p_type || ' | ' || repeat(p_name, 6) AS title FROM part)
+SELECT p_partkey, array_to_string([upper(left(w, 1)) || lower(substr(w, 2)) FOR w IN string_split(p_name, ' ')], ' ') AS label, array_to_string([t[i] FOR i IN range(1, len(t) + 1) IF t[i] <> '' AND list_position(t, t[i]) = i], '|') AS tokens,
+'{"p_size":' || p_size || ',"p_name":"' || p_name || '"}' AS json, CASE WHEN length(title) <= 62 THEN title ELSE p_type END AS title FROM p""",
+}

@@ -142,3 +142,8 @@ ORACLE_SQL |= {
     "sitemap_pages": f"WITH {_URL_SQL} SELECT host AS source, 'urls' AS kind, count(*) AS urls, count(DISTINCT key) AS pages FROM addr GROUP BY host",
     "public_addresses": "SELECT public, count(*) AS addresses FROM (SELECT true AS public FROM pages UNION ALL SELECT page_id % 7 = 6 FROM pages) GROUP BY public",
 }
+
+ORACLE_SQL |= {
+    "link_graph": rf"""WITH {_URL_SQL}, l AS (SELECT url, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS h FROM pages)
+SELECT host, count(*) AS links, count(DISTINCT host || regexp_replace(regexp_extract(h, '^[^?#]*'), '/+$', '')) AS targets, 0::BIGINT AS leaving FROM l JOIN (SELECT DISTINCT url, host FROM u) USING (url) WHERE h <> '' GROUP BY host""",
+}

@@ -211,3 +211,8 @@ SELECT p_partkey, array_to_string([ 'c' || d[i] FOR i IN [1, 2, 3, 4] IF d[i] <
     "decoded_pages": "SELECT 'цена' AS html, count(*) AS pages FROM pages",
     "settings_patch": "SELECT 'bg' AS market, 30 AS depth, 'own.example' AS domain",
 }
+ORACLE_SQL |= {
+    "result_json_sources": """WITH p AS (SELECT p_brand AS keyword, p_partkey AS k, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth, p_partkey % 9 AS site, p_size FROM part),
+r AS (SELECT 'flat' AS via, keyword, CASE WHEN k % 2 = 0 AND k > 0 THEN k ELSE nth END AS position, nth, site, p_size, 'a b' AS snippet FROM p UNION ALL SELECT 'tasks', keyword, CASE WHEN k > 0 THEN k ELSE nth END, nth, site, p_size, 'd' FROM p),
+o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY via, keyword, site, p_size ORDER BY nth) = 1) SELECT via, keyword, count(*) AS results, count(DISTINCT site) AS domains, min(position)::INT AS first, max(snippet) AS snippet FROM o GROUP BY via, keyword""",
+}
