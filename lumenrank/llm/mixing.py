@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import free_name, materialize
+from ._shared import free_name, listed, materialize, width
 
 WORD = r"[^\x20\x09-\x0D]+"
 DRAW_DIGITS = 13  # hex digits of the hash that make the draw: 52 bits, exact in a double
@@ -26,6 +26,20 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def numbered(rows: DataFrame, order: Column) -> DataFrame:
+    """``rows`` with ``at``, their place from 0: ranges of the order are sorted apart, and each begins
+    where the ranges before it end, so however many sources there are no task sorts them all."""
+    spark = rows.sparkSession
+    dealt = materialize(rows.repartitionByRange(width(spark), order).withColumn("part", F.spark_partition_id()), "mix-order")
+    counts = {r.part: r.n for r in dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a range
+    before, starts = 0, []
+    for part in range(max(counts, default=0) + 1):
+        starts.append(before)
+        before += counts.get(part, 0)
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(order))
+    return dealt.withColumn("at", F.element_at(listed(starts), F.col("part") + 1) + inside - 1).drop("part")
+
+
 def source_targets(sizes: DataFrame, weights: list[float], share: float, cap: float) -> DataFrame:
     """(source, source_size, target) from rows (source, size).
 
@@ -33,9 +47,7 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, cap: fl
     over the sources that are not full until none is above. Each step is one aggregate.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    # one row a source: the window sorts names, not documents
-    named = by_source.withColumn("at", F.row_number().over(order) - 1)
+    named = numbered(by_source, F.col("source").asc_nulls_last())
     weighed = materialize(
         named.select(
             "source",

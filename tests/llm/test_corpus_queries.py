@@ -178,6 +178,40 @@ def test_mix_repeats_rows(spark):
     assert rows == collections.Counter({i: n for i, n in copies.items() if n})
 
 
+@pytest.mark.parametrize("n", [0, 1, 3, 500])
+def test_sources_are_numbered_in_order(spark, n):
+    from pyspark.sql import functions as F
+
+    from lumenrank.llm import mixing
+
+    names = [f"s{i * 7919 % 1000}" for i in range(n)] + ([None, "", "\U0001f642", "é"] if n else [])
+    rows = mixing.numbered(spark.createDataFrame([(x,) for x in names], "source string").repartition(5), F.col("source").asc_nulls_last()).collect()
+    assert [r.source for r in sorted(rows, key=lambda r: r.at)] == sorted(names, key=lambda s: (s is None, s or "")) and sorted(r.at for r in rows) == list(range(len(names)))
+
+
+def test_fingerprints_of_small_texts_by_hand():
+    from lumenrank.llm import _words, cws
+
+    draw = random.Random(8)
+    for _ in range(30):
+        words = [draw.choice("abcdefgh") * draw.randrange(1, 4) for _ in range(draw.randrange(1, 60))]
+        ((_, _, h, _),) = _words.hashed_words([" ".join(words).encode()])
+        sampler = cws.Sampler(16)
+        counts = collections.Counter(h[0].tolist())
+        want = []
+        for k in range(16):
+            best = None
+            for term, n in counts.items():
+                r, c, beta = (float(x[0, k]) for x in sampler._draws(np.array([term], np.uint64)))
+                t = np.floor(np.float32(np.log(n)) / np.float32(r) + np.float32(beta))
+                a = np.float32(c) - np.float32(r) * (t - np.float32(beta)) - np.float32(r)
+                if best is None or a < best[0]:
+                    best = (a, term, int(t))
+            code = _words.mix64(np.array([best[1]], np.uint64) + np.uint64(best[2]) * np.uint64(0xD6E8FEB86659FD93))[0]
+            want.append(int(code >> np.uint64(32)) | 1)
+        assert sampler.fingerprint(h[0]).tolist() == want
+
+
 def generalised_jaccard(a, b):
     x, y = collections.Counter(a), collections.Counter(b)
     return sum((x & y).values()) / max(1, sum((x | y).values()))
