@@ -88,9 +88,11 @@ def robots_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A site map a host, made of its pages, read back and deduplicated."""
+    """Site maps of each host, made of its pages, read back and deduplicated."""
     entry = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
-    files = _pages(spark, sf_dir).groupBy(U.host(F.col("url")).alias("source")).agg(F.concat(F.lit('<?xml version="1.0"?><urlset>'), F.array_join(F.sort_array(F.collect_list(entry)), "\n"), F.lit("</urlset>")).alias("text"))
+    # as sites do it: files of a bounded number of addresses
+    rows = _pages(spark, sf_dir).groupBy(U.host(F.col("url")).alias("source"), F.floor(F.col("page_id") / 10_000).alias("file"))
+    files = rows.agg(F.concat(F.lit('<?xml version="1.0"?><urlset>'), F.array_join(F.sort_array(F.collect_list(entry)), "\n"), F.lit("</urlset>")).alias("text"))
     found = sites.sitemap_urls(files)
     return found.groupBy("source", "kind").agg(F.count(F.lit(1)).alias("urls"), F.count_distinct(U.page_address(F.col("url"))["key"]).alias("pages"))
 

@@ -122,7 +122,8 @@ CREATE OR REPLACE TEMP MACRO lr_latin(w) AS CASE WHEN length(w) > 4 AND ends_wit
   WHEN length(w) > 4 AND regexp_matches(w, '(ss|sh|ch|x|z)es$') THEN left(w, length(w) - 2)
   WHEN length(w) > 3 AND ends_with(w, 's') AND NOT regexp_matches(w, '(ss|us|is)$') THEN left(w, length(w) - 1) ELSE w END;
 CREATE OR REPLACE TEMP MACRO lr_same(w) AS CASE w {same} ELSE w END;
-CREATE OR REPLACE TEMP MACRO lr_stem(w) AS lr_same(CASE WHEN length(w) >= 4 AND regexp_full_match(w, '\p{{Cyrillic}}+') THEN lr_vowel(lr_inflect(lr_article(w))) WHEN regexp_full_match(w, '[a-z]+') THEN lr_latin(w) ELSE w END);
+CREATE OR REPLACE TEMP MACRO lr_cyrillic(w) AS [lr_vowel(v) FOR v IN [lr_inflect(u) FOR u IN [lr_article(w)]]][1];
+CREATE OR REPLACE TEMP MACRO lr_stem(w) AS [lr_same(v) FOR v IN [CASE WHEN w >= 'Ѐ' AND length(w) >= 4 AND regexp_full_match(w, '\p{{Cyrillic}}+') THEN lr_cyrillic(w) WHEN ends_with(w, 's') AND regexp_full_match(w, '[a-z]+') THEN lr_latin(w) ELSE w END]][1];
 CREATE OR REPLACE TEMP MACRO lr_stop(w) AS w IN ({stop});
 CREATE OR REPLACE TEMP MACRO lr_words(s) AS regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}]+');
 CREATE OR REPLACE TEMP MACRO lr_terms(s) AS [lr_stem(w) FOR w IN lr_words(s) IF NOT lr_stop(w) AND NOT regexp_full_match(w, '\p{{N}}+') AND length(w) >= 2];
