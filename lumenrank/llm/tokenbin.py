@@ -146,14 +146,30 @@ def _bytes_of(df: DataFrame) -> int:
     return size if size < 1 << 56 else 0
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it can be seen,
+    else the next of those from 256 on."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) if b in seen else chr(256 + hidden.index(b)) for b in range(256)}
+
+
 def _library(tokenizer_json: str, pattern: str, plain_specials: bool) -> Callable[[str], bytes]:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_str(tokenizer_json)
     made.encode_special_tokens = plain_specials
-    pieces = PieceEncoder(pattern, lambda words: [array("I", x.ids).tobytes() for x in made.encode_batch_fast(words, add_special_tokens=False)], 500_000, 100_000)
-    added = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens") or []]
+    parts = json.loads(tokenizer_json)
+    before = parts.get("pre_tokenizer") or {}
+    if parts["model"].get("type") == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and not parts.get("normalizer"):
+        # a word that is one match goes to the library's model as it is, in the letters that stand for bytes
+        letters, tokenize = _byte_letters(), made.model.tokenize
+        words = lambda some: [array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))]).tobytes() for w in some]
+    else:
+        words = lambda some: [array("I", x.ids).tobytes() for x in made.encode_batch_fast(some, add_special_tokens=False)]
+    pieces = PieceEncoder(pattern, words, 500_000, 100_000)
+    added = [t["content"] for t in parts.get("added_tokens") or []]
 
     def encode(text: str) -> bytes:
         # such tokens are found in the whole text before it is cut into words
