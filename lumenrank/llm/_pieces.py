@@ -13,6 +13,7 @@ from collections.abc import Callable
 import regex
 
 _ODD = re.compile(r" \s|\s ")  # white space next to a blank
+_MARKS = frozenset(".,;:!?")
 _UNIT = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
 
 
@@ -54,8 +55,8 @@ class PieceEncoder:
 
     def _all(self, pieces: list[str]) -> list[bytes]:
         find = self.find
-        # a blank and letters, or letters alone, are one match
-        cut = [(p,) if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else find(p) for p in pieces]
+        # a blank and letters, or letters alone, are one match, and a mark behind them is the next
+        cut = [(p,) if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else (p[:-1], p[-1]) if p[-1:] in _MARKS and p[1:-1].isalpha() and (p[0] == " " or p[0].isalpha()) else find(p) for p in pieces]
         memo = self.words.room(2 * len(cut))
         new = self.words.missing([w for ws in cut for w in ws if w not in memo])
         if new:
