@@ -17,10 +17,10 @@ def in_order(values: list[str], c: Column) -> Column:
     return F.array_position(F.array(*[F.lit(v) for v in values]), c)
 
 
-def citability_rows(pages: DataFrame, most: int | None = None) -> DataFrame:
-    """The worst first, what could not be judged last; with the place."""
+def citability_rows(pages: DataFrame, most: int = 100) -> DataFrame:
+    """The first ``most``, the worst first, what could not be judged last; with the place."""
     order = [F.asc_nulls_last("now"), F.col("url")]
-    return pages.withColumn("place", F.row_number().over(Window.orderBy(*order))) if most is None else pages.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    return pages.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
 def answer_counts(answers: DataFrame) -> DataFrame:

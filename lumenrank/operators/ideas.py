@@ -38,9 +38,9 @@ def variations(spark: SparkSession, seed: str, market: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(made)), "ordinal long, text string")
 
 
-def generate_candidates(seed: str, related: DataFrame, asked: DataFrame, suggested: DataFrame, topics: DataFrame, title_words: DataFrame, phrases: DataFrame, market: str, most: int | None = 80) -> DataFrame:
+def generate_candidates(seed: str, related: DataFrame, asked: DataFrame, suggested: DataFrame, topics: DataFrame, title_words: DataFrame, phrases: DataFrame, market: str, most: int = 80) -> DataFrame:
     """(key, keyword, sources, pages, place): ideas merged by keyword key, the first spelling at the first
-    place, the first ``most`` (None: all); of 2 to 9 words and 80 characters, other than the seed.
+    place, the first ``most``; of 2 to 9 words and 80 characters, other than the seed.
 
     The first three are (ordinal, text). ``topics`` (ordinal, text, pages) count from two pages on if
     they share a term with the seed; ``title_words`` (ordinal, text, pages) of four letters go behind
@@ -60,8 +60,7 @@ def generate_candidates(seed: str, related: DataFrame, asked: DataFrame, suggest
     fit = both.where(F.size(F.split("text", " ")).between(2, 9) & (F.length("text") <= 80) & (F.col("key") != "") & (F.col("key") != T.keyword_key(F.lit(seed))))
     pages = fit.groupBy("key").agg(F.max("pages").alias("pages"))
     merged = merge_by_key(fit, "key", "text", "source").join(pages, "key")
-    first = merged if most is None else merged.orderBy("ord").limit(most)
-    return first.select("key", F.col("text").alias("keyword"), "sources", "pages", F.row_number().over(Window.orderBy("ord")).alias("place"))
+    return merged.orderBy("ord").limit(most).select("key", F.col("text").alias("keyword"), "sources", "pages", F.row_number().over(Window.orderBy("ord")).alias("place"))
 
 
 def candidate_results(picked: DataFrame, results: DataFrame, judged: DataFrame, failed: DataFrame, top: int = 10) -> DataFrame:

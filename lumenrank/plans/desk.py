@@ -148,8 +148,8 @@ def judge_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judged_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve judgments a page in one row, and whether they are whole."""
-    asked = judge.question_dim(spark).where(F.col("set").isin(*judge.PAGE_SETS))
-    tall = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("entity_id")).crossJoin(F.broadcast(asked.select("question_id", "ordinal")))  # a fixed list of twelve
+    asked = [F.struct(F.lit(q).alias("question_id"), F.lit(i).alias("ordinal")) for i, (s, q, _, _) in enumerate(judge.QUESTIONS) if s in judge.PAGE_SETS]
+    tall = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("entity_id"), F.explode(F.array(*asked)).alias("q")).select("entity_id", "q.*")
     n = F.col("entity_id") + F.col("ordinal")
     answers = tall.where((n % 7 != 0) & (F.col("entity_id") % 6 != 0) | (F.col("entity_id") % 4 == 0)).select("entity_id", "question_id", (n * 7 % 101 / F.lit(100.0)).alias("p"))
     every = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("entity_id"))

@@ -26,7 +26,7 @@ def candidate_ideas(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _parts(spark, sf_dir)
     some = lambda n, text: part.where(F.col("p_partkey") % 5 == n).select("ordinal", text.alias("text"), (F.col("p_size") % 6).cast("long").alias("pages"))
     name, kind = F.col("p_name"), F.col("p_type")
-    out = ideas.generate_candidates(SEED, some(0, F.concat(F.lit("  Best "), name, F.lit("??"))), some(1, F.concat(F.lit("how much is a "), name, F.lit("?"))), some(2, F.concat(name, F.lit(" "), kind)), some(3, F.concat(name, F.lit(" guide"))), some(4, F.lower(F.substring_index(kind, " ", 1))), some(0, F.concat(name, F.lit(" for "), F.lower(kind))), "en", None)
+    out = ideas.generate_candidates(SEED, some(0, F.concat(F.lit("  Best "), name, F.lit("??"))), some(1, F.concat(F.lit("how much is a "), name, F.lit("?"))), some(2, F.concat(name, F.lit(" "), kind)), some(3, F.concat(name, F.lit(" guide"))), some(4, F.lower(F.substring_index(kind, " ", 1))), some(0, F.concat(name, F.lit(" for "), F.lower(kind))), "en")
     return out.select("key", "keyword", F.array_join("sources", ",").alias("sources"), "pages", "place")
 
 
@@ -183,7 +183,7 @@ k AS (SELECT part, ordinal, lower(trim(regexp_replace(regexp_replace(text, '[?!]
 w AS (SELECT *, row_number() OVER (PARTITION BY part, shared = len(own) AND len(terms) > len(own) ORDER BY ordinal) AS nth FROM k),
 f AS (SELECT * FROM w WHERE CASE part WHEN 3 THEN pages >= 2 AND shared > 0 WHEN 4 THEN len(terms) > len(own) WHEN 5 THEN shared = len(own) AND len(terms) > len(own) AND nth <= 10 ELSE true END AND len(string_split(text, ' ')) BETWEEN 2 AND 9 AND length(text) <= 80 AND key <> '' AND key <> array_to_string(list_sort(own), ' ')),
 g AS (SELECT key, arg_min(text, (part, ordinal)) AS keyword, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, max(pages) AS pages, min((part, ordinal)) AS o FROM f GROUP BY key)
-SELECT key, keyword, sources, pages, row_number() OVER (ORDER BY o)::INT AS place FROM g""",
+SELECT key, keyword, sources, pages, row_number() OVER (ORDER BY o)::INT AS place FROM g QUALIFY place <= 80""",
     "local_keywords": f"SELECT c AS city, c NOT IN ('lom', '') AS local, count(*) AS keywords FROM (SELECT ({[*ideas.CITIES, 'lom', '']})[p_partkey % 22 + 1] AS c FROM part) GROUP BY ALL",
     "keyword_volumes": """WITH a AS (SELECT lower(p_name || ' ' || p_brand) AS keyword, min(p_partkey) AS o FROM part GROUP BY 1 ORDER BY o LIMIT 1000), v AS (SELECT lower(p_name || ' ' || p_brand) AS keyword, max(CASE WHEN p_partkey % 3 <> 0 THEN p_size * 10 END) AS volume FROM part GROUP BY 1)
 SELECT keyword, volume FROM a LEFT JOIN v USING (keyword)""",
