@@ -73,7 +73,7 @@ def subtopics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") % 50).alias("scope"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), "text")
+    rows = read_table(spark, sf_dir, "conversations").where("role = 'user'").select(F.floor(F.col("conv_id") / 50).alias("scope"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), "text")
     return phrases.cluster_questions(rows)
 
 
@@ -129,7 +129,7 @@ CREATE OR REPLACE TEMP MACRO lr_words(s) AS regexp_extract_all(lower(s), '[\p{{L
 CREATE OR REPLACE TEMP MACRO lr_terms(s) AS [lr_stem(w) FOR w IN lr_words(s) IF NOT lr_stop(w) AND NOT regexp_full_match(w, '\p{{N}}+') AND length(w) >= 2];
 CREATE OR REPLACE TEMP MACRO lr_topic(s) AS [w FOR w IN lr_words(s) IF NOT lr_stop(w)];
 CREATE OR REPLACE TEMP MACRO lr_spelled(s) AS {_LOOSE};
-CREATE OR REPLACE TEMP MACRO lr_once(s) AS array_to_string([s[i] FOR i IN range(1, length(s) + 1) IF i = 1 OR s[i] <> s[i - 1]], '');
+CREATE OR REPLACE TEMP MACRO lr_once(s) AS [array_to_string([c[i] FOR i IN range(1, len(c) + 1) IF i = 1 OR c[i] <> c[i - 1]], '') FOR c IN [string_split(s, '')]][1];
 CREATE OR REPLACE TEMP MACRO lr_loose(s) AS lr_once(lr_spelled(s));
 CREATE OR REPLACE TEMP MACRO lr_asks(s) AS ends_with(trim(s), '?') OR coalesce(lr_words(s)[1] IN ({asks}), false);
 """
