@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,45 +12,46 @@ from ..functions import text as T
 from ..sources.shared import written
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    """Runs of n (raw, key, stop, plain): no number inside, raw of two letters or more (a single word:
-    three), no stop word at either end, and of stop words at most half."""
-    count = F.size(tokens)
-    starts = F.when(count >= n, F.sequence(F.lit(1), count - (n - 1))).otherwise(F.array().cast("array<int>"))
-    runs = F.transform(starts, lambda i: F.slice(tokens, i, F.lit(n)))
+def _grams(n: int) -> Column:
+    """Runs of n words as struct(key, surface, n): no number inside, of two letters or more (a single
+    word: three), no stop word at either end, and of stop words at most half. By place in the arrays
+    ``raw``, ``keys``, ``stop`` and ``plain``, so that a run costs a few look-ups."""
+    at = lambda array, i, k: F.element_at(array, i + k)
 
-    def fits(run: Column) -> Column:
+    def run(i: Column) -> Column:
+        places = range(n)
+        rules = [at("plain", i, k) for k in places] + [~at("stop", i, k) for k in {0, n - 1}]
         if n == 1:
-            only = F.element_at(run, 1)
-            return only["plain"] & ~only["stop"] & (F.length(only["raw"]) >= 3)
-        ends = ~F.element_at(run, 1)["stop"] & ~F.element_at(run, -1)["stop"]
-        return ends & F.forall(run, lambda t: t["plain"]) & (F.size(F.filter(run, lambda t: t["stop"])) <= n // 2)
+            rules.append(F.length(at("raw", i, 0)) >= 3)
+        if n - 2 > n // 2:
+            rules.append(reduce(lambda a, b: a + b, [at("stop", i, k).cast("int") for k in places[1:-1]]) <= n // 2)
+        joined = lambda array: at(array, i, 0) if n == 1 else F.concat_ws(" ", *[at(array, i, k) for k in places])
+        return F.when(reduce(lambda a, b: a & b, rules), F.struct(joined("keys").alias("key"), joined("raw").alias("surface"), F.lit(n).alias("n")))
 
-    return F.filter(runs, fits)
+    starts = F.when(F.size("raw") >= n, F.sequence(F.lit(1), F.size("raw") - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_compact(F.transform(starts, run))
 
 
-def phrases_of(docs: DataFrame, most_words: int = 3, stopwords: list[str] | None = None) -> DataFrame:
-    """(doc, key, surface, n, count) from (doc, text): stems as key, stop words as they are."""
-    cut = docs.select("doc", F.explode(T.segments(F.lower("text"))).alias("segment"))
+def occurrences(docs: DataFrame, most_words: int = 3, stopwords: list[str] | None = None) -> DataFrame:
+    """(doc, key, surface, n), a row each time a phrase is met in (doc, text)."""
+    cut = docs.select("doc", F.explode(T.segments(F.lower("text"))).alias("segment")).select("doc", T.words(F.col("segment")).alias("raw"))
+    named = cut.withColumn("stop", F.transform("raw", lambda w: T.is_stop(w, stopwords))).withColumn("plain", F.transform("raw", lambda w: (F.length(w) >= 2) & ~T.is_number(w)))
+    named = named.withColumn("keys", F.transform("raw", lambda w: F.when(T.is_stop(w, stopwords), w).otherwise(T.stem(w))))
+    return named.select("doc", F.explode(F.flatten(F.array(*[_grams(n) for n in range(1, most_words + 1)]))).alias("run")).select("doc", "run.*")
 
-    def token(w: Column) -> Column:
-        stop = T.is_stop(w, stopwords)
-        return F.struct(w.alias("raw"), F.when(stop, w).otherwise(T.stem(w)).alias("key"), stop.alias("stop"), ((F.length(w) >= 2) & ~T.is_number(w)).alias("plain"))
 
-    cut = cut.select("doc", F.transform(T.words(F.col("segment")), token).alias("tokens"))
-    runs = F.flatten(F.array(*[_grams(F.col("tokens"), n) for n in range(1, most_words + 1)]))
-    each = cut.select("doc", F.explode(runs).alias("run")).select("doc", F.array_join("run.key", " ").alias("key"), F.array_join("run.raw", " ").alias("surface"), F.size("run").alias("n"))
-    return each.groupBy("doc", "key", "surface", "n").agg(F.count(F.lit(1)).alias("count"))
+def phrases_of(docs: DataFrame, most_words: int = 3, stopwords: list[str] | None = None) -> DataFrame:
+    """(doc, key, surface, n, count) from (doc, text): stems as key, stop words as they are."""
+    return occurrences(docs, most_words, stopwords).groupBy("doc", "key", "surface", "n").agg(F.count(F.lit(1)).alias("count"))
 
 
 def mine_phrases(docs: DataFrame, most_words: int = 3, least_pages: int = 2, stopwords: list[str] | None = None) -> DataFrame:
     """(key, n, pages, total, display): in how many documents, how often, and the most frequent
     surface (of equals the shorter, then the lesser). The phrases of the documents are found once
     and written; rare keys, most of all, go before surfaces are compared."""
-    found = written(phrases_of(docs, most_words, stopwords), "phrases")
-    in_doc = found.groupBy("key", "doc").agg(F.lit(1).alias("one"))
-    pages = written(in_doc.groupBy("key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages), "phrase-pages")
-    by_surface = found.join(pages.select("key"), "key", "left_semi").groupBy("key", "n", "surface").agg(F.sum("count").alias("count"))
+    found = written(occurrences(docs, most_words, stopwords), "phrases")
+    pages = written(found.select("key", "doc").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages), "phrase-pages")
+    by_surface = found.join(pages.select("key"), "key", "left_semi").groupBy("key", "n", "surface").agg(F.count(F.lit(1)).alias("count"))
     best = by_surface.groupBy("key", "n").agg(
         F.sum("count").alias("total"), F.min_by("surface", F.struct(-F.col("count"), F.length("surface"), F.col("surface"))).alias("display")
     )
