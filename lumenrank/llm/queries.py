@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, chat, cws, media, mixing, secrets, simhash, substring, tokenbin, toxicity
+from . import bpe, chat, cws, fim, media, mixing, secrets, simhash, substring, tokenbin, toxicity
 
 __all__ = ["QUERIES", "ORACLE_SQL"]
 
@@ -122,7 +122,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_mixing, op4_fingerprints, op5_token_files, op6_chat_formatting, op7_substring_dedup, op8_secret_scans, op9_simhash, op10_bpe)}
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.fill_in_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    read = cut.withColumn("restored", fim.restore(F.col("fim.example"), F.col("fim.form")))
+    return read.select(
+        "doc_id", F.col("fim.units").alias("n"), "fim.form", "fim.prefix_chars", "fim.middle_chars",
+        F.col("fim.digest").alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_mixing, op4_fingerprints, op5_token_files, op6_chat_formatting, op7_substring_dedup, op8_secret_scans, op9_simhash, op10_bpe, op12_fill_in_middle)}
 
 _SIZE_SQL = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT"
 
@@ -154,5 +163,16 @@ grouped AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || t
   coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '') AS loss_text, sum(chars) + 11 AS formatted_chars FROM sized GROUP BY conv_id)
 SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(all_text) AS turns_sha256, length(loss_text)::BIGINT AS loss_chars, sha256(loss_text) AS loss_sha256,
   formatted_chars::BIGINT AS formatted_chars FROM grouped
+""",
+    "op12_fill_in_middle": r"""
+WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+  regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM documents),
+drawn AS (SELECT *, len(units)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM cut),
+placed AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT doc_id, text, n, form, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:], '') AS s FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM parts
 """,
 }
