@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, chat, cws, fim, media, mixing, secrets, simhash, substring, tokenbin, toxicity
+from . import bpe, chat, crosspoly, cws, fim, media, mixing, secrets, simhash, substring, tokenbin, toxicity
 
 __all__ = ["QUERIES", "ORACLE_SQL"]
 
@@ -131,7 +131,13 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_mixing, op4_fingerprints, op5_token_files, op6_chat_formatting, op7_substring_dedup, op8_secret_scans, op9_simhash, op10_bpe, op12_fill_in_middle)}
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = crosspoly.near_vectors(read_table(spark, sf_dir, "embeddings"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
+    return linked.select(F.col("id").alias("vec_id"), "n_links", "component_id", kept.alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_mixing, op4_fingerprints, op5_token_files, op6_chat_formatting, op7_substring_dedup, op8_secret_scans, op9_simhash, op10_bpe, op12_fill_in_middle, op13_embedding_near_dedup)}
 
 _SIZE_SQL = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT"
 

@@ -58,6 +58,7 @@ def none(spark, tmp_path_factory):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame([], CHATS).write.parquet(f"{at}/conversations.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
     return at
 
 
