@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, chat, crosspoly, cws, fim, media, mixing, secrets, simhash, substring, tokenbin, toxicity
+from . import bpe, chat, crosspoly, cws, fim, media, mixing, secrets, simhash, substring, tokenbin, toxicity, trie
 
 __all__ = ["QUERIES", "ORACLE_SQL"]
 
@@ -122,6 +122,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.with_shared_heads(trie.turns_of(read_table(spark, sf_dir, "conversations"))))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fim.fill_in_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     read = cut.withColumn("restored", fim.restore(F.col("fim.example"), F.col("fim.form")))
@@ -137,7 +141,7 @@ def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select(F.col("id").alias("vec_id"), "n_links", "component_id", kept.alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_mixing, op4_fingerprints, op5_token_files, op6_chat_formatting, op7_substring_dedup, op8_secret_scans, op9_simhash, op10_bpe, op12_fill_in_middle, op13_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_toxicity, op3_mixing, op4_fingerprints, op5_token_files, op6_chat_formatting, op7_substring_dedup, op8_secret_scans, op9_simhash, op10_bpe, op11_conversation_trie, op12_fill_in_middle, op13_embedding_near_dedup)}
 
 _SIZE_SQL = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT"
 
@@ -169,6 +173,28 @@ grouped AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || t
   coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '') AS loss_text, sum(chars) + 11 AS formatted_chars FROM sized GROUP BY conv_id)
 SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(all_text) AS turns_sha256, length(loss_text)::BIGINT AS loss_chars, sha256(loss_text) AS loss_sha256,
   formatted_chars::BIGINT AS formatted_chars FROM grouped
+""",
+    "op11_conversation_trie": r"""
+WITH turns AS (
+  SELECT conv_id, turn, [sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::VARCHAR] AS t
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, list(t ORDER BY turn NULLS FIRST, t[1]) AS turns FROM turns GROUP BY conv_id),
+drawn AS (SELECT conv_id, turns, conv_id - conv_id % 20 AS base,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT) % 4 AS h FROM convs),
+rebuilt AS (SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns FROM drawn c LEFT JOIN convs b ON b.conv_id = c.base),
+depths AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM rebuilt),
+paths AS (SELECT conv_id, depth, len(turns) AS size, CASE WHEN depth > 0 THEN turns[depth][2]::BIGINT ELSE 0 END AS words,
+  sha256(array_to_string(list_transform(turns[1:depth], lambda t: t[1]), ',')) AS node, CASE WHEN depth > 0 THEN sha256(array_to_string(list_transform(turns[1:depth - 1], lambda t: t[1]), ',')) END AS parent FROM depths),
+nodes AS (SELECT depth, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256 FROM paths GROUP BY depth, node),
+children AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent),
+counted AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c USING (node)),
+subtrees AS (SELECT p.node, p.depth, sum((c.n_children = 0)::INT) AS n_leaves, sum((c.n_convs - 1) * c.words) AS saved_tokens
+  FROM counted c JOIN paths p ON p.conv_id = c.conv_id AND p.depth <= c.depth GROUP BY p.node, p.depth)
+SELECT c.conv_id, c.depth::BIGINT AS depth, a.conv_id AS parent_conv_id, c.n_convs::BIGINT AS n_convs, c.n_children::BIGINT AS n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, c.ends_sha256
+FROM counted c JOIN subtrees s USING (node, depth) LEFT JOIN nodes a ON a.node = c.parent
 """,
     "op12_fill_in_middle": r"""
 WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
