@@ -18,6 +18,7 @@ are encoded each; the result has the columns of the input besides the new ones.
 
 from __future__ import annotations
 
+import hashlib
 import base64
 from array import array
 from collections.abc import Iterator
@@ -263,7 +264,7 @@ def bpe_encode(df: DataFrame, ranks: bytes, pattern: str, text_col: str = "text"
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _per_process(("encoder", pattern, len(shared.value)), lambda: Encoder(read_ranks(shared.value), pattern))
+        encoder = _per_process(("encoder", pattern, contents(shared.value)), lambda: Encoder(read_ranks(shared.value), pattern))
         for b in batches:
             for lo, hi in _slices(b.column(len(keep))):
                 part = b.slice(lo, hi - lo)
@@ -291,7 +292,7 @@ def bpe_decode(df: DataFrame, ranks: bytes, ids_col: str = "ids", out_col: str =
                 tokens[r] = t
             return Decoder(tokens)
 
-        decoder = _per_process(("decoder", len(shared.value)), made)
+        decoder = _per_process(("decoder", contents(shared.value)), made)
         for b in batches:
             col = b.column(keep.index(ids_col))
             values, offsets, out = col.values.to_numpy(), col.offsets.to_numpy(), []
@@ -307,8 +308,13 @@ def bpe_decode(df: DataFrame, ranks: bytes, ids_col: str = "ids", out_col: str =
 _MADE: dict = {}
 
 
+def contents(data: bytes | str) -> bytes:
+    """What tells one vocabulary from another, whatever their lengths."""
+    return hashlib.sha256(data.encode() if isinstance(data, str) else data).digest()
+
+
 def _per_process(key, make):
-    """One encoder a worker process, kept from task to task."""
+    """One encoder a worker process, kept from task to task; the key has all that it depends on."""
     if key not in _MADE:
         for old in [k for k in _MADE if k[0] == key[0]]:
             del _MADE[old]

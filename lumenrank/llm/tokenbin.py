@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ._pieces import PieceEncoder
 from ._shared import listed, materialize, new_path, partition_keys, qualified, range_bounds, range_of, width
-from .bpe import _per_process, _slices
+from .bpe import _per_process, _slices, contents
 
 
 _NULL = -(1 << 63)  # a null id in the .idx file
@@ -95,7 +95,7 @@ def write_token_files(
     kind = f"<u{id_bytes}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _per_process(("tokenizers", len(shared.value), plain_specials), lambda: _library(shared.value, pattern, plain_specials))
+        encode = _per_process(("tokenizers", pattern, contents(shared.value), plain_specials), lambda: _library(shared.value, pattern, plain_specials))
         end = np.array([end_id], "<u4").tobytes()
         store, base = _store(folder)
         store.create_dir(base, recursive=True)

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from lumenrank.llm import bpe, queries, simhash
+from lumenrank.llm import bpe, queries, simhash, tokenbin
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -441,6 +441,30 @@ def test_bpe(spark, sf, tiktoken_encoding):
     same(got(spark, "op10_bpe", sf), want)
 
 
+def test_vocabularies_of_one_length(spark):
+    """Python workers stay, so what one keeps must not be taken for another vocabulary's."""
+    import base64
+    import json
+
+    single = [bytes([i]) for i in range(256)]
+    ranks = lambda extra: b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate([*single, *extra]))
+    one, two = ranks([b"ab", b"bc"]), ranks([b"bc", b"ab"])
+    assert len(one) == len(two)
+    docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string").coalesce(1)
+    for vocabulary, wanted in ((one, [256, 99]), (two, [97, 256]), (one, [256, 99])):
+        ids = bpe.bpe_encode(docs, vocabulary, P.PATTERN)
+        assert ids.first().ids == wanted and bpe.bpe_decode(ids, vocabulary).first().decoded == b"abc"
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        made = json.load(f)
+    swapped = json.loads(json.dumps(made))
+    a, b = ("q", "z")
+    swapped["model"]["vocab"][a], swapped["model"]["vocab"][b] = made["model"]["vocab"][b], made["model"]["vocab"][a]
+    for tokenizer, word in ((made, a), (swapped, b), (made, a)):
+        folder = tokenbin.write_token_files(spark.createDataFrame([(1, word)], "doc_id long, text string"), json.dumps(tokenizer), P.PATTERN, parts=1)
+        want = made["model"]["vocab"][a].to_bytes(4, "little") + (0).to_bytes(4, "little")
+        assert [r.ids_crc32 for r in tokenbin.read_token_files(spark, folder).collect()] == [zlib.crc32(want)]
+
+
 def test_bpe_fuzz(tiktoken_encoding):
     ranks = bpe.read_ranks(queries.vocabulary(queries.RANKS))
     encoder = bpe.Encoder(ranks, P.PATTERN)
