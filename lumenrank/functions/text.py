@@ -5,14 +5,17 @@ Java's ``\\s`` leaves out the no-break space, so patterns here are (?U) where wh
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 WORD = r"[\p{L}\p{N}]+"
+#: Ends of sentences and clauses.
+BREAKS = r"[.!?;:,\n\r|•·()\[\]{}«»\"“”„…—–]+"
 
 #: Suffixes in the order in which they are tried, and spellings of one meaning.
 ARTICLE_SUFFIXES = ["овете", "ите", "ата", "ята", "ето", "ото", "ият", "ът", "ят"]
@@ -61,25 +64,60 @@ def for_compare(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(s), r"(?U)\s+", " "))
 
 
+@functools.cache
+def _unlike_nfkc() -> str:
+    """Pattern of the characters by which a text may differ from its NFKC: those that change, and those that may join the one before."""
+    joins = {int(d.split()[1], 16) for d in map(unicodedata.decomposition, map(chr, range(0x110000))) if d and d[0] != "<" and " " in d}
+    odd = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and (c in joins or 0x1161 <= c < 0x11C3 or unicodedata.combining(chr(c)) or unicodedata.normalize("NFKC", chr(c)) != chr(c))]
+    starts = [c for c, before in zip(odd, [-1, *odd]) if c != before + 1]
+    ends = [c for c, after in zip(odd, [*odd[1:], -1]) if c + 1 != after]
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
 @F.arrow_udf(StringType())
 def _nfkc(s: pa.Array) -> pa.Array:
     return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in s.to_pylist()], pa.string())
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def _nfkc_each(s: pa.Array) -> pa.Array:
+    return pa.array([None if xs is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in xs] for xs in s.to_pylist()], pa.list_(pa.string()))
+
+
+def nfkc(s: Column) -> Column:
+    """Compatibility normalisation, which Spark has no expression for; only texts that it may change leave the JVM."""
+    return F.coalesce(_nfkc(F.when(s.rlike(_unlike_nfkc()), s)), s)
+
+
+def nfkc_each(texts: Column) -> Column:
+    """nfkc of an array's texts, for those that a lambda looks at."""
+    return F.coalesce(_nfkc_each(F.when(F.exists(texts, lambda x: x.rlike(_unlike_nfkc())), texts)), texts)
+
+
+def beside(texts: Column, value: Column) -> Column:
+    """Each text as field 0 with the value as field 1: a lambda can not take in what a UDF made, but can be given it."""
+    return F.arrays_zip(texts, F.array_repeat(value, F.size(texts)))
+
+
 def fold_spellings(s: Column) -> Column:
     """Lower case, one dash, one word for a web site; without compatibility normalisation."""
     return F.regexp_replace(F.regexp_replace(F.lower(s), r"\p{Pd}", "-"), r"(?<![\p{L}])(?:уеб|веб|web)[\s-]*(?:сайт|site)s?", "сайт")
 
 
 def normalize(s: Column) -> Column:
-    """fold_spellings after NFKC, which Spark has no expression for."""
-    return fold_spellings(_nfkc(s))
+    """fold_spellings after NFKC."""
+    return fold_spellings(nfkc(s))
 
 
 def words(s: Column) -> Column:
     return F.regexp_extract_all(F.lower(s), F.lit(f"({WORD})"), F.lit(1))
 
 
+def tokens(s: Column, plain: bool = False) -> Column:
+    """The words of a text that is normalised first; ``plain``: of one whose NFKC has been taken, as within a lambda, where no UDF can stand."""
+    return F.regexp_extract_all(fold_spellings(s) if plain else normalize(s), F.lit(f"({WORD})"), F.lit(1))
+
+
 def _cut_one(w: Column, suffixes: list[str]) -> Column:
     """The longest suffix that leaves a stem goes: the shortest head is tried first."""
     return F.regexp_replace(w, f"^(.{{{MIN_STEM},}}?)(?:{'|'.join(suffixes)})$", "$1")
@@ -110,15 +148,15 @@ def is_number(w: Column) -> Column:
     return ~w.between("a", "{") & w.rlike(r"^\p{N}+$")
 
 
-def terms(s: Column, stopwords: list[str] | None = None) -> Column:
-    """Stems of words that are no stop words nor numbers, of two letters or more, in order."""
-    kept = F.filter(words(s), lambda w: (F.length(w) >= 2) & ~is_stop(w, stopwords) & ~is_number(w))
+def terms(s: Column, stopwords: list[str] | None = None, plain: bool = False) -> Column:
+    """Stems of words that are no stop words nor numbers, of two letters or more, in order; ``plain`` as for tokens."""
+    kept = F.filter(tokens(s, plain), lambda w: (F.length(w) >= 2) & ~is_stop(w, stopwords) & ~is_number(w))
     return F.transform(kept, stem)
 
 
 def keyword_terms(s: Column, stopwords: list[str] | None = None) -> Column:
     """Distinct stems of the words with a topic, of all words if none has one."""
-    all_words = words(s)
+    all_words = tokens(s)
     kept = F.filter(all_words, lambda w: ~is_stop(w, stopwords))
     return F.array_distinct(F.transform(F.when(F.size(kept) > 0, kept).otherwise(all_words), stem))
 
@@ -178,7 +216,7 @@ def length_bucket(words_: Column) -> Column:
 
 def segments(s: Column) -> Column:
     """Parts between punctuation that no phrase may cross."""
-    return F.filter(F.transform(F.split(s, r"[.,;:!?()\[\]{}\"«»„“”|/\\\n\r\t•·–—]+"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(s, BREAKS), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def title_core(title: Column) -> Column:
@@ -191,7 +229,7 @@ def slug_matches(url: Column, keyword: Column) -> Column:
     stem or as written, in loose Latin, are in the address's host and path."""
     place = F.try_url_decode(F.regexp_extract(url, r"^(?i:https?)://(?:[^/?#@]*@)?([^?#]*)", 1))
     slug = loose_latin(F.regexp_replace(place, r"[^\p{L}\p{N}]+", ""))
-    kept = F.transform(F.filter(words(keyword), lambda w: ~is_stop(w)), lambda w: F.struct(stem(w).alias("stem"), w.alias("raw")))
+    kept = F.transform(F.filter(tokens(keyword), lambda w: ~is_stop(w)), lambda w: F.struct(stem(w).alias("stem"), w.alias("raw")))
     spelled = F.transform(kept, lambda t: F.struct(t["stem"].alias("stem"), loose_latin(t["stem"]).alias("a"), loose_latin(t["raw"]).alias("b")))
     found = F.transform(
         F.filter(spelled, lambda t: (F.length(t["a"]) >= 4) | (F.length(t["b"]) >= 4)),
@@ -208,7 +246,7 @@ def keyword_flags(keyword: Column, title: Column, h1: Column, meta: Column, body
     whole = lambda s: coverage(kw, terms(s)) >= 0.999
     none = F.lit("")
     return {
-        "in_title": whole(F.coalesce(title, none)), "in_h1": F.coalesce(F.exists(h1, whole), F.lit(False)), "in_url": slug_matches(url, keyword), "in_meta": whole(F.coalesce(meta, none)),
+        "in_title": whole(F.coalesce(title, none)), "in_h1": F.coalesce(F.exists(beside(nfkc_each(h1), kw), lambda x: coverage(x["1"], terms(x["0"], plain=True)) >= 0.999), F.lit(False)), "in_url": slug_matches(url, keyword), "in_meta": whole(F.coalesce(meta, none)),
         "title_coverage": coverage(kw, terms(F.coalesce(title, none))), "body_coverage": coverage(kw, terms(F.coalesce(body, none))), "starts_title": starts_with_keyword(terms(F.coalesce(title, none)), kw),
     }
 

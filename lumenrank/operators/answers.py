@@ -170,13 +170,6 @@ def build_plans(skips: DataFrame, k: int = 12) -> DataFrame:
     return cut.withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
-def next_step(stage: Column, verdict: Column, angle: Column, answer_first: Column) -> Column:
-    return (
-        F.when(verdict == "no_page", F.when(stage == "compare", "write_comparison").when(stage == "price", "write_prices").when(stage == "howto", "write_guide").otherwise("write_page"))
-        .when(verdict == "weak", F.when(angle < 0.4, "new_angle").otherwise("extend")).when(answer_first < 0.5, "answer_first").otherwise("keep")
-    )
-
-
 def coverage_pairs(questions: DataFrame, pages: DataFrame, least: float = 0.12, k: int = 3) -> DataFrame:
     """(question_id, url, overlap, place): the pages of a scope (a site) that share the most of a
     question's terms, seven parts by their head and three by their intro: an inverted index over

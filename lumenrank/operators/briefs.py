@@ -58,7 +58,7 @@ def template_questions(seeds: DataFrame, templates: list[str]) -> DataFrame:
 def best_excerpt(text: Column, terms: Column, most: int = 600) -> Column:
     """The sentence that covers the most of the terms, the first of equals, and the three after it."""
     sentences = F.filter(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.length(s) > 20)
-    scored = F.transform(sentences, lambda s, i: F.struct(F.size(F.array_intersect(terms, T.terms(s))).alias("n"), (-i).alias("less")))
+    scored = F.transform(T.beside(T.nfkc_each(sentences), terms), lambda s, i: F.struct(F.size(F.array_intersect(s["1"], T.terms(s["0"], plain=True))).alias("n"), (-i).alias("less")))
     at = -F.array_max(scored)["less"]
     return F.when(F.size(sentences) > 0, F.left(F.array_join(F.slice(sentences, at + 1, F.lit(4)), " "), F.lit(most)))
 

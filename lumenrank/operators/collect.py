@@ -41,8 +41,8 @@ def winners(citations: DataFrame, missing: DataFrame, per_engine: int = 3, most:
 
 
 def rank_lookup(pages: DataFrame, results: DataFrame, phrases: int) -> DataFrame:
-    """(url, phrase, rank): the least position of a page for its phrase, for the first phrases by importance."""
-    first = pages.groupBy("phrase").agg(F.min(F.struct(-F.col("importance"), F.col("ordinal"))).alias("o")).orderBy("o").limit(phrases).select("phrase")
+    """(url, phrase, rank): the least position of a page for its phrase, for the first phrases by importance, then by place, then by name."""
+    first = pages.groupBy("phrase").agg(F.min(F.struct(-F.col("importance"), F.col("ordinal"))).alias("o")).orderBy("o", "phrase").limit(phrases).select("phrase")
     asked = pages.join(first, "phrase", "left_semi").select("url", "phrase", U.page_identity(F.col("url")).alias("page"))
     met = results.select("phrase", U.page_identity(F.col("url")).alias("page"), "position")
     return asked.join(met, ["phrase", "page"], "left").groupBy("url", "phrase").agg(F.min("position").alias("rank"))

@@ -480,8 +480,14 @@ class _Links(HTMLParser):
 
 
 def link_table(pages: DataFrame, url_col: str = "url", html_col: str = "html", most: int | None = 20_000, chars: int | None = 1_500_000) -> DataFrame:
-    """(from_url, ordinal, to_url) of every link, resolved against the page or its base; of a page the
-    first ``most`` in its first ``chars`` characters (None: all)."""
+    """(from_url, ordinal, to_url) of every link, resolved against the page or its base; an address that can not be resolved
+    is left out by itself and keeps its place. Of a page the first ``most`` in its first ``chars`` characters (None: all)."""
+
+    def resolved(base: str, x: str) -> str | None:
+        try:
+            return urljoin(base, x)
+        except ValueError:
+            return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -490,13 +496,14 @@ def link_table(pages: DataFrame, url_col: str = "url", html_col: str = "html", m
                 parser = _Links(most)
                 try:
                     parser.feed((h.as_py() or "")[:chars])
-                    base = urljoin(u or "", parser.base or "")
-                    found = [urljoin(base, x.strip()) for x in parser.found]
                 except (ValueError, AssertionError):
-                    continue
-                for i, x in enumerate(found):
-                    for to, v in zip(out, (u, i, x), strict=True):
-                        to.append(v)
+                    pass  # what stands before the place that can not be read counts
+                base = resolved(u or "", parser.base or "") or u or ""
+                for i, x in enumerate(parser.found):
+                    to_url = resolved(base, x.strip())
+                    if to_url is not None:
+                        for to, v in zip(out, (u, i, to_url), strict=True):
+                            to.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], ["from_url", "ordinal", "to_url"])
 
     return pages.select(url_col, html_col).mapInArrow(run, "from_url string, ordinal int, to_url string")

@@ -34,7 +34,7 @@ def _grams(n: int) -> Column:
 
 def occurrences(docs: DataFrame, most_words: int = 3, stopwords: list[str] | None = None) -> DataFrame:
     """(doc, key, surface, n), a row each time a phrase is met in (doc, text)."""
-    cut = docs.select("doc", F.explode(T.segments(F.lower("text"))).alias("segment")).select("doc", T.words(F.col("segment")).alias("raw"))
+    cut = docs.select("doc", F.explode(T.segments(F.col("text"))).alias("segment")).select("doc", T.tokens(F.col("segment")).alias("raw"))
     named = cut.withColumn("stop", F.transform("raw", lambda w: T.is_stop(w, stopwords))).withColumn("plain", F.transform("raw", lambda w: (F.length(w) >= 2) & ~T.is_number(w)))
     named = named.withColumn("keys", F.transform("raw", lambda w: F.when(T.is_stop(w, stopwords), w).otherwise(T.stem(w))))
     return named.select("doc", F.explode(F.flatten(F.array(*[_grams(n) for n in range(1, most_words + 1)]))).alias("run")).select("doc", "run.*")

@@ -9,6 +9,7 @@ from ..functions import numbers as N
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import answers as A
+from ..operators import buyers
 from ..sources.tables import read_table
 
 ENGINES = ["alpha", "beta", "gamma"]
@@ -124,7 +125,7 @@ def question_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def next_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     pick = lambda xs, c: F.get(F.array(*[F.lit(x) for x in xs]), (c % len(xs)).cast("int"))
-    step = A.next_step(pick(["discover", "compare", "price", "trust", "howto", "local"], k), pick(["no_page", "weak", "answered"], F.floor(k / 6)), (k % 10) / F.lit(10.0), (k % 7) / F.lit(7.0))
+    step = buyers.next_step(pick(["discover", "compare", "price", "trust", "howto", "local"], k), pick(["no_page", "weak", "answered"], F.floor(k / 6)), (k % 10) / F.lit(10.0), (k % 7) / F.lit(7.0))
     return read_table(spark, sf_dir, "orders").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("questions"))
 
 
@@ -177,7 +178,8 @@ w AS (SELECT scope, url, term, sum(part)::BIGINT AS part FROM p GROUP BY ALL), e
 m AS (SELECT question_id, url, floor((sum(part) * 200 + n) / (2 * n)) / 1000.0::DOUBLE AS overlap FROM e JOIN w USING (scope, term) GROUP BY question_id, url, n)
 SELECT question_id, url, overlap, row_number() OVER (PARTITION BY question_id ORDER BY overlap DESC, url)::INT AS place FROM m WHERE overlap >= 0.12 QUALIFY place <= 3""",
     "next_steps": """WITH k AS (SELECT ['discover', 'compare', 'price', 'trust', 'howto', 'local'][o_orderkey % 6 + 1] AS s, ['no_page', 'weak', 'answered'][(o_orderkey // 6) % 3 + 1] AS v, (o_orderkey % 10) / 10.0::DOUBLE AS a, (o_orderkey % 7) / 7.0::DOUBLE AS f FROM orders)
-SELECT CASE WHEN v = 'no_page' THEN CASE s WHEN 'compare' THEN 'write_comparison' WHEN 'price' THEN 'write_prices' WHEN 'howto' THEN 'write_guide' ELSE 'write_page' END WHEN v = 'weak' THEN CASE WHEN a < 0.4 THEN 'new_angle' ELSE 'extend' END WHEN f < 0.5 THEN 'answer_first' ELSE 'keep' END AS step, count(*) AS questions FROM k GROUP BY step""",
+SELECT CASE WHEN v = 'answered' THEN 'none' WHEN v = 'no_page' THEN CASE s WHEN 'compare' THEN 'write_versus' WHEN 'local' THEN 'add_local' ELSE 'write_guide' END WHEN a < 0.4 THEN CASE s WHEN 'compare' THEN 'write_versus' ELSE 'write_guide' END
+  WHEN f < 0.5 THEN 'answer_at_top' ELSE CASE s WHEN 'trust' THEN 'add_proof' WHEN 'price' THEN 'add_prices' WHEN 'local' THEN 'add_local' ELSE 'answer_at_top' END END AS step, count(*) AS questions FROM k GROUP BY step""",
 }
 
 _NAMED = """b(domain, own, pattern) AS (VALUES ('ing-studio.example', true, 'ing-studio\\.example'), ('ing-studio.example', true, 'ing-studio'), ('ing-studio.example', true, 'ing studio'), ('ing-studio.example', true, 'ingstudio'),

@@ -132,7 +132,7 @@ SELECT doc_id, target, array_to_string([x FOR x IN [{', '.join(f"CASE WHEN {r} T
     "winner_pages": f"""WITH {_A}, {_CITE}, p AS (SELECT *, domain || '/p' || (ordinal % 2) AS page FROM c), l AS (SELECT answer_id FROM a WHERE answer_id NOT IN (SELECT answer_id FROM c WHERE own)),
 n AS (SELECT engine, page, count(DISTINCT answer_id) AS n FROM p WHERE NOT own AND answer_id IN (SELECT answer_id FROM l) GROUP BY ALL), b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY engine ORDER BY n DESC, page) <= 3)
 SELECT page, sum(n)::BIGINT AS answers, count(*) AS engines, row_number() OVER (ORDER BY sum(n) DESC, page)::INT AS place FROM b GROUP BY page QUALIFY place <= 10""",
-    "google_rank_lookup": f"""WITH {RESULTS_SQL}, p AS (SELECT url, keyword AS phrase, position, key FROM serp), f AS (SELECT phrase FROM p GROUP BY phrase ORDER BY min((position, key)) LIMIT 10)
+    "google_rank_lookup": f"""WITH {RESULTS_SQL}, p AS (SELECT url, keyword AS phrase, position, key FROM serp), f AS (SELECT phrase FROM p GROUP BY phrase ORDER BY min((position, key)), phrase LIMIT 10)
 SELECT replace(p.url, '#', '-') AS url, p.phrase, min(s.position) AS rank FROM p JOIN f USING (phrase) LEFT JOIN serp s ON s.keyword = p.phrase AND s.url = p.url GROUP BY ALL""",
 }
 

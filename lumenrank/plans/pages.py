@@ -59,7 +59,7 @@ def html_facts_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links by host: how many, to how many pages, how many leave the host."""
-    links = html.link_table(_pages(spark, sf_dir)).withColumn("host", U.host(F.col("from_url")))
+    links = html.link_table(_pages(spark, sf_dir), most=None, chars=None).withColumn("host", U.host(F.col("from_url")))
     return links.groupBy("host").agg(F.count(F.lit(1)).alias("links"), F.count_distinct(U.page_identity(F.col("to_url"))).alias("targets"), F.count_if(U.host(F.col("to_url")) != F.col("host")).alias("leaving"))
 
 

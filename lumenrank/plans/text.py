@@ -126,8 +126,10 @@ CREATE OR REPLACE TEMP MACRO lr_cyrillic(w) AS [lr_vowel(v) FOR v IN [lr_inflect
 CREATE OR REPLACE TEMP MACRO lr_stem(w) AS [lr_same(v) FOR v IN [CASE WHEN w >= 'Ѐ' AND length(w) >= 4 AND regexp_full_match(w, '\p{{Cyrillic}}+') THEN lr_cyrillic(w) WHEN ends_with(w, 's') AND regexp_full_match(w, '[a-z]+') THEN lr_latin(w) ELSE w END]][1];
 CREATE OR REPLACE TEMP MACRO lr_stop(w) AS w IN ({stop});
 CREATE OR REPLACE TEMP MACRO lr_words(s) AS regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}]+');
-CREATE OR REPLACE TEMP MACRO lr_terms(s) AS [lr_stem(w) FOR w IN lr_words(s) IF NOT lr_stop(w) AND NOT regexp_full_match(w, '\p{{N}}+') AND length(w) >= 2];
-CREATE OR REPLACE TEMP MACRO lr_topic(s) AS [w FOR w IN lr_words(s) IF NOT lr_stop(w)];
+CREATE OR REPLACE TEMP MACRO lr_fold(s) AS regexp_replace(regexp_replace(lower(s), '\p{{Pd}}', '-', 'g'), '(^|[^\p{{L}}])(?:уеб|веб|web)[\s-]*(?:сайт|site)s?', '\1сайт', 'g');
+CREATE OR REPLACE TEMP MACRO lr_tokens(s) AS regexp_extract_all(lr_fold(s), '[\p{{L}}\p{{N}}]+');
+CREATE OR REPLACE TEMP MACRO lr_terms(s) AS [lr_stem(w) FOR w IN lr_tokens(s) IF NOT lr_stop(w) AND NOT regexp_full_match(w, '\p{{N}}+') AND length(w) >= 2];
+CREATE OR REPLACE TEMP MACRO lr_topic(s) AS [w FOR w IN lr_tokens(s) IF NOT lr_stop(w)];
 CREATE OR REPLACE TEMP MACRO lr_spelled(s) AS {_LOOSE};
 CREATE OR REPLACE TEMP MACRO lr_once(s) AS [array_to_string([c[i] FOR i IN range(1, len(c) + 1) IF i = 1 OR c[i] <> c[i - 1]], '') FOR c IN [string_split(s, '')]][1];
 CREATE OR REPLACE TEMP MACRO lr_loose(s) AS lr_once(lr_spelled(s));
@@ -137,10 +139,10 @@ CREATE OR REPLACE TEMP MACRO lr_asks(s) AS ends_with(trim(s), '?') OR coalesce(l
 
 _M = _macros()
 _FOLD = r"regexp_replace(regexp_replace(lower(text), '\\p{Pd}', '-', 'g'), '(^|[^\\p{L}])(?:уеб|веб|web)[\\s-]*(?:сайт|site)s?', '\\1сайт', 'g')".replace("\\\\", "\\")
-_KW = "list_distinct([lr_stem(w) FOR w IN CASE WHEN len(lr_topic({0})) > 0 THEN lr_topic({0}) ELSE lr_words({0}) END])"
+_KW = "list_distinct([lr_stem(w) FOR w IN CASE WHEN len(lr_topic({0})) > 0 THEN lr_topic({0}) ELSE lr_tokens({0}) END])"
 _TOKENS = r"""
-segs AS (SELECT doc_id AS doc, unnest([trim(x) FOR x IN regexp_split_to_array(lower(text), '[.,;:!?()\[\]{}"«»„“”|/\\\n\r\t•·–—]+') IF trim(x) <> '']) AS seg FROM documents),
-toks AS (SELECT doc, [{'raw': w, 'stem': lr_stem(w), 'stop': lr_stop(w)} FOR w IN lr_words(seg)] AS t FROM segs),
+segs AS (SELECT doc_id AS doc, unnest([trim(x) FOR x IN regexp_split_to_array(text, '[.!?;:,\n\r|•·()\[\]{}«»"“”„…—–]+') IF trim(x) <> '']) AS seg FROM documents),
+toks AS (SELECT doc, [{'raw': w, 'stem': lr_stem(w), 'stop': lr_stop(w)} FOR w IN lr_tokens(seg)] AS t FROM segs),
 runs AS (SELECT doc, n, unnest([t[i : i + n - 1] FOR i IN range(1, len(t) - n + 2)]) AS run FROM toks, (SELECT unnest([1, 2, 3]) AS n) WHERE len(t) >= n),
 good AS MATERIALIZED (SELECT doc, n::INT AS n, array_to_string([CASE WHEN x.stop THEN x.raw ELSE x.stem END FOR x IN run], ' ') AS key, array_to_string([x.raw FOR x IN run], ' ') AS surface FROM runs
   WHERE NOT run[1].stop AND NOT run[-1].stop AND len([1 FOR x IN run IF x.stop]) <= n // 2 AND len([1 FOR x IN run IF regexp_full_match(x.raw, '\p{N}+') OR length(x.raw) < CASE WHEN n = 1 THEN 3 ELSE 2 END]) = 0),

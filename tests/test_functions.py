@@ -43,6 +43,45 @@ def test_terms_and_keys(spark):
     assert one(spark, T.coverage(T.keyword_terms(F.lit("cheap services")), T.terms(F.lit("our service")))) == 0.5
 
 
+def test_terms_of_normalised_words(spark):
+    """Every spelling of a web site is one term, in keywords and texts alike."""
+    kw = lambda x: T.keyword_terms(F.lit(x))
+    assert each(spark, ["изработка на веб сайт", "изработка на уебсайтове", "как да", "ﬁne ＷＥＢ site"], T.keyword_terms) == [["изработк", "сайт"], ["изработк", "сайт"], ["как", "да"], ["fine", "сайт"]]
+    one_key = each(spark, ["изработка на уеб сайт цена", "цени изработка сайтове", "изработка на сайт", "изработка на онлайн магазин"], T.keyword_key)
+    assert one_key[0] == one_key[1] and one_key[2] != one_key[3]
+    texts = ["Изработка на уебсайтове за малък бизнес", "Професионален дизайн на сайтове", "Рецепта за баница"]
+    assert [one(spark, T.coverage(kw("изработка на веб сайт"), T.terms(F.lit(x)))) for x in texts] == [1.0, 0.5, 0.0]
+    assert one(spark, T.coverage(kw("изработка на сайт"), T.terms(F.lit("Цени за изработката на вашия сайт")))) == 1.0
+    starts = [one(spark, T.starts_with_keyword(T.terms(F.lit(x)), kw("изработка на веб сайт"))) for x in ("Изработка на уебсайт | Студио Х", "Студио Х – изработка на уебсайт")]
+    assert starts == [True, False]
+    assert each(spark, ["уеб сайт", "веб сайт", "уебсайт", "веб-сайт", "web site", "website", "Уеб Сайт", "изработка на уебсайтове"], T.normalize) == ["сайт"] * 7 + ["изработка на сайтове"]
+
+
+def test_nfkc_leaves_no_text_out(spark):
+    import random
+    import unicodedata
+
+    draw = random.Random(1)
+    odd = [chr(c) for c in (*range(0x20, 0x600), *range(0x1100, 0x1200), *range(0x1E00, 0x2200), *range(0x3000, 0x3400), *range(0xAC00, 0xAC40), *range(0xF900, 0xFA00), *range(0xFB00, 0xFB50), *range(0xFF00, 0xFFF0), *range(0x1D400, 0x1D440)) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Cc")]
+    texts = ["", "plain", "e\u0301", "\u1112\u1161\u11ab", *("".join(draw.choices(odd, k=6)) for _ in range(3000))]
+    assert each(spark, texts, T.nfkc) == [unicodedata.normalize("NFKC", x) for x in texts]
+    rows = spark.createDataFrame([(texts[:50],), (["a", None],), (None,)], "x array<string>").select(T.nfkc_each(F.col("x")).alias("y")).collect()
+    assert [r.y for r in rows] == [[unicodedata.normalize("NFKC", x) for x in texts[:50]], ["a", None], None]
+
+
+def test_segments_end_with_clauses(spark):
+    assert each(spark, ["a, b/c… d\te – f|g", ""], T.segments) == [["a", "b/c", "d\te", "f", "g"], []]
+
+
+def test_links_stand_by_themselves(spark):
+    from lumenrank.operators import html
+
+    page = '<a href="/x">1</a><a href="http://[bad">2</a><a href="/y">3</a><a href="http://b.example/z">4</a>'
+    rows = html.link_table(spark.createDataFrame([("http://a.example/", page), ("http://[no", '<a href="/q">'), (None, page), ("http://c.example/", None)], "url string, html string")).collect()
+    assert [(r.ordinal, r.to_url) for r in rows if r.from_url == "http://a.example/"] == [(0, "http://a.example/x"), (2, "http://a.example/y"), (3, "http://b.example/z")]
+    assert ("http://b.example/z", None) in [(r.to_url, r.from_url) for r in rows]
+
+
 def test_questions_and_starts(spark):
     assert each(spark, ["how much", "really?", "prices", "Кога идва", ""], T.looks_like_question) == [True, True, False, True, False]
     assert one(spark, T.starts_with_keyword(T.terms(F.lit("web design prices")), T.keyword_terms(F.lit("web design"))))
