@@ -8,9 +8,9 @@ buckets outnumber the vectors by (1 + PROBES)**2 or more. How many tables: so th
 none with a chance under MISS, from the share of pairs made at that cosine that meet; nearer pairs miss less. Nothing
 but that chance loses a link.
 
-Equal vectors are one class, which is hashed and compared once. Classes whose bucket holds no other end there; the
-others are dealt, with their vectors, to blocks of about BLOCK within a bucket, and two blocks meet in one task, which has all
-cosines between them as one matrix product. A pair that meets in several buckets counts in that of the least key. Out of a
+Equal vectors are one class, which is hashed and compared once. Classes whose bucket holds no other end there, and of buckets
+that hold the same classes one is enough; the others are dealt, with their vectors, to blocks of about BLOCK within a bucket, and two blocks meet
+in one task, which has all cosines between them as one matrix product. A pair that meets in several buckets counts in that of the least key. Out of a
 task come, per class, the number of vectors linked, and the edges of a spanning forest: no pairs, and no group whole.
 
 Rows: a vector that is null, empty or zero, or holds null or a non-finite component, links with nothing, and vectors of
@@ -140,7 +140,8 @@ def _clean(values: pa.Array) -> Iterator[np.ndarray | None]:
 
 
 def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors scaled by powers of two, so that no square leaves the range of doubles, and their lengths."""
+    """Vectors in doubles, scaled by powers of two, so that no square leaves their range, and their lengths."""
+    vectors = vectors.astype(np.float64, copy=False)
     scaled = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
     return scaled, np.sqrt((scaled * scaled).sum(axis=1))
 
@@ -151,16 +152,18 @@ def _lists(rows: np.ndarray) -> pa.Array:
 
 
 def _rows(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, digest, v): v in doubles; both null for a vector that links with nothing."""
+    """(id, digest, v): both null for a vector that links with nothing; floats stay floats, all else comes in doubles."""
     kind = df.schema[id_col].dataType.simpleString()
+    item = "float" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    values = pa.float32() if item == "float" else pa.float64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = list(_clean(b.column(1)))
             digests = [None if v is None else hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.float64()))], ["id", "digest", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(found, pa.list_(values))], ["id", "digest", "v"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, f"id {kind}, digest binary, v array<double>")
+    return df.select(F.col(id_col).alias("id"), F.col(vector_col).cast(f"array<{item}>").alias("v")).mapInArrow(run, f"id {kind}, digest binary, v array<{item}>")
 
 
 def _hashed(classes: DataFrame, n: int, least: float) -> DataFrame:
@@ -175,7 +178,7 @@ def _hashed(classes: DataFrame, n: int, least: float) -> DataFrame:
                 keys = planned(dim, n, least).keys(vectors / lengths[:, None])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(keys.view(np.int64))], ["cid", "v", "keys"])
 
-    return classes.mapInArrow(run, "cid long, v array<double>, keys array<long>")
+    return classes.mapInArrow(run, f"cid long, v {classes.schema['v'].dataType.simpleString()}, keys array<long>")
 
 
 def cosines(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -228,36 +231,84 @@ def _compared(key: int, one: tuple, two: tuple, least: float) -> tuple[np.ndarra
     return np.concatenate((one[0], two[0])), np.concatenate((near @ two[1], near.T @ one[1])), list(_forest(near, one[0], two[0]))
 
 
+#: Buckets of so few are compared pair by pair, those of a batch together.
+_FEW = 12
+
+
+def _pairs_linked(key: np.ndarray, vectors: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the linked pairs within groups of _FEW rows at most, those left out that share a lesser key."""
+    a, b = [], []
+    for size in np.unique(sizes).tolist():
+        i, j = np.triu_indices(size, 1)
+        at = starts[sizes == size][:, None]
+        a.append((at + i).ravel())
+        b.append((at + j).ravel())
+    a, b, (x, n) = np.concatenate(a), np.concatenate(b), _unit(vectors)
+    found = np.concatenate([np.einsum("ij,ij->i", x[a[lo : lo + _BATCH]], x[b[lo : lo + _BATCH]]) / (n[a[lo : lo + _BATCH]] * n[b[lo : lo + _BATCH]]) for lo in range(0, len(a), _BATCH)])
+    near = found >= least
+    for i in np.flatnonzero(np.abs(found - least) < 1e-12).tolist():
+        near[i] = cosines(vectors[a[i : i + 1]], vectors[b[i : i + 1]], least)[0, 0]
+    a, b = a[near], b[near]
+    first = np.zeros(len(a), bool)
+    for lo in range(0, len(a), _BATCH):
+        p, q = keys[a[lo : lo + _BATCH]], keys[b[lo : lo + _BATCH]]
+        lesser = (p[:, :, None] == q[:, None]) & (p < key[a[lo : lo + _BATCH], None])[:, :, None]
+        first[lo : lo + len(p)] = ~lesser.any(axis=(1, 2))
+    return a[first], b[first]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(cuts, columns) for batches of (key, x, y, side, cid, w, v, keys): whole groups of one key, x, y and length of v, a group
+    from one cut to the next; vectors and keys as matrices."""
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy().reshape(len(column), -1)
+
+    held: list[np.ndarray] | None = None
+    for b in (batch.slice(lo, _BATCH) for batch in batches for lo in range(0, batch.num_rows, _BATCH)):
+        length = np.diff(b.column(6).offsets.to_numpy())
+        ends = [*(np.flatnonzero(length[1:] != length[:-1]) + 1).tolist(), len(length)]
+        for lo, hi in zip([0, *ends], ends):
+            part = b.slice(lo, hi - lo)
+            columns = [*(part.column(k).to_numpy() for k in range(6)), matrix(part.column(6)), matrix(part.column(7))]
+            if held is not None and held[6].shape[1] == columns[6].shape[1]:
+                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            elif held is not None:
+                yield np.array([0, len(held[0])]), held
+            change = np.zeros(len(columns[0]), bool)
+            for k in range(3):
+                change[1:] |= columns[k][1:] != columns[k][:-1]
+            cuts = np.concatenate(([0], np.flatnonzero(change)))  # the last group may go on
+            held = [x[cuts[-1] :] for x in columns]
+            if len(cuts) > 1:
+                yield cuts, [x[: cuts[-1]] for x in columns]
+    if held is not None:
+        yield np.array([0, len(held[0])]), held
+
+
 def _in_blocks(members: DataFrame, least: float) -> DataFrame:
-    """(u, v, w) of (key, x, y, side, cid, w, v, keys): what u is linked to weighs w more where v is null; else an edge."""
+    """(u, v, w) of (key, x, y, side, cid, w, v, keys): what is linked to u weighs w more; u and v, if not null, are connected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(rows: list[tuple]) -> tuple:
-            return np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.int64), np.stack([r[3] for r in rows]), np.stack([r[4] for r in rows])
-
-        def done(key: int, group: list[tuple]) -> Iterator[pa.RecordBatch]:
-            for dim in {len(r[3]) for r in group}:  # more than one only where keys happen to be equal
-                sides = [[r for r in group if r[0] == s and len(r[3]) == dim] for s in range(3)]
-                pairs = [(block(sides[2]),) * 2] if len(sides[2]) > 1 else [(block(sides[0]), block(sides[1]))] if sides[0] and sides[1] else []
-                for one, two in pairs:
-                    ids, weight, edges = _compared(key, one, two, least)
-                    some = np.flatnonzero(weight)
-                    u, v = [*ids[some].tolist(), *(e[0] for e in edges)], [None] * len(some) + [e[1] for e in edges]
-                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array([*weight[some].tolist(), *[0] * len(edges)], pa.int64())], ["u", "v", "w"])
-
-        at, group = None, []
-        for b in (batch.slice(lo, 256) for batch in batches for lo in range(0, batch.num_rows, 256)):
-            head = zip(*(b.column(k).to_pylist() for k in range(6)), strict=True)
-            for i, (key, x, y, side, cid, w) in enumerate(head):
-                if (key, x, y) != at:
-                    if group:
-                        yield from done(at[0], group)
-                    at, group = (key, x, y), []
-                group.append((side, cid, w, b.column(6)[i].values.to_numpy(), b.column(7)[i].values.to_numpy()))
-        if group:
-            yield from done(at[0], group)
-
-    dealt = members.select("key", "x", "y", "side", "cid", "w", "v", "keys").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+        def out(u: np.ndarray, v: np.ndarray | None, w: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.nulls(len(u), pa.int64()) if v is None else pa.array(v, pa.int64()), pa.array(w, pa.int64())], ["u", "v", "w"])
+
+        for cuts, (key, _, _, side, cid, w, vectors, keys) in _whole_groups(batches):
+            starts, sizes = cuts[:-1], np.diff(cuts)
+            few = (sizes > 1) & (sizes <= _FEW) & (side[starts] == 2)
+            if few.any():
+                a, b = _pairs_linked(key, vectors, keys, starts[few], sizes[few], least)
+                yield out(np.concatenate((cid[a], cid[b])), np.concatenate((cid[b], cid[a])), np.concatenate((w[b], w[a])))
+            for lo, n in zip(starts[~few].tolist(), sizes[~few].tolist(), strict=True):
+                of = [[x[lo : lo + n][side[lo : lo + n] == s] for x in (cid, w, vectors, keys)] for s in range(3)]
+                one, two = (of[2], of[2]) if len(of[2][0]) else (of[0], of[1])
+                if len(one[0]) and len(two[0]):
+                    ids, weight, edges = _compared(int(key[lo]), one, two, least)
+                    yield out(ids, None, weight)
+                    yield out(np.array([e[0] for e in edges], np.int64), np.array([e[1] for e in edges], np.int64), np.zeros(len(edges), np.int64))
+
+    order = ("key", "x", "y", "dim")
+    dealt = members.withColumn("dim", F.size("v")).repartition("key", "x", "y").sortWithinPartitions(*order).select("key", "x", "y", "side", "cid", "w", "v", "keys")
     return dealt.mapInArrow(run, "u long, v long, w long")
 
 
@@ -273,7 +324,10 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     hashed = materialize(_hashed(classes.select("cid", "v"), 1 << rows.count().bit_length(), least), "vector-keys")
 
     keyed = hashed.select("cid", F.explode("keys").alias("key"))
-    met = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int").alias("blocks")), "vector-buckets")
+    # of buckets that hold the same, by two hashes of 64 bits over them, the one of least key has all the pairs' least keys
+    held = [F.bit_xor(F.xxhash64("cid", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    filled = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *held).where("n > 1").groupBy("n", "h1", "h2").agg(F.min("key").alias("key"))
+    met = materialize(filled.select("key", F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int").alias("blocks")), "vector-buckets")
     own = F.pmod(F.xxhash64("cid"), F.col("blocks").cast("long")).cast("int")
     member = materialize(keyed.join(met, "key").select("key", "cid", own.alias("own"), "blocks"), "vector-members")
     full = member.join(hashed.join(classes.select("cid", "w"), "cid"), "cid")
@@ -281,8 +335,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     side = F.when(F.col("own") < F.col("o"), 0).when(F.col("own") > F.col("o"), 1).otherwise(2)
     found = materialize(_in_blocks(dealt.withColumn("side", side), least), "vector-links")
 
-    linked = found.where("v is null").groupBy(F.col("u").alias("cid")).agg(F.sum("w").alias("linked"))
-    roots = components(found.where("v is not null").select("u", "v").distinct())
+    linked = found.where("w > 0").groupBy(F.col("u").alias("cid")).agg(F.sum("w").alias("linked"))
+    roots = components(found.where("v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     named = classes.select("cid", "digest", "w", "first_id").join(linked, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     n_links = F.col("w") - 1 + F.coalesce("linked", F.lit(0))
     named = materialize(named.select("digest", "first_id", F.coalesce("root", "cid").alias("root"), n_links.alias("n_links")), "vector-roots")
