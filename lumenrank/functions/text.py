@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -52,6 +54,10 @@ _FOLDS = [("sht", "s"), ("zh", "z"), ("ch", "c"), ("sh", "s"), ("ts", "c"), ("kh
 _INVISIBLE = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\x{AD}\\x{61C}\\x{200B}-\\x{200F}\\x{2028}-\\x{202F}\\x{2060}-\\x{206F}\\x{FEFF}\\x{E0000}-\\x{E007F}]"
 
 
+_WORD, _BREAK, _DASH, _NUMBER, _CYRILLIC_WORD = regex.compile(WORD), regex.compile(BREAKS), regex.compile(r"\p{Pd}"), regex.compile(r"\p{N}+"), regex.compile(r"\p{Cyrillic}+")
+_SITE = regex.compile(r"(?<!\p{L})(?:уеб|веб|web)[ \t\n\x0B\f\r-]*(?:сайт|site)s?")
+
+
 def strip_invisible(s: Column) -> Column:
     return F.regexp_replace(s, _INVISIBLE, "")
 
@@ -138,6 +144,54 @@ def stem(w: Column) -> Column:
     return F.coalesce(same, plain)
 
 
+def stem_word(w: str) -> str:
+    """``stem`` of one lower-case word."""
+    out = w
+    if len(w) >= 4 and _CYRILLIC_WORD.fullmatch(w):
+        for suffixes in (ARTICLE_SUFFIXES, INFLECTION_SUFFIXES):
+            # as in the expression, the longest that leaves a stem
+            fit = max((x for x in suffixes if out.endswith(x) and len(out) - len(x) >= MIN_STEM), key=len, default="")
+            out = out[: len(out) - len(fit)]
+        if len(out) >= 6 and out.endswith("ен"):
+            out = out[:-2] + "н"
+    elif w.endswith("s") and w.isascii() and w.isalpha():
+        if len(w) > 4 and w.endswith("ies"):
+            out = w[:-3] + "y"
+        elif len(w) > 4 and w.endswith(("sses", "shes", "ches", "xes", "zes")):
+            out = w[:-2]
+        elif len(w) > 3 and not w.endswith(("ss", "us", "is")):
+            out = w[:-1]
+    return SYNONYMS.get(out, out)
+
+
+class Analyzer:
+    """Words of a text's segments as (surface, key, stop, plain), for passes that go over texts in Python: what ``tokens``, ``stem``,
+    ``is_stop`` and ``is_number`` say; each word is looked at once as long as it is remembered."""
+
+    def __init__(self, stopwords: list[str] | None = None, keep: int = 200_000):
+        self.stop, self.keep, self.known = frozenset(STOPWORDS if stopwords is None else stopwords), keep, {}
+
+    def _of(self, w: str) -> tuple[str, str, bool, bool]:
+        if len(self.known) >= self.keep:
+            self.known.clear()
+        stop = w in self.stop
+        out = self.known[w] = (w, w if stop else stem_word(w), stop, len(w) >= 2 and not _NUMBER.fullmatch(w))
+        return out
+
+    def __call__(self, text: str) -> Iterator[list[tuple[str, str, bool, bool]]]:
+        known = self.known
+        for segment in _BREAK.split(text):
+            folded = segment if segment.isascii() else unicodedata.normalize("NFKC", segment)
+            folded = folded.lower()
+            if not folded.isascii():
+                folded = _DASH.sub("-", folded)
+            if "сайт" in folded or "site" in folded:
+                folded = _SITE.sub("сайт", folded)
+            found = _WORD.findall(folded)
+            if found:
+                yield [known.get(w) or self._of(w) for w in found]
+
+
 def is_stop(w: Column, stopwords: list[str] | None = None) -> Column:
     """By the fixed Bulgarian and English lists, or by a list given."""
     return w.isin(STOPWORDS if stopwords is None else stopwords)

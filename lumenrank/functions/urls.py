@@ -186,3 +186,17 @@ def to_ascii(names: pa.Array) -> pa.Array:
             return None
 
     return pa.array([one(x) for x in names.to_pylist()], pa.string())
+
+
+def own_suffixes(h: Column) -> Column:
+    """The keys that a rule of a suffix list may have for a host, as struct(n, key, exception), n the labels of the suffix that the rule
+    then names: for each of its endings, the whole host first, the ending, ``*.`` and what is behind its first label, and ``!`` and the ending."""
+    labels = F.split(F.lower(h), r"\.")
+    size = F.size(labels)
+    ending = lambda i: F.array_join(F.slice(labels, i, size), ".")
+    keys = lambda i: F.array(
+        F.struct((size - i + 1).alias("n"), ending(i).alias("key"), F.lit(0).alias("exception")),
+        F.struct((size - i + 1).alias("n"), F.concat(F.lit("*."), F.when(i < size, ending(i + 1)).otherwise("")).alias("key"), F.lit(0).alias("exception")),
+        F.struct((size - i).alias("n"), F.concat(F.lit("!"), ending(i)).alias("key"), F.lit(1).alias("exception")),
+    )
+    return F.flatten(F.transform(F.sequence(F.lit(1), size), keys))

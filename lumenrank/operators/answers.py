@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -170,15 +171,32 @@ def build_plans(skips: DataFrame, k: int = 12) -> DataFrame:
     return cut.withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
-def coverage_pairs(questions: DataFrame, pages: DataFrame, least: float = 0.12, k: int = 3) -> DataFrame:
-    """(question_id, url, overlap, place): the pages of a scope (a site) that share the most of a
-    question's terms, seven parts by their head and three by their intro: an inverted index over
-    the scope's terms, instead of every question with every page.
-    """
+def coverage_candidates(questions: DataFrame, pages: DataFrame, least: float = 0.12) -> DataFrame:
+    """(scope, question_id, url): the pairs that a term of the question names. In order of how many pages of
+    the scope have them, a page that has none of the rarer terms can have of each of the others what the page with the most parts of it has; so a term
+    that a page has ``part`` parts of counts only if these and what is behind it could reach ``least``."""
     q = questions.select("scope", "question_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     p = pages.select("scope", "url", F.explode("head").alias("term"), F.lit(7).alias("part")).unionByName(pages.select("scope", "url", F.explode("intro").alias("term"), F.lit(3).alias("part")))
     weights = p.distinct().groupBy("scope", "url", "term").agg(F.sum("part").alias("part"))
-    met = q.join(weights, ["scope", "term"]).groupBy("question_id", "url", "n").agg(F.sum("part").alias("parts"))
+    common = weights.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most"))
+    after = Window.partitionBy("scope", "question_id").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = q.join(common, ["scope", "term"]).withColumn("behind", F.coalesce(F.sum("most").over(after), F.lit(0)))
+    # overlap is parts / n / 10, rounded to thousandths
+    needed = F.ceil(F.col("n") * (2 * math.ceil(least * 1000 - 1e-9) - 1) / F.lit(200.0))
+    met = ranked.withColumn("needed", needed).join(weights, ["scope", "term"]).where("part + behind >= needed")
+    return met.select("scope", "question_id", "url").distinct()
+
+
+def coverage_pairs(questions: DataFrame, pages: DataFrame, least: float = 0.12, k: int = 3) -> DataFrame:
+    """(question_id, url, overlap, place): the pages of a scope (a site) that share the most of a
+    question's terms, seven parts by their head and three by their intro. Candidates come from ``coverage_candidates``, and each is
+    counted once, from the terms of both."""
+    near = coverage_candidates(questions, pages, least)
+    asked = questions.select("scope", "question_id", "terms")
+    whole = pages.groupBy("scope", "url").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("head", "intro")])
+    both = near.join(asked, ["scope", "question_id"]).join(whole, ["scope", "url"])
+    shared = lambda c: F.size(F.array_intersect("terms", c))
+    met = both.select("question_id", "url", F.size("terms").alias("n"), (shared("head") * 7 + shared("intro") * 3).alias("parts"))
     overlap = F.floor((F.col("parts") * 200 + F.col("n")) / (F.col("n") * 2)) / F.lit(1000.0)
     scored = met.withColumn("overlap", overlap).where(F.col("overlap") >= least)
     return top_per(scored, ["question_id"], [F.desc("overlap"), F.col("url")], k, "place").select("question_id", "url", "overlap", "place")

@@ -1,61 +1,147 @@
-"""Phrase mining over documents, pruning of parts of longer phrases, and greedy clustering."""
+"""Phrase mining over documents, pruning of parts of longer phrases, and what headings share."""
 
 from __future__ import annotations
 
-from functools import reduce
+import functools
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import written
-
-
-def _grams(n: int) -> Column:
-    """Runs of n words as struct(key, surface, n): no number inside, of two letters or more (a single
-    word: three), no stop word at either end, and of stop words at most half. By place in the arrays
-    ``raw``, ``keys``, ``stop`` and ``plain``, so that a run costs a few look-ups."""
-    at = lambda array, i, k: F.element_at(array, i + k)
-
-    def run(i: Column) -> Column:
-        places = range(n)
-        rules = [at("plain", i, k) for k in places] + [~at("stop", i, k) for k in {0, n - 1}]
-        if n == 1:
-            rules.append(F.length(at("raw", i, 0)) >= 3)
-        if n - 2 > n // 2:
-            rules.append(reduce(lambda a, b: a + b, [at("stop", i, k).cast("int") for k in places[1:-1]]) <= n // 2)
-        joined = lambda array: at(array, i, 0) if n == 1 else F.concat_ws(" ", *[at(array, i, k) for k in places])
-        return F.when(reduce(lambda a, b: a & b, rules), F.struct(joined("keys").alias("key"), joined("raw").alias("surface"), F.lit(n).alias("n")))
-
-    starts = F.when(F.size("raw") >= n, F.sequence(F.lit(1), F.size("raw") - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_compact(F.transform(starts, run))
-
-
-def occurrences(docs: DataFrame, most_words: int = 3, stopwords: list[str] | None = None) -> DataFrame:
-    """(doc, key, surface, n), a row each time a phrase is met in (doc, text)."""
-    cut = docs.select("doc", F.explode(T.segments(F.col("text"))).alias("segment")).select("doc", T.tokens(F.col("segment")).alias("raw"))
-    named = cut.withColumn("stop", F.transform("raw", lambda w: T.is_stop(w, stopwords))).withColumn("plain", F.transform("raw", lambda w: (F.length(w) >= 2) & ~T.is_number(w)))
-    named = named.withColumn("keys", F.transform("raw", lambda w: F.when(T.is_stop(w, stopwords), w).otherwise(T.stem(w))))
-    return named.select("doc", F.explode(F.flatten(F.array(*[_grams(n) for n in range(1, most_words + 1)]))).alias("run")).select("doc", "run.*")
-
-
-def phrases_of(docs: DataFrame, most_words: int = 3, stopwords: list[str] | None = None) -> DataFrame:
-    """(doc, key, surface, n, count) from (doc, text): stems as key, stop words as they are."""
-    return occurrences(docs, most_words, stopwords).groupBy("doc", "key", "surface", "n").agg(F.count(F.lit(1)).alias("count"))
+from ..sources.shared import discard, written
+from .clusters import cluster_headings, cluster_questions
+
+
+#: Different phrases that a task holds before it hands on their counts, and bits of the filter at most (16 for each frequent phrase).
+HELD, MOST_BITS = 200_000, 1 << 30
+
+
+def runs(words: list[tuple[str, str, bool, bool]], most_words: int) -> Iterator[tuple[int, str, str]]:
+    """(n, key, surface) of the runs of 1 to ``most_words`` of a segment's words (surface, key, stop, plain): no number inside, of two letters
+    or more (a single word: three), no stop word at either end, and of stop words at most half."""
+    for i, (surface, key, stop, plain) in enumerate(words):
+        if stop or not plain:
+            continue
+        if len(surface) >= 3:
+            yield 1, key, surface
+        stops = 0
+        for n, (other, k, stop, plain) in enumerate(words[i + 1 : i + most_words], 2):
+            if not plain:
+                break
+            key, surface, stops = f"{key} {k}", f"{surface} {other}", stops + stop
+            if not stop and stops <= n // 2:
+                yield n, key, surface
+
+
+def _counted(docs: DataFrame, most_words: int, stopwords: list[str] | None, out: str, kinds: tuple, rows: Callable[[dict], Iterator[tuple]], keep: Callable[[], Callable[[str], bool]]) -> DataFrame:
+    """Counts of (n, key, surface) over the documents of a task, in portions of HELD: for each [occurrences, pages], a page where its key is
+    met first. ``rows`` makes rows of a portion, ``keep`` a test of keys."""
+    names = [c.split()[0] for c in out.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        analyze, wanted = T.Analyzer(stopwords), keep()
+        found: dict[tuple[int, str, str], list[int]] = {}
+
+        def batch() -> pa.RecordBatch:
+            made = list(rows(found))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], kind) for i, kind in enumerate(kinds)], names)
+
+        for b in batches:
+            for text in b.column(0):
+                met: set[str] = set()
+                for words in analyze(text.as_py() or ""):
+                    for n, key, surface in runs(words, most_words):
+                        if not wanted(key):
+                            continue
+                        counts = found.setdefault((n, key, surface), [0, 0])
+                        counts[0] += 1
+                        if key not in met:
+                            met.add(key)
+                            counts[1] += 1
+                if len(found) >= HELD:
+                    yield batch()
+                    found.clear()
+        yield batch()
+
+    return docs.select("text").mapInArrow(run, out)
+
+
+def _hash(key: str) -> int:
+    return xxhash.xxh3_64_intdigest(key.encode()) - (1 << 63)
+
+
+def _filter(frequent: DataFrame, n: int) -> np.ndarray:
+    """Bits of the hashes in ``frequent(h)``, as bytes; of bounded size, whatever their number n."""
+    bits = max(1 << 16, min(MOST_BITS, 1 << (16 * n).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block = None, np.zeros(1 << 13, np.uint8)
+        for b in batches:
+            cells = b.column(0).to_numpy()
+            for part in np.split(cells, np.flatnonzero(np.diff(cells >> 16)) + 1):
+                if not len(part):
+                    continue
+                if part[0] >> 16 != at:
+                    if at is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([block.tobytes()])], ["block", "bits"])
+                    at, block = int(part[0] >> 16), np.zeros(1 << 13, np.uint8)
+                low = part & 0xFFFF
+                np.bitwise_or.at(block, low >> 3, (1 << (low & 7)).astype(np.uint8))
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([block.tobytes()])], ["block", "bits"])
+
+    cell = F.col("h").bitwiseAND(F.lit(bits - 1))
+    dealt = frequent.select(cell.alias("cell")).withColumn("block", F.shiftright("cell", 16)).repartition("block").sortWithinPartitions("cell").select("cell")
+    whole = np.zeros(bits >> 3, np.uint8)
+    for r in dealt.mapInArrow(run, "block long, bits binary").toLocalIterator():
+        whole[r.block << 13 : (r.block + 1) << 13] |= np.frombuffer(bytes(r.bits), np.uint8)
+    return whole
 
 
 def mine_phrases(docs: DataFrame, most_words: int = 3, least_pages: int = 2, stopwords: list[str] | None = None) -> DataFrame:
-    """(key, n, pages, total, display): in how many documents, how often, and the most frequent
-    surface (of equals the shorter, then the lesser). The phrases of the documents are found once
-    and written; rare keys, most of all, go before surfaces are compared."""
-    found = written(occurrences(docs, most_words, stopwords), "phrases")
-    pages = written(found.select("key", "doc").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages), "phrase-pages")
-    by_surface = found.join(pages.select("key"), "key", "left_semi").groupBy("key", "n", "surface").agg(F.count(F.lit(1)).alias("count"))
+    """(key, n, pages, total, display) from (text): in how many documents, how often, and the most frequent
+    surface (of equals the shorter, then the lesser); stems as key, stop words as they are.
+
+    First only hashes of keys and on how many pages are counted, in each task before they are shuffled; those of ``least_pages``
+    make a filter of bounded size. Then the phrases that pass it, few of all, are counted with their surfaces and by their keys, exactly.
+    """
+    spark = docs.sparkSession
+
+    def hashes(found: dict) -> Iterator[tuple]:
+        pages: dict[int, int] = {}
+        for (_, key, _), (_, n) in found.items():
+            if n:
+                h = _hash(key)
+                pages[h] = pages.get(h, 0) + n
+        return iter(pages.items())
+
+    every = _counted(docs, most_words, stopwords, "h long, pages long", (pa.int64(), pa.int64()), hashes, lambda: lambda key: True)
+    frequent = written(every.groupBy("h").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= least_pages).select("h"), "phrase-hashes")
+    bits = spark.sparkContext.broadcast(_filter(frequent, frequent.count()))
+
+    def keep() -> Callable[[str], bool]:
+        table = bits.value
+        last = len(table) * 8 - 1
+
+        @functools.lru_cache(1 << 16)
+        def wanted(key: str) -> bool:
+            cell = _hash(key) & last
+            return bool(table[cell >> 3] >> (cell & 7) & 1)
+
+        return wanted
+
+    whole = lambda found: ((*k, *v) for k, v in found.items())
+    surfaces = _counted(docs, most_words, stopwords, "n int, key string, surface string, count long, pages long", (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()), whole, keep)
+    by_surface = surfaces.groupBy("key", "n", "surface").agg(F.sum("count").alias("count"), F.sum("pages").alias("pages"))
     best = by_surface.groupBy("key", "n").agg(
-        F.sum("count").alias("total"), F.min_by("surface", F.struct(-F.col("count"), F.length("surface"), F.col("surface"))).alias("display")
+        F.sum("pages").alias("pages"), F.sum("count").alias("total"), F.min_by("surface", F.struct(-F.col("count"), F.length("surface"), F.col("surface"))).alias("display")
     )
-    return best.join(pages, "key").select("key", "n", "pages", "total", "display")
+    discard(frequent)
+    return best.where(F.col("pages") >= least_pages).select("key", "n", "pages", "total", "display")
 
 
 def prune_subsumed(stats: DataFrame, tolerance: float = 0.85) -> DataFrame:
@@ -72,52 +158,6 @@ def prune_subsumed(stats: DataFrame, tolerance: float = 0.85) -> DataFrame:
     return stats.join(most, "key", "left").where(F.coalesce("longer_pages", F.lit(0)) < F.col("pages") * F.lit(tolerance)).drop("longer_pages")
 
 
-def _cluster(rows: list[tuple[str, str, frozenset]], least: float) -> list[tuple[int, str, str]]:
-    """(cluster, doc, heading): each heading joins the cluster whose union of terms it is most
-    like, or opens one. One after the other by nature."""
-    unions: list[set] = []
-    out = []
-    by_term: dict[str, set[int]] = {}
-    for doc, heading, terms in rows:
-        best, at = 0.0, -1
-        for c in sorted(set().union(*(by_term.get(t, ()) for t in terms))):
-            like = len(terms & unions[c]) / len(terms | unions[c])
-            if like >= least and like > best:
-                best, at = like, c
-        if at < 0:
-            at = len(unions)
-            unions.append(set())
-        unions[at] |= terms
-        for t in terms:
-            by_term.setdefault(t, set()).add(at)
-        out.append((at, doc, heading))
-    return out
-
-
-def cluster_headings(headings: DataFrame, least: float = 0.4, ignore: Column | None = None) -> DataFrame:
-    """(scope, topic, pages, examples) from (scope, ordinal, doc, heading), each scope by itself; the
-    terms of ``ignore``, an array, do not count.
-
-    A scope is the pages of one keyword, a few hundred headings; scopes run side by side, and the
-    headings of one are taken one after the other by nature.
-    """
-    terms = F.array_distinct(T.terms(F.col("heading")))
-    terms = terms if ignore is None else F.array_except(terms, ignore)
-    rows = headings.select("scope", "ordinal", F.col("doc").cast("string").alias("doc"), "heading", terms.alias("terms")).where(F.size("terms") > 0)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal")
-        found = pd.DataFrame(_cluster([(d, h, frozenset(t)) for d, h, t in zip(pdf.doc, pdf.heading, pdf.terms, strict=True)], least), columns=["cluster", "doc", "heading"])
-        out = []
-        for _, g in found.groupby("cluster"):
-            counts = g.heading.value_counts()
-            topic = min(counts.index, key=lambda h: (-counts[h], len(h), h))
-            out.append((pdf.scope.iloc[0], topic, g.doc.nunique(), list(dict.fromkeys(g.heading))[:3]))
-        return pd.DataFrame(out, columns=["scope", "topic", "pages", "examples"])
-
-    return rows.groupBy("scope").applyInPandas(run, f"scope {headings.schema['scope'].dataType.simpleString()}, topic string, pages long, examples array<string>")
-
-
 def subtopics(headings: DataFrame, keyword_terms: Column | None = None, share: float = 0.25, most: int = 12) -> DataFrame:
     """(scope, topic, pages, place): clusters of headings on a quarter of a scope's pages, two at least,
     without the keyword's own terms; the ``most`` common."""
@@ -127,31 +167,6 @@ def subtopics(headings: DataFrame, keyword_terms: Column | None = None, share: f
     return placed.where(F.col("place") <= most).select("scope", "topic", "pages", "place")
 
 
-def cluster_questions(questions: DataFrame, least: float = 0.5) -> DataFrame:
-    """(scope, ordinal, text, cluster): a question joins the first cluster with a member that
-    shares at least half of the shorter one's terms. Texts without terms are left out."""
-    rows = questions.select("scope", "ordinal", "text", F.array_distinct(T.terms(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal")
-        members: list[list[frozenset]] = []
-        by_term: dict[str, set[int]] = {}
-        at = []
-        for t in map(frozenset, pdf.terms):
-            near = sorted(set().union(*(by_term.get(x, ()) for x in t)))
-            c = next((c for c in near if any(len(t & m) / min(len(t), len(m)) >= least for m in members[c])), len(members))
-            if c == len(members):
-                members.append([])
-            members[c].append(t)
-            for x in t:
-                by_term.setdefault(x, set()).add(c)
-            at.append(c)
-        return pdf[["scope", "ordinal", "text"]].assign(cluster=at)
-
-    kind = questions.schema["scope"].dataType.simpleString()
-    return rows.groupBy("scope").applyInPandas(run, f"scope {kind}, ordinal long, text string, cluster long")
-
-
 def duplicate_values(pages: DataFrame, scope: str, value: Column, name: str) -> DataFrame:
     """``pages`` with how many of the scope have the same value; 1 where it is missing."""
     norm = T.for_compare(value)
@@ -164,4 +179,4 @@ def most_frequent(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return counted.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), value)))
 
 
-__all__ = ["phrases_of", "mine_phrases", "prune_subsumed", "cluster_headings", "subtopics", "cluster_questions", "duplicate_values", "most_frequent"]
+__all__ = ["mine_phrases", "prune_subsumed", "cluster_headings", "subtopics", "cluster_questions", "duplicate_values", "most_frequent"]

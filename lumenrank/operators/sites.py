@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..sources.shared import written
+from .graph import components
 
 MOST_URLS, MOST_CHILDREN, MOST_LENGTH = 50_000, 1_000, 2_048
 
@@ -195,6 +196,68 @@ def crawl_order(links: DataFrame, home: str, most_depth: int = 2, most_pages: in
     return found.orderBy("level", "key").limit(most_pages) if most_pages else found
 
 
+def merge_aliases(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(host, key, url, ordinal, names): one row a page of ``found(host, ordinal, url)``, by the address found first. Addresses that
+    ``pairs(url, other)``, redirects and canonical links, join in any number of steps name one page; names counts its addresses, those
+    among them that were only pointed at included. Pairs go over hosts and cycles, and say nothing where either is no address worth reading."""
+    key = lambda c: U.page_address(F.col(c))["key"]
+    edges = pairs.select(key("url").alias("u"), key("other").alias("v")).where("u is not null and v is not null")
+    names = components(edges)
+    pages = found.select("host", "ordinal", U.page_address(F.col("url")).alias("p")).where("p is not null").select("host", "ordinal", "p.key", "p.url")
+    named = pages.join(names.withColumnRenamed("node", "key"), "key", "left").withColumn("page", F.coalesce("label", "key"))
+    one = named.groupBy("page").agg(F.min_by(F.struct("host", "key", "url", "ordinal"), F.struct("ordinal", "key", "url")).alias("o"), F.count_distinct("key").alias("own"), F.max("label").alias("label"))
+    sizes = names.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return one.join(sizes, "label", "left").select("o.host", "o.key", "o.url", "o.ordinal", F.coalesce("n", "own").alias("names"))
+
+
+def crawl(homes: DataFrame, links: DataFrame, most_depth: int = 2, fetches: int | None = 60, most_pages: int | None = None) -> DataFrame:
+    """(host, key, url, level, found_at, place, truncated): the pages that each site's links lead to, all sites a level at a time.
+
+    ``homes`` is (host, asked, url): the address asked for and the one that answered; ``links`` (from_key, ordinal, to_url) of the pages that
+    can be read. Pages are read in the order they were found in, the home page first, down to the level above ``most_depth``, at most
+    ``fetches`` a site and none once ``most_pages`` are found; what a page links to is found in the order of its links, on hosts of the site's
+    domain, each address once. Place is the home page, then the shallower paths, then as found, cut at ``most_pages``; a site is truncated if
+    pages were left unread or cut. None lifts a limit.
+    """
+    start = homes.select("host", U.registrable(F.col("url")).alias("site"), U.page_address(F.col("url")).alias("p"), U.page_address(F.col("asked"))["key"].alias("asked")).where("p is not null")
+    one = start.groupBy("host").agg(F.min_by(F.struct("site", "p", "asked"), F.struct("p.url", "asked")).alias("h")).select("host", "h.*")
+    home = written(one.select("host", "site", "asked", "p.key", "p.url", "p.depth"), "crawl-homes")
+    found = home.select("host", "site", "key", "url", "depth", F.lit(0).alias("level"), F.lit(0).cast("long").alias("found_at"))
+    known = home.select("host", "key").unionByName(home.where("asked is not null").select("host", F.col("asked").alias("key"))).distinct()
+    state = home.select("host", F.lit(0).cast("long").alias("read"), F.lit(1).cast("long").alias("size"), F.lit(False).alias("left"))
+    address = links.select("from_key", "ordinal", U.page_address(F.col("to_url")).alias("p"), U.registrable(F.col("to_url")).alias("to_site")).where("p is not null").select("from_key", "ordinal", "to_site", F.col("p.key").alias("key"), "p.url", "p.depth")
+    for level in range(most_depth):
+        nth = F.row_number().over(Window.partitionBy("host").orderBy("found_at")) - 1
+        ahead = found.where(F.col("level") == level).withColumn("nth", nth).select("host", "site", F.col("key").alias("from_key"), "nth").join(state, "host")
+        if fetches is not None:
+            ahead = ahead.withColumn("left", F.col("left") | (F.col("nth") >= fetches - F.col("read")))
+        ahead = written(ahead, "crawl-ahead")
+        asked = ahead if fetches is None else ahead.where(F.col("nth") < fetches - F.col("read"))
+        met = asked.select("host", "site", "from_key", "nth").join(address, "from_key").where("site = to_site")
+        fresh = met.groupBy("host", "key").agg(F.min(F.struct("nth", "ordinal", "url", "depth", "site")).alias("o")).join(known, ["host", "key"], "left_anti")
+        fresh = written(fresh.select("host", "key", "o.*"), "crawl-fresh")
+        # how many are known before each page is read; a site's pages to read are no more than its fetches
+        brought = asked.join(fresh.groupBy("host", "nth").agg(F.count(F.lit(1)).alias("n")), ["host", "nth"], "left")
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("host").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("size")
+        go = F.lit(True) if most_pages is None or level == 0 else F.col("before") < most_pages
+        turn = written(brought.withColumn("before", before).withColumn("go", go).select("host", "nth", "go", F.when(F.col("go"), F.coalesce("n", F.lit(0))).otherwise(0).alias("n")), "crawl-turns")
+        kept = fresh.join(turn.where("go").select("host", "nth"), ["host", "nth"], "left_semi").join(state.select("host", "size"), "host")
+        order = F.row_number().over(Window.partitionBy("host").orderBy("nth", "ordinal", "key")) - 1 + F.col("size")
+        found = written(found.unionByName(kept.select("host", "site", "key", "url", "depth", F.lit(level + 1).alias("level"), order.alias("found_at"))), "crawl-found")
+        known = known.unionByName(kept.select("host", "key"))
+        now = turn.groupBy("host").agg(F.count_if("go").alias("more_read"), F.sum("n").alias("more"), F.bool_or(~F.col("go")).alias("stopped"))
+        over = ahead.groupBy("host").agg(F.bool_or("left").alias("over"))
+        none = F.lit(0).cast("long")
+        state = written(
+            state.join(now, "host", "left").join(over, "host", "left").select("host", (F.col("read") + F.coalesce("more_read", none)).alias("read"), (F.col("size") + F.coalesce("more", none)).alias("size"), (F.col("left") | F.coalesce("stopped", F.lit(False)) | F.coalesce("over", F.lit(False))).alias("left")), "crawl-state"
+        )
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.col("level") > 0, "depth", "found_at"))
+    placed = found.join(state.select("host", "size", "left"), "host").withColumn("place", place)
+    cut = F.lit(False) if most_pages is None else F.col("size") > most_pages
+    out = placed.withColumn("truncated", F.col("left") | cut)
+    return (out if most_pages is None else out.where(F.col("place") <= most_pages)).select("host", "key", "url", "level", "found_at", "place", "truncated")
+
+
 def discover(home: DataFrame, mapped: DataFrame, crawled: DataFrame, most_pages: int | None = None) -> DataFrame:
     """(host, key, url, via, place, truncated): a site's pages from the first site map that has any, by
     its rank, else from its links; the home page first, then by depth, then as found.

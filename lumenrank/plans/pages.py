@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import html, sites
+from ..operators import domains, html, sites
+from ..sources.shared import written
 from ..sources.tables import read_table
 
 NOW = datetime(2026, 10, 5, tzinfo=timezone.utc)
@@ -70,6 +71,46 @@ def link_crawl_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.crawl_order(edges, "0", 5).groupBy("level").agg(F.count(F.lit(1)).alias("pages"))
 
 
+def site_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by the address found first, where redirects and canonical links, made up from the ids, run in chains, cycles and stars."""
+    rows = _pages(spark, sf_dir).select("page_id", "url", U.host(F.col("url")).alias("host"))
+    k = F.col("page_id") % 10
+    to = F.when(k < 3, F.col("page_id") + 3).when(k == 7, F.col("page_id") + 1).when(k == 8, F.col("page_id") - 1).when(k == 9, F.col("page_id") - 9)
+    other = rows.select(F.col("page_id").alias("to"), F.col("url").alias("other"))
+    pairs = rows.withColumn("to", to).join(other, "to").select("url", "other")
+    return sites.merge_aliases(rows.select("host", F.col("page_id").alias("ordinal"), "url"), pairs).select("host", "key", "url", "ordinal", "names")
+
+
+def site_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl of every host over the links of its pages; an address that is no page of the table is answered by the page of its
+    host whose number is the length of the address, counted round, and what robots rules close is not read."""
+    rows = _pages(spark, sf_dir).select("page_id", "url", U.host(F.col("url")).alias("host"))
+    count = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("host").orderBy("page_id")) - 1)
+    links = written(html.link_table(_pages(spark, sf_dir), most=None, chars=None), "site-links")
+    asked = rows.select("url").unionByName(links.select(F.col("to_url").alias("url"))).select(U.page_address(F.col("url")).alias("p"), U.host(F.col("url")).alias("host")).where("p is not null").select("host", "p.key", "p.url").groupBy("host", "key").agg(F.min("url").alias("url"))
+    files = count.select("host", F.lit(200).alias("status"), F.lit("User-agent: *\nDisallow: /t\n").alias("text"))
+    named = asked.select(F.col("key").alias("id"), "host", U.path_and_query(F.col("url")).alias("path"))
+    open_ = sites.allowed(named, sites.robots_rules(files, "Somebot/1.0")).where("allowed").select(F.col("id").alias("key"))
+    served = asked.join(open_, "key", "left_semi").join(count, "host").withColumn("nth", (F.length("key") % F.col("pages")).cast("int"))
+    found = served.join(numbered.select("host", "nth", F.col("url").alias("from_url")), ["host", "nth"]).join(links, "from_url")
+    homes = numbered.where("nth = 0").select("host", F.concat(F.lit("https://"), "host", F.lit("/")).alias("asked"), "url")
+    return sites.crawl(homes, found.select(F.col("key").alias("from_key"), "ordinal", "to_url"), 2, 5, 25)
+
+
+#: Suffix rules: all kinds, of labels that the pages' hosts have.
+SUFFIX_RULES = [("com", False), ("net", False), ("org", False), ("example.org", False), ("*.example.net", False), ("!m.example.net", False), ("example.com", True), ("blog.example.org", True)]
+
+
+def suffix_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registrable domains of the pages' hosts, by the public rules and with the private ones."""
+    rules = spark.createDataFrame(SUFFIX_RULES, "rule string, private boolean")
+    full = F.lower(F.regexp_extract("url", r"^https?://([^/?#:@]+)", 1))
+    rows = _pages(spark, sf_dir).select("page_id", full.alias("host"))
+    public = domains.with_registrable(rows, rules, private=False).select("page_id", "host", F.col("suffix").alias("public_suffix"), F.col("registrable").alias("public_domain"))
+    return domains.with_registrable(public, rules).select("page_id", "host", "public_suffix", "public_domain", "suffix", F.col("registrable").alias("domain"))
+
+
 _ROBOTS = "User-agent: *\nDisallow: /en/1\nAllow: /en/1*5\nDisallow: /*.html$\n\nUser-agent: Fixbot # ours\nUser-agent: other\nDisallow: /fr/\nAllow: /\nSitemap: https://a.example/s.xml\nsitemap: /t.xml # here\n"
 
 
@@ -107,7 +148,7 @@ def public_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_page_url, page_url_dedupe, registrable_domains, typed_domains, html_facts_regex, html_facts_extract, link_graph, link_crawl_levels, robots_allowed, robots_sitemaps, sitemap_pages, public_addresses,
+        normalize_page_url, page_url_dedupe, registrable_domains, typed_domains, html_facts_regex, html_facts_extract, link_graph, link_crawl_levels, site_aliases, site_crawl, suffix_domains, robots_allowed, robots_sitemaps, sitemap_pages, public_addresses,
     )
 }
 
@@ -149,3 +190,37 @@ ORACLE_SQL |= {
     "link_graph": rf"""WITH {_URL_SQL}, l AS (SELECT url, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS h FROM pages)
 SELECT host, count(*) AS links, count(DISTINCT host || regexp_replace(regexp_extract(h, '^[^?#]*'), '/+$', '')) AS targets, 0::BIGINT AS leaving FROM l JOIN (SELECT DISTINCT url, host FROM u) USING (url) WHERE h <> '' GROUP BY host""",
 }
+
+_LINKED = r"""l AS (SELECT page_id, url, i - 1 AS ordinal, h[i] AS h FROM (SELECT page_id, url, h, unnest(range(1, len(h) + 1)) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '<a[^>]*href="([^"]+)"', 1) AS h FROM pages))),
+t AS (SELECT page_id, ordinal, regexp_extract(url, '^https?://[^/?#]*') || replace(h, '&amp;', '&') AS to_url FROM l)"""
+_ASKED = "a(page_id, url) AS (SELECT page_id, url FROM pages UNION SELECT NULL, to_url FROM t)"
+
+ORACLE_SQL |= {
+    "site_aliases": f"""WITH RECURSIVE {_URL_SQL}, o AS (SELECT *, CASE WHEN page_id % 10 < 3 THEN page_id + 3 WHEN page_id % 10 = 7 THEN page_id + 1 WHEN page_id % 10 = 8 THEN page_id - 1 WHEN page_id % 10 = 9 THEN page_id - 9 END AS other FROM addr),
+e AS (SELECT a.key AS u, b.key AS v FROM o a JOIN o b ON a.other = b.page_id WHERE a.key IS NOT NULL AND b.key IS NOT NULL), both_ AS (SELECT u, v FROM e UNION SELECT v, u FROM e), nodes AS (SELECT DISTINCT key FROM addr WHERE key IS NOT NULL),
+reach(k, x) AS (SELECT key, key FROM nodes UNION SELECT r.k, b.v FROM reach r JOIN both_ b ON b.u = r.x), page AS (SELECT k AS key, min(x) AS page, count(*) AS names FROM reach GROUP BY k)
+SELECT arg_min(host, (page_id, key, page_url)) AS host, arg_min(key, (page_id, key, page_url)) AS key, arg_min(page_url, (page_id, key, page_url)) AS url, min(page_id) AS ordinal, any_value(names)::BIGINT AS names FROM addr JOIN page USING (key) GROUP BY page""",
+    "site_crawl": f"""WITH {_LINKED}, {_ASKED}, {_URL_SQL.replace("FROM pages)", "FROM a)", 1)},
+n AS (SELECT page_id, url, host, row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS nth, count(*) OVER (PARTITION BY host) AS pages FROM addr WHERE page_id IS NOT NULL),
+k AS (SELECT host, key, min(page_url) AS url FROM addr WHERE key IS NOT NULL GROUP BY ALL), c AS (SELECT DISTINCT host, pages FROM n),
+open AS (SELECT k.host, k.key, length(k.key) % c.pages AS nth FROM k JOIN c USING (host) WHERE NOT starts_with(regexp_extract(k.url, '^https?://[^/?#]*([^#]*)', 1), '/t')),
+links AS (SELECT o.host, o.key AS from_key, t.ordinal, x.key, x.page_url AS url, x.depth FROM open o JOIN n USING (host, nth) JOIN t USING (page_id) JOIN (SELECT DISTINCT url AS to_url, key, page_url, depth FROM addr WHERE key IS NOT NULL) x USING (to_url)),
+home AS (SELECT n.host, x.key, x.page_url AS url, x.depth FROM n JOIN addr x USING (page_id) WHERE nth = 0 AND x.key IS NOT NULL),
+one AS (SELECT l.host, l.key, arg_min(l.url, (l.ordinal, l.url)) AS url, min(l.depth) AS depth, min(l.ordinal) AS ordinal FROM links l JOIN home h ON h.host = l.host AND h.key = l.from_key WHERE l.key <> h.key AND l.key <> l.host GROUP BY l.host, l.key),
+first AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ordinal, key) AS nth, count(*) OVER (PARTITION BY host) AS found FROM one),
+two AS (SELECT l.host, l.key, min((f.nth, l.ordinal, l.url, l.depth)) AS o FROM links l JOIN first f ON f.host = l.host AND f.key = l.from_key AND f.nth <= 4 WHERE l.key <> l.host AND NOT EXISTS (SELECT 1 FROM home h WHERE h.host = l.host AND h.key = l.key) AND NOT EXISTS (SELECT 1 FROM one x WHERE x.host = l.host AND x.key = l.key) GROUP BY l.host, l.key),
+brought AS (SELECT f.host, f.nth, f.found, count(two.key) AS n FROM first f LEFT JOIN two ON two.host = f.host AND two.o[1] = f.nth WHERE f.nth <= 4 GROUP BY ALL),
+turns AS (SELECT *, 1 + found + coalesce(sum(n) OVER (PARTITION BY host ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 25 AS go FROM brought),
+second AS (SELECT two.host, two.key, two.o[3] AS url, two.o[4] AS depth, row_number() OVER (PARTITION BY two.host ORDER BY two.o[1], two.o[2], two.key) AS nth FROM two JOIN turns u ON u.host = two.host AND u.nth = two.o[1] AND u.go),
+every AS (SELECT host, key, url, depth, 0 AS level, 0 AS found_at FROM home UNION ALL SELECT host, key, url, depth, 1, nth FROM first UNION ALL SELECT s.host, s.key, s.url, s.depth, 2, s.nth + (SELECT count(*) FROM one x WHERE x.host = s.host) FROM second s),
+left_ AS (SELECT host, bool_or(nth > 4) AS over FROM first GROUP BY host), stopped AS (SELECT host, bool_or(NOT go) AS stopped FROM turns GROUP BY host)
+SELECT host, key, url, level::INT AS level, found_at::BIGINT AS found_at, row_number() OVER (PARTITION BY host ORDER BY level > 0, depth, found_at)::INT AS place, coalesce(over, false) OR coalesce(stopped, false) OR count(*) OVER (PARTITION BY host) > 25 AS truncated
+FROM every LEFT JOIN left_ USING (host) LEFT JOIN stopped USING (host) QUALIFY place <= 25""",
+    "suffix_domains": r"""WITH r(rule, private) AS (VALUES """ + ", ".join(f"('{r}', {str(p).lower()})" for r, p in SUFFIX_RULES) + r"""),
+h AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:@]+)', 1)) AS host FROM pages), d AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM h WHERE host <> ''),
+e AS (SELECT host, len(l) AS size, i, array_to_string(l[i:], '.') AS own, array_to_string(l[i + 1:], '.') AS rest FROM d, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)),
+m AS (SELECT host, private, CASE WHEN rule = '!' || own THEN (1, size - i) ELSE (0, size - i + 1) END AS best FROM e JOIN r ON rule = own OR rule = '*.' || rest OR rule = '!' || own),
+b AS (SELECT d.host, l, coalesce(max(best) FILTER (NOT private), (0, 1))[2] AS p, coalesce(max(best), (0, 1))[2] AS n FROM d LEFT JOIN m USING (host) GROUP BY ALL)
+SELECT page_id, host, array_to_string(l[len(l) - p + 1:], '.') AS public_suffix, CASE WHEN len(l) > p THEN array_to_string(l[len(l) - p:], '.') END AS public_domain,
+  array_to_string(l[len(l) - n + 1:], '.') AS suffix, CASE WHEN len(l) > n THEN array_to_string(l[len(l) - n:], '.') END AS domain FROM h LEFT JOIN b USING (host)""",
+}

@@ -51,6 +51,13 @@ def structured_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.unix_seconds("window.start").alias("start"), "event_type", "n", "cents")
 
 
+def sliding_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sliding limit by a stream over the events' files as they are now."""
+    schema = _events(spark, sf_dir).schema
+    out = limits.run_available(spark, f"{sf_dir}/events*.parquet", schema, lambda s: limits.sliding_limit_stream(s.where("event_type = 'error'"), "user_id", 86_400, 2, "400 days"), "append")
+    return out.select("event_id", F.col("key").alias("user_id"), "n", "retry_after")
+
+
 def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last state of each user by a stream that keeps it between batches."""
     out = limits.run_available(spark, f"{sf_dir}/events*.parquet", _events(spark, sf_dir).schema, limits.progress_stream, "update")
@@ -160,7 +167,7 @@ def audit_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sliding_failure_limit, failure_streaks, budget_running_total, last_state_per_job, cache_expiry, event_properties, structured_stream_windows, job_progress, known_steps, domain_forms, decoded_pages, settings_patch, facet_counts, panel_sort, judgment_parsing, merged_twins, csv_safe_export,
+        sliding_failure_limit, sliding_limit_stream, failure_streaks, budget_running_total, last_state_per_job, cache_expiry, event_properties, structured_stream_windows, job_progress, known_steps, domain_forms, decoded_pages, settings_patch, facet_counts, panel_sort, judgment_parsing, merged_twins, csv_safe_export,
         markdown_export, report_index, tracked_registry, result_json_sources, audit_figures,
     )
 }
@@ -216,3 +223,5 @@ ORACLE_SQL |= {
 r AS (SELECT 'flat' AS via, keyword, CASE WHEN k % 2 = 0 AND k > 0 THEN k ELSE nth END AS position, nth, site, p_size, 'a b' AS snippet FROM p UNION ALL SELECT 'tasks', keyword, CASE WHEN k > 0 THEN k ELSE nth END, nth, site, p_size, 'd' FROM p),
 o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY via, keyword, site, p_size ORDER BY nth) = 1) SELECT via, keyword, count(*) AS results, count(DISTINCT site) AS domains, min(position)::INT AS first, max(snippet) AS snippet FROM o GROUP BY via, keyword""",
 }
+
+ORACLE_SQL["sliding_limit_stream"] = ORACLE_SQL["sliding_failure_limit"]

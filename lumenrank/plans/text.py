@@ -58,12 +58,12 @@ def prune_subsumed_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of documents as headings, clustered by source, language and thousand of ids."""
+    """First lines of documents as headings, clustered by source and language."""
     return phrases.cluster_headings(_headings(spark, sf_dir))
 
 
 def _headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scope = F.concat_ws("/", "source", "lang", F.floor(F.col("doc") / 1000).cast("string"))
+    scope = F.concat_ws("/", "source", "lang")
     return _docs(spark, sf_dir).select(scope.alias("scope"), F.col("doc").alias("ordinal"), "doc", F.substring_index("text", "\n", 1).alias("heading"))
 
 
@@ -73,7 +73,8 @@ def subtopics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "conversations").where("role = 'user'").select(F.floor(F.col("conv_id") / 50).alias("scope"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), "text")
+    """What users ask, on four sites by id."""
+    rows = read_table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") % 4).alias("scope"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), "text")
     return phrases.cluster_questions(rows)
 
 
@@ -169,3 +170,28 @@ SELECT doc, md5(x) AS squashed, md5({_FOLD}) AS folded, CASE WHEN length(x) <= 8
     "duplicate_values_window": r"""WITH d AS (SELECT doc_id AS doc, lang, trim(regexp_replace(lower(text), '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS v FROM documents)
 SELECT doc, lang, CASE WHEN v IS NULL OR v = '' THEN 1 ELSE count(*) OVER (PARTITION BY lang, v) END::BIGINT AS same FROM d""",
 }
+
+
+def _clusters_sql(terms: str) -> str:
+    """c(scope, place, topic, pages, examples): headings one after the other, the unions of terms as the state of a recursion by scope."""
+    return f"""d AS (SELECT concat_ws('/', source, lang) AS scope, doc_id AS ordinal, doc_id::VARCHAR AS doc, string_split(text, chr(10))[1] AS heading FROM documents), dt AS (SELECT *, {terms} AS t FROM d),
+k AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY ordinal) AS n FROM dt WHERE len(t) > 0),
+s AS (SELECT DISTINCT scope, 0::BIGINT AS n, []::VARCHAR[][] AS u, 0::BIGINT AS place FROM k UNION ALL
+  SELECT scope, n, CASE WHEN place > len(u) THEN list_append(u, t) ELSE [CASE WHEN i = place THEN list_distinct(list_concat(u[i], t)) ELSE u[i] END FOR i IN range(1, len(u) + 1)] END, place
+  FROM (SELECT *, CASE WHEN list_max(likes) >= 0.4::DOUBLE THEN list_position(likes, list_max(likes)) ELSE len(u) + 1 END::BIGINT AS place
+    FROM (SELECT k.scope, k.n, k.t, s.u, [len(list_intersect(k.t, x)) / len(list_distinct(list_concat(k.t, x)))::DOUBLE FOR x IN s.u] AS likes FROM s JOIN k ON k.scope = s.scope AND k.n = s.n + 1))),
+h AS (SELECT scope, place, heading, count(*) AS n, min(ordinal) AS first FROM (SELECT scope, n, place FROM s) JOIN k USING (scope, n) GROUP BY ALL), p AS (SELECT scope, place, count(DISTINCT doc) AS pages FROM (SELECT scope, n, place FROM s) JOIN k USING (scope, n) GROUP BY ALL),
+c AS (SELECT scope, place, arg_min(heading, (-n, length(heading), heading)) AS topic, list(heading ORDER BY first)[1:3] AS examples FROM h GROUP BY ALL)"""
+
+
+ORACLE_SQL |= {
+    "cluster_headings": _M + f"WITH RECURSIVE {_clusters_sql('list_distinct(lr_terms(heading))')} SELECT scope, topic, pages, examples FROM c JOIN p USING (scope, place)",
+    "subtopics": _M + f"""WITH RECURSIVE {_clusters_sql("[x FOR x IN list_distinct(lr_terms(heading)) IF NOT list_contains(" + _KW.format("'the of and la de der die en'") + ", x)]")},
+a AS (SELECT scope, count(DISTINCT doc) AS n FROM d GROUP BY scope) SELECT scope, topic, pages, row_number() OVER (PARTITION BY scope ORDER BY pages DESC, topic)::INT AS place
+FROM c JOIN p USING (scope, place) JOIN a USING (scope) WHERE pages >= greatest(2, ceil(n * 0.05::DOUBLE)) QUALIFY row_number() OVER (PARTITION BY scope ORDER BY pages DESC, topic) <= 12""",
+    "cluster_questions": _M + """WITH RECURSIVE q AS (SELECT conv_id % 4 AS scope, conv_id * 1000 + turn AS ordinal, text, list_distinct(lr_terms(text)) AS t FROM conversations WHERE role = 'user'), k AS (SELECT * FROM q WHERE len(t) > 0),
+e AS (SELECT a.ordinal AS v, b.ordinal AS u FROM k a JOIN k b ON a.scope = b.scope AND b.ordinal < a.ordinal AND len(list_intersect(a.t, b.t)) >= least(len(a.t), len(b.t)) * 0.5::DOUBLE),
+reach(v, u) AS (SELECT ordinal, ordinal FROM k UNION SELECT r.v, e.u FROM reach r JOIN e ON e.v = r.u), l AS (SELECT v AS ordinal, min(u) AS label FROM reach GROUP BY v),
+o AS (SELECT scope, label, row_number() OVER (PARTITION BY scope ORDER BY label) - 1 AS cluster FROM (SELECT DISTINCT scope, label FROM l JOIN k USING (ordinal)))
+SELECT scope, ordinal, text, cluster FROM k JOIN l USING (ordinal) JOIN o USING (scope, label)""",
+}

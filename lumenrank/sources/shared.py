@@ -29,4 +29,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["written_to"] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.__dict__["written_to"])
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..sources.shared import new_folder
@@ -74,15 +76,59 @@ def progress_stream(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(_track, "user_id long, last_event long, events long", "last long, n long", "update", "NoTimeout")
 
 
-def run_available(spark: SparkSession, folder: str, schema: StructType, plan, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Run a streaming plan over the files of a folder that are there now; its result as a table.
+class SlidingLimit(StatefulProcessor):
+    """Per key the times of its events that a later one may still count, with a timer that ends them: in ``seconds`` after the last one
+    a key is forgotten, whatever the number of keys. A batch's events are counted with all that came with them or before."""
+
+    def __init__(self, seconds: int, most: int):
+        self.micros, self.most = seconds * 1_000_000, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", "t long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(["t", "event_id"])
+        known = [r[0] for r in self.times.get()] if self.times.exists() else []
+        t, seen = new.t.to_numpy(), np.sort(np.concatenate((np.array(known, np.int64), new.t.to_numpy())))
+        first = np.searchsorted(seen, t - self.micros, "right")
+        n = np.searchsorted(seen, t, "right") - first
+        wait = -((t - self.micros - seen[first]) // 1_000_000)
+        # events older than the watermark no longer come
+        self.times.put([(int(x),) for x in seen[seen > timerValues.getCurrentWatermarkInMs() * 1000 - self.micros]])
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(int(seen[-1] + self.micros) // 1000 + 1)
+        yield pd.DataFrame({"key": [key[0]] * len(new), "event_id": new.event_id.to_numpy(), "n": n, "retry_after": pd.array(np.where(n >= self.most, wait, -1), "Int64")}).assign(retry_after=lambda x: x.retry_after.where(x.n >= self.most))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.times.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def sliding_limit_stream(stream: DataFrame, key: str, seconds: int, most: int, late: str = "0 seconds") -> DataFrame:
+    """``sliding_count`` over a stream of (key, event_id, ts): (key, event_id, n, retry_after) for each event, once. Events up to
+    ``late`` behind are counted where they belong, in time for those that come with or after them; n of a null key is of its own events."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = stream.select(F.col(key).alias("key"), "event_id", F.col("ts").cast("timestamp").alias("at")).withWatermark("at", late).select("key", "event_id", "at", micros(F.col("at")).alias("t"))
+    kind = stream.schema[key].dataType.simpleString()
+    out = f"key {kind}, event_id {stream.schema['event_id'].dataType.simpleString()}, n long, retry_after long"
+    return timed.groupBy("key").transformWithStateInPandas(SlidingLimit(seconds, most), out, "append", "EventTime")
+
+
+def run_available(spark: SparkSession, folder: str, schema: StructType, plan, mode: str = "complete", checkpoint: str | None = None, files_at_once: int | None = None) -> DataFrame:
+    """Run a streaming plan over the files of a folder that are there now, ``files_at_once`` a batch; its result as a table.
 
     Each batch is written as a table of its own in the shared folder, over what a failed attempt at
     it left, beside the checkpoint; nothing passes through the driver. In complete mode the last batch
-    is the result, in update mode all of them are, with ``batch``.
+    is the result, in update and append mode all of them are, with ``batch``.
     """
     base = new_folder(spark, "stream")
-    stream = plan(spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(folder))
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
+    stream = plan((source if files_at_once is None else source.option("maxFilesPerTrigger", files_at_once)).parquet(folder))
     done: list[int] = []
 
     def save(rows: DataFrame, batch: int) -> None:
