@@ -6,7 +6,8 @@ margin, as a whole or in a long part of it between separators. Runs of letters o
 language and are left to the patterns, as are numbers of fewer than 20 digits.
 
 Rows: null text counts as empty and has no spans; spans are in code points, end exclusive,
-ordered by start, then by kind in the order of KINDS; equal texts have equal spans.
+ordered by start, then by kind in the order of KINDS; equal texts have equal spans, so repeated rows are alike; a very long text
+is one value and scanned whole; an empty table gives none; a column called like the output is replaced.
 """
 
 from __future__ import annotations
@@ -65,13 +66,37 @@ yield zip
 """.split()
 
 
-def identifiers(n: int = 8000, seed: int = 12) -> list[str]:
-    """Labelled samples: words joined as in code, paths, addresses and file names."""
+#: What syllables of words in several European languages open with, have at heart and end in; an opening and an end may be missing.
+ONSETS = "b bl br c ch cl cr d dr f fl fr g gl gr h j k kl kn kr l m n p pf pl pr qu r s sch sh sk sl sm sn sp spr st str t th tr v w z zw".split() + [""] * 6
+NUCLEI = "a e i o u a e i o e a ai au ea ee ei eu ie io oo ou ue y".split()
+CODAS = "n r s t l m d k p ng nt rt st ch ck ll ss nd ns rs ft ht tz x b g c f".split() + [""] * 4
+#: Capitals that stand within names.
+SHORT = "HTML API URL SQL XML JSON PDF CSV RSA SHA MD UTF ID IP TCP UDP USB GPS CSS PHP AWS DB UI IO VM CPU GPU RAM HTTP HTTPS FTP SSH TLS SSL DNS UUID".split()
+
+
+def syllables(draw: random.Random) -> str:
+    """A word of one to four syllables."""
+    return "".join(draw.choice(ONSETS) + draw.choice(NUCLEI) + draw.choice(CODAS) for _ in range(draw.choice([1, 1, 2, 2, 2, 3, 3, 4])))
+
+
+def identifiers(n: int = 16000, seed: int = 12) -> list[str]:
+    """Labelled samples: words joined as in code, paths, addresses and file names; half of the words are from the list, most others
+    made of syllables, so that words of other languages and of new things are met too, and some are capitals."""
     draw, out = random.Random(seed), []
+
+    def word() -> str:
+        of = draw.random()
+        return draw.choice(SHORT) if of < 0.1 else syllables(draw) if of < 0.5 else draw.choice(NAME_WORDS) + draw.choice(["", "", "", "s", "ed", "ing"])
+
     for _ in range(n):
-        words = [draw.choice(NAME_WORDS) + draw.choice(["", "", "", "s", "ed", "ing"]) for _ in range(draw.randint(1, 5))]
-        cased = draw.choice([str.capitalize, str.upper, str.__str__, str.__str__])
-        joined = draw.choice(["_", "-", "/", "", "="]).join(cased(w) for w in words)
+        words, style = [word() for _ in range(draw.randint(1, 5))], draw.randrange(6)
+        if style == 1:
+            words = [w.upper() for w in words]
+        elif style in (0, 2):  # each with a capital, or all but the first
+            words = [w.capitalize() if w.islower() and (i or not style) else w for i, w in enumerate(words)]
+        if draw.random() < 0.3:
+            words[draw.randrange(len(words))] += str(draw.randrange(10 ** draw.choice([1, 1, 2, 3])))
+        joined = draw.choice(["_", "-", "/", "", "", "="] if style in (0, 2) else ["_", "-", "/", "", "="]).join(words)
         number = "".join(draw.choice("-/_") + str(draw.randrange(10 ** draw.randint(1, 4))).zfill(draw.choice([1, 2])) for _ in range(draw.randint(1, 3)))
         out.append(joined + draw.choice(["", "", "1", "2", "10", "_v2", "2024", "00", number, number]))
     return out
@@ -111,7 +136,7 @@ class Markov:
 
 @functools.cache
 def trained() -> Markov:
-    """The two models, trained once in a process from samples that are the same everywhere."""
+    """The two models, from samples that are the same everywhere; trained once, by the driver, and handed out."""
     return Markov(random_strings(), identifiers())
 
 
@@ -159,10 +184,11 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 def find_secrets(df: DataFrame, text_col: str = "text", out_col: str = "secrets", margin: float = 8.0) -> DataFrame:
     """``df`` with an array of (kind, start, end); the other columns stay in the JVM."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    shared = df.sparkSession.sparkContext.broadcast(trained())  # 1.2 MB, whatever the data
 
     @F.arrow_udf(SPANS)
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = trained()
+        model = shared.value
         for texts in parts:
             yield pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in scan(t, model, margin)] for t in texts_of(texts)], kind)
 

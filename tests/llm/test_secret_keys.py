@@ -52,6 +52,21 @@ def test_paths_addresses_and_long_words_are_left_alone(model):
     assert len(wrong) <= 10, wrong[:20]
 
 
+#: Names as they stand in code and texts of several languages, of words that the models were not given.
+NAMES = {
+    "de": "getBenutzerEinstellungen2 Schluesselverwaltung3 Boeing737Flugzeug MacBookPro16zoll berechneGesamtpreis4 Kundennummer20240117 speichereBestellung2 naechsteRechnung10 istVerfuegbarAb5",
+    "es": "obtenerUsuarioPorId3 calcularPrecioTotal4 guardarConfiguracion2 listaDeProductos20 enviarCorreoElectronico1 fechaDeNacimiento1990 busquedaAvanzada2",
+    "fr": "recupererListeUtilisateurs2 chercherUtilisateurParNom1 enregistrerCommande3 afficherResultats10 prochaineFacture2024 motDePasseOublie1 nombreDeVisiteurs7",
+    "it": "salvaImpostazioni2 calcolaPrezzoTotale3 elencoProdotti15 inviaMessaggioPosta1 utenteRegistrato2024",
+    "en": "HTMLCanvasElement2D sha256WithRSAEncryption windows10Enterprise XMLHttpRequest2Level utf8mb4GeneralCi base64EncodedString",
+}
+
+
+def test_names_of_other_languages_are_left_alone(model):
+    wrong = [(k, x) for k, names in NAMES.items() for x in names.split() if secrets.scan(x.encode(), model)]
+    assert len(wrong) <= 1, wrong
+
+
 def test_models_are_trained_once_and_alike(model):
     import numpy as np
 
