@@ -71,13 +71,16 @@ def for_compare(s: Column) -> Column:
 
 
 @functools.cache
-def _unlike_nfkc() -> str:
-    """Pattern of the characters by which a text may differ from its NFKC: those that change, and those that may join the one before."""
+def _unlike_nfkc() -> tuple[str, str]:
+    """Pattern of the characters by which a text may differ from its NFKC: those that change, and those that may join the one before;
+    and before it a shorter one of what is outside the long runs of others, which most texts do not have."""
     joins = {int(d.split()[1], 16) for d in map(unicodedata.decomposition, map(chr, range(0x110000))) if d and d[0] != "<" and " " in d}
     odd = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and (c in joins or 0x1161 <= c < 0x11C3 or unicodedata.combining(chr(c)) or unicodedata.normalize("NFKC", chr(c)) != chr(c))]
     starts = [c for c, before in zip(odd, [-1, *odd]) if c != before + 1]
     ends = [c for c, after in zip(odd, [*odd[1:], -1]) if c + 1 != after]
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+    listed = lambda pairs: "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in pairs)
+    plain = [(a, b) for a, b in zip([0, *(e + 1 for e in ends)], [s - 1 for s in starts]) if b < 0x2030 and b - a > 12 or a <= 0x2013 <= b]
+    return f"[^{listed(plain)}]", f"[{listed(zip(starts, ends, strict=True))}]"
 
 
 @F.arrow_udf(StringType())
@@ -90,14 +93,19 @@ def _nfkc_each(s: pa.Array) -> pa.Array:
     return pa.array([None if xs is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in xs] for xs in s.to_pylist()], pa.list_(pa.string()))
 
 
+def _may_change(s: Column) -> Column:
+    rough, exact = _unlike_nfkc()
+    return F.when(s.rlike(rough), s.rlike(exact)).otherwise(False)
+
+
 def nfkc(s: Column) -> Column:
     """Compatibility normalisation, which Spark has no expression for; only texts that it may change leave the JVM."""
-    return F.coalesce(_nfkc(F.when(s.rlike(_unlike_nfkc()), s)), s)
+    return F.coalesce(_nfkc(F.when(_may_change(s), s)), s)
 
 
 def nfkc_each(texts: Column) -> Column:
     """nfkc of an array's texts, for those that a lambda looks at."""
-    return F.coalesce(_nfkc_each(F.when(F.exists(texts, lambda x: x.rlike(_unlike_nfkc())), texts)), texts)
+    return F.coalesce(_nfkc_each(F.when(F.exists(texts, _may_change), texts)), texts)
 
 
 def beside(texts: Column, value: Column) -> Column:
@@ -121,7 +129,11 @@ def words(s: Column) -> Column:
 
 def tokens(s: Column, plain: bool = False) -> Column:
     """The words of a text that is normalised first; ``plain``: of one whose NFKC has been taken, as within a lambda, where no UDF can stand."""
-    return F.regexp_extract_all(fold_spellings(s) if plain else normalize(s), F.lit(f"({WORD})"), F.lit(1))
+    whole = s if plain else nfkc(s)
+    low = F.lower(whole)
+    # a dash ends a word either way; folding changes words of texts that name a site
+    folded = F.when(low.contains("site") | low.contains("сайт"), fold_spellings(low)).otherwise(low)
+    return F.regexp_extract_all(folded, F.lit(f"({WORD})"), F.lit(1))
 
 
 def _cut_one(w: Column, suffixes: list[str]) -> Column:

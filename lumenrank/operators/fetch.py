@@ -57,8 +57,8 @@ def text_bodies(files: DataFrame, body_col: str = "body", type_col: str = "conte
     return files.withColumn("read", run(F.col(body_col), F.col(type_col)))
 
 
-def robots_files(fetches: DataFrame) -> DataFrame:
+def robots_files(fetches: DataFrame, most_bytes: int | None = ROBOTS_BYTES) -> DataFrame:
     """(host, status, text) for the rules: no status where there was no answer in time or too many hops;
-    of the text the first 512 KiB."""
+    of the text the first ``most_bytes`` (None: all)."""
     came = (F.col("redirects") <= MOST_REDIRECTS) & (F.col("ms") <= ROBOTS_MS)
-    return fetches.select("host", F.when(came, F.col("status")).alias("status"), F.substring("text", 1, ROBOTS_BYTES).alias("text"))
+    return fetches.select("host", F.when(came, F.col("status")).alias("status"), (F.col("text") if most_bytes is None else F.substring("text", 1, most_bytes)).alias("text"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import draws
 from ..functions import text as T
 from ..functions.numbers import clamp01, r3
 from . import judgments as J
@@ -61,6 +62,49 @@ def requests(pages: DataFrame, id_col: str, state: Column, questions: Column) ->
     return sent.withColumn("request", F.sha1(F.concat_ws("\n", "state", "questions")))
 
 
+#: What ends the name of a question asked the other way round.
+REVERSED = "__rev"
+
+
+def wired(sent: DataFrame, choices: dict[str, list[str]], debias: list[str] | None = None, shuffle: bool = False) -> DataFrame:
+    """(id, question_id, wire_id, options) of ``sent(id, state)``: each choice as it is asked, its options in order, or shuffled by a seed of
+    state and question; those of ``debias`` a second time, under another name, with the options reversed."""
+    if any(q.endswith(REVERSED) for q in choices):
+        raise ValueError(f"no question's name may end in {REVERSED}")
+    asks = F.array(*[F.struct(F.lit(q).alias("question_id"), F.array(*[F.lit(o) for o in options]).alias("options"), F.lit(q in (debias or [])).alias("twice")) for q, options in choices.items()])
+    each = sent.select("id", "state", F.explode(asks).alias("q")).select("id", "state", "q.*")
+    if shuffle:
+        each = each.withColumn("options", draws.seeded_shuffle(F.col("options"), draws.fnv1a(F.col("state")).bitwiseXOR(draws.fnv1a(F.col("question_id")))))
+    forward = F.struct(F.col("question_id").alias("wire_id"), F.col("options"))
+    back = F.when(F.col("twice"), F.struct(F.concat("question_id", F.lit(REVERSED)).alias("wire_id"), F.reverse("options").alias("options")))
+    return each.select("id", "question_id", F.explode(F.array_compact(F.array(forward, back))).alias("w")).select("id", "question_id", "w.*")
+
+
+def unbiased(asked_: DataFrame, came: DataFrame) -> DataFrame:
+    """(id, question_id, value, p, runner_up, confidence, failed) of ``wired`` and the answers (id, wire_id, probs): the mean of both ways of asking,
+    of equal options the first as asked. If either answer did not come, nor did the whole one."""
+    met = asked_.join(came.select("id", "wire_id", "probs"), ["id", "wire_id"], "left")
+    raw = F.transform("options", lambda o: F.coalesce(F.try_element_at("probs", o), F.lit(0.0)))
+    clean = F.transform(raw, lambda x: F.when(F.isnan(x) | (x < 0) | (x == float("inf")), 0.0).otherwise(x))
+    total = F.aggregate("clean", F.lit(0.0), lambda a, x: a + x)
+    # in the order of the question as it is: the twin's the other way round
+    shares = F.transform("clean", lambda x: F.when(F.col("total") > 0, x / F.col("total")).otherwise(1.0 / F.size("clean")))
+    even = met.withColumn("clean", clean).withColumn("total", total).withColumn("twin", F.col("wire_id") != F.col("question_id"))
+    even = even.withColumn("shares", F.when(F.col("probs").isNotNull(), F.when(F.col("twin"), F.reverse(shares)).otherwise(shares)))
+    both = even.groupBy("id", "question_id").agg(
+        F.first(F.when(~F.col("twin"), F.col("options")), ignorenulls=True).alias("options"), F.first(F.when(~F.col("twin"), F.col("shares")), ignorenulls=True).alias("one"),
+        F.first(F.when(F.col("twin"), F.col("shares")), ignorenulls=True).alias("two"), F.bool_or(F.col("shares").isNull()).alias("failed"),
+    )
+    mean = F.when(~F.col("failed"), F.zip_with("one", F.coalesce("two", "one"), lambda a, b: (a + b) / 2))
+    ranked = F.sort_array(F.transform(mean, lambda w, i: F.struct((-w).alias("less"), i.alias("ord"), F.get("options", i).alias("name"))))
+    n = F.size("options")
+    top = -F.get("ranked", F.lit(0))["less"]
+    sure = F.when(n > 1, (top - 1.0 / n) / (1 - 1.0 / n)).otherwise(1.0)
+    return both.withColumn("ranked", ranked).select(
+        "id", "question_id", F.get("ranked", F.lit(0))["name"].alias("value"), r3(top).alias("p"), F.get("ranked", F.lit(1))["name"].alias("runner_up"), F.when(~F.col("failed"), r3(clamp01(sure))).alias("confidence"), "failed"
+    )
+
+
 def asked(sent: DataFrame, came: DataFrame) -> DataFrame:
     """Requests with their answers (request, answer, error): an answer that failed for a time is null
     with its error; a failure that no retry can mend ends the query."""

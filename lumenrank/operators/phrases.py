@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import discard, written
+from ..sources.shared import discard, spread, written
 from .clusters import cluster_headings, cluster_questions
 
 
@@ -37,27 +37,27 @@ def runs(words: list[tuple[str, str, bool, bool]], most_words: int) -> Iterator[
                 yield n, key, surface
 
 
-def _counted(docs: DataFrame, most_words: int, stopwords: list[str] | None, out: str, kinds: tuple, rows: Callable[[dict], Iterator[tuple]], keep: Callable[[], Callable[[str], bool]]) -> DataFrame:
-    """Counts of (n, key, surface) over the documents of a task, in portions of HELD: for each [occurrences, pages], a page where its key is
-    met first. ``rows`` makes rows of a portion, ``keep`` a test of keys."""
+def _counted(docs: DataFrame, most_words: int, stopwords: list[str] | None, out: str, kinds: tuple, rows: Callable[[dict], Iterator[tuple]], keep: Callable[[], Callable[[str | None, str], bool]]) -> DataFrame:
+    """Counts of (scope, n, key, surface) over the documents (scope, text) of a task, in portions of HELD: for each [occurrences, pages], a page
+    where its key is met first. ``rows`` makes rows of a portion, ``keep`` a test of scopes and keys."""
     names = [c.split()[0] for c in out.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         analyze, wanted = T.Analyzer(stopwords), keep()
-        found: dict[tuple[int, str, str], list[int]] = {}
+        found: dict[tuple, list[int]] = {}
 
         def batch() -> pa.RecordBatch:
             made = list(rows(found))
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], kind) for i, kind in enumerate(kinds)], names)
 
         for b in batches:
-            for text in b.column(0):
+            for scope, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 met: set[str] = set()
                 for words in analyze(text.as_py() or ""):
                     for n, key, surface in runs(words, most_words):
-                        if not wanted(key):
+                        if not wanted(scope, key):
                             continue
-                        counts = found.setdefault((n, key, surface), [0, 0])
+                        counts = found.setdefault((scope, n, key, surface), [0, 0])
                         counts[0] += 1
                         if key not in met:
                             met.add(key)
@@ -67,11 +67,11 @@ def _counted(docs: DataFrame, most_words: int, stopwords: list[str] | None, out:
                     found.clear()
         yield batch()
 
-    return docs.select("text").mapInArrow(run, out)
+    return docs.select("scope", "text").mapInArrow(run, out)
 
 
-def _hash(key: str) -> int:
-    return xxhash.xxh3_64_intdigest(key.encode()) - (1 << 63)
+def _hash(scope: str | None, key: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{scope}\0{key}".encode()) - (1 << 63)
 
 
 def _filter(frequent: DataFrame, n: int) -> np.ndarray:
@@ -102,50 +102,53 @@ def _filter(frequent: DataFrame, n: int) -> np.ndarray:
     return whole
 
 
-def mine_phrases(docs: DataFrame, most_words: int = 3, least_pages: int = 2, stopwords: list[str] | None = None) -> DataFrame:
+def mine_phrases(docs: DataFrame, most_words: int = 3, least_pages: int = 2, stopwords: list[str] | None = None, scope: Column | None = None) -> DataFrame:
     """(key, n, pages, total, display) from (text): in how many documents, how often, and the most frequent
-    surface (of equals the shorter, then the lesser); stems as key, stop words as they are.
+    surface (of equals the shorter, then the lesser); stems as key, stop words as they are. With ``scope``, a text, each scope
+    by itself, named in a column of that name.
 
     First only hashes of keys and on how many pages are counted, in each task before they are shuffled; those of ``least_pages``
     make a filter of bounded size. Then the phrases that pass it, few of all, are counted with their surfaces and by their keys, exactly.
     """
-    spark = docs.sparkSession
+    spark, of = docs.sparkSession, [] if scope is None else ["scope"]
+    docs = spread(docs.select((F.lit(None) if scope is None else scope).cast("string").alias("scope"), "text"))
 
     def hashes(found: dict) -> Iterator[tuple]:
         pages: dict[int, int] = {}
-        for (_, key, _), (_, n) in found.items():
+        for (name, _, key, _), (_, n) in found.items():
             if n:
-                h = _hash(key)
+                h = _hash(name, key)
                 pages[h] = pages.get(h, 0) + n
         return iter(pages.items())
 
-    every = _counted(docs, most_words, stopwords, "h long, pages long", (pa.int64(), pa.int64()), hashes, lambda: lambda key: True)
+    every = _counted(docs, most_words, stopwords, "h long, pages long", (pa.int64(), pa.int64()), hashes, lambda: lambda name, key: True)
     frequent = written(every.groupBy("h").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= least_pages).select("h"), "phrase-hashes")
     bits = spark.sparkContext.broadcast(_filter(frequent, frequent.count()))
 
-    def keep() -> Callable[[str], bool]:
+    def keep() -> Callable[[str | None, str], bool]:
         table = bits.value
         last = len(table) * 8 - 1
 
         @functools.lru_cache(1 << 16)
-        def wanted(key: str) -> bool:
-            cell = _hash(key) & last
+        def wanted(name: str | None, key: str) -> bool:
+            cell = _hash(name, key) & last
             return bool(table[cell >> 3] >> (cell & 7) & 1)
 
         return wanted
 
     whole = lambda found: ((*k, *v) for k, v in found.items())
-    surfaces = _counted(docs, most_words, stopwords, "n int, key string, surface string, count long, pages long", (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()), whole, keep)
-    by_surface = surfaces.groupBy("key", "n", "surface").agg(F.sum("count").alias("count"), F.sum("pages").alias("pages"))
-    best = by_surface.groupBy("key", "n").agg(
+    surfaces = _counted(docs, most_words, stopwords, "scope string, n int, key string, surface string, count long, pages long", (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()), whole, keep)
+    by_surface = surfaces.groupBy(*of, "key", "n", "surface").agg(F.sum("count").alias("count"), F.sum("pages").alias("pages"))
+    best = by_surface.groupBy(*of, "key", "n").agg(
         F.sum("pages").alias("pages"), F.sum("count").alias("total"), F.min_by("surface", F.struct(-F.col("count"), F.length("surface"), F.col("surface"))).alias("display")
     )
     discard(frequent)
-    return best.where(F.col("pages") >= least_pages).select("key", "n", "pages", "total", "display")
+    return best.where(F.col("pages") >= least_pages).select(*of, "key", "n", "pages", "total", "display")
 
 
 def prune_subsumed(stats: DataFrame, tolerance: float = 0.85) -> DataFrame:
-    """Without the keys that a longer phrase contains on nearly as many pages."""
+    """Without the keys that a longer phrase, of the same scope if there are scopes, contains on nearly as many pages."""
+    of = [c for c in ("scope",) if c in stats.columns]
     parts = F.split("key", " ")
 
     def runs(m: int) -> Column:
@@ -153,9 +156,9 @@ def prune_subsumed(stats: DataFrame, tolerance: float = 0.85) -> DataFrame:
         return F.when(F.col("n") > m, joined).otherwise(F.array().cast("array<string>"))
 
     inner = F.flatten(F.array(runs(1), runs(2)))
-    longer = stats.where(F.size(parts) > 1).select(F.explode(F.array_distinct(inner)).alias("key"), "pages")
-    most = longer.groupBy("key").agg(F.max("pages").alias("longer_pages"))
-    return stats.join(most, "key", "left").where(F.coalesce("longer_pages", F.lit(0)) < F.col("pages") * F.lit(tolerance)).drop("longer_pages")
+    longer = stats.where(F.size(parts) > 1).select(*of, F.explode(F.array_distinct(inner)).alias("key"), "pages")
+    most = longer.groupBy(*of, "key").agg(F.max("pages").alias("longer_pages"))
+    return stats.join(most, [*of, "key"], "left").where(F.coalesce("longer_pages", F.lit(0)) < F.col("pages") * F.lit(tolerance)).drop("longer_pages")
 
 
 def subtopics(headings: DataFrame, keyword_terms: Column | None = None, share: float = 0.25, most: int = 12) -> DataFrame:

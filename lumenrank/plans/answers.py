@@ -75,7 +75,8 @@ def price_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cross_engine_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    questions = read_table(spark, sf_dir, "conversations").where("role = 'user' and turn = 0").select(F.col("conv_id").alias("question_id"), F.col("conv_id").alias("ordinal"))
+    asked = F.col("conv_id") * 1000 + F.col("turn")
+    questions = read_table(spark, sf_dir, "conversations").where("role = 'user'").select(asked.alias("question_id"), asked.alias("ordinal"))
     return A.plan_calls(questions, ENGINES, 50)
 
 
@@ -164,7 +165,7 @@ ORACLE_SQL = {
 p AS (SELECT * FROM (VALUES ('alpha', 'a-1', 2.0::DOUBLE, 10.0::DOUBLE), ('alpha', 'a-1-mini', 0.5, 2.0), ('beta', 'b', 1.0, 5.0)) t(e, known, i, o)),
 j AS (SELECT answer_id, engine, model, conv_id, length(text) AS n, arg_max(i, length(known)) AS i, arg_max(o, length(known)) AS o FROM u LEFT JOIN p ON e = engine AND (regexp_replace(lower(model), '^models/', '') = known OR starts_with(regexp_replace(lower(model), '^models/', ''), known || '-')) GROUP BY ALL)
 SELECT answer_id, engine, model, floor(((n * 3 * i + n * o) / 1000000 + conv_id % 3 * CASE WHEN engine = 'gamma' THEN 0.014::DOUBLE ELSE 0.01::DOUBLE END) * 10000 + 0.5) / 10000 AS usd FROM j""",
-    "cross_engine_budget": "WITH q AS (SELECT conv_id AS question_id, conv_id AS ordinal FROM conversations WHERE role = 'user' AND turn = 0 ORDER BY 2 LIMIT 16) SELECT engine, question_id, ordinal FROM q, (SELECT unnest(['alpha', 'beta', 'gamma']) AS engine)",
+    "cross_engine_budget": "WITH q AS (SELECT conv_id * 1000 + turn AS question_id, conv_id * 1000 + turn AS ordinal FROM conversations WHERE role = 'user' ORDER BY 2 LIMIT 16) SELECT engine, question_id, ordinal FROM q, (SELECT unnest(['alpha', 'beta', 'gamma']) AS engine)",
     "answer_sentiment": f"WITH {_A} SELECT answer_id, CASE WHEN {_P(17)} <= 0.6 THEN floor(({_P(7)} + {_P(11)} * 0.5::DOUBLE) / nullif({_P(7)} + {_P(11)} + {_P(13)}, 0) * 1000 + 0.5) / 1000.0::DOUBLE END AS sentiment FROM a",
     "skip_reasons_rank": f"WITH {_SKIP} SELECT answer_id, array_to_string(reasons, ',') AS reasons FROM k",
     "plan_groups": f"""WITH {_SKIP}, s AS (SELECT 'page' || (conv_id % 15) AS key, CASE WHEN conv_id % 15 < 5 THEN 'create' ELSE 'rewrite' END AS action, conv_id AS question_id, engine, reasons[1] AS reason FROM k),

@@ -50,7 +50,7 @@ def citability_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Criteria of every crawled page from its facts and from judged shares."""
-    pages = html.page_facts(read_table(spark, sf_dir, "pages"), NOW).select(F.col("page_id").alias("id"), "url", "facts.*")
+    pages = html.page_facts(read_table(spark, sf_dir, "pages"), NOW, limits=html.Limits(None, None, None, None, None)).select(F.col("page_id").alias("id"), "url", "facts.*")
     at = lambda c: F.to_timestamp(F.col(c))
     months = audit.age_months(at("modified_at"), at("published_at"), F.col("latest_year"), F.lit(NOW.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp"))
     f = {c: F.col(c) for c in ("external_domains", "registration", "about_link", "faq_schema", "faq_section", "tables", "lists", "links_in", "words")}
@@ -61,7 +61,7 @@ def page_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _judged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     # parsed once: what follows reads the facts several times
-    pages = written(html.page_facts(read_table(spark, sf_dir, "pages"), NOW).select(F.col("page_id").alias("id"), "url", U.host(F.col("url")).alias("site"), "facts.*"), "page-facts")
+    pages = written(html.page_facts(read_table(spark, sf_dir, "pages"), NOW, limits=html.Limits(None, None, None, None, None)).select(F.col("page_id").alias("id"), "url", U.host(F.col("url")).alias("site"), "facts.*"), "page-facts")
     for value, name in (("title", "title_same"), ("description", "meta_same")):
         pages = phrases.duplicate_values(pages, "site", F.col(value), name)
     types = F.array(*[F.lit(t) for t in ("service_page", "blog_article", "company_homepage", "other")])
@@ -128,9 +128,9 @@ def competitor_page_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def peer_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median of each score over the pages of others, what is unknown left out."""
+    """Median of each score over the pages of each source, what is unknown left out."""
     rows = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
-    return rows.where("source <> 'src0'").groupBy("source").agg(F.median(_known(7, 5)).alias("content"), F.median(_known(11, 3)).alias("trust"), F.count(_known(13, 2)).alias("judged"))
+    return rows.groupBy("source").agg(F.median(_known(7, 5)).alias("content"), F.median(_known(11, 3)).alias("trust"), F.count(_known(13, 2)).alias("judged"))
 
 
 QUERIES = {
@@ -166,5 +166,5 @@ o AS (SELECT *, CASE WHEN CASE WHEN answer IS NOT NULL THEN 0.28::DOUBLE ELSE 0
 SELECT id, overall, CASE WHEN id % 9 = 0 THEN 'unreadable' WHEN type NOT IN ('service_page', 'blog_article') THEN 'not_copyable' WHEN relevance < 0.45 THEN 'off_topic' WHEN overall IS NULL THEN 'unknown' WHEN overall < 0.58 THEN 'weak' WHEN overall <= ours + 0.03::DOUBLE THEN 'no_better' ELSE 'steal' END AS verdict,
 array_to_string([x FOR x IN [CASE WHEN {_S(31)} >= 0.8 AND coalesce({_K(53, 3)}, 0) < 0.5 THEN 'faq' END, CASE WHEN {_S(37)} >= 0.7 AND coalesce({_K(59, 3)}, 0) < 0.5 THEN 'table' END, CASE WHEN id * 13 % 2000 >= (id * 7 % 1500) * 1.5::DOUBLE THEN 'longer' END,
   CASE WHEN {_S(41)} >= 0.8 AND coalesce({_K(61, 3)}, 0) < 0.5 THEN 'fresher' END, CASE WHEN {_S(43)} >= 0.6 AND coalesce({_K(67, 3)}, 0) < 0.4 THEN 'author' END, CASE WHEN {_S(47)} >= 0.6 AND coalesce({_K(71, 3)}, 0) < 0.4 THEN 'sources' END] IF x IS NOT NULL], ',') AS techniques FROM o""",
-    "peer_medians": f"SELECT source, median({_K(7, 5)}) AS content, median({_K(11, 3)}) AS trust, count({_K(13, 2)}) AS judged FROM (SELECT doc_id AS id, source FROM documents) WHERE source <> 'src0' GROUP BY source",
+    "peer_medians": f"SELECT source, median({_K(7, 5)}) AS content, median({_K(11, 3)}) AS trust, count({_K(13, 2)}) AS judged FROM (SELECT doc_id AS id, source FROM documents) GROUP BY source",
 }

@@ -49,7 +49,7 @@ def buyer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = one.where(n % 5 != 0).select("key", F.get(stages, (n % 7).cast("int")).alias("stage"), (n * 7 % 101 / F.lit(100.0)).alias("relevance"))
     balanced = buyers.balance_questions(buyers.screen_questions(one, judged), COUNT)
     volumes = one.select(F.concat(F.lit("  "), "text").alias("keyword"), F.when(F.length("text") % 2 == 0, F.length("text") * 10).alias("volume"))
-    return buyers.with_volumes(balanced, volumes).select("place", "text", "source", "stage", "relevance", "volume")
+    return buyers.with_volumes(balanced, volumes, None).select("place", "text", "source", "stage", "relevance", "volume")
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +103,8 @@ def _skip_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
 
 
 def skip_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each lost answer with our page, who is cited instead, why, and what to do; the report's first 150."""
-    out = recovery.assemble_skips(*_skip_inputs(spark, sf_dir))
+    """Each lost answer with our page, who is cited instead, why, and what to do."""
+    out = recovery.assemble_skips(*_skip_inputs(spark, sf_dir), None)
     return out.select("answer_id", "question_id", "our_url", "exists", "winner_domain", F.array_join("reasons", ",").alias("reasons"), "action")
 
 
@@ -168,7 +168,6 @@ named AS (SELECT *, CASE WHEN NOT has THEN ['no_page'] WHEN len(made) > 0 THEN [
 skips AS (SELECT *, CASE WHEN list_contains(reasons, 'no_page') OR list_contains(reasons, 'wrong_angle') AND coalesce(match, 0) < 0.45 THEN 'create' ELSE 'rewrite' END AS action FROM named)"""
 _FIRST = "fc AS (SELECT answer_id, arg_min(domain, ordinal) AS winner_domain, CASE WHEN answer_id % 4 <> 0 THEN answer_id * 17 % 2500 END AS winner_words FROM c WHERE NOT own GROUP BY answer_id)"
 _LOST = f"{_RECORDS}, {_FIRST}, lost AS (SELECT r.answer_id AS ordinal, r.answer_id, r.engine, r.question_id, winner_domain, winner_words FROM recs r LEFT JOIN fc USING (answer_id) WHERE status = 'missing')"
-_LOST_FEW = _LOST.replace("WHERE status = 'missing')", "WHERE status = 'missing' ORDER BY r.answer_id LIMIT 150)")
 _SLUG = "regexp_replace(left(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+', ''), 50), '-+$', '')"
 _BOARD = f"""keyed AS (SELECT *, CASE WHEN action = 'create' OR our_url IS NULL THEN 'create' ELSE 'rewrite' END AS kind, CASE WHEN action = 'create' OR our_url IS NULL THEN 'new:' || (regexp_extract(text, 'number (\\d+)', 1)::INT % 6) ELSE 'page:' || our_url END AS key FROM skips),
 q1 AS (SELECT key, text, min(ordinal) AS ordinal FROM keyed GROUP BY ALL), qn AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ordinal) AS nth FROM q1),
@@ -206,7 +205,7 @@ SELECT question_id, coalesce(any_value(ai_cites), '') AS ai_cites, array_to_stri
     "brief_questions": _M + f"""WITH r AS (SELECT conv_id % 20 AS scope, conv_id * 1000 + turn AS ordinal, 0 AS part, text FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id % 20, conv_id * 1000 + turn, 1, string_split(text, chr(10))[1] FROM conversations WHERE role = 'assistant' AND lr_asks(string_split(text, chr(10))[1])),
 k AS (SELECT *, array_to_string(list_sort({_KW.format('text')}), ' ') AS key FROM r), o AS (SELECT * FROM k WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY scope, key ORDER BY part, ordinal) = 1)
 SELECT scope, text, row_number() OVER (PARTITION BY scope ORDER BY part, ordinal)::INT AS place FROM o QUALIFY place <= 12""",
-    "skip_assembly": f"WITH {_LOST_FEW}, {_SKIPS} SELECT answer_id, question_id, our_url, has AS exists, winner_domain, array_to_string(reasons, ',') AS reasons, action FROM skips",
+    "skip_assembly": f"WITH {_LOST}, {_SKIPS} SELECT answer_id, question_id, our_url, has AS exists, winner_domain, array_to_string(reasons, ',') AS reasons, action FROM skips",
     "plan_board": f"WITH {_LOST}, {_SKIPS}, {_BOARD}",
     "plan_without_answers": f"WITH lost AS (SELECT DISTINCT conv_id AS ordinal, conv_id AS answer_id, 'alpha' AS engine, conv_id AS question_id, NULL::VARCHAR AS winner_domain, NULL::INT AS winner_words FROM conversations WHERE conv_id * 7 % 101 / 100.0::DOUBLE < 0.62), {_SKIPS}, {_BOARD}",
     "winner_details": f"""WITH d AS (SELECT doc_id, {_DK(7, 5)} AS answer, {_DK(11, 3)} AS facts, {_DK(13, 4)} AS sources, {_DK(17, 6)} AS author, {_DK(19, 7)} AS faq, {_DK(23, 4)} AS fresh, {_DK(29, 8)} AS compare, {_DK(31, 9)} AS links, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 30 END AS age,

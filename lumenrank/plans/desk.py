@@ -146,6 +146,18 @@ def judge_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge.asked(sent, came).groupBy("request").agg(F.count(F.lit(1)).alias("pages"), F.max("answer").alias("answer"), F.bool_or("failed").alias("failed"))
 
 
+KINDS = ["shop", "guide", "news", "other"]
+
+
+def debiased_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A choice asked both ways round by a judge that leans to the first option, for each document; every seventh twin does not come."""
+    wired = judge.wired(_ids(spark, sf_dir).select("id", F.col("id").cast("string").alias("state")), {"page_type": KINDS}, ["page_type"])
+    own = {o: F.col("id") * (3 * i + 7) % 11 / F.lit(8.0) for i, o in enumerate(KINDS)}
+    said = F.create_map(*[x for o in KINDS for x in (F.lit(o), own[o] + F.when(F.get("options", F.lit(0)) == o, 0.25).otherwise(0.0))])
+    came = wired.select("id", "wire_id", F.when(~((F.col("id") % 7 == 0) & F.endswith("wire_id", F.lit(judge.REVERSED))), said).alias("probs"))
+    return judge.unbiased(wired, came).drop("question_id")
+
+
 def judged_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve judgments a page in one row, and whether they are whole."""
     asked = [F.struct(F.lit(q).alias("question_id"), F.lit(i).alias("ordinal")) for i, (s, q, _, _) in enumerate(judge.QUESTIONS) if s in judge.PAGE_SETS]
@@ -300,7 +312,7 @@ def page_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        signal_rules, element_rules, rewriting_rules, score_rules, criteria_rules, element_order, expected_schema, keyword_flags, page_phrases, intro_texts, question_catalogue, applicable_questions, judge_requests, judged_slices, screened_keywords, judge_cost,
+        signal_rules, element_rules, rewriting_rules, score_rules, criteria_rules, element_order, expected_schema, keyword_flags, page_phrases, intro_texts, question_catalogue, debiased_choices, applicable_questions, judge_requests, judged_slices, screened_keywords, judge_cost,
         offline_judge, worst_citability, answer_filter_counts, question_texts, winner_order, visible_domains, page_type_shares, report_search, running_jobs, usage_rows, run_status, output_checks, engine_rows, ai_shares, answer_records, competitor_order,
         criteria_weights, brief_notes, plan_markdown, run_estimates, seeded_draws, figures_as_text, page_questions,
     )
@@ -444,3 +456,11 @@ f AS (SELECT *, floor(rate * 100 + 0.5)::BIGINT AS r, floor(low * 100 + 0.5)::BI
 SELECT p_partkey, r || '%' AS share, r || '% (' || CASE WHEN a = b THEN a || '%' ELSE a || '–' || b || '%' END || ')' AS span, CASE WHEN ms <= 0 THEN '—' WHEN ms < 1000 THEN ms || ' ms' ELSE printf('%.1f', floor(ms / 100.0::DOUBLE + 0.5) / 10) || ' s' END AS latency, CASE WHEN usd <= 0 THEN '$0' ELSE '$' || printf('%.2f', floor(usd * 100 + 0.5) / 100) END AS usd FROM f""",
     "page_questions": _M + "SELECT conv_id, turn, least(12, len(list_distinct([x FOR x IN string_split(text, chr(10)) IF lr_asks(x)])))::INT AS questions FROM conversations WHERE role = 'assistant'",
 }
+
+_OWN = [f"o.id * {3 * i + 7} % 11 / 8.0::DOUBLE" for i in range(4)]
+ORACLE_SQL["debiased_choices"] = f"""WITH o AS (SELECT doc_id AS id FROM documents), w AS (SELECT id, {', '.join(f'{x} AS b{i}' for i, x in enumerate(_OWN))} FROM o),
+t AS (SELECT *, b0 + 0.25::DOUBLE + b1 + b2 + b3 AS total, id % 7 = 0 AS failed FROM w),
+m AS (SELECT id, failed, [((b0 + 0.25::DOUBLE) / total + b0 / total) / 2, (b1 / total + b1 / total) / 2, (b2 / total + b2 / total) / 2, (b3 / total + (b3 + 0.25::DOUBLE) / total) / 2] AS p FROM t),
+r AS (SELECT id, failed, CASE WHEN NOT failed THEN list_sort([(-p[i], i) FOR i IN range(1, 5)]) END AS r FROM m)
+SELECT id, {KINDS}[r[1][2]] AS value, floor(-r[1][1] * 1000 + 0.5) / 1000.0::DOUBLE AS p, {KINDS}[r[2][2]] AS runner_up,
+  CASE WHEN NOT failed THEN floor(least(1, greatest(0, (-r[1][1] - 0.25::DOUBLE) / 0.75::DOUBLE)) * 1000 + 0.5) / 1000.0::DOUBLE END AS confidence, failed FROM r"""

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import numbers as N
 from ..functions import urls as U
 from ..functions import weights as W
-from ..operators import collect, fetch, ideas, opportunities, phrases, sites
+from ..operators import collect, fetch, ideas, opportunities, phrases, ranking, sites
 from ..sources import adapters, demo, results_json
 from ..sources.tables import read_table
 from .pages import _URL_SQL, _pages
@@ -80,10 +81,11 @@ def best_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def must_cover_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases on two fifths of a language's pages, without parts of longer ones: mined, pruned, ranked."""
-    docs = _docs(spark, sf_dir).where("lang = 'es'")
-    n = docs.count()
-    kept = phrases.prune_subsumed(phrases.mine_phrases(docs, least_pages=max(2, -(-n * 2 // 5))))
-    return kept.orderBy(F.desc("pages"), F.desc("n"), F.desc("total"), "key").limit(15).select("key", "pages", (F.floor((F.col("pages") * 2000 + n) / (2 * n)) / 1000.0).alias("share"))
+    docs = _docs(spark, sf_dir)
+    counts = docs.groupBy(F.col("lang").alias("scope")).agg(F.count(F.lit(1)).alias("all"))
+    common = phrases.mine_phrases(docs, least_pages=2, scope=F.col("lang")).join(counts, "scope").where(F.col("pages") >= F.ceil(F.col("all") * 2 / F.lit(5.0)))
+    kept = ranking.top_per(phrases.prune_subsumed(common), ["scope"], [F.desc("pages"), F.desc("n"), F.desc("total"), F.col("key")], 15, "place")
+    return kept.select("scope", "key", "pages", N.ratio3(F.col("pages"), F.col("all")).alias("share"), "place")
 
 
 def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +104,7 @@ def robots_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules by host from recorded fetches: none in time blocks the host."""
     k = F.col("page_id")
     hosts = _pages(spark, sf_dir).groupBy(U.host(F.col("url")).alias("host")).agg(F.min("page_id").alias("page_id"))
-    files = fetch.robots_files(hosts.select("host", F.lit(200).alias("status"), (k % 8).alias("redirects"), (k * 97 % 9000).alias("ms"), F.lit("User-agent: *\nDisallow: /private").alias("text")))
+    files = fetch.robots_files(hosts.select("host", F.lit(200).alias("status"), (k % 8).alias("redirects"), (k * 97 % 9000).alias("ms"), F.lit("User-agent: *\nDisallow: /private").alias("text")), None)
     rules = sites.robots_rules(files, "bot")
     return rules.select("host", F.size("rules").alias("rules"), F.get("rules", F.lit(0))["head"].alias("first"))
 
@@ -123,7 +125,7 @@ def engine_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     web = lambda i: F.struct(F.struct(url(i).alias("uri"), F.lit("t").alias("title")).alias("web"))
     ground = F.struct(F.array(F.lit("q three"), F.lit("q three"), F.lit("")).alias("webSearchQueries"), F.array(web(1), web(2), web(3)).alias("groundingChunks"), F.array(F.struct(F.array(F.lit(0), F.lit(2)).alias("groundingChunkIndices"))).alias("groundingSupports"))
     three = F.to_json(F.struct(F.lit("m3").alias("modelVersion"), F.struct(F.length("text").alias("promptTokenCount"), F.lit(0).alias("candidatesTokenCount"), F.length("text").alias("totalTokenCount")).alias("usageMetadata"), F.array(F.struct(F.struct(F.array(F.struct("text")).alias("parts")).alias("content"), ground.alias("groundingMetadata"))).alias("candidates")))
-    read = lambda n, json, reader: reader(rows.where(F.col("conv_id") % 3 == n).select("answer_id", json.alias("json")))
+    read = lambda n, json, reader: reader(rows.where(F.col("conv_id") % 3 == n).select("answer_id", json.alias("json")), None, None)
     both = read(0, one, adapters.output_answers).unionByName(read(1, two, adapters.content_answers)).unionByName(read(2, three, adapters.part_answers))
     cites = adapters.raw_citations(both).groupBy("answer_id").agg(F.count_if(F.col("kind") == "cited").alias("cited"), F.count_if(F.col("kind") == "consulted").alias("consulted"), F.min(F.when(F.col("kind") == "cited", F.col("url"))).alias("first"))
     return both.select("answer_id", F.md5("text").alias("text"), "model", "input_tokens", "output_tokens", F.array_join("queries", "|").alias("queries")).join(cites, "answer_id")
@@ -161,6 +163,16 @@ QUERIES = {
     )
 }
 
+#: The mined phrases of each language by itself, on two fifths of its pages.
+_SCOPED = _TOKENS
+for _was, _now in (
+    ("segs AS (SELECT doc_id AS doc,", "segs AS (SELECT doc_id AS doc, lang AS scope,"), ("toks AS (SELECT doc,", "toks AS (SELECT doc, scope,"), ("runs AS (SELECT doc,", "runs AS (SELECT doc, scope,"), ("(SELECT doc, n::INT AS n", "(SELECT doc, scope, n::INT AS n"),
+    ("(SELECT a.key,", "(SELECT a.scope, a.key,"), ("(SELECT key, n, sum(c)", "(SELECT scope, key, n, sum(c)"), ("(SELECT key, n, surface, count(*) AS c FROM good GROUP BY ALL) GROUP BY key, n)", "(SELECT scope, key, n, surface, count(*) AS c FROM good GROUP BY ALL) GROUP BY scope, key, n)"),
+    ("(SELECT key, count(DISTINCT doc) AS pages FROM good GROUP BY key HAVING count(DISTINCT doc) >= 3) b USING (key)", "(SELECT scope, key, count(DISTINCT doc) AS pages FROM good JOIN langs USING (scope) GROUP BY scope, key, of_lang HAVING count(DISTINCT doc) >= greatest(2, ceil(of_lang * 0.4::DOUBLE))) b USING (scope, key)"),
+):
+    assert _was in _SCOPED
+    _SCOPED = _SCOPED.replace(_was, _now)
+
 _SUFFIX, _PREFIX = ideas.MODIFIERS["en"]
 _VARIED = ", ".join(f"({i}, '{t}')" for i, t in enumerate([f"{SEED} {m}" for m in _SUFFIX] + [f"{m} {SEED}" for m in _PREFIX]))
 _TERMS = _KW.format("text")
@@ -195,14 +207,15 @@ SELECT k::VARCHAR AS url, CASE WHEN deep THEN 'service_page' WHEN shallow THEN '
 CASE WHEN deep AND k % 2 = 0 THEN k * 13 % 101 / 100.0::DOUBLE ELSE k * 3 % 101 / 100.0::DOUBLE END AS title_match, deep, CASE WHEN deep THEN true WHEN shallow THEN false END AS agrees FROM s""",
     "best_formats": f"""WITH r AS (SELECT ['transactional', 'informational', 'commercial_investigation', 'navigational'][p_partkey % 4 + 1] AS intent, CASE WHEN p_partkey % 3 <> 0 THEN ({W.PAGE_TYPES})[p_partkey * 3 % 10 + 1] END AS page_type FROM part)
 SELECT intent, page_type, coalesce(page_type, CASE intent WHEN 'informational' THEN 'blog_article' WHEN 'comparison' THEN 'comparison_listicle' WHEN 'navigational' THEN 'company_homepage' ELSE 'service_page' END) AS format, count(*) AS keywords FROM r GROUP BY ALL""",
-    "must_cover_phrases": _M + "WITH n AS (SELECT count(*) AS n FROM documents WHERE lang = 'es'), " + _TOKENS.replace("FROM documents)", "FROM documents WHERE lang = 'es')").replace(">= 3)", ">= (SELECT greatest(2, ceil(n * 0.4::DOUBLE)) FROM n))").lstrip() + """,
-split_ AS MATERIALIZED (SELECT string_split(key, ' ') AS w, n, pages FROM mined WHERE n > 1), inner_ AS (SELECT unnest(list_concat(w, CASE WHEN n = 3 THEN [w[1] || ' ' || w[2], w[2] || ' ' || w[3]] ELSE [] END)) AS key, pages FROM split_), most AS (SELECT key, max(pages) AS p FROM inner_ GROUP BY key),
-kept AS (SELECT mined.* FROM mined LEFT JOIN most USING (key) WHERE coalesce(p, 0) < pages * 0.85::DOUBLE) SELECT key, pages, floor((pages * 2000 + (SELECT n FROM n)) / (2 * (SELECT n FROM n))) / 1000.0::DOUBLE AS share FROM kept ORDER BY pages DESC, n DESC, total DESC, key LIMIT 15""",
+    "must_cover_phrases": _M + "WITH langs AS (SELECT lang AS scope, count(*) AS of_lang FROM documents GROUP BY lang), " + _SCOPED.lstrip() + """,
+split_ AS MATERIALIZED (SELECT scope, string_split(key, ' ') AS w, n, pages FROM mined WHERE n > 1), inner_ AS (SELECT scope, unnest(list_concat(w, CASE WHEN n = 3 THEN [w[1] || ' ' || w[2], w[2] || ' ' || w[3]] ELSE [] END)) AS key, pages FROM split_), most AS (SELECT scope, key, max(pages) AS p FROM inner_ GROUP BY scope, key),
+kept AS (SELECT mined.* FROM mined LEFT JOIN most USING (scope, key) WHERE coalesce(p, 0) < pages * 0.85::DOUBLE)
+SELECT scope, key, pages, floor((pages * 2000 + of_lang) / (2 * of_lang)) / 1000.0::DOUBLE AS share, row_number() OVER (PARTITION BY scope ORDER BY pages DESC, n DESC, total DESC, key)::INT AS place FROM kept JOIN langs USING (scope) QUALIFY place <= 15""",
     "fetch_outcomes": "SELECT CASE WHEN page_id % 11 = 0 THEN 'blocked_address' WHEN page_id % 7 = 0 THEN 'blocked_robots' WHEN page_id % 13 = 0 THEN 'error' WHEN page_id % 8 > 5 THEN 'too_many_redirects' WHEN page_id % 6 = 0 THEN 'http_error' WHEN page_id % 5 = 1 THEN 'not_html' ELSE 'ok' END AS status, count(*) AS pages FROM pages GROUP BY 1",
     "capped_bodies": "SELECT page_id, least(strlen(html), 4000)::INT AS bytes, strlen(html) > 4000 AS truncated FROM pages",
     "robots_fetches": f"WITH {_URL_SQL}, h AS (SELECT host, min(page_id) AS k FROM u GROUP BY host) SELECT host, 1 AS rules, CASE WHEN k % 8 <= 5 AND k * 97 % 9000 <= 6000 THEN '/private' ELSE '/' END AS first FROM h",
     "engine_answers": """WITH a AS (SELECT conv_id * 1000 + turn AS answer_id, conv_id % 3 AS e, text FROM conversations WHERE role = 'assistant')
-SELECT answer_id, md5(left(text, 12000)) AS text, 'm' || (e + 1) AS model, length(text)::BIGINT AS input_tokens, CASE WHEN e = 2 THEN length(text) ELSE length(text) + 1 END::BIGINT AS output_tokens, ['q one', 'q two', 'q three'][e + 1] AS queries, CASE WHEN e = 2 THEN 2 ELSE 1 END::BIGINT AS cited, CASE WHEN e = 1 THEN 2 ELSE 1 END::BIGINT AS consulted,
+SELECT answer_id, md5(text) AS text, 'm' || (e + 1) AS model, length(text)::BIGINT AS input_tokens, CASE WHEN e = 2 THEN length(text) ELSE length(text) + 1 END::BIGINT AS output_tokens, ['q one', 'q two', 'q three'][e + 1] AS queries, CASE WHEN e = 2 THEN 2 ELSE 1 END::BIGINT AS cited, CASE WHEN e = 1 THEN 2 ELSE 1 END::BIGINT AS consulted,
 CASE WHEN e = 2 THEN least('https://site' || ((answer_id + 1) % 9) || '.example/p', 'https://site' || ((answer_id + 3) % 9) || '.example/p') ELSE 'https://site' || ((answer_id + 1) % 9) || '.example/p' END AS first FROM a""",
     "redirect_domains": "SELECT p_partkey, CASE WHEN p_partkey % 2 <> 0 THEN 'shop.example' WHEN p_partkey % 3 = 0 THEN 'news.example' WHEN p_partkey % 3 = 2 THEN 'a.b.example' END AS domain, CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 4 WHEN p_partkey % 5 > 0 THEN p_partkey % 5 ELSE p_partkey + 1 END AS tokens FROM part",
     "site_discovery": f"""WITH {_URL_SQL}, r AS (SELECT page_id AS ordinal, host, page_url AS url, key, depth FROM addr WHERE NOT bad), m AS (SELECT host, min(ordinal % 2) AS rank FROM r WHERE length(host) % 2 = 0 GROUP BY host),

@@ -53,7 +53,7 @@ def html_facts_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_facts_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = html.page_facts(_pages(spark, sf_dir), NOW)
+    f = html.page_facts(_pages(spark, sf_dir), NOW, limits=html.Limits(None, None, None, None, None))
     cols = ("status", "title", "lang", "words", "h1", "h2", "links_in", "links_out", "images", "tables", "lists", "https", "viewport", "noindex", "author", "form", "phones", "emails", "latest_year", "modified_at")
     return f.select("page_id", *[F.col(f"facts.{c}").alias(c) for c in cols], F.size("facts.headings").alias("headings"), F.size("facts.nav").alias("nav"))
 
@@ -68,7 +68,7 @@ def link_crawl_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by distance from page 0, where page i links to 2i+1 and 2i+2."""
     ids = _pages(spark, sf_dir).select("page_id")
     edges = ids.select(F.col("page_id").cast("string").alias("from_key"), F.explode(F.array((F.col("page_id") * 2 + 1).cast("string"), (F.col("page_id") * 2 + 2).cast("string"))).alias("to_key"))
-    return sites.crawl_order(edges, "0", 5).groupBy("level").agg(F.count(F.lit(1)).alias("pages"))
+    return sites.crawl_order(edges, "0", 62).groupBy("level").agg(F.count(F.lit(1)).alias("pages"))
 
 
 def site_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +134,7 @@ def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     # as sites do it: files of a bounded number of addresses
     rows = _pages(spark, sf_dir).groupBy(U.host(F.col("url")).alias("source"), F.floor(F.col("page_id") / 10_000).alias("file"))
     files = rows.agg(F.concat(F.lit('<?xml version="1.0"?><urlset>'), F.array_join(F.sort_array(F.collect_list(entry)), "\n"), F.lit("</urlset>")).alias("text"))
-    found = sites.sitemap_urls(files)
+    found = sites.sitemap_urls(files, None, None, None)
     return found.groupBy("source", "kind").agg(F.count(F.lit(1)).alias("urls"), F.count_distinct(U.page_address(F.col("url"))["key"]).alias("pages"))
 
 
@@ -173,7 +173,7 @@ count(*) AS pages, count(DISTINCT host) AS hosts FROM addr GROUP BY ALL""",
     "html_facts_regex": r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, len(regexp_extract_all(html, '<a ')) AS links, len(regexp_extract_all(html, '<h1>')) AS h1,
 len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(lower(regexp_replace(regexp_replace(html, '(?s)<(script|style|title)\b.*?</(script|style|title)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')), '[\p{L}\p{N}]+'))::INT AS words,
 starts_with(url, 'https:') AS https FROM pages""",
-    "link_crawl_levels": """SELECT lvl::INT AS level, count(*) AS pages FROM (SELECT DISTINCT k, min(floor(log2(k + 1))) AS lvl FROM (SELECT 0 AS k UNION ALL SELECT page_id * 2 + 1 FROM pages UNION ALL SELECT page_id * 2 + 2 FROM pages) GROUP BY k) WHERE lvl <= 5 GROUP BY lvl""",
+    "link_crawl_levels": """SELECT lvl::INT AS level, count(*) AS pages FROM (SELECT DISTINCT k, min(floor(log2(k + 1))) AS lvl FROM (SELECT 0 AS k UNION ALL SELECT page_id * 2 + 1 FROM pages UNION ALL SELECT page_id * 2 + 2 FROM pages) GROUP BY k) GROUP BY lvl""",
     "robots_allowed": rf"""WITH {_URL_SQL}, rules(allow, pattern, size) AS (VALUES (false, '^/en/1', 5), (true, '^/en/1.*5', 7), (false, '^/.*\.html$', 7)),
 t AS (SELECT page_id, host, regexp_extract(url, '^https?://[^/?#]*([^#]*)', 1) AS rest FROM u), pq AS (SELECT page_id, host, CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END AS path FROM t),
 best AS (SELECT page_id, arg_max(allow, size * 2 + allow::INT) AS allow FROM pq JOIN rules ON regexp_matches(path, pattern) GROUP BY page_id)

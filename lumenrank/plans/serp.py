@@ -37,7 +37,7 @@ _FIT = lambda v: "[" + ", ".join(f"{x}::DOUBLE" for x in v) + "]"
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = serp_results(spark, sf_dir).where("position <= 20")
+    results = serp_results(spark, sf_dir)
     dominance = serp.topical_dominance(results)
     types = F.array(*[F.lit(t) for t in W.PAGE_TYPES])
     intent = F.when(F.ascii(F.substring("keyword", -1, 1)) % 2 == 0, "informational").otherwise("commercial")
@@ -57,7 +57,7 @@ dominance AS (SELECT domain, count(*) AS lists, floor((count(*) * 2000 + n) / (2
   FROM (SELECT DISTINCT keyword, domain FROM serp WHERE position <= 5), (SELECT count(DISTINCT keyword) AS n FROM serp) WHERE n >= 3 GROUP BY domain, n),
 typed AS (SELECT s.*, ({_TYPES_SQL})[key % 10 + 1] AS page_type, CASE WHEN ascii(right(keyword, 1)) % 2 = 0 THEN 'informational' ELSE 'commercial' END AS intent,
   CASE WHEN key % 7 <> 0 THEN (key * 3 % 11) / 10.0::DOUBLE END AS dedicated, ((key * 5 + position) % 5) / 4.0::DOUBLE AS title,
-  CASE WHEN key % 3 = 0 THEN (key % 9) / 8.0::DOUBLE END AS depth, d.dominance FROM serp s LEFT JOIN dominance d USING (domain) WHERE position <= 20),
+  CASE WHEN key % 3 = 0 THEN (key % 9) / 8.0::DOUBLE END AS depth, d.dominance FROM serp s LEFT JOIN dominance d USING (domain)),
 fitted AS (SELECT *, CASE WHEN key % 13 <> 0 THEN CASE WHEN intent = 'informational' THEN ({_FIT(W.FIT_INFORMATIONAL)})[key % 10 + 1] ELSE ({_FIT(W.FIT_COMMERCIAL)})[key % 10 + 1] END END AS fit FROM typed),
 obs AS (SELECT *, CASE WHEN depth IS NULL THEN base / (0.3::DOUBLE + 0.25::DOUBLE + 0.2::DOUBLE + 0.1::DOUBLE) ELSE (base + depth * 0.15::DOUBLE) / (0.3::DOUBLE + 0.25::DOUBLE + 0.2::DOUBLE + 0.1::DOUBLE + 0.15::DOUBLE) END AS strength
   FROM (SELECT *, coalesce(fit, 0.5::DOUBLE) * 0.3::DOUBLE + coalesce(dedicated, 0.5::DOUBLE) * 0.25::DOUBLE + title * 0.2::DOUBLE + coalesce(dominance, 0::DOUBLE) * 0.1::DOUBLE AS base FROM fitted))"""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..operators import briefs, html, judgments, panels
-from ..sources import reports, results_json
+from ..sources import cache, reports, results_json
+from ..sources.shared import new_folder
 from ..sources.tables import read_table
 from ..streaming import limits
 
@@ -39,6 +40,23 @@ def cache_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.unexpired(rows, F.lit(1_705_000_000_000))
 
 
+#: When the cache's puts are, and how long a namespace's entries hold, in milliseconds.
+_NOW, _LIVES = 1_700_000_000_000, {"view": 5 * 3_600_000, "click": 90 * 60_000, "error": 0}
+
+
+def cache_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events put into a cache in three rounds an hour apart, each over the one before; what has expired goes; then every key of every
+    kind is asked for, and fifty of those not held may be bought."""
+    held = cache.Cache(spark, new_folder(spark, "cache"), 9_000_000, _LIVES)
+    rows = _events(spark, sf_dir).select("event_id", F.col("event_type").alias("namespace"), (F.col("user_id") % 500).cast("string").alias("key"), F.col("event_id").cast("string").alias("value"))
+    for k in range(3):
+        held.put(rows.where(F.col("event_id") % 3 == k).where(F.length("key") != k + 1), _NOW + k * 3_600_000, F.col("event_id"))
+        if k == 1:
+            held.prune(_NOW + 2 * 3_600_000)
+    asked = rows.groupBy("namespace", "key").agg(F.min("event_id").alias("first"))
+    return held.within_budget(asked, _NOW + 3 * 3_600_000, [F.col("first")], 50).select("namespace", "key", "value", "outcome")
+
+
 def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).groupBy("event_type", (F.from_json("props", "k int")["k"] % 5).alias("k")).agg(F.count(F.lit(1)).alias("events"))
 
@@ -167,7 +185,7 @@ def audit_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sliding_failure_limit, sliding_limit_stream, failure_streaks, budget_running_total, last_state_per_job, cache_expiry, event_properties, structured_stream_windows, job_progress, known_steps, domain_forms, decoded_pages, settings_patch, facet_counts, panel_sort, judgment_parsing, merged_twins, csv_safe_export,
+        sliding_failure_limit, sliding_limit_stream, failure_streaks, budget_running_total, last_state_per_job, cache_expiry, cache_rounds, event_properties, structured_stream_windows, job_progress, known_steps, domain_forms, decoded_pages, settings_patch, facet_counts, panel_sort, judgment_parsing, merged_twins, csv_safe_export,
         markdown_export, report_index, tracked_registry, result_json_sources, audit_figures,
     )
 }
@@ -225,3 +243,10 @@ o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY via, keyword, site
 }
 
 ORACLE_SQL["sliding_limit_stream"] = ORACLE_SQL["sliding_failure_limit"]
+
+ORACLE_SQL["cache_rounds"] = """WITH r AS (SELECT event_id, event_type AS namespace, (user_id % 500)::VARCHAR AS key, event_id::VARCHAR AS value, event_id % 3 AS k FROM events),
+p AS (SELECT namespace, key, k, arg_max(value, event_id) AS value, 1700000000000 + k * 3600000 + CASE namespace WHEN 'view' THEN 18000000 WHEN 'click' THEN 5400000 ELSE 9000000 END AS expires_at FROM r WHERE length(key) <> k + 1 AND namespace <> 'error' GROUP BY ALL),
+n AS (SELECT namespace, key, arg_max(value, k) AS value, arg_max(expires_at, k) AS expires_at FROM p GROUP BY namespace, key), a AS (SELECT namespace, key, min(event_id) AS first FROM r GROUP BY namespace, key),
+g AS (SELECT a.*, value FROM a LEFT JOIN n ON n.namespace = a.namespace AND n.key = a.key AND expires_at > 1700000000000 + 3 * 3600000),
+b AS (SELECT namespace, key FROM g WHERE value IS NULL ORDER BY first, namespace, key LIMIT 50)
+SELECT g.namespace, g.key, g.value, CASE WHEN g.value IS NOT NULL THEN 'hit' WHEN b.key IS NOT NULL THEN 'bought' ELSE 'over_budget' END AS outcome FROM g LEFT JOIN b ON b.namespace = g.namespace AND b.key = g.key"""

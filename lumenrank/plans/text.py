@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import phrases
+from ..sources.shared import spread
 from ..sources.tables import read_table
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang", "source", "text")
+    return spread(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang", "source", "text"))
 
 
 def stem_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

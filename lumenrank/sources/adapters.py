@@ -1,4 +1,5 @@
-"""Assistants' raw answers, as JSON strings of three interfaces, to one table."""
+"""Assistants' raw answers, as JSON strings of three interfaces, to one table: of an answer's text the first ``most_text`` characters, of what it searched
+for the first ``most_queries`` (None: all)."""
 
 from __future__ import annotations
 
@@ -28,23 +29,25 @@ def _flat(items: Column) -> Column:
     return F.flatten(F.filter(items, lambda x: x.isNotNull()))
 
 
-def _row(text: Column, cited: Column, consulted: Column, queries: Column, inputs: Column, outputs: Column, model: Column) -> list[Column]:
-    clean = F.left(T.strip_invisible(F.coalesce(text, F.lit(""))), F.lit(MOST_TEXT))
-    asked = F.slice(F.array_distinct(F.filter(F.transform(queries, T.squash), lambda q: F.coalesce(q, F.lit("")) != "")), 1, MOST_QUERIES)
+def _row(text: Column, cited: Column, consulted: Column, queries: Column, inputs: Column, outputs: Column, model: Column, most: tuple[int | None, int | None]) -> list[Column]:
+    clean = T.strip_invisible(F.coalesce(text, F.lit("")))
+    clean = clean if most[0] is None else F.left(clean, F.lit(most[0]))
+    asked = F.array_distinct(F.filter(F.transform(queries, T.squash), lambda q: F.coalesce(q, F.lit("")) != ""))
+    asked = asked if most[1] is None else F.slice(asked, 1, most[1])
     return [clean.alias("text"), cited.alias("cited"), consulted.alias("consulted"), asked.alias("queries"), inputs.alias("input_tokens"), outputs.alias("output_tokens"), model.alias("model"), (F.size(queries) > 0).alias("searched")]
 
 
-def output_answers(raw: DataFrame) -> DataFrame:
+def output_answers(raw: DataFrame, most_text: int | None = MOST_TEXT, most_queries: int | None = MOST_QUERIES) -> DataFrame:
     """From (answer_id, json) with a list of output items: search calls and messages."""
     j = raw.select("answer_id", F.from_json("json", OUTPUT).alias("j"))
     said = F.flatten(F.transform(F.filter("j.output", lambda o: o["type"] == "message"), lambda o: o["content"]))
     notes = F.filter(_flat(F.transform(said, lambda c: c["annotations"])), lambda a: a["type"] == "url_citation")
     calls = F.filter("j.output", lambda o: o["type"] == "web_search_call")
     sources = F.transform(_flat(F.transform(calls, lambda o: o["action"]["sources"])), lambda s: F.struct(s["url"].alias("url"), F.lit(None).cast("string").alias("title")))
-    return j.select("answer_id", *_row(F.array_join(F.transform(said, lambda c: c["text"]), ""), _links(notes), sources, F.transform(calls, lambda o: o["action"]["query"]), F.col("j.usage.input_tokens"), F.col("j.usage.output_tokens"), F.col("j.model")))
+    return j.select("answer_id", *_row(F.array_join(F.transform(said, lambda c: c["text"]), ""), _links(notes), sources, F.transform(calls, lambda o: o["action"]["query"]), F.col("j.usage.input_tokens"), F.col("j.usage.output_tokens"), F.col("j.model"), (most_text, most_queries)))
 
 
-def content_answers(raw: DataFrame) -> DataFrame:
+def content_answers(raw: DataFrame, most_text: int | None = MOST_TEXT, most_queries: int | None = MOST_QUERIES) -> DataFrame:
     """From (answer_id, json) with a list of content blocks: tool uses, tool results and texts."""
     j = raw.select("answer_id", F.from_json("json", CONTENT).alias("j"))
     of = lambda kind: F.filter("j.content", lambda c: c["type"] == kind)
@@ -52,12 +55,12 @@ def content_answers(raw: DataFrame) -> DataFrame:
         "answer_id",
         *_row(
             F.array_join(F.transform(of("text"), lambda c: c["text"]), ""), _links(_flat(F.transform(of("text"), lambda c: c["citations"]))), _links(_flat(F.transform(of("web_search_tool_result"), lambda c: c["content"]))),
-            F.transform(of("server_tool_use"), lambda c: c["input"]["query"]), F.col("j.usage.input_tokens"), F.col("j.usage.output_tokens"), F.col("j.model"),
+            F.transform(of("server_tool_use"), lambda c: c["input"]["query"]), F.col("j.usage.input_tokens"), F.col("j.usage.output_tokens"), F.col("j.model"), (most_text, most_queries),
         ),
     )
 
 
-def part_answers(raw: DataFrame) -> DataFrame:
+def part_answers(raw: DataFrame, most_text: int | None = MOST_TEXT, most_queries: int | None = MOST_QUERIES) -> DataFrame:
     """From (answer_id, json) with candidates of parts: chunks that a passage rests on are cited, the
     others consulted."""
     j = raw.select("answer_id", F.from_json("json", PARTS).alias("j")).withColumn("c", F.get("j.candidates", F.lit(0)))
@@ -70,7 +73,7 @@ def part_answers(raw: DataFrame) -> DataFrame:
         "answer_id",
         *_row(
             F.array_join(F.transform("c.content.parts", lambda p: p["text"]), ""), F.transform(F.filter(chunks, rests), link), F.transform(F.filter(chunks, lambda x: ~rests(x)), link), queries,
-            F.col("j.usageMetadata.promptTokenCount"), F.coalesce(F.when(F.col("j.usageMetadata.candidatesTokenCount") > 0, F.col("j.usageMetadata.candidatesTokenCount")), F.col("j.usageMetadata.totalTokenCount")), F.col("j.modelVersion"),
+            F.col("j.usageMetadata.promptTokenCount"), F.coalesce(F.when(F.col("j.usageMetadata.candidatesTokenCount") > 0, F.col("j.usageMetadata.candidatesTokenCount")), F.col("j.usageMetadata.totalTokenCount")), F.col("j.modelVersion"), (most_text, most_queries),
         ),
     )
 

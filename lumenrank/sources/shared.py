@@ -23,6 +23,18 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/lumenrank-{what}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a table for each core below which its rows are dealt out anew before work that is long for each row.
+SPREAD_BYTES = 1 << 25
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, its rows dealt out evenly if the table is small: it may be one file that one task reads, and dealing it out costs little.
+    A large table comes in as many pieces as it has blocks and stays as it is. No result depends on it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as a table and read back: it is computed once however often it is used, and
     the files' sizes decide on broadcasts."""

@@ -131,3 +131,48 @@ def test_mentions_of_cyrillic_names(spark):
 def test_local_modifiers(spark):
     words = ["сайт софия", "сайт в стара загора", "сайт стара", "website sofia", "hotel"]
     assert each(spark, words, ideas.has_local_modifier) == [True, True, False, False, False]
+
+
+def test_choices_asked_both_ways(spark):
+    sent = spark.createDataFrame([(1, "one state"), (2, "another"), (3, "third")], "id int, state string")
+    choices = {"kind": ["a", "b", "c", "d"], "tone": ["x", "y"]}
+    rows = {(r.id, r.wire_id): r.options for r in judge.wired(sent, choices, ["kind"]).collect()}
+    assert len(rows) == 9 and rows[1, "kind"] == ["a", "b", "c", "d"] and rows[1, "kind__rev"] == ["d", "c", "b", "a"] and rows[2, "tone"] == ["x", "y"]
+    mixed = judge.wired(sent, choices, ["kind"], shuffle=True)
+    again = {(r.id, r.wire_id): r.options for r in mixed.collect()}
+    assert again == {(r.id, r.wire_id): r.options for r in judge.wired(sent, choices, ["kind"], shuffle=True).collect()}
+    assert all(sorted(x) == sorted(rows[k]) for k, x in again.items()) and len({tuple(again[i, "kind"]) for i in (1, 2, 3)}) > 1
+    assert all(again[i, "kind__rev"] == again[i, "kind"][::-1] for i in (1, 2, 3))
+    first = F.transform("options", lambda o, i: F.when(i == 0, 0.6).otherwise(0.4 / (F.size("options") - 1)))
+    came = mixed.select("id", "wire_id", F.map_from_arrays("options", first).alias("probs")).where("not (id = 2 and wire_id = 'kind__rev')").withColumn("probs", F.when(~((F.col("id") == 3) & (F.col("wire_id") == "tone")), F.col("probs")))
+    got = {(r.id, r.question_id): r for r in judge.unbiased(mixed, came).collect()}
+    lean = got[1, "kind"]  # leaning to whatever is first cancels out between first and last
+    assert (lean.value, lean.runner_up, lean.p) == (again[1, "kind"][0], again[1, "kind"][3], 0.367) and not lean.failed
+    assert got[1, "tone"].value == again[1, "tone"][0] and got[1, "tone"].p == 0.6
+    assert got[2, "kind"].failed and got[2, "kind"].value is None and got[3, "tone"].failed and got[2, "tone"].p == 0.6
+    none = judge.unbiased(mixed, came.where("id = 0")).collect()
+    assert len(none) == 6 and all(r.failed for r in none)
+
+
+def test_cache_rounds(spark, tmp_path):
+    from lumenrank.sources.cache import HOUR, LIFETIMES, Cache
+
+    held, hour = Cache(spark, str(tmp_path / "cache"), 2 * HOUR), HOUR
+    rows = lambda *r: spark.createDataFrame(list(r), "namespace string, key string, value string")
+    asked = rows(("serp", "a", ""), ("serp", "b", ""), ("volume", "a", ""), ("serp", "zz", "")).drop("value")
+    found = lambda now: {(r.namespace, r.key): r.value for r in held.get(asked, now).collect()}
+    assert held.prune(0) == 0 and set(found(0).values()) == {None}
+    held.put(rows(("serp", "a", "1"), ("serp", "a", "2"), ("serp", "b", None), ("volume", "a", "v"), ("serp", None, "x")), 0)
+    assert found(1) == {("serp", "a"): "2", ("serp", "b"): None, ("volume", "a"): "v", ("serp", "zz"): None}
+    assert {(r.key, r.hit) for r in held.get(asked.where("namespace = 'serp'"), 1).collect()} == {("a", True), ("b", True), ("zz", False)}
+    held.put(rows(("serp", "a", "3")), hour)
+    assert found(hour)["serp", "a"] == "3" and found(2 * hour)["serp", "a"] == "3" and found(3 * hour)["serp", "a"] is None
+    assert held.prune(2 * hour) == 2 and found(2 * hour) == {("serp", "a"): "3", ("serp", "b"): None, ("volume", "a"): "v", ("serp", "zz"): None}
+    assert [n for _, n in held._segments()] == ["whole-0000000003"]
+    held.put(rows(("serp", "b", "new")), 3 * hour)
+    assert found(3 * hour)["serp", "b"] == "new" and found(LIFETIMES["volume"])["volume", "a"] is None
+    out = {(r.namespace, r.key): r.outcome for r in held.within_budget(asked.withColumn("n", F.length("key")), 3 * hour, [F.col("n")], 1).collect()}
+    assert out == {("serp", "a"): "bought", ("serp", "b"): "hit", ("volume", "a"): "hit", ("serp", "zz"): "over_budget"}
+    off = Cache(spark, str(tmp_path / "off"), 0)
+    off.put(rows(("serp", "a", "1")), 0)
+    assert not off.get(asked, 0).where("hit").count()
