@@ -158,19 +158,6 @@ def skip_reasons(c: dict[str, Column]) -> Column:
     return F.when(~c["has_page"], F.array(F.lit("no_page"))).when(F.size(made) > 0, picked).otherwise(fallback)
 
 
-def build_plans(skips: DataFrame, k: int = 12) -> DataFrame:
-    """(key, action, lost, questions, priority, first_reason, place) from skips (key, action,
-    question_id, engine, reason): one plan a page to rewrite or group of questions to write for."""
-    total = skips.agg(F.count(F.lit(1)).alias("total"))  # one row
-    reasons = skips.groupBy("key", "reason").agg(F.count(F.lit(1)).alias("n"))
-    first = reasons.groupBy("key").agg(F.min_by("reason", F.struct(-F.col("n"), F.col("reason"))).alias("first_reason"))
-    plans = skips.groupBy("key", "action").agg(F.count(F.lit(1)).alias("lost"), F.count_distinct("question_id").alias("questions"), F.count_distinct("engine").alias("engines"))
-    best = plans.join(first, "key").crossJoin(F.broadcast(total)).withColumn("priority", ratio3(F.col("lost"), F.col("total"))).drop("total")
-    order = [F.desc("lost"), F.desc("questions"), F.col("key")]
-    cut = best.orderBy(*order).limit(k)
-    return cut.withColumn("place", F.row_number().over(Window.orderBy(*order)))
-
-
 def coverage_candidates(questions: DataFrame, pages: DataFrame, least: float = 0.12) -> DataFrame:
     """(scope, question_id, url): the pairs that a term of the question names. In order of how many pages of
     the scope have them, a page that has none of the rarer terms can have of each of the others what the page with the most parts of it has; so a term

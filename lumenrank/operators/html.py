@@ -235,7 +235,8 @@ class _Page(HTMLParser):
         """Roots and banners whose element has been closed."""
         while self.open_roots and self.open_roots[-1][1] >= len(self.stack):
             kind, _, first = self.open_roots.pop()
-            self.roots[kind].append((first, len(self.lines["all"])))
+            # the line that has just been begun is of what comes after
+            self.roots[kind].append((first, len(self.lines["all"]) - (self.lines["all"][-1] == "")))
         if self.banner is not None and self.banner[0] >= len(self.stack):
             mark, self.banner = self.banner[1], None
             n, last = mark[0]["all"]

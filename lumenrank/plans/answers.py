@@ -9,7 +9,7 @@ from ..functions import numbers as N
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import answers as A
-from ..operators import buyers
+from ..operators import buyers, recovery
 from ..sources.tables import read_table
 
 ENGINES = ["alpha", "beta", "gamma"]
@@ -107,11 +107,16 @@ def skip_reasons_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans over lost answers by page or cluster of questions, with the commonest first reason."""
+    n, create = F.col("conv_id") % 15, F.col("conv_id") % 15 < 5
     rows = _skips(spark, sf_dir).select(
-        F.concat(F.lit("page"), (F.col("conv_id") % 15).cast("string")).alias("key"), F.when(F.col("conv_id") % 15 < 5, "create").otherwise("rewrite").alias("action"),
-        F.col("conv_id").alias("question_id"), "engine", F.get("reasons", F.lit(0)).alias("reason"),
+        F.col("answer_id").alias("ordinal"), "engine", F.concat(F.lit("q"), F.col("conv_id").cast("string")).alias("text"), F.when(~create, F.concat(F.lit("page"), n.cast("string"))).alias("our_url"),
+        F.when(create, "create").otherwise("rewrite").alias("action"), F.array(F.get("reasons", F.lit(0))).alias("reasons"), F.lit(None).cast("string").alias("winner_domain"), n.alias("cluster"),
     )
-    return A.build_plans(rows)
+    clusters = rows.where("action = 'create'").select("text", "cluster").distinct()
+    titles = rows.select("our_url", F.col("our_url").alias("title")).where("our_url is not null").distinct()
+    plans = recovery.build_plans(rows.drop("cluster"), clusters, titles, ENGINES)
+    return plans.select("key", F.col("kind").alias("action"), "lost", F.col("n_questions").alias("questions"), F.size("engines").cast("long").alias("engines"), F.get("reasons", F.lit(0)).alias("first_reason"), "priority", "place")
 
 
 def question_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +173,7 @@ SELECT answer_id, engine, model, floor(((n * 3 * i + n * o) / 1000000 + conv_id
     "cross_engine_budget": "WITH q AS (SELECT conv_id * 1000 + turn AS question_id, conv_id * 1000 + turn AS ordinal FROM conversations WHERE role = 'user' ORDER BY 2 LIMIT 16) SELECT engine, question_id, ordinal FROM q, (SELECT unnest(['alpha', 'beta', 'gamma']) AS engine)",
     "answer_sentiment": f"WITH {_A} SELECT answer_id, CASE WHEN {_P(17)} <= 0.6 THEN floor(({_P(7)} + {_P(11)} * 0.5::DOUBLE) / nullif({_P(7)} + {_P(11)} + {_P(13)}, 0) * 1000 + 0.5) / 1000.0::DOUBLE END AS sentiment FROM a",
     "skip_reasons_rank": f"WITH {_SKIP} SELECT answer_id, array_to_string(reasons, ',') AS reasons FROM k",
-    "plan_groups": f"""WITH {_SKIP}, s AS (SELECT 'page' || (conv_id % 15) AS key, CASE WHEN conv_id % 15 < 5 THEN 'create' ELSE 'rewrite' END AS action, conv_id AS question_id, engine, reasons[1] AS reason FROM k),
+    "plan_groups": f"""WITH {_SKIP}, s AS (SELECT CASE WHEN conv_id % 15 < 5 THEN 'new:' ELSE 'page:page' END || (conv_id % 15) AS key, CASE WHEN conv_id % 15 < 5 THEN 'create' ELSE 'rewrite' END AS action, conv_id AS question_id, engine, reasons[1] AS reason FROM k),
 f AS (SELECT key, arg_min(reason, (-n, reason)) AS first_reason FROM (SELECT key, reason, count(*) AS n FROM s GROUP BY ALL) GROUP BY key),
 p AS (SELECT key, action, count(*) AS lost, count(DISTINCT question_id) AS questions, count(DISTINCT engine) AS engines, (SELECT count(*) FROM s) AS t FROM s GROUP BY key, action)
 SELECT key, action, lost, questions, engines, first_reason, floor((lost * 2000 + t) / (2 * t)) / 1000.0::DOUBLE AS priority, row_number() OVER (ORDER BY lost DESC, questions DESC, key)::INT AS place FROM p JOIN f USING (key) QUALIFY place <= 12""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import domains, html, sites
-from ..sources.shared import written
+from ..sources.shared import spread, written
 from ..sources.tables import read_table
 
 NOW = datetime(2026, 10, 5, tzinfo=timezone.utc)
@@ -58,6 +58,35 @@ def html_facts_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("page_id", *[F.col(f"facts.{c}").alias(c) for c in cols], F.size("facts.headings").alias("headings"), F.size("facts.nav").alias("nav"))
 
 
+def _made_page(k, name, kind):
+    """A page whose facts follow from a number: how often each kind of element stands in it, in frames and in the main part, shown and hidden."""
+    part = lambda text, rule=None: F.lit(text) if rule is None else F.when(rule, F.lit(text)).otherwise("")
+    times = lambda text, n: F.repeat(F.lit(text), n.cast("int"))
+    # numbered, as a heading like the one before it does not count
+    heads = lambda level, n: F.array_join(F.transform(F.slice(F.array(*[F.lit(i) for i in range(1, 6)]), F.lit(1), n.cast("int")), lambda i: F.concat(F.lit(f"<h{level}>Head "), i.cast("string"), F.lit(f"</h{level}>"))), "")
+    return F.concat(
+        F.lit('<!doctype html><html lang="'), F.get(F.array(F.lit("en"), F.lit("bg"), F.lit("de")), (k % 3).cast("int")), F.lit('"><head><title>Title  of\n'), name, F.lit("</title>"),
+        F.when(k % 4 != 0, F.concat(F.lit('<meta name="description" content="About '), kind, F.lit('">'))).otherwise(""), part("<meta name=viewport content='width=device-width'>", k % 2 == 0), part('<META NAME="robots" CONTENT="NOINDEX, follow">', k % 7 == 0),
+        F.when(k % 5 == 1, F.lit('<link rel="canonical" href="https://other.example/x">')).when(k % 5 > 1, F.concat(F.lit('<link rel=canonical href="https://www.made.example/p'), k.cast("string"), F.lit('/">'))).otherwise(""),
+        F.when(k % 4 == 2, F.concat(F.lit('<meta property="article:modified_time" content="2026-01-0'), (k % 9 + 1).cast("string"), F.lit('">'))).otherwise(""), part('<meta name="author" content="A. Body">', k % 3 == 2),
+        part('<script type="application/ld+json">{"@type": "Product"}</script>', k % 6 == 1), part('<script type="application/ld+json">{"@graph": [{"@type": ["FAQPage", "WebPage"], "mainEntity": [{"@type": "Question", "name": "Why?"}]}]}</script>', k % 6 == 2),
+        F.lit("<style>p { color: red }</style></head><body>"), part('<nav><a href="/home">home</a> <a href="/all">all</a></nav>', k % 2 == 1), F.lit("<main>"), heads(1, k % 2 + 1), heads(2, k % 4), heads(3, k % 5),
+        F.lit("<p>"), times("word ", k % 50), F.when(k % 3 == 1, F.concat(F.lit("in "), (k % 15 + 2010).cast("string"))).otherwise(""), F.lit("</p><p hidden>hidden text</p><div style='display: none'>more</div><script>var a = '<p>none</p>';</script>"),
+        times('<a href="/inner">in</a> ', k % 5), part('<a href="https://one.example/">out</a> ', k % 3 >= 1), part('<a href="https://two.example/a?b">out</a> ', k % 3 >= 2), part('<a href="#top">top</a> '), part('<a href="tel:+359 888 123 456">ring</a> ', k % 3 == 0),
+        part('<a href="mailto:a@made.example?subject=x">write</a> ', k % 4 == 1), times('<img src=a.png alt="a">', k % 3), times("<img src=b.png>", k % 4), times("<table><tr><td>cell<td>cell</tr><tr><td>cell<td>cell</table>", k % 3), part("<table><tr><td>row</table>"),
+        times("<ul><li>item<li>item<li>item</ul>", k % 4), part("<ul><li>item<li>item</ul>"), part("<form><textarea></textarea></form>", k % 5 == 0), part("<form role=search><input name=q></form>"), F.lit("</main><footer>foot note</footer></body></html>"),
+    )
+
+
+def made_page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that the parser finds on a page made for each part, whose counts follow from the part's number."""
+    k = F.col("p_partkey")
+    rows = spread(read_table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("https://made.example/p"), k.cast("string")).alias("url"), _made_page(k, F.col("p_name"), F.col("p_type")).alias("html")))
+    f = html.page_facts(rows, NOW)
+    cols = "title description lang viewport noindex canonical_self https h1 h2 h3 words links_in links_out external_domains images images_alt tables lists form phones emails latest_year modified_at author faq_schema".split()
+    return f.select("p_partkey", *[F.col(f"facts.{c}").alias(c) for c in cols], F.size("facts.schema_types").alias("schema_types"), F.size("facts.nav").alias("nav"), F.array_join("facts.faq_questions", "|").alias("asked"), F.size("facts.cut").alias("cut"))
+
+
 def link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links by host: how many, to how many pages, how many leave the host."""
     links = html.link_table(_pages(spark, sf_dir), most=None, chars=None).withColumn("host", U.host(F.col("from_url")))
@@ -148,7 +177,7 @@ def public_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_page_url, page_url_dedupe, registrable_domains, typed_domains, html_facts_regex, html_facts_extract, link_graph, link_crawl_levels, site_aliases, site_crawl, suffix_domains, robots_allowed, robots_sitemaps, sitemap_pages, public_addresses,
+        normalize_page_url, page_url_dedupe, registrable_domains, typed_domains, html_facts_regex, html_facts_extract, made_page_facts, link_graph, link_crawl_levels, site_aliases, site_crawl, suffix_domains, robots_allowed, robots_sitemaps, sitemap_pages, public_addresses,
     )
 }
 
@@ -224,3 +253,10 @@ b AS (SELECT d.host, l, coalesce(max(best) FILTER (NOT private), (0, 1))[2] AS p
 SELECT page_id, host, array_to_string(l[len(l) - p + 1:], '.') AS public_suffix, CASE WHEN len(l) > p THEN array_to_string(l[len(l) - p:], '.') END AS public_domain,
   array_to_string(l[len(l) - n + 1:], '.') AS suffix, CASE WHEN len(l) > n THEN array_to_string(l[len(l) - n:], '.') END AS domain FROM h LEFT JOIN b USING (host)""",
 }
+
+ORACLE_SQL["made_page_facts"] = """SELECT p_partkey, 'Title of ' || p_name AS title, CASE WHEN k % 4 <> 0 THEN 'About ' || p_type END AS description, ['en', 'bg', 'de'][k % 3 + 1] AS lang, k % 2 = 0 AS viewport, k % 7 = 0 AS noindex,
+CASE WHEN k % 5 > 0 THEN k % 5 > 1 END AS canonical_self, true AS https, (k % 2 + 1)::INT AS h1, (k % 4)::INT AS h2, (k % 5)::INT AS h3,
+((k % 2 + 1) * 2 + k % 4 * 2 + k % 5 * 2 + k % 50 + CASE WHEN k % 3 = 1 THEN 2 ELSE 0 END + k % 5 + k % 3 + 1 + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 4 = 1 THEN 1 ELSE 0 END + 4 * (k % 3) + 1 + 3 * (k % 4) + 2)::INT AS words,
+(k % 5 + CASE WHEN k % 2 = 1 THEN 2 ELSE 0 END)::INT AS links_in, (k % 3)::INT AS links_out, (k % 3)::INT AS external_domains, (k % 3 + k % 4)::INT AS images, (k % 3)::INT AS images_alt, (k % 3)::INT AS tables, (k % 4)::INT AS lists, k % 5 = 0 AS form,
+(k % 3 = 0)::INT AS phones, (k % 4 = 1)::INT AS emails, CASE WHEN k % 3 = 1 THEN k % 15 + 2010 END::INT AS latest_year, CASE WHEN k % 4 = 2 THEN '2026-01-0' || (k % 9 + 1) || 'T00:00:00Z' END AS modified_at, k % 3 = 2 AS author,
+k % 6 = 2 AS faq_schema, CASE k % 6 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END::INT AS schema_types, CASE WHEN k % 2 = 1 THEN 2 ELSE 0 END::INT AS nav, CASE WHEN k % 6 = 2 THEN 'Why?' ELSE '' END AS asked, 0 AS cut FROM (SELECT *, p_partkey AS k FROM part)"""
