@@ -258,7 +258,8 @@ _STEP = 4096
 
 
 def bpe_encode(df: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``df`` without its text, with an array column of token ids. ``ranks``: the rank file's bytes."""
+    """``df`` without its text, with an array column of token ids in place of any column of that name. ``ranks``: the rank file's bytes. A null
+    text is an empty one; an empty table gives none."""
     keep = [c for c in df.columns if c not in (text_col, ids_col)]
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])

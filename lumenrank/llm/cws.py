@@ -7,7 +7,8 @@ with a probability equal to their generalised Jaccard similarity, sum of least w
 of greatest. Terms are words `[^\\x20\\x09-\\x0D]+`, weights their counts.
 
 Rows: null text counts as empty; a text without words has the all-zero fingerprint, alike only
-to another such; equal texts have equal fingerprints.
+to another such; equal texts have equal fingerprints; rows repeating an id follow one another by text, a null id comes first; a
+long text is one value; an empty table gives none.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ the bits of a fingerprint, so even near copies of one text scatter over the keys
 of a key's different fingerprints, time the square of their number.
 
 Rows: null text counts as empty; a text without words has fingerprint zero and is linked like
-any other; repeated rows share a fingerprint and so a component; an empty table gives none.
+any other; repeated rows share a fingerprint and so a component; a null id is a component's only if all ids there are null; an
+empty table gives none.
 """
 
 from __future__ import annotations
