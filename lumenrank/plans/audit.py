@@ -62,14 +62,15 @@ def page_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _judged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     # parsed once: what follows reads the facts several times
     pages = written(html.page_facts(read_table(spark, sf_dir, "pages"), NOW, limits=html.Limits(None, None, None, None, None)).select(F.col("page_id").alias("id"), "url", U.host(F.col("url")).alias("site"), "facts.*"), "page-facts")
-    for value, name in (("title", "title_same"), ("description", "meta_same")):
-        pages = phrases.duplicate_values(pages, "site", F.col(value), name)
-    types = F.array(*[F.lit(t) for t in ("service_page", "blog_article", "company_homepage", "other")])
     heads = F.transform(F.filter("headings", lambda h: h["level"] == 1), lambda h: h["text"])
-    pages = pages.withColumn("h1_texts", heads).withColumn("phrase", T.phrase_of(F.get("h1_texts", F.lit(0)), F.col("title")))
+    pages = pages.withColumn("h1_texts", heads)
+    for value, name in ((F.col("title"), "title_same"), (F.col("description"), "meta_same"), (F.get("h1_texts", F.lit(0)), "h1_same")):
+        pages = phrases.duplicate_values(pages, "site", value, name)
+    types = F.array(*[F.lit(t) for t in ("service_page", "blog_article", "company_homepage", "other")])
+    pages = pages.withColumn("phrase", T.phrase_of(F.get("h1_texts", F.lit(0)), F.col("title")))
     flags = T.keyword_flags(F.coalesce("phrase", F.lit("")), F.col("title"), F.col("h1_texts"), F.col("description"), F.col("intro"), F.col("url"))
     return pages.select(
-        "*", F.get(types, (F.col("id") % 4).cast("int")).alias("page_type"), F.when(F.col("id") % 3 == 0, (F.col("id") % 40).cast("int")).alias("rank"), F.col("title_same").alias("h1_same"), *[v.alias(k) for k, v in flags.items()],
+        "*", F.get(types, (F.col("id") % 4).cast("int")).alias("page_type"), F.when(F.col("id") % 3 == 0, (F.col("id") % 40).cast("int")).alias("rank"), *[v.alias(k) for k, v in flags.items()],
         _known(5, 2).alias("title_clear"), _known(7, 2).alias("meta_inviting"), _known(9, 3).alias("h1_matches"), _known(11, 3).alias("intro_direct"), _known(13, 2).alias("outline"), _known(15, 2).alias("faq_useful"), U.problem(F.col("url")).alias("url_problem"),
     )
 
