@@ -181,7 +181,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = Transducer(ranks)
         encode = self.machine.encode
-        self.pieces = PieceEncoder(pattern, lambda words: [array("I", encode(w.encode())).tobytes() for w in words])
+        self.pieces = PieceEncoder(pattern, lambda words: [array("I", encode(w.encode())).tobytes() for w in words], keep_pieces=300_000)
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.pieces.encode(text), "<u4")
