@@ -168,7 +168,7 @@ def _library(tokenizer_json: str, pattern: str, plain_specials: bool) -> Callabl
         words = lambda some: [array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))]).tobytes() for w in some]
     else:
         words = lambda some: [array("I", x.ids).tobytes() for x in made.encode_batch_fast(some, add_special_tokens=False)]
-    pieces = PieceEncoder(pattern, words, 500_000, 100_000)
+    pieces = PieceEncoder(pattern, words, 350_000, 100_000)
     added = [t["content"] for t in parts.get("added_tokens") or []]
 
     def encode(text: str) -> bytes:
