@@ -83,7 +83,8 @@ def must_cover_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases on two fifths of a language's pages, without parts of longer ones: mined, pruned, ranked."""
     docs = _docs(spark, sf_dir)
     counts = docs.groupBy(F.col("lang").alias("scope")).agg(F.count(F.lit(1)).alias("all"))
-    common = phrases.mine_phrases(docs, least_pages=2, scope=F.col("lang")).join(counts, "scope").where(F.col("pages") >= F.ceil(F.col("all") * 2 / F.lit(5.0)))
+    least = counts.select("scope", F.ceil(F.col("all") * 2 / F.lit(5.0)).alias("least"))
+    common = phrases.mine_phrases(docs, least_pages=2, scope=F.col("lang"), least_of=least).join(counts, "scope")
     kept = ranking.top_per(phrases.prune_subsumed(common), ["scope"], [F.desc("pages"), F.desc("n"), F.desc("total"), F.col("key")], 15, "place")
     return kept.select("scope", "key", "pages", N.ratio3(F.col("pages"), F.col("all")).alias("share"), "place")
 
