@@ -138,41 +138,54 @@ def _chained(rows: DataFrame, few: Column) -> DataFrame:
 
 
 def similar_sets(sets: DataFrame, least: float) -> DataFrame:
-    """(scope, c, d), c < d: sets of ``sets(scope, id, terms)`` that share ``least`` of the smaller one's terms or more. The smaller one's rarest terms,
-    all but as many as it must share and one more, find the others; sets of more terms than ``1 / least`` each."""
+    """(c, d), c < d: sets of ``sets(scope, id, terms)`` that share ``least`` of the smaller one's terms or more. The smaller one's rarest terms,
+    all but as many as it must share and one more, find the others; sets of more terms than ``1 / least`` each. Sets are compared where they meet, at the rarest
+    term of both, so that no pair but a similar one leaves the join, and that once."""
     ranked = written(_ranked(sets), "question-sets")
     needed = lambda n: F.ceil(n * least - _EPS)
-    every = ranked.select("scope", F.col("id").alias("d"), F.col("size").alias("d_size"), F.explode("ordered").alias("term"))
-    head = F.slice("ordered", F.lit(1), (F.col("size") - needed(F.col("size")) + 1).cast("int"))
-    asks = ranked.select("scope", F.col("id").alias("c"), F.col("size").alias("c_size"), F.explode(head).alias("term"))
-    met = _joined(asks, every, ["scope", "term"]).where("c <> d and c_size <= d_size")
-    pairs = met.select("scope", F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).distinct()
-    full = pairs
-    for name in ("c", "d"):
-        full = _joined(full, ranked.select("scope", F.col("id").alias(name), F.col("ordered").alias(f"{name}_terms")), ["scope", name])
-    return full.where(F.size(F.array_intersect("c_terms", "d_terms")) >= needed(F.least(F.size("c_terms"), F.size("d_terms")))).select("scope", "c", "d")
+    every = ranked.select("scope", F.col("id").alias("d"), F.col("size").alias("d_size"), F.col("ordered").alias("d_terms"), F.posexplode("ordered").alias("j", "term"))
+    asks = ranked.select("scope", F.col("id").alias("c"), F.col("size").alias("c_size"), F.col("ordered").alias("c_terms"), F.posexplode("ordered").alias("i", "term"))
+    asks = asks.where(F.col("i") <= F.col("c_size") - needed(F.col("c_size")))
+    met = _joined(asks, every, ["scope", "term"]).where("c_size < d_size or c_size = d_size and c < d")
+    # nothing is shared before the rarest term of both
+    near = met.where(F.least(F.col("c_size") - F.col("i"), F.col("d_size") - F.col("j")) >= needed(F.col("c_size")))
+    both = near.withColumn("both", F.array_intersect("c_terms", "d_terms")).where((F.size("both") >= needed(F.col("c_size"))) & (F.get("both", F.lit(0)) == F.col("term")))
+    return both.select(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d"))
 
 
 def _alternations(rows: DataFrame, least: float) -> DataFrame:
-    """Edges of questions of more terms: to the one before of the same set, and between similar sets wherever their questions alternate."""
-    named = written(rows.select("scope", "v", "terms", F.md5(F.array_join(F.array_sort("terms"), " ")).alias("id")), "question-members")
-    pairs = written(similar_sets(named.select("scope", "id", "terms").distinct(), least), "question-pairs")
-    copies = named.select("v", F.lag("v").over(Window.partitionBy("scope", "id").orderBy("v")).alias("w")).where("w is not null")
-    sides = [_joined(pairs, named.select("scope", F.col("id").alias(k), "v"), ["scope", k]).select("scope", "c", "d", "v", F.lit(k).alias("side")) for k in ("c", "d")]
-    order = Window.partitionBy("scope", "c", "d").orderBy("v")
+    """Edges of questions of more terms: to the one before of the same set, and between similar sets wherever their questions alternate. A set is
+    named by its first question."""
+    same = Window.partitionBy("scope", "terms")
+    named = written(rows.select("scope", "v", F.array_sort("terms").alias("terms")).withColumns({"id": F.min("v").over(same), "copies": F.count(F.lit(1)).over(same)}), "question-members")
+    sets = named.where("id = v").select("scope", "id", "terms", "copies")
+    pairs = similar_sets(sets, least)
+    for name in ("c", "d"):
+        pairs = pairs.join(sets.select(F.col("id").alias(name), F.col("copies").alias(f"{name}_copies")), name)
+    pairs = written(pairs, "question-pairs")
+    copies = named.select("v", F.lag("v").over(Window.partitionBy("id").orderBy("v")).alias("w")).where("w is not null")
+    single = "c_copies = 1 and d_copies = 1"
+    once = pairs.where(single).select(F.col("d").alias("u"), F.col("c").alias("v"))
+    sides = [pairs.where(f"not ({single})").join(named.select(F.col("id").alias(k), "v"), k).select("c", "d", "v", F.lit(k).alias("side")) for k in ("c", "d")]
+    order = Window.partitionBy("c", "d").orderBy("v")
     turns = sides[0].unionByName(sides[1]).select("v", "side", F.lag("v").over(order).alias("w"), F.lag("side").over(order).alias("other")).where("other <> side")
-    return copies.unionByName(turns.select("v", "w")).select(F.col("v").alias("u"), F.col("w").alias("v"))
+    return copies.unionByName(turns.select("v", "w")).select(F.col("v").alias("u"), F.col("w").alias("v")).unionByName(once)
+
+
+def _numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``rows`` with numbers that grow in the order of ``by``, written as a table so that they stay."""
+    return written(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def cluster_questions(questions: DataFrame, least: float = 0.5) -> DataFrame:
     """(scope, ordinal, text, cluster): a question joins the first cluster with a member that shares at least half of the shorter one's
     terms. Texts without terms are left out; questions of one ordinal follow one another by text, and equal rows are one."""
-    rows = questions.select("scope", "ordinal", "text", F.array_distinct(T.terms(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
-    rows = written(rows.withColumn("v", F.struct("scope", "ordinal", "text")), "questions")
-    one = rows.dropDuplicates(["v"])
+    each = questions.groupBy("scope", "ordinal", "text").agg(F.count(F.lit(1)).alias("times")).withColumn("terms", F.array_distinct(T.terms(F.col("text")))).where(F.size("terms") > 0)
+    # edges and labels are numbers in the order of the questions, not their texts
+    one = _numbered(each, ["scope", "ordinal", "text"], "v")
     few = F.size("terms") * least <= 1 + _EPS
     labels = least_reached(_chained(one, few).unionByName(_alternations(one.where(~few), least))).select(F.col("node").alias("v"), "label")
-    named = written(rows.join(labels, "v", "left").select("scope", "ordinal", "text", F.coalesce("label", "v").alias("label")), "question-labels")
+    named = written(one.join(labels, "v", "left").select("scope", "ordinal", "text", "times", F.coalesce("label", "v").alias("label")), "question-labels")
     openers = named.select("scope", "label").distinct()
     numbered = openers.select("label", (F.row_number().over(Window.partitionBy("scope").orderBy("label")) - 1).cast("long").alias("cluster"))
-    return named.join(numbered, "label").select("scope", "ordinal", "text", "cluster")
+    return named.join(numbered, "label").withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("scope", "ordinal", "text", "cluster")

@@ -105,3 +105,20 @@ def test_least_reached_and_components(spark, seed):
 
     assert {r.node: r.label for r in graph.least_reached(df).collect()} == reached(edges)
     assert {r.node: r.label for r in graph.components(df).collect()} == reached(edges + [(v, u) for u, v in edges])
+
+
+def test_edges_of_questions_are_numbers(spark, monkeypatch):
+    """Rounds over edges shuffle them again and again: they hold no texts, and no pair of sets twice."""
+    seen = []
+    monkeypatch.setattr(clusters, "least_reached", lambda edges: seen.append(edges) or graph.least_reached(edges))
+    found = texts(6, 60, 20, 6, 0.8)
+    clusters.cluster_questions(spark.createDataFrame([("a", i, t) for i, t in enumerate(found)], "scope string, ordinal long, text string")).collect()
+    assert [f.dataType.simpleString() for f in seen[0].schema.fields] == ["bigint", "bigint"]
+
+
+def test_similar_sets_each_pair_once(spark):
+    found = [sorted(set(t.split())) for t in texts(8, 120, 30, 8, 0.5)]
+    sets = [("s", i, t) for i, t in enumerate(dict.fromkeys(map(tuple, found))) if len(t) > 2]
+    got = [(r.c, r.d) for r in clusters.similar_sets(spark.createDataFrame(sets, "scope string, id long, terms array<string>"), 0.5).collect()]
+    want = [(i, j) for _, i, a in sets for _, j, b in sets if i < j and len(set(a) & set(b)) * 2 >= min(len(a), len(b))]
+    assert sorted(got) == sorted(want)
