@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +26,14 @@ def clean_keyword(s: Column) -> Column:
 
 
 def has_local_modifier(keyword: Column, cities: list[str] = CITIES) -> Column:
-    """Whether a keyword names a city, inflected or not."""
-    padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(T.fold_spellings(keyword), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    stems = F.transform(T.words(keyword), T.stem)
-    names = F.array(*[F.lit(c) for c in cities])
-    return F.exists(names, lambda c: F.contains(padded, F.concat(F.lit(" "), c, F.lit(" "))) | (~F.contains(c, F.lit(" ")) & F.array_contains(stems, T.stem(c))))
+    """Whether a keyword names a city, inflected or not. The cities' stems are worked out once, and of a keyword's words only those are stemmed
+    whose first letters one of them has, which no stem loses but by a synonym."""
+    folded = F.trim(F.regexp_replace(T.fold_spellings(keyword), r"[^\p{L}\p{N}]+", " "))
+    whole = F.concat(F.lit(" "), folded, F.lit(" ")).rlike(" (?:" + "|".join(re.escape(c) for c in cities) + ") ") if cities else F.lit(False)
+    stems = sorted({T.stem_word(c) for c in cities if " " not in c})
+    heads = sorted({x[:2] for x in stems} | {w[:2] for w, same in T.SYNONYMS.items() if same in stems})
+    inflected = F.filter(T.words(keyword), lambda w: F.left(w, F.lit(2)).isin(heads))
+    return whole | F.exists(inflected, lambda w: T.stem(w).isin(stems))
 
 
 def variations(spark: SparkSession, seed: str, market: str) -> DataFrame:

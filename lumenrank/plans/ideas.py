@@ -10,6 +10,7 @@ from ..functions import urls as U
 from ..functions import weights as W
 from ..operators import collect, fetch, ideas, opportunities, phrases, ranking, sites
 from ..sources import adapters, demo, results_json
+from ..sources.shared import spread
 from ..sources.tables import read_table
 from .pages import _URL_SQL, _pages
 from .serp import RESULTS_SQL, serp_results
@@ -34,7 +35,7 @@ def candidate_ideas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def local_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which keywords name a city, inflected or not."""
     city = F.get(F.array(*[F.lit(c) for c in [*ideas.CITIES, "lom", ""]]), (F.col("p_partkey") % 22).cast("int"))
-    rows = _parts(spark, sf_dir).select(city.alias("city"), F.concat("p_name", F.lit(" "), city).alias("keyword"))
+    rows = spread(_parts(spark, sf_dir)).select(city.alias("city"), F.concat("p_name", F.lit(" "), city).alias("keyword"))
     return rows.groupBy("city", ideas.has_local_modifier(F.col("keyword")).alias("local")).agg(F.count(F.lit(1)).alias("keywords"))
 
 

@@ -176,3 +176,15 @@ def test_cache_rounds(spark, tmp_path):
     off = Cache(spark, str(tmp_path / "off"), 0)
     off.put(rows(("serp", "a", "1")), 0)
     assert not off.get(asked, 0).where("hit").count()
+
+
+def test_cities_are_stemmed_once(spark):
+    """As each city beside each word, the stems of the cities worked out before; no pattern of a stem within a pattern of another."""
+    cities = [*ideas.CITIES, "web", "lom"]
+    words = ["цени софия", "ремонт в софията", "стара загора", "старата загора", "варната", "русета", "уеб", "online web", "lom", "loms", "x", "", None, "добричен", "габровото"]
+    stems = {T.stem_word(c) for c in cities if " " not in c}
+    for w in words:
+        got = spark.range(1).select(ideas.has_local_modifier(F.lit(w).cast("string"), cities).alias("x")).first().x
+        assert got == (None if w is None else any(f" {c} " in f" {w} " for c in cities) or any(T.stem_word(x) in stems for x in w.split()))
+    plan = spark.range(1).select(ideas.has_local_modifier(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert "благоевград" in plan and plan.count("exists(") == 1 and "array_contains" not in plan
