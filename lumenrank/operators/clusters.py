@@ -1,8 +1,8 @@
 """Greedy clusterings whose result depends on the order, over scopes of any size.
 
 Headings: one joins the cluster whose union of terms it is most like. What can ever meet is found first, without pairs: a heading of n terms
-needs ``least * (n + m) / (1 + least)`` of them in a union of m or more, so that one of its rarest terms, a prefix of them, is in a member. Headings and
-(term, size) hubs make a graph whose components never meet; each is taken in order in one task, in a stream.
+needs ``least * (n + m) / (1 + least)`` of them in a union of m or more, so that one of its rarest terms, a prefix of them, is in a member. Headings that
+meet at (term, size) hubs are tied to the least of them, a graph whose components never meet; each is taken in order in one task, in a stream.
 
 Questions: one joins the first cluster with a member like it. Its cluster is then that of the least question it reaches over ever
 earlier similar ones, so the clusters are a least label on a graph of edges to earlier questions; nothing is taken in order. Questions of so few terms that one
@@ -61,10 +61,10 @@ class Greedy:
 
 
 def _ranked(sets: DataFrame) -> DataFrame:
-    """``sets(scope, id, terms)`` with ``ordered``: the terms, the rarest in the scope first, and ``size``."""
+    """``sets(scope, id, terms)`` with ``ordered``: the terms, the rarest in the scope first, ``size``, and ``alone``: how many of them no other set has."""
     each = sets.select("scope", "id", F.explode("terms").alias("term"))
     found = each.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
-    ordered = _joined(each, found, ["scope", "term"]).groupBy("scope", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "term"))), lambda x: x["term"]).alias("ordered"))
+    ordered = _joined(each, found, ["scope", "term"]).groupBy("scope", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "term"))), lambda x: x["term"]).alias("ordered"), F.count_if(F.col("df") == 1).alias("alone"))
     return ordered.withColumn("size", F.size("ordered"))
 
 
@@ -74,14 +74,17 @@ def parts_of(rows: DataFrame, least: float) -> DataFrame:
     ranked = written(_ranked(rows.select("scope", set_id().alias("id"), "terms").dropDuplicates(["id"])), "cluster-sets")
     bucket = lambda n: F.floor(F.log2(n.cast("double"))).cast("int")
     hub = lambda of: F.xxhash64(F.lit("hub"), "scope", "term", of)
-    each = ranked.select("scope", "id", "size", F.posexplode("ordered").alias("rank", "term"))
+    each = ranked.select("scope", "id", "size", "alone", F.posexplode("ordered").alias("rank", "term")).where("rank >= alone").drop("alone")
     largest = F.floor((F.col("size") - F.col("rank")) * ((1 + least) / least) - F.col("size") + _EPS)
     asks = each.withColumn("largest", largest).where("largest >= 1").withColumn("of", F.explode(F.sequence(F.lit(0), bucket(F.col("largest")))))
-    asked = written(asks.select("id", hub(F.col("of")).alias("hub")).distinct(), "cluster-asked")
-    held = each.select("id", hub(bucket(F.col("size"))).alias("hub")).join(asked.select("hub").distinct(), "hub", "left_semi")
-    found = components(asked.select(F.col("id").alias("u"), F.col("hub").alias("v")).unionByName(held.select(F.col("id").alias("u"), F.col("hub").alias("v"))))
+    asked = asks.select("id", hub(F.col("of")).alias("hub"), F.lit(False).alias("holds"))
+    held = each.select("id", hub(bucket(F.col("size"))).alias("hub"), F.lit(True).alias("holds"))
+    met = written(asked.unionByName(held).groupBy("id", "hub").agg(F.max("holds").alias("holds")), "cluster-met")
+    # of a hub that none holds or one has alone nothing follows; all others are tied to the least that has it, each pair once
+    hubs = met.groupBy("hub").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max("holds").alias("held")).where("held and first < last").select("hub", "first")
+    found = components(met.join(hubs, "hub").select(F.col("id").alias("u"), F.col("first").alias("v")))
     out = written(ranked.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("part")), "cluster-parts")
-    for done in (ranked, asked):
+    for done in (ranked, met):
         discard(done)
     return out
 

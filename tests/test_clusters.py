@@ -122,3 +122,13 @@ def test_similar_sets_each_pair_once(spark):
     got = [(r.c, r.d) for r in clusters.similar_sets(spark.createDataFrame(sets, "scope string, id long, terms array<string>"), 0.5).collect()]
     want = [(i, j) for _, i, a in sets for _, j, b in sets if i < j and len(set(a) & set(b)) * 2 >= min(len(a), len(b))]
     assert sorted(got) == sorted(want)
+
+
+def test_ties_of_headings_are_few(spark, monkeypatch):
+    """A term that one heading has alone ties nothing, and headings that meet at many terms are tied once."""
+    seen = []
+    monkeypatch.setattr(clusters, "components", lambda edges: seen.append(edges.where("u <> v").distinct().count()) or graph.components(edges))
+    shared = " ".join(f"q{i}x" for i in range(30))
+    rows = [("s", i, f"d{i}", f"{shared} own{i}x more{i}x") for i in range(10)]
+    found = clusters.heading_clusters(spark.createDataFrame(rows, "scope string, ordinal long, doc string, heading string")).collect()
+    assert len({(r.part, r.cluster) for r in found}) == 1 and seen[0] <= 20
