@@ -81,7 +81,9 @@ def _made_page(k, name, kind):
 def made_page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts that the parser finds on a page made for each part, whose counts follow from the part's number."""
     k = F.col("p_partkey")
-    rows = spread(read_table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("https://made.example/p"), k.cast("string")).alias("url"), _made_page(k, F.col("p_name"), F.col("p_type")).alias("html")))
+    # dealt out as parts: the pages are many times their size, and one task may read them all
+    parts = spread(read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"))
+    rows = parts.select("p_partkey", F.concat(F.lit("https://made.example/p"), k.cast("string")).alias("url"), _made_page(k, F.col("p_name"), F.col("p_type")).alias("html"))
     f = html.page_facts(rows, NOW)
     cols = "title description lang viewport noindex canonical_self https h1 h2 h3 words links_in links_out external_domains images images_alt tables lists form phones emails latest_year modified_at author faq_schema".split()
     return f.select("p_partkey", *[F.col(f"facts.{c}").alias(c) for c in cols], F.size("facts.schema_types").alias("schema_types"), F.size("facts.nav").alias("nav"), F.array_join("facts.faq_questions", "|").alias("asked"), F.size("facts.cut").alias("cut"))
