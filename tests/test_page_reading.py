@@ -4,7 +4,9 @@ import random
 from datetime import datetime, timezone
 from html.parser import HTMLParser
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lumenrank.operators import html
 from lumenrank.plans import pages
@@ -52,3 +54,19 @@ def test_made_pages_are_dealt_out_before_they_are_made(spark):
     plan = pages.made_page_facts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Repartition") :]
     assert "doctype" in plan and "doctype" not in below
+
+
+def test_facts_of_a_batch_are_made_a_few_pages_at_a_time(spark, monkeypatch):
+    """What is turned into Arrow at once is bounded, whatever the batch."""
+    kept, whole = [], F.arrow_udf
+    monkeypatch.setattr(html.F, "arrow_udf", lambda kind: lambda run: kept.append(run) or whole(kind)(run))
+    html.page_facts(spark.createDataFrame([], "url string, html string"), NOW)
+    pages_of = lambda n: (pa.array(["https://a.example/"] * n, pa.string()), pa.array(["<p>x"] * n, pa.string()))
+    made = list(kept[0](iter([pages_of(300), pages_of(0)])))
+    assert sum(map(len, made)) == 300 and max(map(len, made)) <= 128
+
+
+def test_every_page_of_a_batch_keeps_its_row(spark):
+    rows = spark.range(0, 700, 1, 1).selectExpr("id", "case when id % 7 = 0 then 'https://[bad' else concat('https://a.example/', id) end AS url", "case when id % 5 > 0 then concat('<title>t', id, '</title>') end AS html")
+    found = {r.id: (r.status, r.title) for r in html.page_facts(rows, NOW).select("id", "facts.status", "facts.title").collect()}
+    assert found == {i: ("error", None) if i % 7 == 0 else ("ok", f"t{i}" if i % 5 else None) for i in range(700)}
