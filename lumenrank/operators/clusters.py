@@ -1,8 +1,9 @@
 """Greedy clusterings whose result depends on the order, over scopes of any size.
 
-Headings: one joins the cluster whose union of terms it is most like. What can ever meet is found first, without pairs: a heading of n terms
-needs ``least * (n + m) / (1 + least)`` of them in a union of m or more, so that one of its rarest terms, a prefix of them, is in a member. Headings that
-meet at (term, size) hubs are tied to the least of them, a graph whose components never meet; each is taken in order in one task, in a stream.
+Headings: one joins the cluster whose union of terms it is most like. A cluster gets its second set of terms by one that is like its first, so sets
+like no other never open one of more. Those like another are found by prefixes of their rarest terms, and what they tie together, a part, is taken in order in
+one task, in a stream. Then every set is compared with every union that a cluster of another part has been: where they are like, both parts are taken
+again as one, until there are none. No set has then met a cluster of another part, at any time, so that all of the scope in order would have given the same.
 
 Questions: one joins the first cluster with a member like it. Its cluster is then that of the least question it reaches over ever
 earlier similar ones, so the clusters are a least label on a graph of edges to earlier questions; nothing is taken in order. Questions of so few terms that one
@@ -12,9 +13,11 @@ are chained, so that a pair of sets has as many edges as its questions alternate
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,10 +41,13 @@ class Greedy:
     """The clusters of one component; each heading joins the one whose terms it is most like, the first of equals, or opens one."""
 
     def __init__(self, least: float):
-        self.least, self.unions, self.by_term = least, [], {}
+        self.least, self.unions, self.by_term, self.same, self.grew = least, [], {}, {}, False
 
     def add(self, terms: frozenset[str]) -> int:
-        n = len(terms)
+        self.grew, n = False, len(terms)
+        # nothing is more like a heading than a union of its very terms
+        if equal := self.same.get(terms):
+            return min(equal)
         # a union of one term or more that is like enough has this many of the terms, so one of the rarest n - needed + 1
         needed = max(1, -int(-(self.least * (n + 1) / (1 + self.least) - _EPS) // 1))
         rarest = sorted(terms, key=lambda t: len(self.by_term.get(t, ())))[: n - needed + 1]
@@ -53,67 +59,195 @@ class Greedy:
                 best, at = like, c
         if at < 0:
             at = len(self.unions)
-            self.unions.append(set())
-        for t in terms - self.unions[at]:
-            self.by_term.setdefault(t, set()).add(at)
-        self.unions[at] |= terms
+            self.unions.append(frozenset())
+        elif not terms <= self.unions[at]:
+            self.grew = True
+            self.same[self.unions[at]].discard(at)
+        union = self.unions[at]
+        if not terms <= union:
+            for t in terms - union:
+                self.by_term.setdefault(t, set()).add(at)
+            self.unions[at] = union | terms
+            self.same.setdefault(self.unions[at], set()).add(at)
         return at
 
 
 def _ranked(sets: DataFrame) -> DataFrame:
-    """``sets(scope, id, terms)`` with ``ordered``: the terms, the rarest in the scope first, ``size``, and ``alone``: how many of them no other set has."""
+    """``sets(scope, id, terms)`` with ``ordered``: the terms, the rarest in the scope first, and ``size``."""
     each = sets.select("scope", "id", F.explode("terms").alias("term"))
     found = each.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
-    ordered = _joined(each, found, ["scope", "term"]).groupBy("scope", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "term"))), lambda x: x["term"]).alias("ordered"), F.count_if(F.col("df") == 1).alias("alone"))
+    ordered = _joined(each, found, ["scope", "term"]).groupBy("scope", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "term"))), lambda x: x["term"]).alias("ordered"))
     return ordered.withColumn("size", F.size("ordered"))
 
 
-def parts_of(rows: DataFrame, least: float) -> DataFrame:
-    """(id, part) of ``rows(scope, terms)``: id, a hash of scope and terms as ``set_id``, has the part of all sets that it may ever meet.
-    Equal hashes of different sets make a part larger and change no result."""
-    ranked = written(_ranked(rows.select("scope", set_id().alias("id"), "terms").dropDuplicates(["id"])), "cluster-sets")
-    bucket = lambda n: F.floor(F.log2(n.cast("double"))).cast("int")
-    hub = lambda of: F.xxhash64(F.lit("hub"), "scope", "term", of)
-    each = ranked.select("scope", "id", "size", "alone", F.posexplode("ordered").alias("rank", "term")).where("rank >= alone").drop("alone")
-    largest = F.floor((F.col("size") - F.col("rank")) * ((1 + least) / least) - F.col("size") + _EPS)
-    asks = each.withColumn("largest", largest).where("largest >= 1").withColumn("of", F.explode(F.sequence(F.lit(0), bucket(F.col("largest")))))
-    asked = asks.select("id", hub(F.col("of")).alias("hub"), F.lit(False).alias("holds"))
-    held = each.select("id", hub(bucket(F.col("size"))).alias("hub"), F.lit(True).alias("holds"))
-    met = written(asked.unionByName(held).groupBy("id", "hub").agg(F.max("holds").alias("holds")), "cluster-met")
-    # of a hub that none holds or one has alone nothing follows; all others are tied to the least that has it, each pair once
-    hubs = met.groupBy("hub").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max("holds").alias("held")).where("held and first < last").select("hub", "first")
-    found = components(met.join(hubs, "hub").select(F.col("id").alias("u"), F.col("first").alias("v")))
-    out = written(ranked.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("part")), "cluster-parts")
-    for done in (ranked, met):
+#: Words whose numbers a task holds, and terms whose counts order the others: rarer ones come first, whatever their counts.
+KNOWN, COUNTED = 200_000, 1 << 16
+_SIG = [f"s{k}" for k in range(4)]
+
+
+def _with_terms(rows: DataFrame) -> DataFrame:
+    """``rows(scope, ordinal, doc, heading)`` with ``terms``: the different ``T.terms`` of the heading."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = T.Vocabulary()
+        for b in batches:
+            found = []
+            for text in b.column(3).to_pylist():
+                if len(vocabulary) >= KNOWN:
+                    vocabulary.forget()
+                numbers = [vocabulary[w] for w in T.parts(text or "", False)]
+                found.append(list(dict.fromkeys(vocabulary.keys[vocabulary.key[k]] for k in numbers if vocabulary.kind[k] & 3 == 2)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.string()))], [*b.schema.names, "terms"])
+
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", terms array<string>")
+
+
+def _ordered(sets: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """``sets(scope, id, terms)`` as (scope, id, ordered, size, s0 to s3, a, b): the terms, the rarest first, 256 bits of them, and two hashes
+    that sets have the more often the same the more like they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ordered, bits, one, two = [], [], [], []
+            for terms in b.column(2).to_pylist():
+                hashes, found = [zlib.crc32(t.encode()) for t in terms], 0
+                for h in hashes:
+                    found |= 1 << (h & 255)
+                ordered.append(sorted(terms, key=lambda t: (counts.get(t, 0), t)))
+                bits.append(found.to_bytes(32, "little"))
+                one.append(min(hashes))
+                two.append(min(h * 0x9E3779B1 & 0xFFFFFFFF for h in hashes))
+            packed = np.frombuffer(b"".join(bits), "<i8").reshape(-1, 4)
+            columns = [b.column(0), b.column(1), pa.array(ordered, pa.list_(pa.string())), pa.array([len(t) for t in ordered], pa.int32())]
+            columns += [pa.array(packed[:, k].copy(), pa.int64()) for k in range(4)] + [pa.array(one, pa.int64()), pa.array(two, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["scope", "id", "ordered", "size", *_SIG, "a", "b"])
+
+    kind = sets.schema["scope"].dataType.simpleString()
+    return sets.select("scope", "id", "terms").mapInArrow(run, f"scope {kind}, id long, ordered array<string>, size int, s0 long, s1 long, s2 long, s3 long, a long, b long")
+
+
+def _needed(n: Column, m: Column, least: float) -> Column:
+    """How many terms sets of n and m have in common if they are like enough."""
+    return F.ceil((n + m) * (least / (1 + least)) - _EPS)
+
+
+def _postings(ordered: DataFrame, name: str, of: Column) -> DataFrame:
+    """One row for each of the rarest terms of a set, all but ``of`` and one more."""
+    rarest = F.posexplode(F.slice("ordered", F.lit(1), (F.col("size") - of + 1).cast("int"))).alias(f"{name}_at", "term")
+    each = ordered.select("scope", F.col("id").alias(name), F.col("part").alias(f"{name}_part"), F.col("size").alias(f"{name}_size"), *[F.col(k).alias(f"{name}_{k}") for k in _SIG], rarest)
+    return each.withColumn("key", F.xxhash64("scope", "term")).drop("scope", "term")
+
+
+def _candidates(c: DataFrame, d: DataFrame, order: Column | None, least: float) -> DataFrame:
+    """(c, d, c_part, d_part) of sets of different parts that may be like enough: at a term of both, enough are left of each and as many bits are the same."""
+    n, m = F.col("c_size"), F.col("d_size")
+    lacks = lambda x, y: reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{x}_{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}_{k}")))) for k in _SIG])
+    left = F.least(n - F.col("c_at"), m - F.col("d_at"))
+    may = (F.col("c_part") != F.col("d_part")) & (left >= _needed(n, m, least)) & (n - lacks("c", "d") >= _needed(n, m, least)) & (m - lacks("d", "c") >= _needed(n, m, least))
+    on = c["key"] == d["key"]
+    return c.join(d, on & may if order is None else on & order & may).select("c", "d", "c_part", "d_part").distinct()
+
+
+def _like(found: DataFrame, c_sets: DataFrame, d_sets: DataFrame, least: float) -> DataFrame:
+    """The rows of ``found(c, d, ...)`` whose sets are like enough."""
+    for name, sets in (("c", c_sets), ("d", d_sets)):
+        found = found.join(sets.select(F.col("id").alias(name), F.col("ordered").alias(f"{name}_terms")), name)
+    both = F.size(F.array_intersect("c_terms", "d_terms"))
+    return found.where(both >= (F.size("c_terms") + F.size("d_terms") - both) * F.lit(least) - _EPS).drop("c_terms", "d_terms")
+
+
+def _pairs_of_parts(found: DataFrame) -> DataFrame:
+    return found.select(F.col("c_part").alias("u"), F.col("d_part").alias("v"))
+
+
+def _placed(sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """``sets`` with ``part``, of a set that ``parts`` does not have its own id."""
+    return sets.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
+
+
+def _moved(parts: DataFrame, new: DataFrame) -> DataFrame:
+    """``parts(id, part)`` after ``new(node, label)`` of parts; a node that was a part of its own may not have been among them."""
+    both = parts.join(new.select(F.col("node").alias("part"), "label"), "part", "left").select("id", F.coalesce("label", "part").alias("part"))
+    return both.unionByName(new.select(F.col("node").alias("id"), F.col("label").alias("part"))).groupBy("id").agg(F.min("part").alias("part"))
+
+
+def first_parts(ordered: DataFrame, least: float) -> DataFrame:
+    """(id, part) of all sets that are like another one, or of the id of another one: those that are joined by a chain of such are one part."""
+    stars = ordered.select("id", F.explode(F.array(*[F.xxhash64(F.lit(k), "scope", F.col(k)) for k in ("a", "b")])).alias("star"))
+    firsts = stars.groupBy("star").agg(F.min("id").alias("c"), F.max("id").alias("last")).where("c < last").drop("last")
+    # many copies that differ little are tied to one of them, and not compared with one another
+    near = components(_like(stars.join(firsts, "star").where("id <> c").select("c", F.col("id").alias("d")).distinct(), ordered, ordered, least).select(F.col("c").alias("u"), F.col("d").alias("v")))
+    near = near.select(F.col("node").alias("id"), F.col("label").alias("part"))
+    placed = written(_placed(ordered.select("scope", "id", "ordered", "size", *_SIG), near), "cluster-near")
+    few, many = F.ceil(F.col("size") * (2 * least / (1 + least)) - _EPS), F.ceil(F.col("size") * least - _EPS)
+    order = (F.col("c_size") < F.col("d_size")) | (F.col("c_size") == F.col("d_size")) & (F.col("c") < F.col("d"))
+    found = written(_candidates(_postings(placed, "c", few), _postings(placed, "d", many), order, least), "cluster-candidates")
+    joined = components(_pairs_of_parts(_like(found, ordered, ordered, least)))
+    twice = ordered.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.col("id").alias("part"))
+    out = written(_moved(near.unionByName(twice).groupBy("id").agg(F.min("part").alias("part")), joined), "cluster-parts")
+    for done in (placed, found):
         discard(done)
     return out
 
 
 def set_id() -> Column:
-    return F.xxhash64(F.lit("set"), "scope", F.array_sort("terms"))
+    return F.xxhash64(F.lit("set"), "scope", "terms")
 
 
-def heading_clusters(headings: DataFrame, least: float = 0.4, ignore: Column | None = None) -> DataFrame:
-    """(scope, part, cluster, ordinal, doc, heading): part and cluster name a cluster within the scope. Headings without terms are left out;
-    those of one ordinal follow one another by document and text."""
-    terms = F.array_distinct(T.terms(F.col("heading")))
-    terms = terms if ignore is None else F.array_except(terms, ignore)
-    rows = written(headings.select("scope", "ordinal", F.col("doc").cast("string").alias("doc"), "heading", terms.alias("terms")).where(F.size("terms") > 0), "cluster-headings")
-    named = rows.withColumn("id", set_id()).join(parts_of(rows, least), "id").select("scope", "part", "ordinal", "doc", "heading", "terms")
+def _taken(rows: DataFrame, least: float) -> DataFrame:
+    """``rows(scope, part, ordinal, doc, heading, terms)``, each part in order, with ``cluster`` and, if the heading made its cluster larger, the ``union`` of terms."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, greedy = None, Greedy(least)
         for b in batches:
-            place = []
+            place, unions = [], []
             for scope, part, terms in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(5).to_pylist(), strict=True):
                 if (scope, part) != now:
                     now, greedy = (scope, part), Greedy(least)
-                place.append(greedy.add(frozenset(terms)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(place, pa.int32()), *(b.column(k) for k in (2, 3, 4))], ["scope", "part", "cluster", "ordinal", "doc", "heading"])
+                at = greedy.add(frozenset(terms))
+                place.append(at)
+                unions.append(sorted(greedy.unions[at]) if greedy.grew else None)
+            columns = [b.column(0), b.column(1), pa.array(place, pa.int32()), *(b.column(k) for k in (2, 3, 4)), pa.array(unions, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["scope", "part", "cluster", "ordinal", "doc", "heading", "union"])
+
+    dealt = rows.select("scope", "part", "ordinal", "doc", "heading", "terms").repartition("scope", "part").sortWithinPartitions("scope", "part", "ordinal", "doc", "heading")
+    return dealt.mapInArrow(run, f"scope {kinds['scope']}, part long, cluster int, ordinal {kinds['ordinal']}, doc string, heading string, union array<string>")
 
-    dealt = named.repartition("scope", "part").sortWithinPartitions("scope", "part", "ordinal", "doc", "heading")
-    return dealt.mapInArrow(run, f"scope {kinds['scope']}, part long, cluster int, ordinal {kinds['ordinal']}, doc string, heading string")
+
+def heading_clusters(headings: DataFrame, least: float = 0.4, ignore: Column | None = None) -> DataFrame:
+    """(scope, part, cluster, ordinal, doc, heading): part and cluster name a cluster within the scope. Headings without terms are left out;
+    those of one ordinal follow one another by document and text."""
+    named = _with_terms(headings.select("scope", "ordinal", F.col("doc").cast("string").alias("doc"), "heading"))
+    terms = F.col("terms") if ignore is None else F.array_except("terms", ignore)
+    rows = written(named.withColumn("terms", F.array_sort(terms)).where(F.size("terms") > 0).withColumn("id", set_id()), "cluster-headings")
+    sets = written(rows.select("scope", "id", "terms").distinct(), "cluster-sets")
+    often = sets.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "term").limit(COUNTED)
+    counts = {r.term: r.n for r in often.collect()}
+    ordered = written(_ordered(sets, counts), "cluster-ordered")
+    parts = first_parts(ordered, least)
+    many = F.ceil(F.col("size") * least - _EPS)
+    found, changed = [], parts
+    while True:
+        taken = written(_taken(rows.join(changed, "id"), least), "cluster-taken")
+        found.append(taken.drop("union"))
+        grown = taken.where("union is not null").select("scope", "part", F.col("union").alias("terms")).distinct()
+        grown = grown.withColumn("id", F.xxhash64(F.lit("union"), "scope", "part", "terms"))
+        unions = written(_ordered(grown, counts).join(grown.select("id", "part").distinct(), "id"), "cluster-unions")
+        # a set that is like what a cluster of another part ever was may have joined it: both parts are taken again as one
+        met = _candidates(_postings(unions, "c", many), _postings(_placed(ordered, parts), "d", many), None, least)
+        new = components(_pairs_of_parts(_like(met, unions, ordered, least)))
+        discard(unions)
+        if new.isEmpty():
+            break
+        found = [f.join(new.select(F.col("node").alias("part")), "part", "left_anti") for f in found]
+        parts = written(_moved(parts, new), "cluster-parts")
+        changed = parts.join(new.select(F.col("label").alias("part")).distinct(), "part", "left_semi")
+    for done in (sets, ordered):
+        discard(done)
+    alone = rows.join(parts, "id", "left_anti").withColumns({"part": F.col("id"), "cluster": F.lit(0)})
+    columns = ["scope", "part", "cluster", "ordinal", "doc", "heading"]
+    return reduce(DataFrame.unionByName, [f.select(*columns) for f in (*found, alone)])
 
 
 def cluster_headings(headings: DataFrame, least: float = 0.4, ignore: Column | None = None) -> DataFrame:

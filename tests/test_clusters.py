@@ -132,3 +132,33 @@ def test_ties_of_headings_are_few(spark, monkeypatch):
     rows = [("s", i, f"d{i}", f"{shared} own{i}x more{i}x") for i in range(10)]
     found = clusters.heading_clusters(spark.createDataFrame(rows, "scope string, ordinal long, doc string, heading string")).collect()
     assert len({(r.part, r.cluster) for r in found}) == 1 and seen[0] <= 20
+
+
+def as_frame(spark, found):
+    return spark.createDataFrame([("s", i, f"d{i}", t) for i, t in enumerate(found)], "scope string, ordinal long, doc string, heading string")
+
+
+def test_headings_that_never_meet_are_apart(spark):
+    """Common terms alone make no part that one task goes over in order; copies that differ little make one."""
+    found = [f"common1x common2x q{i}a q{i}b q{i}c q{i}d" for i in range(40)] + [f"like1x like2x like3x r{i}a" for i in range(9)]
+    got = clusters.heading_clusters(as_frame(spark, found)).collect()
+    parts = collections.Counter(r.part for r in got)
+    assert len(parts) == 41 and max(parts.values()) == 9
+
+
+@pytest.mark.parametrize("one_hash", [False, True])
+def test_heading_like_a_union_and_no_member(spark, monkeypatch, one_hash):
+    """The third is like what the first two make together; sets of one hash are told apart."""
+    if one_hash:
+        monkeypatch.setattr(clusters, "set_id", lambda: F.lit(7).cast("long"))
+    found = ["q1x q2x q3x q4x q5x q6x", "q3x q4x q5x q6x q7x q8x", "q1x q2x q7x q8x", "q9x q10x", "q9x q10x", "q11x q12x", "q1x q2x q7x q8x"]
+    got = collections.defaultdict(set)
+    for r in clusters.heading_clusters(as_frame(spark, found)).collect():
+        got[r.part, r.cluster].add((r.ordinal, r.doc, r.heading))
+    assert {frozenset(x) for x in got.values()} == greedy_headings([(i, f"d{i}", t, frozenset(t.split())) for i, t in enumerate(found)], 0.4)
+
+
+def test_components_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FEW", 0)
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame([(1, 2), (3, 2), (5, 4), (6, 6)], "u long, v long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
