@@ -250,16 +250,34 @@ def heading_clusters(headings: DataFrame, least: float = 0.4, ignore: Column | N
     return reduce(DataFrame.unionByName, [f.select(*columns) for f in (*found, alone)])
 
 
+#: What names a cluster of headings.
+OF = ["scope", "part", "cluster"]
+
+
+def _counted(found: DataFrame) -> DataFrame:
+    return found.groupBy(*OF, "heading").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ordinal", "doc")).alias("first"))
+
+
+def _topics(each: DataFrame) -> DataFrame:
+    return each.groupBy(*OF).agg(F.min_by("heading", F.struct(-F.col("n"), F.length("heading"), F.col("heading"))).alias("topic"))
+
+
+def cluster_pages(found: DataFrame) -> DataFrame:
+    return found.groupBy(*OF).agg(F.count_distinct("doc").alias("pages"))
+
+
+def topics_of(found: DataFrame, kept: DataFrame) -> DataFrame:
+    """``kept``, some of the clusters of ``found``, with their ``topic``, as ``cluster_headings`` has it."""
+    return _joined(kept, _topics(_counted(_joined(found, kept.select(*OF), OF, "left_semi"))), OF)
+
+
 def cluster_headings(headings: DataFrame, least: float = 0.4, ignore: Column | None = None) -> DataFrame:
     """(scope, topic, pages, examples) from (scope, ordinal, doc, heading), each scope by itself; the terms of ``ignore``, an array, do not
     count. The topic is the most frequent heading (of equals the shorter, then the lesser), examples the first three different ones."""
     found = written(heading_clusters(headings, least, ignore), "cluster-found")
-    of = ["scope", "part", "cluster"]
-    each = found.groupBy(*of, "heading").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ordinal", "doc")).alias("first"))
-    topic = each.groupBy(*of).agg(F.min_by("heading", F.struct(-F.col("n"), F.length("heading"), F.col("heading"))).alias("topic"))
-    shown = top_per(each, of, [F.col("first"), F.col("heading")], 3, "place").groupBy(*of).agg(F.sort_array(F.collect_list(F.struct("place", "heading"))).alias("x"))
-    pages = found.groupBy(*of).agg(F.count_distinct("doc").alias("pages"))
-    return _joined(_joined(pages, topic, of), shown, of).select("scope", "topic", "pages", F.transform("x", lambda e: e["heading"]).alias("examples"))
+    each = _counted(found)
+    shown = top_per(each, OF, [F.col("first"), F.col("heading")], 3, "place").groupBy(*OF).agg(F.sort_array(F.collect_list(F.struct("place", "heading"))).alias("x"))
+    return _joined(_joined(cluster_pages(found), _topics(each), OF), shown, OF).select("scope", "topic", "pages", F.transform("x", lambda e: e["heading"]).alias("examples"))
 
 
 def _chained(rows: DataFrame, few: Column) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lumenrank.operators import clusters, graph
+from lumenrank.operators import clusters, graph, phrases
 
 
 def greedy_headings(rows, least):
@@ -162,3 +162,15 @@ def test_components_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(graph, "FEW", 0)
     got = {r.node: r.label for r in graph.components(spark.createDataFrame([(1, 2), (3, 2), (5, 4), (6, 6)], "u long, v long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+
+
+def test_subtopics_need_no_examples(spark, monkeypatch):
+    """Only topics of clusters on enough pages are made, and no examples."""
+
+    def none(*_):
+        raise AssertionError("examples were made")
+
+    monkeypatch.setattr(clusters, "top_per", none)
+    found = ["red prices", "Prices red", "red price", "contact", "our team", "team", "history"]
+    got = phrases.subtopics(as_frame(spark, found)).collect()
+    assert sorted((r.place, r.topic, r.pages) for r in got) == [(1, "red price", 3), (2, "team", 2)]
